@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, packing, pieces, repeats
+from canopy.llm import licenses, neardup, packing, pieces, repeats
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition_rules(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words_each=3, percent=85)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -34,7 +38,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op7_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op6_minhash_near_dedup, op7_sentencepiece, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
