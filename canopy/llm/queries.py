@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, neardup, packing, pieces, repeats
+from canopy.llm import licenses, lines, neardup, packing, pieces, quality, repeats, tokenfiles
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+FLAT_TOKENIZER, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -21,10 +22,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), PACK_TOKENIZER)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition_rules(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.count_tokens(_table(spark, sf_dir, "documents"), FLAT_TOKENIZER, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
@@ -33,12 +42,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op6_minhash_near_dedup, op7_sentencepiece, op10_license_scan)}
+    every = (
+        op1_best_fit_packing, op2_line_dedup, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
+        op9_quality_classifier, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
