@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, lines, neardup, packing, pieces, quality, repeats, tokenfiles
+from canopy.llm import licenses, lines, neardup, packing, pages, pieces, quality, repeats, tokenfiles
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 FLAT_TOKENIZER, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -42,6 +42,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing, op2_line_dedup, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
-        op9_quality_classifier, op10_license_scan,
+        op8_html_extraction, op9_quality_classifier, op10_license_scan,
     )
     return {f.__name__: f for f in every}
 
