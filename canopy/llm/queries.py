@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, lines, neardup, packing, pages, pieces, quality, repeats, tokenfiles
+from canopy.llm import licenses, lines, neardup, neighbours, packing, pages, pieces, quality, repeats, tokenfiles
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 FLAT_TOKENIZER, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -26,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition_rules(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_best_fit_packing, op2_line_dedup, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
+        op1_best_fit_packing, op2_line_dedup, op3_nearest_neighbours, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
         op8_html_extraction, op9_quality_classifier, op10_license_scan,
     )
     return {f.__name__: f for f in every}
