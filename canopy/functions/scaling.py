@@ -103,7 +103,7 @@ def clipped(values: Column) -> Column:
 
 def guarded(values: Column) -> Column:
     """Infinite values and not-a-number to null, the rest within -1..1."""
-    return F.transform(values, lambda x: F.when(F.isnan(x) | (F.abs(x) == INF), None).otherwise(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))))
+    return F.transform(values, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF), None).otherwise(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))))
 
 
 def all_finite(values: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.plans import classification, features, relational  # noqa: F401
+from canopy.plans import classification, features, relational, stats  # noqa: F401
 from canopy.plans.registry import QUERIES, SQL, Query
 
 
