@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from canopy.functions.numeric import mean_of, ratio
 
-_ALL = Window.partitionBy(F.lit(1))
+
+def _all() -> Window:
+    """All rows in one group; for tables of summaries."""
+    return Window.partitionBy(F.lit(1))
 
 
 def label_stats(df: DataFrame, tile: str, label: str, region: str, classes: list[int]) -> DataFrame:
@@ -23,7 +26,7 @@ def label_stats(df: DataFrame, tile: str, label: str, region: str, classes: list
 def deltas(both: DataFrame, columns: list[str], a: str = "_a", b: str = "_b") -> DataFrame:
     """delta_<column> = b - a, z_<column> = delta by its sample deviation over all rows (not centred), and a bucket by +-1."""
     out = both.withColumns({f"delta_{c}": F.col(c + b) - F.col(c + a) for c in columns})
-    out = out.withColumns({f"z_{c}": ratio(F.col(f"delta_{c}"), F.stddev_samp(f"delta_{c}").over(_ALL), "null") for c in columns})
+    out = out.withColumns({f"z_{c}": ratio(F.col(f"delta_{c}"), F.stddev_samp(f"delta_{c}").over(_all()), "null") for c in columns})
     bucket = lambda z: F.when(z >= 1, "improved").when(z <= -1, "degraded").when(z.isNotNull(), "stable")
     return out.withColumns({f"bucket_{c}": bucket(F.col(f"z_{c}")) for c in columns})
 
@@ -62,7 +65,7 @@ def correlation_table(df: DataFrame, targets: list[str], covariates: list[str],
 
 def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
     """Population z-scores over all rows (constant columns: 0) and their mean absolute value."""
-    z = {c: F.coalesce(ratio(F.col(c) - F.avg(c).over(_ALL), F.stddev_pop(c).over(_ALL), "null"), F.lit(0.0)) for c in columns}
+    z = {c: F.coalesce(ratio(F.col(c) - F.avg(c).over(_all()), F.stddev_pop(c).over(_all()), "null"), F.lit(0.0)) for c in columns}
     out = df.withColumns({f"z_{c}": x for c, x in z.items()})
     return out.withColumn("mean_abs_z", mean_of([F.abs(f"z_{c}") for c in columns]))
 
@@ -120,7 +123,7 @@ def against_baseline(yearly: DataFrame, year: int, columns: list[str], keys: lis
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """(row, column, n, share of the row's rows, share of all rows)."""
     n = df.groupBy(row, column).agg(F.count("*").alias("n"))
-    return n.withColumns({"row_share": ratio(F.col("n"), F.sum("n").over(Window.partitionBy(row))), "share": ratio(F.col("n"), F.sum("n").over(_ALL))})
+    return n.withColumns({"row_share": ratio(F.col("n"), F.sum("n").over(Window.partitionBy(row))), "share": ratio(F.col("n"), F.sum("n").over(_all()))})
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, values: list[str], measure: str) -> DataFrame:
@@ -137,7 +140,7 @@ def region_pixels(df: DataFrame, area: str, region: str, kinds: dict[str, Column
 def density_targets(df: DataFrame, region: str, area: str, current: str) -> DataFrame:
     """Density of each region, and how many are needed to reach the densest one; with a TOTAL row."""
     dense = df.withColumn("density", ratio(F.col(current), F.col(area)))
-    target = F.floor(F.max("density").over(_ALL) * F.col(area))
+    target = F.floor(F.max("density").over(_all()) * F.col(area))
     out = dense.withColumn("target", target).withColumn("needed", F.greatest(F.lit(0), F.col("target") - F.col(current)))
     total = out.agg(F.lit("TOTAL").alias(region), F.sum(area).alias(area), F.sum(current).alias(current), F.lit(None).cast("double").alias("density"), F.sum("target").alias("target"), F.sum("needed").alias("needed"))
     return out.select(region, area, current, "density", "target", "needed").unionByName(total)
