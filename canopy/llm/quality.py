@@ -137,7 +137,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Additive:
     """Fit on features (rows, features) and labels 0 and 1."""
     width = len(FEATURES)
     rate = float(y.mean()) if len(y) else 0.5
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         return Additive(np.log((rate + 1e-6) / (1 - rate + 1e-6)), [np.zeros(0)] * width, [np.zeros(1)] * width)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(width)]
     model = Additive(np.log(rate / (1 - rate)), cuts, [np.zeros(len(c) + 1) for c in cuts])
