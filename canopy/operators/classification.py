@@ -91,8 +91,8 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], by: list[str] = (),
 
 
 def reliability_bin(p: Column, bins: int = 10) -> Column:
-    """Bin of a probability: right-closed edges i / bins, and 0 in the first bin."""
-    edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    """Bin of a probability: right-closed edges i * (1 / bins), and 0 in the first bin."""
+    edges = F.array(*[F.lit(i * (1 / bins)) for i in range(1, bins)])
     return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(p > e, 1).otherwise(0))
 
 

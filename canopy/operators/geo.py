@@ -35,7 +35,11 @@ def effective_pixels(ring: Column) -> Column:
 def centroid(ring: Column) -> tuple[Column, Column]:
     """Centroid of a ring with an area."""
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    sums = [F.aggregate(_edges(ring), F.lit(0.0), lambda s, e, a=a: s + (e[f"{a}1"] + e[f"{a}2"]) * cross(e)) for a in "xy"]
+
+    def moment(axis: str) -> Column:
+        return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e[f"{axis}1"] + e[f"{axis}2"]) * cross(e))
+
+    sums = moment("x"), moment("y")
     return sums[0] / (6 * signed_area(ring)), sums[1] / (6 * signed_area(ring))
 
 

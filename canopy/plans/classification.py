@@ -68,7 +68,7 @@ def threshold_sweep(spark, sf_dir):
     return c.threshold_sweep(pixels(spark, sf_dir), _THRESHOLDS, ["eco_region"])
 
 
-_BIN = "list_sum([CASE WHEN prob > CAST(e AS DOUBLE) / 10 THEN 1 ELSE 0 END FOR e IN range(1, 10)])"
+_BIN = "list_sum([CASE WHEN prob > CAST(e AS DOUBLE) * CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END FOR e IN range(1, 10)])"
 _CURVE = f"""{PIXELS_SQL}, f AS (SELECT CAST({_BIN} AS INT) AS bin, count(*) AS n, avg(prob) AS confidence, avg(CASE WHEN y_true = 2 THEN 1.0 ELSE 0.0 END) AS empirical FROM pixels GROUP BY 1),
 r AS (SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT sum(n) FROM f) AS fraction, coalesce(confidence, 0) AS confidence, coalesce(empirical, 0) AS empirical, (i + 0.5) / 10 AS midpoint FROM range(10) g(i) LEFT JOIN f ON bin = i)"""
 
