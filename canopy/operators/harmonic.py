@@ -131,3 +131,39 @@ def robust_fit(df: DataFrame, window: list[str], pixel: list[str], date: str, y:
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{n} double" for n in names])
     return df.select(*keys, date, y, w).groupBy(*window).applyInPandas(run, schema)
+
+
+def feature_stack(series: DataFrame, window: list[str], pixel: list[str], date: str = "date", max_iter: int = 10, tolerance: float | None = 0.05) -> DataFrame:
+    """The 24 stored features of each pixel from its band series: (keys, date, b2, b4, b8, b11, b12, msk_cldprb).
+
+    Bands become reflectances, cloud probability a weight, bands four indices; each index of a window is fitted as a
+    group of its own, and the six measures are scaled to 16-bit integers.
+    """
+    from canopy.functions import indices as ix
+    from canopy.functions import scaling as sc
+    from canopy.schemas import BANDS, INDICES
+
+    bands = [ix.reflectance(F.col(b)) for b in BANDS]
+    found = ix.all_indices(*bands)
+    rows = F.array(*[F.struct(F.lit(i).alias("index"), found[i].alias("y")) for i in INDICES])
+    keys = [*window, *[c for c in pixel if c not in window]]
+    long = series.select(*keys, date, ix.cloud_weight(ix.reflectance(F.col("msk_cldprb"))).alias("w"), F.inline(rows))
+    fit = robust_fit(long, [*window, "index"], pixel, date, "y", "w", 2, max_iter, tolerance)
+    wanted = []
+    for i in INDICES:
+        for measure, kind in sc.KINDS.items():
+            stored = sc.scale_feature(F.col(measure), i, kind)
+            wanted.append(F.max(F.when(F.col("index") == i, stored)).alias(f"{i}_{measure}"))
+    return fit.groupBy(*keys).agg(*wanted)
+
+
+def compare_iterations(series: DataFrame, window: list[str], pixel: list[str], steps: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(max_iter, feature, total, no_data_pct, min, max, mean, std) of the stored features at several limits of iterations."""
+    from canopy.operators.qa import band_stats
+    from canopy.schemas import HARMONIC_FEATURES
+
+    out = None
+    for n in steps:
+        part = band_stats(feature_stack(series, window, pixel, max_iter=n, tolerance=None), [], HARMONIC_FEATURES).withColumn("max_iter", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    return out.select("max_iter", "feature", "total", "no_data_pct", "min", "max", "mean", "std")

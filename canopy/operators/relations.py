@@ -92,3 +92,23 @@ def positional(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     first = b.filter("i = 1").select(F.col(right_key).alias("_first"))
     out = numbered(left, left_key).join(b, "i", "left").crossJoin(F.broadcast(first))
     return out.select("i", left_key, F.coalesce(right_key, "_first").alias(right_key))
+
+
+def with_enough_pixels(tiles: DataFrame, least: float, percent: str = "perc", pixels: int = 62500) -> DataFrame:
+    """Tiles whose labelled share makes at least so many pixels."""
+    return tiles.filter(F.col(percent) / 100 * pixels >= least)
+
+
+def year_suffixed(df: DataFrame, key: str, year: int) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_{year}" for c in df.columns if c != key})
+
+
+def spreads(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Differences high - low under new names, where both columns are there."""
+    return df.withColumns({n: F.col(high) - F.col(low) for n, (high, low) in pairs.items() if high in df.columns and low in df.columns})
+
+
+def merged_metrics(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, a, b, relative): two tables of metrics side by side, with the difference relative to the first in percent."""
+    both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full_outer")
+    return both.withColumn("relative", 100 * (F.col("b") - F.col("a")) / F.nullif(F.abs("a"), F.lit(0.0)))

@@ -144,3 +144,24 @@ def density_targets(df: DataFrame, region: str, area: str, current: str) -> Data
     out = dense.withColumn("target", target).withColumn("needed", F.greatest(F.lit(0), F.col("target") - F.col(current)))
     total = out.agg(F.lit("TOTAL").alias(region), F.sum(area).alias(area), F.sum(current).alias(current), F.lit(None).cast("double").alias("density"), F.sum("target").alias("target"), F.sum("needed").alias("needed"))
     return out.select(region, area, current, "density", "target", "needed").unionByName(total)
+
+
+def skip_reasons(df: DataFrame, reasons: str = "reasons") -> DataFrame:
+    """(reason, n) of lists of texts "reason: detail"."""
+    reason = F.trim(F.split("r", ":", 2)[0])
+    return df.select(F.explode(reasons).alias("r")).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def species_by_habit(df: DataFrame, area: str, species: str, habit: str, n: int = 10) -> DataFrame:
+    """(species, habit, pixels) of the n species with the largest area (a top-k report)."""
+    largest = df.groupBy(species).agg(F.sum(area).alias("_a")).orderBy(F.col("_a").desc(), species).limit(n).select(species)
+    return df.join(largest, species, "left_semi").groupBy(species, habit).agg((F.sum(area) / 100).alias("pixels"))
+
+
+def stretched(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """``df`` with <column>_stretched: positive values between two percentiles, as 0..1."""
+    limits = df.agg(F.percentile(F.when(F.col(column) > 0, F.col(column)), F.array(F.lit(low), F.lit(high))).alias("_q"))
+    width = F.col("_q")[1] - F.col("_q")[0]
+    out = df.crossJoin(F.broadcast(limits))  # one row
+    scaled = F.least(F.greatest(ratio(F.col(column) - F.col("_q")[0], width), F.lit(0.0)), F.lit(1.0))
+    return out.withColumn(f"{column}_stretched", scaled).drop("_q")

@@ -52,6 +52,28 @@ def harmonic_irls_fit(spark, sf_dir):
     return rounded(hm.robust_fit(df, ["tile_id"], ["pixel"], "date", "y", "w"))
 
 
+def _bands(spark, sf_dir):
+    """Twelve months of bands for the pixels of a small window, one window for each nation."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile_id"))
+    at = n.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row")).select("tile_id", "row", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
+    k = F.col("tile_id") * 7 + F.col("row") * 3 + F.col("col")
+    wave = F.cos(F.col("m") * 0.5236 + k * 0.1)
+    dn = {"b2": 6500 + 800 * wave, "b4": 8700 + 1500 * wave, "b8": 52000 - 9000 * wave, "b11": 32000 + k * 10, "b12": 17000 + 2000 * wave, "msk_cldprb": F.col("m") * 150}
+    return at.select("tile_id", "row", "col", F.make_date(F.lit(2023), "m", F.lit(15)).alias("date"), *[c.cast("int").alias(b) for b, c in dn.items()])
+
+
+@query()
+def harmonic_feature_stack(spark, sf_dir):
+    """The 24 stored features of each pixel, from bands to integers."""
+    return hm.feature_stack(_bands(spark, sf_dir), ["tile_id"], ["row", "col"])
+
+
+@query()
+def irls_iterations(spark, sf_dir):
+    """Stored features at 1, 5 and 10 iterations."""
+    return rounded(hm.compare_iterations(_bands(spark, sf_dir).filter("tile_id < 5"), ["tile_id"], ["row", "col"]), 3)
+
+
 def _tiled(spark, sf_dir):
     """Cells in tiles of 25 x 25."""
     g = grid(spark, sf_dir)

@@ -166,3 +166,41 @@ def coherence_summary(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("eco_region"), (F.col("o_orderkey") % 100).cast("double").alias("edge"), F.col("o_totalprice").alias("patch"), (F.col("o_custkey") % 10).cast("double").alias("area"))
     wanted = [f.alias(n) for m in ("edge", "patch") for n, f in ((f"{m}_mean", F.avg(m)), (f"{m}_median", F.percentile(m, F.lit(0.5))))]
     return rounded(c.national_and_regional(o, "eco_region", [*wanted, F.sum("area").alias("area")]))
+
+
+@query("""SELECT trim(split_part(r, ':', 1)) AS reason, count(*) AS n FROM (SELECT unnest([p_type || ' : ' || p_partkey, p_brand || ': x']) AS r FROM part WHERE p_size < 5) GROUP BY 1""")
+def skip_reasons(spark, sf_dir):
+    """How often each reason occurs in lists of reasons."""
+    part = table(spark, sf_dir, "part").filter("p_size < 5")
+    lists = part.select(F.array(F.concat("p_type", F.lit(" : "), F.col("p_partkey")), F.concat("p_brand", F.lit(": x"))).alias("reasons"))
+    return st.skip_reasons(lists)
+
+
+@query("""WITH t AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand LIMIT 10) SELECT p_brand, p_type, round(sum(p_retailprice) / 100, 4) AS pixels FROM part WHERE p_brand IN (SELECT p_brand FROM t) GROUP BY 1, 2""")
+def species_by_habit(spark, sf_dir):
+    """Pixels by habit of the ten largest species (a top-k report)."""
+    return rounded(st.species_by_habit(table(spark, sf_dir, "part"), "p_retailprice", "p_brand", "p_type"), 4)
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.02) AS a, quantile_cont(o_totalprice, 0.98) AS b FROM orders WHERE o_totalprice > 0) SELECT o_orderkey, round(least(greatest((o_totalprice - a) / (b - a), 0), 1), 6) AS stretched FROM orders CROSS JOIN q""")
+def percentile_stretch(spark, sf_dir):
+    """Values between their 2nd and 98th percentile as 0..1."""
+    return rounded(st.stretched(table(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", F.col("o_totalprice_stretched").alias("stretched")))
+
+
+@query("""WITH a AS (SELECT n_name AS k, avg(c_acctbal) AS a FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 20 GROUP BY 1), b AS (SELECT n_name AS k, avg(s_acctbal) AS b FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_nationkey > 3 GROUP BY 1)
+SELECT k, round(a, 6) AS a, round(b, 6) AS b, round(100 * (b - a) / nullif(abs(a), 0), 6) AS relative FROM a FULL JOIN b USING (k)""")
+def merged_metrics(spark, sf_dir):
+    """Two tables of metrics side by side."""
+    nation = table(spark, sf_dir, "nation")
+    a = table(spark, sf_dir, "customer").join(F.broadcast(nation.filter("n_nationkey < 20")), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("k")).agg(F.avg("c_acctbal").alias("v"))
+    b = table(spark, sf_dir, "supplier").join(F.broadcast(nation.filter("n_nationkey > 3")), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("k")).agg(F.avg("s_acctbal").alias("v"))
+    return rounded(rel.merged_metrics(a, b, "k", "v"))
+
+
+@query("""SELECT s_suppkey AS tile_id, s_acctbal / 100 AS perc, s_acctbal AS high_2021, s_acctbal / 2 AS low_2021, s_acctbal - s_acctbal / 2 AS range FROM supplier WHERE s_acctbal / 100 / 100 * 62500 >= 30000""")
+def tile_covariates(spark, sf_dir):
+    """Tiles with enough labelled pixels, their yearly columns, and a derived range."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile_id"), (F.col("s_acctbal") / 100).alias("perc"), F.col("s_acctbal").alias("high"), (F.col("s_acctbal") / 2).alias("low"))
+    yearly = rel.year_suffixed(s.drop("perc"), "tile_id", 2021)
+    return rel.spreads(rel.with_enough_pixels(s.select("tile_id", "perc"), 30000).join(yearly, "tile_id"), {"range": ("high_2021", "low_2021")})
