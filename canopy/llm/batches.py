@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows go to Python in batches of so many bytes, as texts may be long (one row at least).
+BATCH_BYTES = 8 << 20
 #: Python objects of so many characters of text are alive at a time (one document at least).
 SLICE_CHARS = 1_000_000
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives the memory that it freed back to the system, as it lives on for later tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may not have it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts (null: empty) of a few documents at a time; columns 0 and 1."""
     for batch in batches:
@@ -30,7 +54,7 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, so that the scan reads no more."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 class Encoded:
@@ -39,9 +63,13 @@ class Encoded:
     At most ``entries`` chunks are kept; when there are more, they are forgotten and encoded anew.
     """
 
-    def __init__(self, encode: Callable[[list], list[bytes]], entries: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list], list[bytes]], entries: int = 300_000) -> None:
         self.encode, self.entries, self.kept = encode, entries, {}
 
+    def forget(self) -> None:
+        """Give the memory back: workers live on after a task."""
+        self.kept = {}
+
     def join(self, chunks_of: list[list]) -> list[bytes]:
         """The ids of each list of chunks."""
         new = set().union(*chunks_of).difference(self.kept)

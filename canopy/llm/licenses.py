@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from canopy.llm.batches import id_and_text, tidy
+
 # Phrases of the base count and their labels.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -188,8 +190,6 @@ def license_scan(
 ) -> DataFrame:
     """Base places, labels and matched stretches of each document; score: 1 with an accepted template,
     0.5 with base phrases alone, else 0."""
-    import pyspark.sql.functions as F
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [(p.encode().split(), label) for p, label in base_phrases.items()]
         automata = [Automaton(label, t) for label, t in templates]
@@ -204,5 +204,4 @@ def license_scan(
             )
 
     MATCHES = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)

@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.batches import bounded_batches, tidy
 from canopy.llm.store import drop, save
 
 GRAM_WORDS, RUN_WORDS = 25, 50
 #: Deletions of so many documents may be broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _DOC = "struct<none:boolean,id:long,digest:long>"
 _hash = xxhash.xxh3_64_intdigest
@@ -92,7 +93,7 @@ def equal_runs(later: np.ndarray, earlier: np.ndarray, shift: int, words: np.nda
 def _with_doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` and the identity of each, whose order is that of the documents."""
     id_ = F.col(id_col).cast("long")
-    return docs.withColumn(
+    return bounded_batches(docs).withColumn(
         "__doc", F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"))
     )
 
@@ -116,7 +117,7 @@ def _hashed(docs: DataFrame, text_col: str, gram_words: int, run_words: int) ->
             )
 
     schema = f"doc {_DOC}, hashes array<long>, words array<long>, prints array<struct<at:long,gram:long,windows:array<struct<begin:long,end:long,key:long>>>>"
-    return docs.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _extended(places: DataFrame, lines: DataFrame, run_words: int, name: str) -> DataFrame:
@@ -141,7 +142,7 @@ def _extended(places: DataFrame, lines: DataFrame, run_words: int, name: str) ->
         pairs.join(lines.select("doc", "hashes", "words"), "doc")
         .join(lines.select(F.col("doc").alias("other"), F.col("hashes").alias("earlier")), "other")
         .select("doc", "shift", "hashes", "words", "earlier")
-        .mapInArrow(run, f"doc {_DOC}, runs array<long>")
+        .mapInArrow(tidy(run), f"doc {_DOC}, runs array<long>")
     )
     return save(matched.filter("size(runs) > 0").groupBy("doc").agg(F.flatten(F.collect_set("runs")).alias("runs")), name)
 

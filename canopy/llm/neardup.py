@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import id_and_text, slices
+from canopy.llm.batches import id_and_text, slices, tidy
 from canopy.llm.store import drop, save
 
 ROWS, MISS = 4, 1e-6
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, words_each: int, bands: int) -> DataFrame:
                 names=["doc_id", "n", "h1", "h2", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -140,7 +140,7 @@ def full_sets(docs: DataFrame, words_each: int) -> DataFrame:
             sets = shingle_sets(texts, words_each)
             yield pa.RecordBatch.from_arrays([*_digests(sets), _long_lists(sets)], names=["n", "h1", "h2", "shingles"])
 
-    return docs.mapInArrow(run, "n long, h1 long, h2 long, shingles array<long>")
+    return docs.mapInArrow(tidy(run), "n long, h1 long, h2 long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(
     right = full.groupBy("key", "block").agg(F.collect_list("x").alias("right"))
     left = full.filter("x.component <> main").groupBy("key", "block").agg(F.collect_list("x").alias("left"))
     more = save(
-        left.join(right.withColumnRenamed("block", "other"), "key").select("left", "right").mapInArrow(_compare(percent), "a long, b long"), "links"
+        left.join(right.withColumnRenamed("block", "other"), "key").select("left", "right").mapInArrow(tidy(_compare(percent)), "a long, b long"), "links"
     )
     label = components(links.union(more)) if more.limit(1).count() else first
 

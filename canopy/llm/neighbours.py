@@ -25,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.llm.batches import bounded_batches, tidy
 from canopy.llm.store import drop, save
 
-DEGREE, TREES, LEAF, ROUNDS = 16, 6, 256, 3
-BEAM, GROUP, MAX_STEPS = 64, 64, 30
+DEGREE, TREES, LEAF, ROUNDS = 32, 8, 256, 3
+BEAM, GROUP, MAX_STEPS = 128, 128, 30
 
 _EDGE = "node long, other long, sim float, fresh boolean"
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, node, vector) of the rows that take part; node names the vector."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and vector is not null")
+    rows = bounded_batches(table).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and vector is not null")
     v = F.col("vector")
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     return rows.select("vec_id", F.xxhash64("vector").alias("node"), "vector")
@@ -147,9 +148,9 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES,
     n = nodes.count()
     bits = max(0, (n // leaf).bit_length())
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lined = nodes.mapInArrow(_signs(trees, bits), "tree int, dim int, code long, at float, node long, vector array<float>")
+    lined = nodes.mapInArrow(tidy(_signs(trees, bits)), "tree int, dim int, code long, at float, node long, vector array<float>")
     lined = lined.repartitionByRange(max(1, min(tasks, n * trees // (4 * leaf))), "tree", "dim", "code", "at").sortWithinPartitions("tree", "dim", "code", "at")
-    graph = save(_nearest(lined.mapInArrow(_leaves(degree, leaf), _EDGE), degree), "graph")
+    graph = save(_nearest(lined.mapInArrow(tidy(_leaves(degree, leaf)), _EDGE), degree), "graph")
     for _ in range(rounds):
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         both = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh").union(graph.select(F.col("other").alias("centre"), "node", "fresh"))
@@ -160,7 +161,7 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES,
             .groupBy("centre", "part")
             .agg(F.collect_list(F.struct("node", "worst", "fresh", "vector")).alias("members"))
             .select("members")
-            .mapInArrow(_meet, _EDGE)
+            .mapInArrow(tidy(_meet), _EDGE)
         )
         after = save(_nearest(graph.withColumn("fresh", F.lit(False)).union(met), degree), "graph")
         drop(graph)
@@ -192,7 +193,7 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
         pairs.join(nodes, "node")
         .join(own, "query")
         .select("query", "node", "left", F.col("vector").alias("right"))
-        .mapInArrow(run, "query long, node long, score double")
+        .mapInArrow(tidy(run), "query long, node long, score double")
         .filter("score >= -1.5")
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import SLICE_CHARS, id_and_text, slices
+from canopy.llm.batches import SLICE_CHARS, id_and_text, slices, tidy
 from canopy.llm.store import save
 from canopy.llm.words import WordEncoder
 
@@ -58,7 +58,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
-        for ids, texts in slices(batches, 4 * SLICE_CHARS):
+        for ids, texts in slices(batches, 2 * SLICE_CHARS):
             rows = []
             for doc_id, b in zip(ids, encoder.encode(texts), strict=True):
                 b += end
@@ -67,8 +67,9 @@ def token_pieces(
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *[np.frombuffer(part, "<u4").tolist()] * with_ids))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+        encoder.words.forget()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 class Bins:
@@ -251,11 +252,11 @@ def pack_items(
                 to = F.explode(F.array("island", ((F.col("island") + 1) % islands).cast("int"))).alias("island")
                 island = island.select("block", to, "uids", "lengths", F.col("elites")[0].alias("elite"))
                 island = island.groupBy("block", "island").agg(F.first("uids").alias("uids"), F.first("lengths").alias("lengths"), F.sort_array(F.collect_set("elite")).alias("elites"))
-            island = island.repartition(spread, "block", "island").mapInArrow(_islands(capacity, 100 * level + k), _BLOCK)
+            island = island.repartition(spread, "block", "island").mapInArrow(tidy(_islands(capacity, 100 * level + k)), _BLOCK)
         elite = F.col("elites")[0]
         best = island.groupBy("block").agg(F.min_by(F.struct("uids", "lengths", elite.alias("elite")), F.struct(F.array_max(elite), "island")).alias("x"))
         placed = save(
-            best.select("block", "x.*").mapInArrow(_placed(capacity, level), "uid long, sequence_id long, offset long, length long, fill long"),
+            best.select("block", "x.*").mapInArrow(tidy(_placed(capacity, level)), "uid long, sequence_id long, offset long, length long, fill long"),
             "packed",
         )
         if blocks == 1:

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.batches import bounded_batches, tidy
 from canopy.llm.store import save
 
 MIN_PAGES, PROSE_SHARE = 5, 0.5
@@ -205,7 +206,7 @@ def _counted(pages: DataFrame) -> DataFrame:
                 [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), longs, longs))], names=["host", "page", "containers", "prose"]
             )
 
-    return pages.select("url", "html").mapInArrow(run, "host string, page long, containers array<long>, prose array<long>")
+    return pages.select("url", "html").mapInArrow(tidy(run), "host string, page long, containers array<long>, prose array<long>")
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, prose_share: float = PROSE_SHARE) -> DataFrame:
@@ -223,7 +224,7 @@ def extract_text(
     pages: DataFrame, min_pages: int = MIN_PAGES, prose_share: float = PROSE_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    pages = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     templates = site_templates(pages, min_pages, prose_share)
     spark, known = pages.sparkSession, None
     if templates.count() <= BROADCAST_ROWS:
@@ -235,7 +236,7 @@ def extract_text(
     else:  # too many for every task: each page gets its own
         kinds = "page_id long, url string, digest long, host string, hashes array<long>"
         key = pages.withColumn("digest", F.xxhash64("html"))
-        own = key.mapInArrow(_own_hashes, kinds).select("page_id", "url", "digest", "host", F.explode("hashes").alias("hash"))
+        own = key.mapInArrow(tidy(_own_hashes), kinds).select("page_id", "url", "digest", "host", F.explode("hashes").alias("hash"))
         gone = own.join(templates, ["host", "hash"]).groupBy("page_id", "url", "digest").agg(F.collect_set("hash").alias("gone"))
         same = [key[c].eqNullSafe(gone[c]) for c in ("page_id", "url", "digest")]
         read = key.join(gone, same[0] & same[1] & same[2], "left").select(key["page_id"], key["url"], "html", "gone")
@@ -253,7 +254,7 @@ def extract_text(
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return read.select("page_id", "url", "html", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return read.select("page_id", "url", "html", "gone").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopy.llm.batches import Encoded, id_and_text, slices
+from canopy.llm.batches import Encoded, id_and_text, slices, tidy
 
 SPACE = "▁"
 #: In front of a chunk that has no space mark.
@@ -204,8 +204,9 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 [pa.array(ids, pa.int64()), *(pa.array([r[k] for r in rows], long) for k in range(3))],
                 names=["doc_id", "ids", "begins", "ends"],
             )
+        m.cache.forget()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<long>, begins array<long>, ends array<long>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<long>, begins array<long>, ends array<long>")
 
 
 def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +228,8 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"],
             )
+        m.cache.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import id_and_text, slices
+from canopy.llm.batches import id_and_text, slices, tidy
 from canopy.llm.store import save
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, LEAVES = 20_000, 32, 60, 6, 30, 0.2, 4
@@ -65,7 +65,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             values = pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), values], names=["doc_id", "features"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, features array<double>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, features array<double>")
 
 
 @dataclass
@@ -191,7 +191,7 @@ def scores(features: DataFrame, model: Additive, threshold: float = THRESHOLD) -
             score = model.score(flat.reshape(batch.num_rows, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
+    scored = features.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

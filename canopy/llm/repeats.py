@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from canopy.llm.batches import id_and_text, tidy
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.3, 200
@@ -164,5 +165,4 @@ def repetition_rules(
                 yield flush(ids, texts)
 
     NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)

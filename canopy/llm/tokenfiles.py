@@ -25,8 +25,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import id_and_text, slices
-from canopy.llm.store import new_path, save
+from canopy.llm.batches import id_and_text, slices, tidy
+from canopy.llm.store import drop, drop_path, new_path, save
 
 FILE_TOKENS, BLOCK_TOKENS = 32_000_000, 2_000_000
 
@@ -86,8 +86,10 @@ def write_token_files(
         if out is not None:
             yield close()
 
-    written = id_and_text(docs, id_col, text_col).mapInArrow(run, "file string, bytes long, ordinal long, doc_id long")
-    return save(written, "token-order")
+    written = id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "file string, bytes long, ordinal long, doc_id long")
+    order = save(written, "token-order")
+    order._token_folder = folder
+    return order
 
 
 def scan_token_files(files: DataFrame, separator: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -111,7 +113,7 @@ def scan_token_files(files: DataFrame, separator: int, dtype: str = "<u2", block
                     names=["file", "at", "total", "ends"],
                 )
 
-    found = blocks.repartition(tasks, "file", "at").mapInArrow(run, "file string, at long, total long, ends array<long>")
+    found = blocks.repartition(tasks, "file", "at").mapInArrow(tidy(run), "file string, at long, total long, ends array<long>")
     # the prefix scan: one row a block
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
@@ -141,7 +143,12 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of every document, read back from flat files."""
+    """(doc_id, n_tokens) of every document, read back from flat files, which are deleted when they are counted."""
     order = write_token_files(docs, tokenizer, pattern, separator, "<u2", id_col, text_col)
     files = order.select("file", "bytes").distinct()
-    return order.select("file", "ordinal", "doc_id").join(scan_token_files(files, separator), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # a merge join: the rows of a block are estimated as one, so they must not be broadcast on that estimate
+    counts = order.select("file", "ordinal", "doc_id").join(scan_token_files(files, separator).hint("merge"), ["file", "ordinal"])
+    counted = save(counts.select("doc_id", "n_tokens"), "token-counts")
+    drop_path(docs.sparkSession, order._token_folder)
+    drop(order)
+    return counted

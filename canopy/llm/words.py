@@ -11,6 +11,7 @@ import json
 import os
 import re
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -103,10 +104,7 @@ class WordEncoder:
     """The tokenizer of a file, opened once per Python worker."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
@@ -116,6 +114,14 @@ class WordEncoder:
         self.simple = re.compile(f"[\\x00-{chr(SIMPLE_END - 1)}]*").fullmatch
         self.words = Encoded(lambda words: self.merges.encode([w.encode() for w in words]))
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer; only odd texts need it, so most workers never load it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words, own = [], {}
