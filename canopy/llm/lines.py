@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -194,17 +193,20 @@ def dedup_lines(
     for x in (lines, deleted, more):
         drop(x)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([t if g is None else _without(t, list(g)) for t, g in zip(texts, gone, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else _without(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)), pa.string())
 
+    cut = cut.asNondeterministic()  # so that a filter on the texts doesn't cut them once more
     small = runs.count() <= BROADCAST_ROWS
     found = runs.select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
     out = known.join(F.broadcast(found) if small else found, "__doc", "left")
     gone = F.flatten(F.transform(_begins("__runs"), lambda i: F.sequence(F.col("__runs")[i], F.col("__runs")[i + 1] - 1)))
-    count = F.when(F.col("__runs").isNotNull(), F.size(F.array_distinct(gone)))
+    changed = F.col("__runs").isNotNull()  # the texts of others don't go to Python
+    count = F.when(changed, F.size(F.array_distinct(gone)))
     return (
-        out.withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(cut(text_col, "__runs")))
+        out.withColumn("__cut", cut(F.when(changed, F.col(text_col).cast("string")), "__runs"))
+        .withColumn(text_col, F.when(changed, F.col("__cut")).otherwise(F.col(text_col)))
         .withColumn("n_deleted", F.coalesce(count, F.lit(0)).cast("long"))
-        .drop("__doc", "__runs")
+        .drop("__doc", "__runs", "__cut")
     )
