@@ -22,13 +22,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker gives the memory that it freed back to the system, as it lives on for later tasks."""
+    """``run``, after which the worker gives the memory that it freed back to the system, as it lives on for later tasks.
+
+    Arrow takes its memory from the C library, which can be told to give it back.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may not have it
             if trim:
                 trim(0)
