@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import id_and_text, slices, tidy
+from canopy.llm.batches import bounded_batches, slices, tidy
 from canopy.llm.store import save
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, LEAVES = 20_000, 32, 60, 6, 30, 0.2, 4
@@ -57,15 +57,20 @@ def features_of(text: str) -> list[float]:
     ]
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, features) of each document."""
+def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, features[, row]) of each document; row: the column ``row_col``, by which rows of one id are told apart."""
+    more = [F.col(row_col).cast("long").alias("row")] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
+        for keys, texts in slices(batches):
             values = pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), values], names=["doc_id", "features"])
+            ids, *rows = (pa.array([k[name] for k in keys], pa.int64()) for name in names)
+            yield pa.RecordBatch.from_arrays([ids, values, *rows], names=["doc_id", "features", *names[1:]])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, features array<double>")
+    names = ["doc_id", *["row"] * len(more)]
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), *more).alias("key")
+    read = bounded_batches(docs).select(key, F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(tidy(run), "doc_id long, features array<double>" + ", row long" * len(more))
 
 
 @dataclass
@@ -183,19 +188,24 @@ def fit(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additiv
 
 
 def scores(features: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of features."""
+    """(doc_id, held_out, score, predicted[, row]) of each row of features."""
+    more = [c for c in features.columns if c == "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             score = model.score(flat.reshape(batch.num_rows, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            rows = [batch.column(2 + k) for k in range(len(more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *rows], names=["doc_id", "score", *more])
 
-    scored = features.mapInArrow(tidy(run), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = features.mapInArrow(tidy(run), "doc_id long, score double" + ", row long" * len(more))
+    held_out = F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the labelled documents and score all of them."""
-    features = save(text_features(docs, id_col, text_col), "features")
-    return scores(features, fit(features, labels, sample), threshold)
+def classify(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """Train on the labelled documents and score all of them; with ``row_col``, each score has the row it belongs to."""
+    features = save(text_features(docs, id_col, text_col, row_col), "features")
+    return scores(features, fit(features.drop("row"), labels, sample), threshold)

@@ -4,6 +4,10 @@ Each stage takes all that the stage before it kept; what it decides takes effect
 Quality classifier: documents that it rejects go.  Quality rules: documents that they reject go.  Line dedup:
 later repeated runs of lines go, and documents of which nothing is left.  Near-dedup: of each component the
 document with the smallest id stays (five-word shingles, similarity 0.8).  Packing: every piece gets its place.
+
+A verdict holds for its row alone, whatever other rows have its id: stages that reject rows write a number to each
+at their start and reject by it.  Rows without an id are judged as all others; in near-dedup they come after those
+with one, and of rows that share an id the one with the smallest number comes first.
 """
 
 from __future__ import annotations
@@ -16,24 +20,32 @@ from canopy.llm.queries import PACK_TOKENIZER
 from canopy.llm.store import save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids up to this count may be broadcast (8 bytes each); more are joined by a shuffle.
+ROW = "__row"
+#: Row numbers up to this count may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def _only(docs: DataFrame, kept: DataFrame, name: str) -> DataFrame:
-    """The documents that a stage keeps; it rejects few, so those are what is joined."""
-    ids = save(kept.filter("not kept").select("doc_id").distinct(), name)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a written number of each row."""
+    return save(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose number isn't among ``rejected``; a stage rejects few, so those are what is joined."""
+    gone = save(rejected.select(F.col("row").alias(ROW)), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scored.withColumn("kept", F.col("predicted") == 1), "rejected")
+    rows = _numbered(docs)
+    scored = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
+    return _without(rows, scored.filter("predicted <> 1"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, repeats.repetition_rules(docs), "rejected")
+    rows = _numbered(docs)
+    return _without(rows, repeats.repetition_rules(rows, id_col=ROW).filter("not kept").select(F.col("doc_id").alias("row")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +55,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, neardup.near_duplicates(docs), "rejected")
+    rows = _numbered(docs)
+    found = neardup.near_duplicates(rows, id_col=ROW)
+    later = found.filter("not kept").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
+    member = save(later.union(later.select("component", "component").distinct()), "members")  # of components of several rows
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    stays = rows.select(ROW, "doc_id").join(member, ROW).groupBy("component").agg(F.min_by(ROW, order).alias(ROW))
+    return _without(rows, member.join(stays, ROW, "left_anti").select(F.col(ROW).alias("row")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,31 @@ def test_every_stage_against_brute_force(spark):
     assert max(fill.values()) <= 4096 and len(fill) <= math.ceil(sum(fill.values()) / 4096) + 2
 
 
+def _frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_verdicts_hold_for_rows(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in source.collect()]
+    free = max(i for i, _ in rows) + 1  # an id without a label
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.quality_rules):
+        good = {r.text or "" for r in stage(spark, source, SF).collect()}
+        texts = sorted({t for _, t in rows})
+        assert good and len(good) < len(texts)
+        for id_ in (None, free):  # all texts once more without an id, or under one id
+            out = stage(spark, _frame(spark, [*rows, *((id_, t) for t in texts)]), SF).collect()
+            assert sorted(r.text for r in out if r.doc_id == id_) == sorted(good)
+
+
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    rows = [(7, a), (7, a), (7, b), (3, near), (None, b), (None, c), (None, c), (None, ""), (None, ""), (9, "")]
+    out = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, _frame(spark, rows).repartition(3), SF).collect()))
+    assert out == sorted([(3, near), (7, b), (0, c), (0, ""), (0, ""), (9, "")])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
