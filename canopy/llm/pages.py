@@ -1,9 +1,10 @@
 """Main text of web pages, without what a site's template repeats.
 
-Each page is parsed into a tree, and every container subtree is hashed (tag, class, texts and child hashes).
+Each page is parsed into a tree, and its subtrees are hashed (tag, class, texts and child hashes).
 Spark counts, per host, on how many different pages a subtree stands; copies of one page count once.  Subtrees
 that recur on ``min_pages`` pages are template and are deleted; plain paragraphs outside the article must also
-recur on half of the host's pages, and paragraphs of an article are never counted, as articles share passages.
+recur on half of the host's pages.  Nothing inside an article or main element is counted, as articles share
+passages, tables and lists.
 Elements that are boilerplate by their own tag, role or class (menus, forms, adverts, comments and so on) go
 too.  What is left of the article (or the main element, or else the body) is the text: character references
 are decoded, white space in a block becomes one space, blocks are joined in page order by one space.
@@ -163,7 +164,7 @@ def text_of(mains: list[Node], gone: set[int], templates: frozenset[int] | set[i
 
 
 def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
-    """Hashes of container subtrees, and of plain paragraphs outside an article."""
+    """Hashes of container subtrees and of plain paragraphs, both outside an article or main element."""
     containers, prose = set(), set()
     holds: set[int] = set()  # what the main text stands in
     for main in mains:
@@ -171,15 +172,15 @@ def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
         while up is not None:
             holds.add(id(up))
             up = up.parent
-    inside: set[int] = {id(m) for m in mains if m.tag in ("article", "main")}
+    inside: set[int] = {id(m) for m in mains if m.tag in ("article", "main") or m.attributes.get("role") == "main"}
     for node in nodes[1:]:
         if id(node.parent) in inside:
             inside.add(id(node))
-        if id(node) in holds or node.tag in INLINE or node.tag in VOID or node.tag in RAW or node.tag in KEEP or not node.parts:
+        if id(node) in holds or id(node) in inside or node.tag in INLINE or node.tag in VOID or node.tag in RAW or node.tag in KEEP or not node.parts:
             continue
         if node.tag not in PROSE:
             containers.add(node.hash)
-        elif id(node) not in inside and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
+        elif node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
             prose.add(node.hash)
     return containers, prose
 

@@ -177,6 +177,14 @@ def test_pages(spark):
     assert sorted(map(key, again)) == sorted(map(key, out))
 
 
+def test_articles_keep_what_they_share(spark):
+    shared = "<table class='t'><tr><td>a<td>b</table><div><p>Shared passage</p></div><ul><li>one<li>two</ul>"
+    kinds = {"h1": "<article>{}</article>", "h2": "<main>{}</main>", "h3": "<div role='main'>{}</div>"}
+    rows = [(k, f"http://{h}/{k}", f"<body><div>top</div>{x.format(f'<p>Own {k}</p>{shared}')}</body>") for h, x in kinds.items() for k in range(6)]
+    out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 18 and all(r.text == f"Own {r.page_id} a b Shared passage one two" for r in out)
+
+
 def test_quality_classifier_learns_and_leaves_out_folds(spark, docs):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80))
