@@ -145,8 +145,8 @@ def main_nodes(nodes: list[Node]) -> tuple[list[Node], set[int]]:
     return nodes[:1], gone
 
 
-def text_of(mains: list[Node], gone: set[int], templates: frozenset[int] | set[int]) -> str:
-    """Blocks of the main elements joined by one space."""
+def text_of(mains: list[Node], gone: set[int]) -> str:
+    """Blocks of the main elements joined by one space, without the nodes that are gone."""
     raw: list[str] = []
     stack: list = list(reversed(mains))
     while stack:
@@ -155,7 +155,7 @@ def text_of(mains: list[Node], gone: set[int], templates: frozenset[int] | set[i
             raw.append(x)
         elif x is None:
             raw.append("\n")
-        elif id(x) not in gone and not (x.hash in templates and x.tag not in KEEP):
+        elif id(x) not in gone:
             if x.tag not in INLINE:  # a block begins and ends
                 raw.append("\n")
                 stack.append(None)
@@ -163,9 +163,9 @@ def text_of(mains: list[Node], gone: set[int], templates: frozenset[int] | set[i
     return " ".join(markup.unescape("".join(raw)).split())
 
 
-def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
-    """Hashes of container subtrees and of plain paragraphs, both outside an article or main element."""
-    containers, prose = set(), set()
+def deletable(nodes: list[Node], mains: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Containers and plain paragraphs outside an article or main element: what is counted, and all that a template may delete."""
+    containers, prose = [], []
     holds: set[int] = set()  # what the main text stands in
     for main in mains:
         up = main
@@ -179,12 +179,18 @@ def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
         if id(node) in holds or id(node) in inside or node.tag in INLINE or node.tag in VOID or node.tag in RAW or node.tag in KEEP or not node.parts:
             continue
         if node.tag not in PROSE:
-            containers.add(node.hash)
+            containers.append(node)
         elif node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-            prose.add(node.hash)
+            prose.append(node)
     return containers, prose
 
 
+def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
+    """Hashes of the deletable containers and paragraphs."""
+    containers, prose = deletable(nodes, mains)
+    return {n.hash for n in containers}, {n.hash for n in prose}
+
+
 def host_of(url: str | None) -> str:
     found = _HOST.match((url or "").lower())
     return found[1] if found else ""
@@ -200,7 +206,7 @@ def _counted(pages: DataFrame) -> DataFrame:
                 nodes = parse(batch.column(1)[k].as_py() or "")
                 mains, gone = main_nodes(nodes)
                 containers, prose = subtrees(nodes, mains)
-                page = xxhash.xxh3_64_intdigest(text_of(mains, gone, frozenset())) - (1 << 63)
+                page = xxhash.xxh3_64_intdigest(text_of(mains, gone)) - (1 << 63)
                 rows.append((host_of(batch.column(0)[k].as_py()), page, sorted(containers), sorted(prose)))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -249,7 +255,10 @@ def extract_text(
                 own = batch.column(3)[k].as_py()
                 templates = set(own or ()) if known is None else known.value.get(host_of(batch.column(1)[k].as_py()), frozenset())
                 nodes = parse(batch.column(2)[k].as_py() or "")
-                texts.append(text_of(*main_nodes(nodes), templates))
+                mains, gone = main_nodes(nodes)
+                if templates:
+                    gone |= {id(n) for kind in deletable(nodes, mains) for n in kind if n.hash in templates}
+                texts.append(text_of(mains, gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

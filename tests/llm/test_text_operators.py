@@ -185,6 +185,16 @@ def test_articles_keep_what_they_share(spark):
     assert len(out) == 18 and all(r.text == f"Own {r.page_id} a b Shared passage one two" for r in out)
 
 
+@pytest.mark.parametrize("limit", [0, pages.BROADCAST_ROWS])
+def test_templates_delete_only_what_is_counted(spark, monkeypatch, limit):
+    monkeypatch.setattr(pages, "BROADCAST_ROWS", limit)
+    again = "<p>Said twice</p><div><p>Boxed</p></div>"
+    rows = [(k, f"http://h/{k}", f"<body><h1>Page {k}</h1>{again}</body>") for k in range(8)]
+    rows.append((8, "http://h/8", f"<body><article>Own {again}</article></body>"))
+    out = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {**{k: f"Page {k}" for k in range(8)}, 8: "Own Said twice Boxed"}
+
+
 def test_quality_classifier_learns_and_leaves_out_folds(spark, docs):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80))
