@@ -53,25 +53,25 @@ def harmonic_irls_fit(spark, sf_dir):
 
 
 def _bands(spark, sf_dir):
-    """Twelve months of bands for the pixels of a small window, one window for each nation."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile_id"))
-    at = n.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row")).select("tile_id", "row", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
-    k = F.col("tile_id") * 7 + F.col("row") * 3 + F.col("col")
-    wave = F.cos(F.col("m") * 0.5236 + k * 0.1)
-    dn = {"b2": 6500 + 800 * wave, "b4": 8700 + 1500 * wave, "b8": 52000 - 9000 * wave, "b11": 32000 + k * 10, "b12": 17000 + 2000 * wave, "msk_cldprb": F.col("m") * 150}
-    return at.select("tile_id", "row", "col", F.make_date(F.lit(2023), "m", F.lit(15)).alias("date"), *[c.cast("int").alias(b) for b, c in dn.items()])
+    """Bands of 16 pixels in each tile, from all lines of orders; the lines of one pixel and date are one value, so a window is bounded by the dates."""
+    lines, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    df = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    dn = {"b2": F.col("p_size") * 30, "b4": F.col("p_retailprice") / 3, "b8": F.col("l_quantity") * 60, "b11": F.col("l_extendedprice") / 40, "b12": F.col("o_totalprice") / 300, "msk_cldprb": F.col("l_tax") * 21845}
+    keys = [F.col("l_suppkey").alias("tile_id"), (F.col("l_orderkey") % 16).alias("pixel"), F.col("l_shipdate").cast("date").alias("date")]
+    return df.groupBy(*keys).agg(*[F.round(F.avg(c.cast("double"))).cast("int").alias(b) for b, c in dn.items()])
 
 
 @query()
 def harmonic_feature_stack(spark, sf_dir):
     """The 24 stored features of each pixel, from bands to integers."""
-    return hm.feature_stack(_bands(spark, sf_dir), ["tile_id"], ["row", "col"])
+    out = hm.feature_stack(_bands(spark, sf_dir), ["tile_id"], ["pixel"])
+    return out.select("tile_id", F.floor(F.col("pixel") / 4).cast("int").alias("row"), (F.col("pixel") % 4).cast("int").alias("col"), *out.columns[2:])
 
 
 @query()
 def irls_iterations(spark, sf_dir):
     """Stored features at 1, 5 and 10 iterations."""
-    return rounded(hm.compare_iterations(_bands(spark, sf_dir).filter("tile_id < 5"), ["tile_id"], ["row", "col"]), 3)
+    return rounded(hm.compare_iterations(_bands(spark, sf_dir), ["tile_id"], ["pixel"]), 3)
 
 
 def _tiled(spark, sf_dir):

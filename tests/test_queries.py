@@ -30,3 +30,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 6
     assert set(oracle_sql()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_feature_stack_holds_every_pixel(spark, duck):
+    n = len(duck.sql("SELECT DISTINCT l_suppkey, l_orderkey % 16 FROM lineitem").fetchall())
+    stack = queries()["harmonic_feature_stack"](spark, SF)
+    assert len({(r.tile_id, r.row, r.col) for r in stack.select("tile_id", "row", "col").collect()}) == stack.count() == n
+    assert {(r.max_iter, r.total) for r in queries()["irls_iterations"](spark, SF).collect()} == {(k, n) for k in (1, 5, 10)}
