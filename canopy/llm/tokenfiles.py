@@ -2,7 +2,8 @@
 
 A flat token file is a row of unsigned little-endian ids; a document ends with the separator id.  Files are
 cut into blocks of bytes that tasks read and search for separators at once in NumPy; a prefix scan over the
-blocks of a file then tells how many documents end before each block and where its first document begins.
+blocks of a file, one narrow row for each, tells how many documents end before a block and where its first
+document begins, and the documents are then made where their block is read.
 
 Writing: each task writes files of its own under new names and reports them with the ids in their order, so
 what a lost or repeated task attempt has written is named by no row.  Tokenizing treats strings of special
@@ -29,6 +30,8 @@ from canopy.llm.batches import id_and_text, slices, tidy
 from canopy.llm.store import drop, drop_path, new_path, save
 
 FILE_TOKENS, BLOCK_TOKENS = 32_000_000, 2_000_000
+#: Documents of a block leave a task in batches of so many rows.
+BATCH_ROWS = 100_000
 
 _OPEN: dict[str, object] = {}
 
@@ -92,48 +95,59 @@ def write_token_files(
     return order
 
 
+def _read_ids(file: str, size: int, at: int, step: int, dtype: str) -> np.ndarray:
+    if size % np.dtype(dtype).itemsize:
+        raise ValueError(f"{file} doesn't hold whole ids: {size} bytes")
+    store, path = fs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as f:
+        return np.frombuffer(f.read_at(min(step, size - at), at), dtype)
+
+
 def scan_token_files(files: DataFrame, separator: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of every document in files (file, bytes), without its separator."""
+    """(file, ordinal, start, n_tokens) of every document in files (file, bytes), without its separator.
+
+    Blocks are read twice: for the number of separators and the place of the last, which is one narrow row a block
+    that the prefix scan takes, and then for the documents that end in the block, whose first one it has told.
+    """
     spark, width = files.sparkSession, np.dtype(dtype).itemsize
     step = block_tokens * width
     blocks = files.filter("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("at"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ends, last = [], []
             for file, size, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if size % width:
-                    raise ValueError(f"{file} doesn't hold whole ids: {size} bytes")
-                store, path = fs.FileSystem.from_uri(file)
-                with store.open_input_file(path) as f:
-                    ids = np.frombuffer(f.read_at(min(step, size - at), at), dtype)
-                ends = np.flatnonzero(ids == separator) + at // width
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([at], pa.int64()), pa.array([size // width], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
-                    names=["file", "at", "total", "ends"],
-                )
-
-    found = blocks.repartition(tasks, "file", "at").mapInArrow(tidy(run), "file string, at long, total long, ends array<long>")
-    # the prefix scan: one row a block
+                found = np.flatnonzero(_read_ids(file, size, at, step, dtype) == separator)
+                ends.append(len(found))
+                last.append(int(found[-1]) + at // width if len(found) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64()), pa.array(last, pa.int64())], names=["file", "bytes", "at", "ends", "last"])
+
+    counted = blocks.repartition(tasks, "file", "at").mapInArrow(tidy(count), "file string, bytes long, at long, ends long, last long")
+    # the prefix scan
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    scanned = found.withColumns(
-        {
-            "docs_before": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-            "begin": F.coalesce(F.max(last).over(before) + 1, F.lit(0)),
-        }
-    )
-    # ids behind a file's last separator are a document whose end is the end of the file
-    final = F.col("at") + step >= F.col("total") * width
-    rest = F.coalesce(last + 1, F.col("begin")) < F.col("total")
-    scanned = scanned.withColumn("ends", F.when(final & rest, F.concat("ends", F.array("total"))).otherwise(F.col("ends")))
-    starts = F.concat(F.array("begin"), F.transform("ends", lambda e: e + 1))
-    return (
-        scanned.select("file", "docs_before", starts.alias("starts"), F.posexplode("ends").alias("k", "stop"))
-        .select("file", (F.col("docs_before") + F.col("k")).alias("ordinal"), F.col("starts")[F.col("k")].alias("start"), "stop")
-        .select("file", "ordinal", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
+    known = counted.select(
+        "file", "bytes", "at", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("begin")
     )
 
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size, at, ordinal, begin in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                stops = np.flatnonzero(_read_ids(file, size, at, step, dtype) == separator) + at // width
+                # ids behind a file's last separator are a document whose end is the end of the file
+                if at + step >= size and (stops[-1] + 1 if len(stops) else begin) < size // width:
+                    stops = np.append(stops, size // width)
+                starts = np.concatenate(([begin], stops[:-1] + 1))[: len(stops)]
+                for k in range(0, len(stops), BATCH_ROWS):
+                    part = slice(k, k + BATCH_ROWS)
+                    n = len(stops[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file]).take(pa.array(np.zeros(n, np.int64))), pa.array(np.arange(n) + (ordinal + k)), pa.array(starts[part]), pa.array(stops[part] - starts[part])],
+                        names=["file", "ordinal", "start", "n_tokens"],
+                    )
+
+    return known.repartition(tasks, "file", "at").mapInArrow(tidy(documents), "file string, ordinal long, start long, n_tokens long")
+
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, bytes) of the flat files in a folder, as Spark's file listing has them."""

@@ -154,6 +154,34 @@ def test_token_scan_stitches_blocks(spark, tmp_path, block):
     assert out == [("a.bin", 0, 0, 2), ("a.bin", 1, 3, 0), ("a.bin", 2, 4, 5), ("a.bin", 3, 10, 1), ("b.bin", 0, 0, 0), ("c.bin", 0, 0, 2), ("d.bin", 0, 0, 2)]
 
 
+def test_token_scan_of_many_short_documents(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 3, 100_000)
+    ids = np.full(int(sizes.sum()) + len(sizes), 5, "<u2")
+    ends = np.cumsum(sizes + 1) - 1
+    ids[ends] = 9
+    for k in range(3):
+        ids.tofile(tmp_path / f"{k}.bin")
+    np.full(2_000_000, 9, "<u2").tofile(tmp_path / "empty.bin")  # a whole block of empty documents
+    found = tokenfiles.token_files(spark, f"file://{tmp_path}")
+    scanned = tokenfiles.scan_token_files(found, 9, block_tokens=2_000_000).cache()
+    per = {r.file.rpartition("/")[2]: r for r in scanned.groupBy("file").agg({"*": "count", "n_tokens": "sum"}).collect()}
+    assert per["empty.bin"]["count(1)"] == 2_000_000 and per["empty.bin"]["sum(n_tokens)"] == 0
+    for k in range(3):
+        rows = scanned.filter(f"file like '%/{k}.bin'").orderBy("ordinal").toArrow()
+        assert rows.column("n_tokens").to_numpy().tolist() == sizes.tolist() and rows.column("start").to_numpy().tolist() == (ends - sizes).tolist()
+    scanned.unpersist()
+
+
+def test_token_files_of_one_task_are_several(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "FILE_TOKENS", 50)
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tokenfiles.byte_encoder(path, P.PATTERN)
+    rows = [(k, "word " * (k % 40)) for k in range(60)] + [(100, "long text " * 60_000)]
+    out = sorted((r.doc_id, r.n_tokens) for r in tokenfiles.count_tokens(docs(rows), path, P.PATTERN, 50256).collect())
+    assert out == sorted((i, len(enc.encode_ordinary(t))) for i, t in rows)
+
+
 def test_pages(spark):
     nav = "<nav><ul><li>Home<li>News</ul></nav>"
     promo = '<div class="x7"><p>Everything must go</p></div>'
