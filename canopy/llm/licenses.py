@@ -3,7 +3,9 @@
 A template is plain wording with two kinds of markup: ``[[ ... ]]`` is an optional region and ``{{n}}`` a
 replaceable region of at most n words.  Each template becomes an automaton over words; a text is given the
 template's label where the automaton accepts a stretch of its words, that is where all mandatory wording
-matches exactly.  Beside it stands a base count of short phrases.
+matches exactly.  Versions and restrictions (share alike, non commercial) are mandatory wording.  Where accepted
+stretches overlap, the longest one stands, so a license isn't also labelled by a shorter one that its text
+begins with; of equally long ones all stand.  Beside it stands a base count of short phrases, whose labels stay.
 
 Rows: null text counts as empty; empty texts have no words, no places and no labels; texts are scanned
 whole, whatever their length; repeated rows each get their own result; an empty table gives an empty
@@ -27,26 +29,87 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+# SPDX identifiers of each label, as words.
+SPDX = {
+    "mit": ["mit"], "mit-0": ["mit 0"], "apache-1.1": ["apache 1 1"], "apache-2": ["apache 2 0"], "bsd-2": ["bsd 2 clause"], "bsd-3": ["bsd 3 clause"],
+    "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "bsl-1": ["bsl 1 0"], "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"],
+    "gpl-2": ["gpl 2 0"], "gpl-3": ["gpl 3 0"], "lgpl-2.1": ["lgpl 2 1"], "lgpl-3": ["lgpl 3 0"], "agpl-3": ["agpl 3 0"],
+    "cc0": ["cc0 1 0"], "cc-by": ["cc by"], "cc-by-sa": ["cc by sa"], "cc-by-nd": ["cc by nd"], "cc-by-nc": ["cc by nc"], "cc-by-nc-sa": ["cc by nc sa"],
+    "cc-by-nc-nd": ["cc by nc nd"],
+}
+
+# Names of the Creative Commons licenses behind "creative commons attribution"; words may be written as one.
+CREATIVE_COMMONS = {
+    "cc-by": "",
+    "cc-by-sa": "share alike",
+    "cc-by-nd": "no derivatives",
+    "cc-by-nc": "non commercial",
+    "cc-by-nc-sa": "non commercial share alike",
+    "cc-by-nc-nd": "non commercial no derivatives",
+}
+
+# Names of the licenses of the GNU project with their versions; each version has its label.
+GNU = {
+    "gnu general public license": {"2": "gpl-2", "3": "gpl-3"},
+    "gnu lesser general public license": {"2 1": "lgpl-2.1", "3": "lgpl-3"},
+    "gnu affero general public license": {"3": "agpl-3"},
+}
+
+_UNDER = "[[licensed]] [[released]] under the [[terms of the]]"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] [[{{1}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] [[{{1}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution"
+)
+
 # Wording of public licenses and of the usual notices, with optional and replaceable regions.
-TEMPLATES = [
+NOTICES = [
     ("mit", "[[this {{4}} is]] [[dual]] [[licensed]] [[released]] [[distributed]] under the [[terms of the]] mit license"),
-    ("mit", "spdx license identifier mit"),
-    ("apache-2", "[[licensed]] [[released]] under the apache license [[version 2 [[0]]]] [[the license]]"),
-    ("apache-2", "spdx license identifier apache 2 0"),
-    ("gpl-3", "[[this {{4}} is]] licensed under the gnu general public license [[gpl]] version 3"),
-    ("gpl-3", "[[under the terms of]] the gnu general public license as published by the free software foundation either version 3"),
-    ("gpl-3", "spdx license identifier gpl 3 0 [[or later]] [[only]]"),
-    ("gpl-2", "[[this {{4}} is]] licensed under the gnu general public license [[gpl]] version 2"),
-    ("cc-by-nc", "[[this {{4}} is]] licensed under [[a]] [[the]] cc by nc [[{{2}}]]"),
-    ("cc-by-nc", "creative commons attribution noncommercial {{3}} license"),
-    ("cc-by-sa", "licensed under [[a]] [[the]] cc by sa [[{{2}}]]"),
-    ("cc-by", "creative commons attribution [[{{2}}]] [[international]] license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement]]"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{12}} nor the names of [[its]] [[contributors]] {{4}} may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind"),
+    ("apache", _UNDER + " apache [[software]] license"),
+    ("apache-1.0", _UNDER + " apache [[software]] license version 1 0"),
+    ("apache-1.1", _UNDER + " apache [[software]] license version 1 1"),
+    ("apache-2", _UNDER + " apache [[software]] license version 2 [[0]]"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd-2", _BSD),
+    ("bsd-3", _BSD + " [[and]] [[3]] [[{{1}}]] neither the name of {{12}} nor the names of [[its]] [[contributors]] {{4}} may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("bsl-1", "boost software license version 1 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2", "mozilla public license [[v]] [[version]] 2 0"),
+    ("epl-2", "eclipse public license [[v]] [[version]] 2 0"),
+    ("cc0", "creative commons [[cc0]] [[zero]] [[v]] [[1 0]] [[universal]] public domain dedication"),
+    ("cc0", "under [[the]] cc0 [[1 0]]"),
 ]
 
+
+def _spellings(name: str) -> list[str]:
+    """``name`` with each of its pairs of words written apart or as one."""
+    out, words = [""], name.split()
+    for pair in zip(words[::2], words[1::2], strict=True):
+        out = [f"{x} {y}".strip() for x in out for y in (" ".join(pair), "".join(pair))]
+    return out
+
+
+def _templates() -> list[tuple[str, str]]:
+    out = list(NOTICES)
+    out += [(label, f"spdx license identifier {words} [[1 0]] [[2 0]] [[2 5]] [[3 0]] [[4 0]] [[only]] [[or later]]") for label, ids in SPDX.items() for words in ids]
+    number = "[[version]] [[v]] [[1 0]] [[2 0]] [[2 5]] [[3 0]] [[4 0]]"
+    for label, name in CREATIVE_COMMONS.items():
+        out += [(label, f"creative commons attribution {spelled} {number} [[international]] [[unported]] [[generic]] [[public]] license") for spelled in _spellings(name)]
+        out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[released]] under [[a]] [[the]] {label.replace('-', ' ')} {number} [[international]] [[license]]"))
+    for name, versions in GNU.items():
+        for version, label in versions.items():
+            out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[under]] [[the]] [[terms of the]] {name} [[as published by the free software foundation]] [[either]] [[v]] [[version]] {version} [[0]] [[only]] [[of the license]] [[or at your option any later version]] [[or later]]"))
+    return out
+
+
+TEMPLATES = _templates()
+
 #: Bytes that are no part of a word become spaces; A-Z become a-z; bytes of other characters stay.
 _TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -161,6 +224,17 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
             out.append(at)
 
 
+def longest(matches: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The stretches (start, end, label) that overlap no longer one."""
+    stay: list[tuple[int, int, str]] = []
+    held: dict[int, int] = {}  # word -> length of the stretch that stands there
+    for start, end, label in sorted(set(matches), key=lambda m: (m[0] - m[1], m)):
+        if all(held.get(i, end - start) == end - start for i in range(start, end)):
+            stay.append((start, end, label))
+            held.update(dict.fromkeys(range(start, end), end - start))
+    return stay
+
+
 def scan_text(text: str | None, base: list, automata: list[Automaton]) -> tuple:
     words = words_of(text)
     present = set(words)
@@ -169,11 +243,11 @@ def scan_text(text: str | None, base: list, automata: list[Automaton]) -> tuple:
         if present.issuperset(phrase) and (at := places(words, phrase)):
             starts += at
             base_labels.add(label)
-    for automaton in automata:
-        for start, end in automaton.find(words, present):
-            labels.add(automaton.label)
-            matches.append((start, end, automaton.label))
-    score = 1.0 if labels else 0.5 if base_labels else 0.0
+    for start, end, label in longest([(s, e, a.label) for a in automata for s, e in a.find(words, present)]):
+        labels.add(label)
+        matches.append((start, end, label))
+    most = max((end - start for start, end, _ in matches), default=0)
+    score = 1 - 4 / (8 + most) if labels else 0.5 if base_labels else 0.0
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(base_labels)), ",".join(sorted(labels | base_labels)), score,
@@ -188,8 +262,8 @@ def license_scan(
     base_phrases: dict[str, str] = BASE_PHRASES,
     templates: list[tuple[str, str]] = TEMPLATES,
 ) -> DataFrame:
-    """Base places, labels and matched stretches of each document; score: 1 with an accepted template,
-    0.5 with base phrases alone, else 0."""
+    """Base places, labels and matched stretches of each document; score: from 0.5 towards 1 with the length of the
+    longest accepted stretch, 0.5 with base phrases alone, else 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [(p.encode().split(), label) for p, label in base_phrases.items()]
         automata = [Automaton(label, t) for label, t in templates]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -120,10 +121,85 @@ def test_license_scan(spark, docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted(k for k, v in at.items() if v)) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
-    assert out[7].labels == "gpl-3" and "bsd-3" in out[10].labels and out[5].labels == ""
+    assert out[7].labels == "gpl-3" and out[10].labels == "bsd-3" and out[5].labels == "" and out[8].labels == "apache"
     assert licenses.license_scan(docs([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under the Apache License, Version 1.1", "apache-1.1"),
+        ("Licensed under the Apache License, Version 2.0 (the License)", "apache-2"),
+        ("Creative Commons Attribution-NonCommercial License", "cc-by-nc"),
+        ("Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("Creative Commons Attribution-Non-Commercial-ShareAlike 3.0 Unported License", "cc-by-nc-sa"),
+        ("Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("licensed under CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"),  # the base label stays
+        ("SPDX-License-Identifier: MIT-0", "mit-0"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3"),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+        ("under the terms of the GNU Lesser General Public License, version 2.1", "lgpl-2.1"),
+        ("the GNU Affero General Public License, version 3", "agpl-3"),
+        ("Released under the MIT License.", "mit"),
+        ("Mozilla Public License, v. 2.0", "mpl-2"),
+        ("the license of the apache is under the tree, version 2 of mit", ""),
+        ("gnu general public license", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    base = [(p.encode().split(), label) for p, label in licenses.BASE_PHRASES.items()]
+    automata = [licenses.Automaton(label, t) for label, t in licenses.TEMPLATES]
+    found = licenses.scan_text(text, base, automata)
+    assert found[5] == labels and 0 <= found[6] <= 1
+    assert licenses.scan_text(f"Some words before. {text} \n And some after it.", base, automata)[5] == labels
+
+
+def _accepted(marks):
+    """All word strings that a template accepts; replaceable regions over the letters a to c."""
+    out, k = {()}, 0
+    while k < len(marks):
+        if marks[k] == "[[":
+            depth, e = 1, k
+            while depth:
+                e += 1
+                depth += (marks[e] == "[[") - (marks[e] == "]]")
+            part, k = _accepted(marks[k + 1 : e]) | {()}, e
+        elif marks[k].startswith("{{"):
+            part = {t for n in range(int(marks[k][2:-2]) + 1) for t in itertools.product("abc", repeat=n)}
+        else:
+            part = {(marks[k],)}
+        out = {x + y for x in out for y in part}
+        k += 1
+    return out
+
+
+def test_automata_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        marks = [rng.choice("abc")]
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.random()
+            marks += ["[[", *(rng.choice("abc") for _ in range(rng.randint(1, 2))), *(["[[", "b", "]]"] if kind < 0.1 else []), "]]"] if kind < 0.4 else ["{{%d}}" % rng.randint(1, 2)] if kind < 0.6 else [rng.choice("abc")]
+        accepted = _accepted(marks) - {()}
+        automaton = licenses.Automaton("x", " ".join(marks))
+        for _ in range(5):
+            text = [rng.choice("abc") for _ in range(rng.randint(0, 14))]
+            want, i = [], 0
+            while i < len(text):
+                end = max((e for e in range(i + 1, len(text) + 1) if tuple(text[i:e]) in accepted), default=0)
+                if end:
+                    want.append((i, end))
+                i = end or i + 1
+            words = [w.encode() for w in text]
+            assert automaton.find(words, set(words)) == want, (marks, text)
+
+
 def test_automaton_optional_and_replaceable_regions():
     a = licenses.Automaton("x", "one [[two]] {{2}} three")
     ok = lambda s: bool(a.find(s.encode().split(), set(s.encode().split())))
