@@ -3,8 +3,9 @@ import itertools
 import random
 import re
 import struct
+import tracemalloc
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -104,6 +105,43 @@ def test_repetition_rules_equal_brute_force(spark, docs):
     assert repeats.repetition_rules(docs([(1, "a b"), (1, "a b"), (None, None)])).count() == 3
 
 
+def _brute_maximal(words, least):
+    """Repeated substrings that can't be extended without losing a place."""
+    out = set()
+    for size in range(least, len(words)):
+        places = defaultdict(list)
+        for i in range(len(words) - size + 1):
+            places[tuple(words[i : i + size])].append(i)
+        for x, at in places.items():
+            if len(at) > 1 and len({words[i - 1] if i else None for i in at}) > 1 and len({words[i + size] if i + size < len(words) else None for i in at}) > 1:
+                out.add(x)
+    return out
+
+
+def test_maximal_repeats_equal_brute_force():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab" if k % 2 else "abcd") for _ in range(rng.randint(0, 60))) for k in range(120)] + ["a " * 40, "a b " * 25, ""]
+    for least in (1, 2, 4):
+        for text, r in zip(texts, repeats.measure(texts, least), strict=True):
+            w = text.split()
+            found = _brute_maximal(w, least)
+            places = [(i, i + len(x)) for x in found for i in range(len(w)) if tuple(w[i : i + len(x)]) == x]
+            assert r[7] == len(found) and r[6] == _brute_repeats(text, least)[3]
+            assert {i for s in r[8] for i in range(s["start"], s["end"])} == {i for a, b in places for i in range(a, b)}
+
+
+def test_long_texts_that_repeat_themselves_need_bounded_memory(monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE_BYTES", 1000)
+    n = 300_000
+    half = [f"w{k % 40_000}" for k in range(n // 2)]
+    tracemalloc.start()
+    size, _, _, _, windows, covered, longest, _, spans = repeats.measure([" ".join(half + half)], 8)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (size, windows, covered, spans) == (n, n, 1.0, [{"start": 0, "end": n}]) and longest == n // 2
+    assert peak < 150 * n
+
+
 def test_license_scan(spark, docs):
     texts = [
         None, "", "Licensed under the MIT License. and under the mit license", "APACHE license; version 2.0!", "CC BY-NC 4.0", "under the mit", "über the MIT license é",
