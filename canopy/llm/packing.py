@@ -4,9 +4,9 @@ Documents become token pieces of at most ``capacity`` tokens, and pieces become
 dealt at random into blocks of bounded size.  Each block is evolved on several islands: a crossover injects
 whole well-filled bins of one parent into the other, bins that then hold a document twice are removed, and
 the displaced documents are placed anew by best fit, longest first.  Between rounds the best packing of each
-island migrates to the next one through a shuffle.  Poorly filled bins of all blocks are then thrown
-together and packed again, until one block is left or nothing is gained, so the loss per block doesn't add
-up.  Lengths alone are shuffled, never text or ids.
+island migrates to the next one through a shuffle.  The worst filled bins of all blocks, those with at most half of
+each block's items, are then thrown together and packed again, until one block is left, so the loss per block
+doesn't add up at any size.  Lengths alone are shuffled, never text or ids.
 
 Rows: null and empty texts count as empty documents, which are one piece holding the end id alone; only
 documents longer than the capacity are cut; repeated rows are packed one by one; ties (equal lengths) are
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.batches import SLICE_CHARS, id_and_text, slices, tidy
-from canopy.llm.store import save
+from canopy.llm.store import keep, save, scratch
 from canopy.llm.words import WordEncoder
 
 CAPACITY, END_ID = 4096, 1
 BLOCK_ITEMS, ISLANDS, ROUNDS = 8192, 3, 2
 POPULATION, GENERATIONS = 4, 6
-#: Bins that are filled less are packed again across blocks.
+#: Bins that are filled less may be packed again across blocks.
 WELL_FILLED = 0.99
 
 _OPEN: dict[str, WordEncoder] = {}
@@ -215,11 +215,16 @@ def _placed(capacity: int, level: int):
                 fill = np.bincount(bins, length)
                 before = np.concatenate(([0], np.cumsum(fill)))
                 offset = ends - length[by] - before[bins[by]]
+                # the worst filled bins that hold half of the items together at most: so every level halves the items
+                worst = np.argsort(fill, kind="stable")
+                few = np.cumsum(np.bincount(bins)[worst]) <= len(bins) // 2
+                again = np.zeros(len(fill), bool)
+                again[worst[few]] = fill[worst[few]] < WELL_FILLED * capacity
                 # 8 bits for the level, 35 for the block, 20 for the bin
                 sequence = (level << 55) + (block << 20) + bins[by]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (np.array(uids, np.int64)[by], sequence, offset.astype(np.int64), length[by], fill[bins[by]].astype(np.int64))],
-                    names=["uid", "sequence_id", "offset", "length", "fill"],
+                    [*(pa.array(x, pa.int64()) for x in (np.array(uids, np.int64)[by], sequence, offset.astype(np.int64), length[by])), pa.array(again[bins[by]])],
+                    names=["uid", "sequence_id", "offset", "length", "again"],
                 )
 
     return run
@@ -255,20 +260,13 @@ def pack_items(
             island = island.repartition(spread, "block", "island").mapInArrow(tidy(_islands(capacity, 100 * level + k)), _BLOCK)
         elite = F.col("elites")[0]
         best = island.groupBy("block").agg(F.min_by(F.struct("uids", "lengths", elite.alias("elite")), F.struct(F.array_max(elite), "island")).alias("x"))
-        placed = save(
-            best.select("block", "x.*").mapInArrow(tidy(_placed(capacity, level)), "uid long, sequence_id long, offset long, length long, fill long"),
-            "packed",
-        )
+        placed = save(best.select("block", "x.*").mapInArrow(tidy(_placed(capacity, level)), "uid long, sequence_id long, offset long, length long, again boolean"), "packed")
         if blocks == 1:
             done.append(placed.select(*columns))
             break
-        poor = F.col("fill") < WELL_FILLED * capacity
-        left = placed.filter(poor).count()
-        if left > n // 2:  # nothing to gain: the lengths don't fit together
-            done.append(placed.select(*columns))
-            break
-        done.append(placed.filter(~poor).select(*columns))
-        rest, n, level = placed.filter(poor).select("uid", "length"), left, level + 1
+        done.append(placed.filter("not again").select(*columns))
+        rest = placed.filter("again").select("uid", "length")
+        n, level = rest.count(), level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -278,9 +276,10 @@ def pack_items(
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    pieces = save(token_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    return pieces.join(pack_items(pieces.select("uid", "length"), capacity), "uid").drop("uid")
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece; a saved table."""
+    with scratch(docs.sparkSession):
+        pieces = save(token_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+        return keep(save(pieces.join(pack_items(pieces.select("uid", "length"), capacity), "uid").drop("uid"), "packing"))
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -59,6 +59,22 @@ def test_several_blocks_and_levels(spark):
     assert max(fill.values()) <= 100 and len(fill) <= 1.03 * alone
 
 
+def test_lengths_that_dont_fit_together_end_in_one_block(spark):
+    """Whatever the block size, the last bins of all blocks are packed together."""
+    rng = random.Random(6)
+    lengths = [rng.choice([34, 35, 60]) for _ in range(1500)] + [1] * 7
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    counts = {}
+    for block in (100, 10_000):
+        out = packing.pack_items(items, 100, block_items=block, islands=2).join(items, "uid").collect()
+        fill = defaultdict(int)
+        for r in out:
+            fill[r.sequence_id] += r.length
+        assert len(out) == len(lengths) and max(fill.values()) <= 100
+        counts[block] = len(fill)
+    assert counts[100] <= counts[10_000] + 2
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(0)
     lengths = sorted((rng.randint(1, 50) for _ in range(300)), reverse=True)
