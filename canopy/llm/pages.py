@@ -1,16 +1,21 @@
 """Main text of web pages, without what a site's template repeats.
 
 Each page is parsed into a tree, and its subtrees are hashed (tag, class, texts and child hashes).
-Spark counts, per host, on how many different pages a subtree stands; copies of one page count once.  Subtrees
-that recur on ``min_pages`` pages are template and are deleted; plain paragraphs outside the article must also
-recur on half of the host's pages.  Nothing inside an article or main element is counted, as articles share
-passages, tables and lists.
-Elements that are boilerplate by their own tag, role or class (menus, forms, adverts, comments and so on) go
-too.  What is left of the article (or the main element, or else the body) is the text: character references
-are decoded, white space in a block becomes one space, blocks are joined in page order by one space.
+Spark counts, per host, on how many different pages a subtree stands; copies of one page count once.  A subtree
+is template where it stands on ``min_pages`` pages of its host at least and on a share of the host's pages:
+containers (lists, tables, divisions) outside an article or main element on ``share`` of them, paragraphs there
+and containers inside an article or main element on ``prose_share``.  What stands inside articles is counted by
+itself, on pages whose articles differ in more than a passage (near copies of one article count once as a rule).
+Paragraphs and headings inside an article stay, as articles share passages.
+
+Elements that are boilerplate by their own tag or role (menus, forms, asides and so on) go too, and outside
+articles those whose class or id has a word of such.  Inside an article only whole names count, those of adverts,
+notices on cookies, subscriptions and reader comments, as other names there may be those of content.  What is left
+of the article (or the main element, or else the body) is the text: character references are decoded, white space
+in a block becomes one space, blocks are joined in page order by one space.
 
 The template table has one row for each recurring subtree of a host, not for each page.  It is broadcast only
-below a checked number of rows; beyond, pages are joined with their deleted hashes.
+below a checked number of rows; beyond, pages are joined with their deleted hashes.  Both delete the same nodes.
 
 Rows: null and empty html give an empty text; unclosed and broken markup is read as far as it goes, to any
 depth and length; a null url counts as a host without a name; pages that repeat an id are extracted one by one;
@@ -29,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.batches import bounded_batches, tidy
-from canopy.llm.store import save
+from canopy.llm.store import drop, save
 
-MIN_PAGES, PROSE_SHARE = 5, 0.5
+MIN_PAGES, SHARE, PROSE_SHARE = 5, 0.05, 0.5
 BROADCAST_ROWS = 500_000
 
 # Kinds of HTML elements, and names by which sites mark what isn't the article.
@@ -49,6 +54,11 @@ MARKED = re.compile(
     r"footer\w*|foot|masthead|topbar|toolbar|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|skip-link|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+MARKED_INSIDE = set(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle ad-slot ad-container sponsored promo cookie cookies cookie-notice cookie-banner consent newsletter "
+    "newsletter-signup subscribe comment comments comment-list commentlist comments-area comment-section comment-form comment-respond disqus_thread respond replies sidebar "
+    "notice-cookie site-notice social-share share-buttons sharing-buttons related-posts related-articles".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEEP = set("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,6 +68,7 @@ BLOCKS_END_P = set(
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|[!?/][^>]*(?:>|$))", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NODE = "struct<kind:int,hash:long>"
 _HOST = re.compile(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
 
@@ -67,14 +78,21 @@ class Node:
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attributes, self.parent, self.parts, self.hash = tag, attributes, parent, [], 0
 
-    def boilerplate(self) -> bool:
+    def boilerplate(self, inside: bool) -> bool:
+        """By its own tag, role or names; inside: in an article or main element."""
         if self.tag == "header" and self.parent is not None and self.parent.tag == "article":
             return False  # the article's own heading
         if self.tag in BOILERPLATE or self.attributes.get("role") in ROLES or "hidden" in self.attributes:
             return True
         if self.tag in KEEP and not (self.tag == "article" and self.parent is not None):
             return False
-        return any(MARKED.search(self.attributes.get(k, "")) for k in ("class", "id"))
+        names = [self.attributes.get(k, "") for k in ("class", "id")]
+        if inside:
+            return any(x in MARKED_INSIDE for name in names for x in name.lower().split())
+        return any(map(MARKED.search, names))
+
+    def holds_main(self) -> bool:
+        return self.tag in ("article", "main") or self.attributes.get("role") == "main"
 
 
 def parse(html: str) -> list[Node]:
@@ -128,8 +146,12 @@ def parse(html: str) -> list[Node]:
 def main_nodes(nodes: list[Node]) -> tuple[list[Node], set[int]]:
     """The elements that hold the main text, and those that are boilerplate by themselves or stand in such."""
     gone: set[int] = set()
+    inside: set[int] = set()
     for node in nodes[1:]:
-        if id(node.parent) in gone or node.boilerplate():
+        within = id(node.parent) in inside
+        if within or node.holds_main():
+            inside.add(id(node))
+        if id(node.parent) in gone or node.boilerplate(within):
             gone.add(id(node))
     for find in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attributes.get("role") == "main", lambda n: n.tag == "body"):
         found = {id(n): n for n in nodes if find(n) and id(n) not in gone}
@@ -163,32 +185,50 @@ def text_of(mains: list[Node], gone: set[int]) -> str:
     return " ".join(markup.unescape("".join(raw)).split())
 
 
-def deletable(nodes: list[Node], mains: list[Node]) -> tuple[list[Node], list[Node]]:
-    """Containers and plain paragraphs outside an article or main element: what is counted, and all that a template may delete."""
-    containers, prose = [], []
+#: Kinds of nodes that may be template.
+CONTAINER, PARAGRAPH, INSIDE = range(3)
+
+
+def deletable(nodes: list[Node], mains: list[Node]) -> list[tuple[int, Node]]:
+    """What is counted, with its kind, which is all that a template may delete."""
+    out = []
     holds: set[int] = set()  # what the main text stands in
     for main in mains:
         up = main
         while up is not None:
             holds.add(id(up))
             up = up.parent
-    inside: set[int] = {id(m) for m in mains if m.tag in ("article", "main") or m.attributes.get("role") == "main"}
+    inside: set[int] = {id(m) for m in mains if m.holds_main()}
     for node in nodes[1:]:
-        if id(node.parent) in inside:
+        within = id(node.parent) in inside
+        if within:
             inside.add(id(node))
-        if id(node) in holds or id(node) in inside or node.tag in INLINE or node.tag in VOID or node.tag in RAW or node.tag in KEEP or not node.parts:
+        if id(node) in holds or node.tag in INLINE or node.tag in VOID or node.tag in RAW or node.tag in KEEP or not node.parts:
             continue
         if node.tag not in PROSE:
-            containers.append(node)
-        elif node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-            prose.append(node)
-    return containers, prose
+            out.append((INSIDE if within else CONTAINER, node))
+        elif not within and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
+            out.append((PARAGRAPH, node))
+    return out
 
 
-def subtrees(nodes: list[Node], mains: list[Node]) -> tuple[set[int], set[int]]:
-    """Hashes of the deletable containers and paragraphs."""
-    containers, prose = deletable(nodes, mains)
-    return {n.hash for n in containers}, {n.hash for n in prose}
+def hashes_by_kind(nodes: list[Node], mains: list[Node]) -> list[list[int]]:
+    """Sorted hashes of the deletable nodes of each kind."""
+    found: list[set[int]] = [set(), set(), set()]
+    for kind, node in deletable(nodes, mains):
+        found[kind].add(node.hash)
+    return [sorted(x) for x in found]
+
+
+def _passage(mains: list[Node]) -> int:
+    """The smallest hash of a paragraph of the main text: most often equal for near copies, seldom for other pages."""
+    least, stack = 1 << 62, list(mains)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            least = min(least, x.hash) if x.tag in PROSE else least
+            stack.extend(x.parts)
+    return least
 
 
 def host_of(url: str | None) -> str:
@@ -197,7 +237,7 @@ def host_of(url: str | None) -> str:
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """(host, page, containers, prose) of each page; page: digest of its main text."""
+    """(host, page, passage, k0, k1, k2) of each page; page: digest of its main text, k: hashes of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,46 +245,50 @@ def _counted(pages: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 nodes = parse(batch.column(1)[k].as_py() or "")
                 mains, gone = main_nodes(nodes)
-                containers, prose = subtrees(nodes, mains)
                 page = xxhash.xxh3_64_intdigest(text_of(mains, gone)) - (1 << 63)
-                rows.append((host_of(batch.column(0)[k].as_py()), page, sorted(containers), sorted(prose)))
+                rows.append((host_of(batch.column(0)[k].as_py()), page, _passage(mains), *hashes_by_kind(nodes, mains)))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), longs, longs))], names=["host", "page", "containers", "prose"]
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), longs, longs, longs))],
+                names=["host", "page", "passage", "k0", "k1", "k2"],
             )
 
-    return pages.select("url", "html").mapInArrow(tidy(run), "host string, page long, containers array<long>, prose array<long>")
+    return pages.select("url", "html").mapInArrow(tidy(run), "host string, page long, passage long, k0 array<long>, k1 array<long>, k2 array<long>")
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, prose_share: float = PROSE_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on a host; pages: (url, html)."""
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """(host, kind, hash) of the subtrees that recur on a host, a saved table; pages: (url, html)."""
     seen = save(_counted(pages), "subtrees")
-    rows = seen.select("host", "page", F.explode("containers").alias("hash"), F.lit(False).alias("prose")).union(
-        seen.select("host", "page", F.explode("prose").alias("hash"), F.lit(True).alias("prose"))
-    )
-    often = rows.distinct().groupBy("host", "hash", "prose").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return save(often.join(sizes, "host").filter(~F.col("prose") | (F.col("n") >= prose_share * F.col("pages"))).select("host", "hash").distinct(), "templates")
+    rows = [seen.select("host", F.col(page).alias("page"), F.explode(f"k{kind}").alias("hash"), F.lit(kind).alias("kind")) for kind, page in ((CONTAINER, "page"), (PARAGRAPH, "page"), (INSIDE, "passage"))]
+    often = rows[0].union(rows[1]).union(rows[2]).distinct().groupBy("host", "kind", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    # copies and near copies of a page count once here too; two steps, as a host may have very many pages
+    sizes = [seen.select("host", c).distinct().groupBy("host").agg(F.count("*").alias(c + "s")) for c in ("page", "passage")]
+    sized = often.join(sizes[0], "host").join(sizes[1], "host")
+    least = F.when(F.col("kind") == CONTAINER, share * F.col("pages")).when(F.col("kind") == PARAGRAPH, prose_share * F.col("pages")).otherwise(prose_share * F.col("passages"))
+    found = save(sized.filter(F.col("n") >= least).select("host", "kind", "hash"), "templates")
+    drop(seen)
+    return found
 
 
 def extract_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, prose_share: float = PROSE_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, prose_share: float = PROSE_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     pages = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    templates = site_templates(pages, min_pages, prose_share)
+    templates = site_templates(pages, min_pages, share, prose_share)
     spark, known = pages.sparkSession, None
     if templates.count() <= BROADCAST_ROWS:
-        by_host: dict[str, set[int]] = {}
-        for host, hash_ in zip(*(c.to_pylist() for c in templates.toArrow().columns), strict=True):
-            by_host.setdefault(host, set()).add(hash_)
+        by_host: dict[str, set[tuple[int, int]]] = {}
+        for host, kind, hash_ in zip(*(c.to_pylist() for c in templates.toArrow().columns), strict=True):
+            by_host.setdefault(host, set()).add((kind, hash_))
         known = spark.sparkContext.broadcast(by_host)
-        read = pages.withColumn("gone", F.lit(None).cast("array<long>"))
+        drop(templates)
+        read = pages.withColumn("gone", F.lit(None).cast(f"array<{_NODE}>"))
     else:  # too many for every task: each page gets its own
-        kinds = "page_id long, url string, digest long, host string, hashes array<long>"
         key = pages.withColumn("digest", F.xxhash64("html"))
-        own = key.mapInArrow(tidy(_own_hashes), kinds).select("page_id", "url", "digest", "host", F.explode("hashes").alias("hash"))
-        gone = own.join(templates, ["host", "hash"]).groupBy("page_id", "url", "digest").agg(F.collect_set("hash").alias("gone"))
+        own = key.mapInArrow(tidy(_own_hashes), f"page_id long, url string, digest long, host string, nodes array<{_NODE}>")
+        own = own.select("page_id", "url", "digest", "host", F.inline("nodes"))
+        gone = own.join(templates, ["host", "kind", "hash"]).groupBy("page_id", "url", "digest").agg(F.collect_set(F.struct("kind", "hash")).alias("gone"))
         same = [key[c].eqNullSafe(gone[c]) for c in ("page_id", "url", "digest")]
         read = key.join(gone, same[0] & same[1] & same[2], "left").select(key["page_id"], key["url"], "html", "gone")
 
@@ -253,11 +297,11 @@ def extract_text(
             texts = []
             for k in range(batch.num_rows):
                 own = batch.column(3)[k].as_py()
-                templates = set(own or ()) if known is None else known.value.get(host_of(batch.column(1)[k].as_py()), frozenset())
+                templates = {(x["kind"], x["hash"]) for x in own or ()} if known is None else known.value.get(host_of(batch.column(1)[k].as_py()), frozenset())
                 nodes = parse(batch.column(2)[k].as_py() or "")
                 mains, gone = main_nodes(nodes)
                 if templates:
-                    gone |= {id(n) for kind in deletable(nodes, mains) for n in kind if n.hash in templates}
+                    gone |= {id(node) for kind, node in deletable(nodes, mains) if (kind, node.hash) in templates}
                 texts.append(text_of(mains, gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -272,9 +316,9 @@ def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for html in batch.column(2).to_pylist():
             nodes = parse(html or "")
-            containers, prose = subtrees(nodes, main_nodes(nodes)[0])
-            found.append(sorted(containers | prose))
+            by_kind = hashes_by_kind(nodes, main_nodes(nodes)[0])
+            found.append([{"kind": kind, "hash": h} for kind in range(3) for h in by_kind[kind]])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array(found, pa.list_(pa.int64()))],
-            names=["page_id", "url", "digest", "host", "hashes"],
+            [batch.column(0), batch.column(1), batch.column(3), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array(found, pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64())])))],
+            names=["page_id", "url", "digest", "host", "nodes"],
         )

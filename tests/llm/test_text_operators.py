@@ -319,12 +319,80 @@ def test_pages(spark):
     assert sorted(map(key, again)) == sorted(map(key, out))
 
 
-def test_articles_keep_what_they_share(spark):
-    shared = "<table class='t'><tr><td>a<td>b</table><div><p>Shared passage</p></div><ul><li>one<li>two</ul>"
-    kinds = {"h1": "<article>{}</article>", "h2": "<main>{}</main>", "h3": "<div role='main'>{}</div>"}
-    rows = [(k, f"http://{h}/{k}", f"<body><div>top</div>{x.format(f'<p>Own {k}</p>{shared}')}</body>") for h, x in kinds.items() for k in range(6)]
-    out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert len(out) == 18 and all(r.text == f"Own {r.page_id} a b Shared passage one two" for r in out)
+def _texts(spark, rows):
+    """Texts with both ways to know the templates."""
+    df, found, kept = spark.createDataFrame(rows, "page_id long, url string, html string"), [], pages.BROADCAST_ROWS
+    try:
+        for pages.BROADCAST_ROWS in (kept, 0):
+            found.append({r.page_id: r.text for r in pages.extract_text(df).collect()})
+    finally:
+        pages.BROADCAST_ROWS = kept
+    assert found[0] == found[1]
+    return found[0]
+
+
+SHARED = "<table class='t'><tr><td>a<td>b</table><div><p>Shared passage</p></div><ul><li>one<li>two</ul>"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div role='main'>{}</div>", "<div>{}</div>"])
+def test_what_few_pages_of_a_host_share_stays(spark, around):
+    rows = [(k, f"http://h/{k}", f"<body><div>top</div>{around.format(f'<p>Own {k}</p>' + (SHARED if k < 6 else f'<p>More {k}</p>'))}</body>") for k in range(1000)]
+    out = _texts(spark, rows)
+    assert all(out[k] == f"Own {k} " + ("a b Shared passage one two" if k < 6 else f"More {k}") for k in range(1000))
+
+
+def test_what_most_articles_of_a_host_share_goes_but_for_passages(spark):
+    box = "<div><p>Read more on our site</p></div>"
+    rows = [(k, f"http://h/{k}", f"<body><article><p>Own {k}</p><p>Said by all</p>{box}<p>End {k}</p></article></body>") for k in range(12)]
+    near = "".join(f"<p>Paragraph {i}</p>" for i in range(12)) + "<table><tr><td>x<td>y</table>"
+    rows += [(100 + k, "http://near/", f"<body><article>{near}<p>Edit {k}</p></article></body>") for k in range(6)]
+    out = _texts(spark, rows)
+    assert all(out[k] == f"Own {k} Said by all End {k}" for k in range(12))
+    assert all(out[100 + k].endswith(f"x y Edit {k}") for k in range(6))  # near copies of one article
+
+
+def test_names_inside_an_article(spark):
+    content = "".join(f"<div {x}>{n}</div>" for n, x in enumerate(('class="notice-period"', 'class="related-work"', 'id="foot"', 'class="share"', 'class="comment-on-law"')))
+    boxes = '<div class="ad">buy</div><section id="comments"><p>nice</p></section><div class="x newsletter">join</div><aside>a</aside><form>f</form>'
+    out = _texts(spark, [(1, "http://h/1", f"<body><div class='notice-period'>out</div><article><p>Text</p>{content}{boxes}</article></body>"), (2, "http://h/2", f"<body><p>Text</p>{content}</body>")])
+    assert out == {1: "Text 0 1 2 3 4", 2: "Text"}
+
+
+def _brute_templates(rows):
+    """(host, kind, hash) by counting in Python."""
+    on, of = defaultdict(set), defaultdict(set)
+    for _, url, html in rows:
+        nodes = pages.parse(html)
+        mains, gone = pages.main_nodes(nodes)
+        ids = (pages.text_of(mains, gone), pages.text_of(mains, gone), pages._passage(mains))
+        host = pages.host_of(url)
+        for kind in range(3):
+            of[host, kind].add(ids[kind])
+        for kind, node in pages.deletable(nodes, mains):
+            on[host, kind, node.hash].add(ids[kind])
+    shares = (pages.SHARE, pages.PROSE_SHARE, pages.PROSE_SHARE)
+    return {key for key, ids in on.items() if len(ids) >= max(pages.MIN_PAGES, shares[key[1]] * len(of[key[:2]]))}
+
+
+def test_random_pages_equal_brute_force(spark):
+    rng = random.Random(12)
+    parts = [f"<p>Passage {k}</p>" for k in range(6)] + [f"<div><p>Box {k}</p></div>" for k in range(6)] + [f"<ul><li>Item {k}<li>x</ul>" for k in range(4)] + [f"<p>Word {k}</p>" for k in range(200)]
+    pick = lambda n: "".join(rng.choice(parts[: rng.choice([4, 16, len(parts)])]) for _ in range(n))
+    rows = []
+    for k in range(400):
+        main = pick(rng.randint(1, 5))
+        wrapped = rng.choice([f"<article>{main}</article>", f"<main>{main}</main>", main, f"<div>{main}</div>"])
+        rows.append((k, f"http://host{rng.choice([0, 0, 0, 1, 2, 3])}/{k}", f"<body>{pick(2)}{wrapped}{pick(1)}</body>"))
+    templates = _brute_templates(rows)
+    out = _texts(spark, rows)
+    some = 0
+    for k, url, html in rows:
+        nodes = pages.parse(html)
+        mains, gone = pages.main_nodes(nodes)
+        gone |= {id(n) for kind, n in pages.deletable(nodes, mains) if (pages.host_of(url), kind, n.hash) in templates}
+        assert out[k] == pages.text_of(mains, gone)
+        some += out[k] != pages.text_of(mains, pages.main_nodes(nodes)[1])
+    assert some > 50
 
 
 @pytest.mark.parametrize("limit", [0, pages.BROADCAST_ROWS])
