@@ -6,16 +6,22 @@ smallest value.  Bands of coordinates are bucket keys.
 
 Texts of equal sets form a class, of which one representative goes on.  Within a bucket no pairs are made:
 each member is compared with the bucket's pivot, the member that shares buckets with most others, on the
-full sets.  What a pivot leaves in different components is compared in blocks: those outside the bucket's
-main component against all its members, block by block inside tasks, and only links leave the tasks.  So
-every two representatives of a bucket are linked, known to be unlike, or already in one component; the
-components are those of all links of bucket mates.  With ``bands(threshold)`` bands of four coordinates,
-two texts at the threshold miss each other with a probability under one in a million.
+full sets.  What a pivot leaves in different components is compared in blocks of bounded size: the members outside
+the bucket's most populous component with each other and with those inside it, one pair of blocks a row, so a
+bucket of many unlike texts is spread over all tasks, and only links leave them.  So every two representatives of
+a bucket are linked, known to be unlike, or already in one component; the components are those of all links of
+bucket mates.  With ``bands(threshold)`` bands of four coordinates, two texts at the threshold miss each other
+with a probability under one in a million.
+
+Joins by bucket are between written tables, so that adaptive execution can split a bucket with very many members;
+what is aggregated by bucket is aggregated before it is shuffled.
 
 Rows: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts
 with fewer words than a shingle have their whole sequence as the one shingle; texts are taken whole; rows
-that repeat an id share its component; rows without an id are linked with nothing and kept, their component
-is null; ties are decided by the smaller id; an empty table gives an empty result; other columns are ignored.
+that repeat an id are one document, so the components of their texts are one component (rows without words
+still stand for themselves), and if it is the component's smallest id, all its rows are kept; rows without an id
+are linked with nothing and kept, their component is null; ties are decided by the smaller id; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ ROWS, MISS = 4, 1e-6
 #: Ids up to this count may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: A block of bucket members that are compared within one task: shingles in all, and members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 100_000, 256
+BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 256
 
 _U = np.uint64
 
@@ -166,6 +172,12 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("id", F.col("c").alias("component"))
 
 
+def _block(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, components, sizes and shingles one after the other."""
+    lists = members.field("shingles")
+    return members.field("id").to_numpy(), members.field("component").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+
+
 def _compare(percent: int):
     """Links between the members of two blocks of a bucket that aren't in one component."""
 
@@ -173,12 +185,10 @@ def _compare(percent: int):
         for batch in batches:
             links = []
             for row in range(batch.num_rows):
-                left, right = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                flat = np.concatenate([np.array(x["shingles"], np.int64) for x in left + right])
-                sizes = np.array([len(x["shingles"]) for x in left + right])
-                _, code = np.unique(flat, return_inverse=True)
+                (id_l, comp_l, size_l, flat_l), (id_r, comp_r, size_r, flat_r) = (_block(batch.column(k)[row].values) for k in (0, 1))
+                sizes, split = np.concatenate((size_l, size_r)), len(id_l)
+                _, code = np.unique(np.concatenate((flat_l, flat_r)), return_inverse=True)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                split = len(left)
                 # the columns are taken in slices, so that the tables of zeros and ones stay small
                 by = np.argsort(code, kind="stable")
                 code, owner = code[by], owner[by]
@@ -191,20 +201,61 @@ def _compare(percent: int):
                     table[owner[part], code[part] - k * width] = 1
                     shared += table[:split] @ table[split:].T
                 union = sizes[:split, None] + sizes[None, split:] - shared
-                comp_l = np.array([x["component"] for x in left])
-                comp_r = np.array([x["component"] for x in right])
                 hit = (100 * shared >= percent * union) & (comp_l[:, None] != comp_r[None, :])
-                done = set()
-                for i, j in zip(*np.nonzero(hit), strict=True):
-                    pair = (comp_l[i], comp_r[j])
-                    if pair not in done:  # one link joins two components
-                        done.add(pair)
-                        links.append((left[i]["id"], right[j]["id"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                i, j = np.nonzero(hit)
+                # one link joins two components
+                _, one = np.unique(np.stack((comp_l[i], comp_r[j])), axis=1, return_index=True)
+                links.append((id_l[i[one]], id_r[j[one]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in links]) if links else [], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _blocks_of(members: str, shingles: str):
+    """How many blocks so many members with so many shingles make."""
+    return F.ceil(F.greatest(F.col(members) / BLOCK_MEMBERS, F.col(shingles) / BLOCK_SHINGLES))
+
+
+def _left_over(member: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Saved links (a, b) within buckets whose members are in several components, once for each set of members."""
+    state = save(member.select("key", "id", "n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "state")
+    each = state.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    most = F.max(F.struct("members", "shingles", "component")).alias("most")
+    apart = save(
+        each.groupBy("key")
+        .agg(most, F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.bit_xor("who").alias("who"), F.count("*").alias("components"))
+        .filter("components > 1 and members > 2")
+        .groupBy("who", "members", "shingles")
+        .agg(F.min_by(F.struct("key", "most"), "key").alias("x"))
+        .select(
+            "x.key", F.col("x.most.component").alias("main"), F.col("x.most.members").alias("main_members"), F.col("x.most.shingles").alias("main_shingles"),
+            (F.col("members") - F.col("x.most.members")).alias("members"), (F.col("shingles") - F.col("x.most.shingles")).alias("shingles"),
+        )
+        .select("key", "main", _blocks_of("main_members", "main_shingles").alias("mains"), _blocks_of("members", "shingles").alias("others")),
+        "apart",
+    )
+    other = F.col("component") != F.col("main")
+    rows = state.join(apart, "key").select("key", "id", "component", other.alias("other"), F.pmod(F.xxhash64("id"), F.when(other, F.col("others")).otherwise(F.col("mains"))).alias("block"))
+    block = save(
+        rows.join(sets, "id").groupBy("key", "other", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("members")),
+        "blocks",
+    )
+    # pairs of blocks: each block of other members with itself, those behind it, and those of the main component
+    numbers = lambda low, n: F.when(n > low, F.sequence(low.cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    pairs = apart.select("key", "mains", "others", F.explode(numbers(F.lit(0), F.col("others"))).alias("i")).select(
+        "key", "i", F.explode(F.concat(
+            F.transform(numbers(F.col("i"), F.col("others")), lambda j: F.struct(F.lit(True).alias("other"), j.alias("j"))),
+            F.transform(numbers(F.lit(0), F.col("mains")), lambda j: F.struct(F.lit(False).alias("other"), j.alias("j"))),
+        )).alias("to"),
+    )
+    left = block.filter("other").select("key", F.col("block").alias("i"), F.col("members").alias("left"))
+    right = block.select("key", F.struct("other", F.col("block").alias("j")).alias("to"), F.col("members").alias("right"))
+    more = save(pairs.join(left, ["key", "i"]).join(right, ["key", "to"]).select("left", "right").mapInArrow(tidy(_compare(percent)), "a long, b long"), "links")
+    for x in (state, apart, block):
+        drop(x)
+    return more
+
+
 def _semi(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """The rows of ``docs`` whose ``name`` is among the saved ``ids``; broadcast while they are few."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -214,7 +265,7 @@ def _semi(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): documents linked where 100 * |A & B| >= percent * |A | B|."""
+    """(doc_id, n_shingles, component_id, kept): documents linked where 100 * |A & B| >= percent * |A | B|; a saved table."""
     every = id_and_text(docs, id_col, text_col)
     signed = save(signatures(every, words_each, bands_for(percent)), "signatures")
     named = signed.filter("doc_id is not null and n > 0")
@@ -223,14 +274,14 @@ def near_duplicates(
         named.groupBy(*digest).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64(*digest)), "classes"
     )
 
-    # buckets with several representatives
+    # buckets with several representatives; sizes and pivots are written, so that a join with them can be split
     spread = classes.select("id", "n", F.explode("keys").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = save(spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     member = save(spread.join(sizes, "key"), "members")
     score = member.groupBy("id").agg(F.sum("size").alias("score"))
-    pivot = member.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n")).alias("p"))
+    pivot = save(member.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
     pairs = save(
-        member.join(pivot.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "key")
+        member.join(pivot, "key")
         .filter((F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
         .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         .distinct(),
@@ -256,33 +307,18 @@ def near_duplicates(
     drop(pairs)
     first = components(links)
 
-    # buckets whose members are still apart, once for each set of members
-    state = member.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = (
-        state.groupBy("key")
-        .agg(
-            F.min("component").alias("main"), F.max("component").alias("high"), F.first("size").alias("size"), F.sum("n").alias("shingles"),
-            F.bit_xor(F.xxhash64("id")).alias("who"),
-        )
-        .filter("main <> high and size > 2")
-        .groupBy("who", "size", "shingles")
-        .agg(F.min_by(F.struct("key", "main"), "key").alias("x"))
-        .select("x.*", F.ceil(F.greatest(F.col("size") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    )
-    rows = save(state.join(apart, "key").select("key", "id", "component", "main", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "apart")
-    full = rows.join(sets, "id").select("key", "block", "main", F.struct("id", "component", "shingles").alias("x"))
-    right = full.groupBy("key", "block").agg(F.collect_list("x").alias("right"))
-    left = full.filter("x.component <> main").groupBy("key", "block").agg(F.collect_list("x").alias("left"))
-    more = save(
-        left.join(right.withColumnRenamed("block", "other"), "key").select("left", "right").mapInArrow(tidy(_compare(percent)), "a long, b long"), "links"
-    )
-    label = components(links.union(more)) if more.limit(1).count() else first
+    more = _left_over(member, first, sets, percent)
+    # texts of one id
+    ids_of = named.select("doc_id", F.xxhash64(*digest).alias("id"))
+    several = save(ids_of.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("doc_id", "a"), "several")
+    same = save(ids_of.join(several, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "same")
+    label = components(links.union(more).union(same)) if more.union(same).limit(1).count() else first
 
     placed = classes.join(label, "id", "left").select(*digest, "doc_id", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     whole = placed.join(smallest, "component").select(*digest, "component_id")
     out = signed.join(whole, digest, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = save(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))), "near-duplicates")
-    for x in (signed, classes, member, ids, sets, links, rows, more):
+    for x in (signed, classes, sizes, member, pivot, ids, sets, links, more, several, same):
         drop(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -102,7 +102,7 @@ def _near_brute(rows, k, percent):
     for a in range(len(sets)):
         for b in range(a):
             s, t = sets[a][1], sets[b][1]
-            if s and t and 100 * len(s & t) >= percent * len(s | t):
+            if s and t and (sets[a][0] == sets[b][0] or 100 * len(s & t) >= percent * len(s | t)):
                 parent[find(a)] = find(b)
     least = {}
     for a, (i, _) in enumerate(sets):
@@ -154,6 +154,28 @@ def test_left_over_members_are_compared_in_blocks(spark, docs):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == _near_brute(rows, 3, 85)
 
 
+def test_texts_of_one_id_are_one_document(spark, docs):
+    rng = random.Random(3)
+    a, b, c = (_family(rng, 2, 2) for _ in range(3))
+    rows = [(5, a[0]), (5, b[0]), (2, a[1]), (7, b[1]), (9, c[0]), (9, c[0]), (9, None), (5, ""), (8, c[1])]
+    rows += [(20 + k, _family(rng, 0, 0)[0]) for k in range(5)] + [(20, _family(rng, 0, 0)[0]) for _ in range(6)]
+    out = neardup.near_duplicates(docs(rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == _near_brute(rows, 3, 85)
+    assert {r.component_id for r in out if r.doc_id in (5, 7, 2) and r.n_shingles} == {2}
+
+
+def test_a_bucket_of_many_unlike_texts(spark, docs, monkeypatch):
+    """A common frame of half of each text: buckets are large, links few."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)
+    rng = random.Random(21)
+    frame = [f"f{k}" for k in range(60)]
+    texts = [" ".join(frame + [f"w{rng.randint(0, 10**6)}" for _ in range(30)]) for _ in range(150)]
+    texts += [t.replace("f7", "g7") for t in texts[:40:4]]
+    rows = [*enumerate(texts)]
+    out = neardup.near_duplicates(docs(rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == _near_brute(rows, 3, 85)
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
