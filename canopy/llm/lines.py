@@ -14,6 +14,10 @@ its own hash, whose first occurrence always explains it.  So pairs of all occurr
 window that stands at an earlier place too is found.
 The first occurrence of a line is never deleted, as what a run is matched with stands earlier.
 
+A gram or a document with very many matches: first occurrences are aggregated before they are shuffled and written,
+and pairs are narrow until both their lines are fetched, so every join is between plain shuffles, of which adaptive
+execution splits the parts that are much larger than others.
+
 Rows: documents are ordered by doc_id (null last), then by a digest of the text; rows that are equal in both
 are one document, and share one result; null text stays null, empty text stays empty; lines without words
 match nothing and go only within a deleted run; very long texts are taken whole; an empty table gives an empty
@@ -119,14 +123,19 @@ def _hashed(docs: DataFrame, text_col: str, gram_words: int, run_words: int) ->
     return docs.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
-def _extended(places: DataFrame, lines: DataFrame, run_words: int, name: str) -> DataFrame:
+def _firsts(places: DataFrame) -> DataFrame:
+    """(key, first) of the keys with several places (key, doc, at), a saved table."""
+    return save(places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "firsts")
+
+
+def _extended(places: DataFrame, first: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
     """(doc, runs): deleted runs by matching the places (key, doc, at) with the first place of their key."""
-    first = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = (
+    pairs = save(
         places.join(first, "key")
         .select("doc", F.col("first.doc").alias("other"), (F.col("at") - F.col("first.at")).alias("shift"))
         .filter("doc <> other or shift > 0")
-        .distinct()
+        .distinct(),
+        "pairs",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +152,9 @@ def _extended(places: DataFrame, lines: DataFrame, run_words: int, name: str) ->
         .select("doc", "shift", "hashes", "words", "earlier")
         .mapInArrow(tidy(run), f"doc {_DOC}, runs array<long>")
     )
-    return save(matched.filter("size(runs) > 0").groupBy("doc").agg(F.flatten(F.collect_set("runs")).alias("runs")), name)
+    found = save(matched.filter("size(runs) > 0").groupBy("doc").agg(F.flatten(F.collect_set("runs")).alias("runs")), "runs")
+    drop(pairs)
+    return found
 
 
 def _begins(runs: str):
@@ -173,13 +184,15 @@ def dedup_lines(
     known = _with_doc(docs, id_col, text_col)
     lines = save(_hashed(known, text_col, gram_words, run_words), "lines")
     prints = lines.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
-    deleted = _extended(prints.select(F.col("gram").alias("key"), "doc", "at"), lines, run_words, "runs")
+    grams = prints.select(F.col("gram").alias("key"), "doc", "at")
+    first = _firsts(grams)
+    deleted = _extended(grams, first, lines, run_words)
 
     # windows of repeated fingerprints that no run explains: once more by whole windows
-    first = prints.groupBy("gram").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     inside = F.exists(_begins("runs"), lambda i: (F.col("begin") >= F.col("runs")[i]) & (F.col("end") <= F.col("runs")[i + 1]))
     odd = (
-        prints.join(first, "gram")
+        prints.withColumnRenamed("gram", "key")
+        .join(first, "key")
         .filter("struct(doc, at) <> first")
         .select("doc", F.inline("windows"))
         .join(deleted, "doc", "left")
@@ -187,10 +200,11 @@ def dedup_lines(
         .select("key")
         .distinct()
     )
-    again = prints.select("doc", F.inline("windows")).join(odd, "key", "left_semi").select("key", "doc", F.col("begin").alias("at"))
-    more = _extended(again, lines, run_words, "runs")
+    again = save(prints.select("doc", F.inline("windows")).join(odd, "key", "left_semi").select("key", "doc", F.col("begin").alias("at")), "windows")
+    first_again = _firsts(again)
+    more = _extended(again, first_again, lines, run_words)
     runs = save(deleted.union(more).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
-    for x in (lines, deleted, more):
+    for x in (lines, first, deleted, again, first_again, more):
         drop(x)
 
     @F.arrow_udf("string")
