@@ -4,11 +4,14 @@ Equal vectors are one node.  A forest of random hyperplanes gives each node a fi
 sorted by their signs, and neighbours on the sorted line are compared in leaves of bounded size.  NN-descent then
 lets neighbours of neighbours meet: Spark joins bring the vectors of all that a node points to, and of all that
 point to it, together; every two of them at least one of which is new are compared, and whoever is nearer than
-the worst neighbour known takes its place.  Nodes that very many point to are met in several groups.
+the worst neighbour known takes its place.  Nodes that very many point to are met in several groups, others in each
+round; of the edges that a node gets, each task passes on its best ``degree``.
 
-A query starts at its own node and walks greedily: in each step the nearest nodes found that were not opened yet
-are opened, and their neighbours (with links both ways) are compared with the query, until the best ``beam``
-nodes are all opened.  Scores are cosines in double precision on the original vectors.
+A query starts at its own node and walks greedily: in each step the nodes among its nearest ``beam`` that were not
+opened yet are opened, their neighbours (with links both ways) that it hasn't met are compared with it, and the
+nearest ``beam`` of all stay, until all of those are opened.  There is no limit of steps: each opens nodes that were
+not opened before, so the walk ends by itself.  What a query has met is one row, its beam at most ``beam`` rows.
+Scores are cosines in double precision on the original vectors, float or double.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of
 different lengths are never compared; rows that repeat an id and vector count as several candidates; ties in the
@@ -26,17 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.batches import bounded_batches, tidy
-from canopy.llm.store import drop, save
+from canopy.llm.store import drop, keep, save, scratch
 
 DEGREE, TREES, LEAF, ROUNDS = 32, 8, 256, 3
-BEAM, GROUP, MAX_STEPS = 128, 128, 30
+BEAM, GROUP = 128, 128
 
 _EDGE = "node long, other long, sim float, fresh boolean"
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, node, vector) of the rows that take part; node names the vector."""
-    rows = bounded_batches(table).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and vector is not null")
+    """(vec_id, node, vector) of the rows that take part; node names the vector.  Floats stay floats, others become doubles."""
+    kind = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = bounded_batches(table).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector")).filter("vec_id is not null and vector is not null")
     v = F.col("vector")
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     return rows.select("vec_id", F.xxhash64("vector").alias("node"), "vector")
@@ -115,24 +119,36 @@ def _leaves(degree: int, leaf: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of (node, worst, fresh, vector): whoever is nearer than the other's worst neighbour."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            group = batch.column(0)[k].values
-            node, worst, fresh = (group.field(f).to_numpy(zero_copy_only=False) for f in ("node", "worst", "fresh"))
-            _, first = np.unique(node, return_index=True)
-            if len(first) < 2:
-                continue
-            young = np.zeros(len(first), bool)
-            np.logical_or.at(young, np.searchsorted(node[first], node), fresh.astype(bool))
-            sims = _matrix(group.field("vector").take(pa.array(first)))
-            sims = sims @ sims.T
-            np.fill_diagonal(sims, -2)
-            good = (sims > worst[first][:, None]) & (young[:, None] | young[None, :])
-            i, j = np.nonzero(good)
-            if len(i):
-                yield _edges(node[first][i], node[first][j], sims[i, j])
+def _meet(degree: int):
+    """mapInArrow function: groups of (node, worst, fresh, vector), where whoever is nearer than the other's worst neighbour is
+    one of its new neighbours, the best ``degree`` of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                group = batch.column(0)[k].values
+                node, worst, fresh = (group.field(f).to_numpy(zero_copy_only=False) for f in ("node", "worst", "fresh"))
+                _, first = np.unique(node, return_index=True)
+                if len(first) < 2:
+                    continue
+                young = np.zeros(len(first), bool)
+                np.logical_or.at(young, np.searchsorted(node[first], node), fresh.astype(bool))
+                vectors = group.field("vector").take(pa.array(first))
+                sizes = vectors.value_lengths().to_numpy()
+                for dim in np.unique(sizes):  # vectors of different lengths meet nowhere but here
+                    at = np.flatnonzero(sizes == dim)
+                    own, low, new = node[first[at]], worst[first[at]], young[at]
+                    sims = _matrix(vectors.take(pa.array(at)))
+                    sims = sims @ sims.T
+                    np.fill_diagonal(sims, -2)
+                    sims[(sims <= low[:, None]) | ~(new[:, None] | new[None, :])] = -2
+                    if len(at) > degree:
+                        sims[sims < np.partition(sims, len(at) - degree, axis=1)[:, len(at) - degree, None]] = -2
+                    i, j = np.nonzero(sims > -2)
+                    if len(i):
+                        yield _edges(own[i], own[j], sims[i, j])
+
+    return run
 
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
@@ -148,29 +164,42 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES,
     n = nodes.count()
     bits = max(0, (n // leaf).bit_length())
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lined = nodes.mapInArrow(tidy(_signs(trees, bits)), "tree int, dim int, code long, at float, node long, vector array<float>")
+    kind = nodes.schema["vector"].dataType.simpleString()
+    lined = nodes.mapInArrow(tidy(_signs(trees, bits)), f"tree int, dim int, code long, at float, node long, vector {kind}")
     lined = lined.repartitionByRange(max(1, min(tasks, n * trees // (4 * leaf))), "tree", "dim", "code", "at").sortWithinPartitions("tree", "dim", "code", "at")
     graph = save(_nearest(lined.mapInArrow(tidy(_leaves(degree, leaf)), _EDGE), degree), "graph")
-    for _ in range(rounds):
+    for turn in range(rounds):
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         both = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh").union(graph.select(F.col("other").alias("centre"), "node", "fresh"))
-        groups = both.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("groups")).filter("groups > 1")
-        both = both.join(groups, "centre", "left").withColumn("part", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("node"), "groups")).otherwise(F.lit(0).cast("long")))
+        groups = save(both.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("groups")).filter("groups > 1"), "groups")
+        part = F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("node", F.lit(turn)), "groups")).otherwise(F.lit(0).cast("long"))
+        both = both.join(groups, "centre", "left").withColumn("part", part)
         met = (
             both.join(nodes.join(worst, "node"), "node")
             .groupBy("centre", "part")
             .agg(F.collect_list(F.struct("node", "worst", "fresh", "vector")).alias("members"))
             .select("members")
-            .mapInArrow(tidy(_meet), _EDGE)
+            .mapInArrow(tidy(_meet(degree)), _EDGE)
         )
         after = save(_nearest(graph.withColumn("fresh", F.lit(False)).union(met), degree), "graph")
         drop(graph)
+        drop(groups)
         graph = after
         if not graph.filter("fresh").limit(1).count():
             break
     return graph
 
 
+def _within_range(m: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles are multiplied by a power of two, which loses nothing."""
+    most = np.abs(m).max(axis=1)
+    far = (most > 1e100) | (most < 1e-100)
+    if far.any():
+        m = m.copy()
+        m[far] = np.ldexp(m[far], -np.frexp(most[far])[1][:, None])
+    return m
+
+
 def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs (query, node) and their cosine in double precision; queries: (query, own vector)."""
 
@@ -184,6 +213,7 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
             for dim in np.unique(a_len[a_len == b_len]).tolist():
                 at = np.flatnonzero((a_len == dim) & (b_len == dim))
                 a, b = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim).astype(np.float64) for c in (left, right))
+                a, b = _within_range(a), _within_range(b)
                 dot = (a * b).sum(axis=1)
                 sims[at] = dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["query", "node", "score"])
@@ -199,43 +229,46 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
-    """(query, node, score) of the best ``beam`` nodes found for each of queries (query, node, vector)."""
+    """(query, node, score) of the best ``beam`` nodes found for each of queries (query, node, vector), a saved table."""
     back = Window.partitionBy("node").orderBy(F.col("sim").desc(), "other")
     turned = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim").withColumn("rank", F.row_number().over(back)).filter(F.col("rank") <= degree)
-    links = save(graph.select("node", "other").union(turned.select("node", "other")).distinct(), "links")
+    links = save(graph.select("node", "other").union(turned.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("others")), "links")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
-    start = queries.select("query", "node").join(links, "node").select("query", F.col("other").alias("node")).distinct()
-    own = queries.select("query", "node", F.lit(1.0).alias("score"), F.lit(True).alias("opened"))
-    state = save(_scored(start, queries, nodes).withColumn("opened", F.lit(False)).union(own), "beam")
-    for _ in range(MAX_STEPS):
-        best = state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam)
-        closed = best.filter("not opened")
-        found = closed.join(links, "node").select("query", F.col("other").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
-        after = _scored(found, queries, nodes).withColumn("opened", F.lit(False))
-        # what fell out of the beam stays known as opened, so that it isn't compared again
-        ranked = state.withColumn("rank", F.row_number().over(order))
-        after = save(ranked.select("query", "node", "score", (F.col("opened") | (F.col("rank") <= beam)).alias("opened")).union(after), "beam")
-        drop(state)
-        state = after
-        rest = state.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= beam) & ~F.col("opened"))
-        if not rest.limit(1).count():
-            break
-    return state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam).select("query", "node", "score")
+    best = save(queries.select("query", "node", F.lit(1.0).alias("score"), F.lit(False).alias("opened")), "beam")
+    met = save(queries.select("query", F.array("node").alias("met")), "met")
+    while best.filter("not opened").limit(1).count():
+        around = best.filter("not opened").join(links, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("around"))
+        step = save(around.join(met, "query").select("query", F.array_except("around", "met").alias("new"), F.array_union("met", "around").alias("met")), "met")
+        scored = _scored(step.select("query", F.explode("new").alias("node")), queries, nodes).withColumn("opened", F.lit(False))
+        every = best.withColumn("opened", F.lit(True)).union(scored)
+        after = save(every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam).drop("rank"), "beam")
+        for x in (best, met):
+            drop(x)
+        best, met = after, step
+    for x in (links, met):
+        drop(x)
+    return best.select("query", "node", "score")
 
 
 def nearest_neighbours(
     table: DataFrame, query_filter: str, k: int = 5, degree: int = DEGREE, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row that ``query_filter`` holds for.
+    """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row that ``query_filter`` holds for; a saved table.
 
     query_filter: a condition on vec_id.
     """
+    with scratch(table.sparkSession):
+        return keep(save(_neighbours(table, query_filter, k, degree, beam, id_col, vector_col), "neighbours"))
+
+
+def _neighbours(table: DataFrame, query_filter: str, k: int, degree: int, beam: int, id_col: str, vector_col: str) -> DataFrame:
     rows = save(usable(table, id_col, vector_col), "vectors")
     nodes = save(rows.groupBy("node").agg(F.first("vector").alias("vector")), "nodes")
     graph = neighbour_graph(nodes, degree)
     asked = rows.filter(query_filter)
     queries = save(asked.groupBy("node").agg(F.first("vector").alias("vector")).select(F.col("node").alias("query"), "node", "vector"), "queries")
     found = greedy_search(queries, graph, nodes, degree, max(beam, k + 1))
+    drop(graph)
     # rows of one vector: only the smallest ids can be among the nearest
     ids = Window.partitionBy("node").orderBy("vec_id")
     few = rows.select("node", "vec_id").withColumn("copy", F.row_number().over(ids)).filter(F.col("copy") <= k + 1)

@@ -273,3 +273,40 @@ def test_neighbours(spark):
     few = neighbours.nearest_neighbours(df.filter("vec_id in (50, 51, 100)"), "vec_id % 50 = 0").collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(50, 51), (50, 100), (100, 50), (100, 51)]
     assert neighbours.nearest_neighbours(df.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def _recall(out, vectors, k=5):
+    """Share of the true nearest that were found, ties counted as found."""
+    ids = sorted(vectors)
+    m = np.array([vectors[i] for i in ids], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    at, found = {i: n for n, i in enumerate(ids)}, defaultdict(list)
+    for r in out:
+        found[r.query_id].append(r.score)
+    hits = total = 0
+    for i in ids:
+        if i % 50 == 0:
+            sims = m @ m[at[i]]
+            sims[at[i]] = -2
+            bar = np.sort(sims)[-k]
+            total += k
+            hits += sum(x >= bar - 1e-9 for x in found[i])
+    return hits / total
+
+
+def test_recall_over_plain_and_clustered_vectors_with_hubs(spark):
+    rng = np.random.default_rng(17)
+    plain = rng.standard_normal((3000, 24))
+    centres = rng.standard_normal((25, 24))
+    clustered = centres[rng.integers(0, 25, 2000)] + 0.05 * rng.standard_normal((2000, 24))
+    hubs = np.concatenate([plain.mean(axis=0, keepdims=True) + 1e-3 * rng.standard_normal((50, 24)), centres + 1e-3])
+    vectors = dict(enumerate(np.concatenate([plain, clustered, hubs]).tolist()))
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    out = neighbours.nearest_neighbours(df, "vec_id % 50 = 0").collect()
+    assert len(out) == 5 * sum(i % 50 == 0 for i in vectors) and _recall(out, vectors) >= 0.9
+
+
+def test_doubles_beyond_floats_keep_their_precision(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1.0, 1.0 + 1e-6]), (2, [1.0, 1.0 + 3e-6]), (3, [1e-300, -1e-300]), (4, [1.0, 2.0])]
+    out = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0").collect()
+    assert [r.vec_id for r in sorted(out, key=lambda r: r.rank)] == [1, 2, 4, 3] and all(abs(r.score) <= 1 + 1e-12 for r in out)
