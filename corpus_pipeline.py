@@ -6,8 +6,15 @@ later repeated runs of lines go, and documents of which nothing is left.  Near-d
 document with the smallest id stays (five-word shingles, similarity 0.8).  Packing: every piece gets its place.
 
 A verdict holds for its row alone, whatever other rows have its id: stages that reject rows write a number to each
-at their start and reject by it.  Rows without an id are judged as all others; in near-dedup they come after those
-with one, and of rows that share an id the one with the smallest number comes first.
+at their start and reject by it.
+
+Rows: null and empty texts are scored like others by the classifier, and what it keeps of them the quality rules
+reject (fewer than ten words); texts are taken whole at any length; rows without an id are judged as all others, and
+in near-dedup they come after those with one; of rows that repeat an id, or an id and a text, the one with the
+smallest number comes first, so of exact repeats one row stays; ties in near-dedup are decided by the smaller id; an
+empty table gives an empty result; other columns are kept up to packing, whatever their names (but ``__row``), and
+of those of the documents only doc_id and text must be there.  Tables that a stage has saved are deleted when its
+own result is written.
 """
 
 from __future__ import annotations
@@ -17,9 +24,8 @@ from pyspark.sql import functions as F
 
 from canopy.llm import lines, neardup, packing, quality, repeats
 from canopy.llm.queries import PACK_TOKENIZER
-from canopy.llm.store import save
+from canopy.llm.store import drop, keep, save, scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "__row"
 #: Row numbers up to this count may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -27,14 +33,14 @@ BROADCAST_IDS = 2_000_000
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents with a written number of each row."""
-    return save(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents whose number isn't among ``rejected``; a stage rejects few, so those are what is joined."""
     gone = save(rejected.select(F.col("row").alias(ROW)), "rejected")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +55,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs).filter("n_deleted = 0 or text rlike '[^ \\\\t-\\\\r]'")
-    changed = F.col("n_deleted") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    had = docs.columns  # may have a column n_deleted of its own
+    out = lines.dedup_lines(docs.withColumnsRenamed({"n_deleted": "__n_deleted"})).filter("n_deleted = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    if "n_chars" in had:
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("n_deleted").withColumnsRenamed({"__n_deleted": "n_deleted"}).select(*had)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +91,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn; what a stage returns is written as Parquet and read as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            after = keep(save(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        drop(docs)
+        docs = after
     return docs
