@@ -4,12 +4,13 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from canopy.llm import lines, quality, repeats
+from canopy.llm import lines, quality, repeats, store
 from canopy.llm.store import save
 from tests.llm.test_group_operators import _near_brute, _windows
 from tests.llm.test_text_operators import _brute_repeats
 
 SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_every_stage_against_brute_force(spark):
@@ -18,7 +19,7 @@ def test_every_stage_against_brute_force(spark):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = save(stage(spark, docs, SF), f"test-{k}")
         if k < 4:
-            assert docs.columns == corpus_pipeline.COLUMNS, name
+            assert docs.columns == COLUMNS, name
             tables.append({r.doc_id: r for r in docs.collect()})
     before, scored, ruled, cut, kept = tables
 
@@ -87,6 +88,50 @@ def test_near_dedup_keeps_one_row_of_a_component(spark):
     assert out == sorted([(3, near), (7, b), (0, c), (0, ""), (0, ""), (9, "")])
 
 
+def _through(spark, docs):
+    """The documents after each stage."""
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = save(stage(spark, docs, SF), f"through-{k}")
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    """Nulls in every column, empty and very long texts, exact repeats, repeated ids, clashing columns."""
+    source = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and 60 < len(r.text.split()) < 300]
+    quality_model = quality.fit(quality.text_features(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet"))
+    good = [t for t in sorted(set(source)) if quality_model.score(np.array([quality.features_of(t)]))[0] > 0.9 and repeats.measure([t])[0][5] == 0 and repeats.measure([t])[0][4] == 0]
+    assert len(good) > 30
+    long = "\n".join(good[20:])  # all lines of many documents
+    rows = [(900, good[0]), (900, good[0]), (901, good[0]), (None, good[0]), (902, good[1]), (902, good[2]), (None, good[3]), (None, None), (903, None), (904, ""), (905, "\n \n"), (906, long), (907, "short")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, n_deleted long, keys string, uid long, piece string"
+    docs = spark.createDataFrame([(i, t, None, None, None, "r", 1, 5, "k", 2, "p") for i, t in rows], columns)
+    stages = _through(spark, docs)
+    assert all(d.columns == docs.columns for d in stages[:-1])
+    kept = stages[3].collect()
+    assert sorted(r.text for r in kept if r.doc_id != 906) == sorted(good[:4])
+    by_text = {r.text: r for r in kept}
+    assert by_text[good[0]].doc_id == 900 and by_text[good[1]].doc_id == by_text[good[2]].doc_id == 902 and by_text[good[3]].doc_id is None
+    assert all(r.n_deleted == 5 and r.n_chars is None for r in kept if r.doc_id != 906)
+    packed = stages[4].collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in kept}
+
+
+def test_empty_and_narrow_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [d.count() for d in _through(spark, docs.limit(0))] == [0] * 5
+    narrow = _through(spark, docs.select("text", "doc_id"))
+    full = _through(spark, docs)
+    assert [d.count() for d in narrow] == [d.count() for d in full] and narrow[3].columns == ["text", "doc_id"]
+
+
+def test_saved_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and [x.name.rpartition("-")[0] for x in (tmp_path / "canopy").iterdir()] == ["best-fit-packing"]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
