@@ -55,6 +55,30 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
             yield ids, texts
 
 
+def text_column(kind: str, values: Callable[[list[str]], list]):
+    """A column function of a text: ``values`` of a few texts (null: empty) at a time, as Arrow values of ``kind``.
+
+    Only the text goes to Python, whatever the other columns of the rows.
+    """
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            out = []
+            for _, part in slices([pa.RecordBatch.from_arrays([pa.nulls(len(some)), some], names=["id", "text"])]):
+                out += values(part)
+            yield pa.array(out, KINDS[kind])
+
+    def wrapped(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(run)(texts)
+
+    # not deterministic: so that a filter on the column doesn't compute it once more
+    return F.arrow_udf(wrapped, kind).asNondeterministic()
+
+
+#: Kinds of text columns.
+KINDS = {"double": pa.float64(), "boolean": pa.bool_()}
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, so that the scan reads no more."""
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,13 +1,13 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Features of a text are counted in NumPy inside tasks, and written down once.  Each feature is cut into bins by
-quantiles.  Training boosts in cycles: in each round every feature in turn gets a shallow tree on the bins of
+Features of a text are counted in NumPy inside tasks.  Each feature is cut into bins by quantiles.  Training boosts in cycles: in each round every feature in turn gets a shallow tree on the bins of
 that feature alone, fitted to the gradient of the logistic loss, and its leaf values are added to the feature's
 lookup table.  Pairs of features whose four-cell trees explain most of what is left then get tables of their
 own in the same way.  A score is the logistic of a sum of table entries, looked up by arrays of bins.
 
 Training rows are at most ``sample`` labelled rows, those with the smallest hash of doc_id; that bound is a
-parameter, and everything else covers all rows.  Features come from the text alone.
+parameter, and everything else covers all rows.  Ids are chosen first, so that only texts of chosen ids are read
+for training.  Features come from the text alone; a text is scored where it is read, and nothing is written.
 
 Rows: null and empty texts have features of zero and get a score like all others; texts are read whole;
 rows of one doc_id are scored one by one; labels that are null, or other than 0 and 1, and rows without an id
@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.batches import bounded_batches, slices, tidy
-from canopy.llm.store import save
+from canopy.llm.batches import bounded_batches, id_and_text, slices, text_column, tidy
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, LEAVES = 20_000, 32, 60, 6, 30, 0.2, 4
 THRESHOLD, FOLDS = 0.3, 5
@@ -57,20 +56,14 @@ def features_of(text: str) -> list[float]:
     ]
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(doc_id, features[, row]) of each document; row: the column ``row_col``, by which rows of one id are told apart."""
-    more = [F.col(row_col).cast("long").alias("row")] if row_col else []
+def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, features) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in slices(batches):
-            values = pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))
-            ids, *rows = (pa.array([k[name] for k in keys], pa.int64()) for name in names)
-            yield pa.RecordBatch.from_arrays([ids, values, *rows], names=["doc_id", "features", *names[1:]])
+        for ids, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([features_of(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "features"])
 
-    names = ["doc_id", *["row"] * len(more)]
-    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), *more).alias("key")
-    read = bounded_batches(docs).select(key, F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(tidy(run), "doc_id long, features array<double>" + ", row long" * len(more))
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, features array<double>")
 
 
 @dataclass
@@ -179,33 +172,32 @@ def remainder(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % FOLDS
 
 
-def fit(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Additive:
     """Train on the labelled rows whose remainder isn't 0, at most ``sample``; labels: (doc_id, quality)."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality in (0, 1)").filter(remainder("doc_id") != 0)
-    rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).toArrow()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality in (0, 1)").filter(remainder("doc_id") != 0).distinct()
+    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
+    present = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    chosen = known.join(present, "doc_id", "left_semi").orderBy(*order).limit(sample)
+    read = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = text_features(read).join(F.broadcast(chosen), "doc_id").orderBy(*order, "features").limit(sample).toArrow()
     x = np.array(rows.column("features").to_pylist(), float).reshape(rows.num_rows, len(FEATURES))
     return train(x, np.array(rows.column("quality").to_pylist(), float))
 
 
-def scores(features: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted[, row]) of each row of features."""
-    more = [c for c in features.columns if c == "row"]
+def score_of(model: Additive):
+    """The column function that scores a text."""
+    return text_column("double", lambda texts: model.score(np.array([features_of(t) for t in texts]).reshape(len(texts), len(FEATURES))).tolist())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            score = model.score(flat.reshape(batch.num_rows, len(FEATURES)))
-            rows = [batch.column(2 + k) for k in range(len(more))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *rows], names=["doc_id", "score", *more])
 
-    scored = features.mapInArrow(tidy(run), "doc_id long, score double" + ", row long" * len(more))
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, by a model trained on the labelled ones."""
+    score = score_of(fit(docs, labels, sample, id_col, text_col))
+    scored = id_and_text(docs, id_col, text_col).select("doc_id", score("text").alias("score"))
     held_out = F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
-) -> DataFrame:
-    """Train on the labelled documents and score all of them; with ``row_col``, each score has the row it belongs to."""
-    features = save(text_features(docs, id_col, text_col, row_col), "features")
-    return scores(features, fit(features.drop("row"), labels, sample), threshold)
+def keep_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` at least."""
+    score = score_of(fit(docs, labels, sample, id_col, text_col))
+    return bounded_batches(docs).withColumn("__score", score(F.col(text_col).cast("string"))).filter(F.col("__score") >= threshold).drop("__score")

@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from canopy.llm.batches import id_and_text, tidy
+from canopy.llm.batches import bounded_batches, id_and_text, text_column, tidy
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.3, 200
@@ -242,6 +243,20 @@ def measure(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> list[tuple
     return out
 
 
+def verdicts(rows: list[tuple], max_covered: float, max_longest: int) -> tuple[list[bool], list[bool]]:
+    """Which of the measured texts fail the base rules, and which are kept."""
+    failed = [r[0] < MIN_WORDS or 100 * r[4] > MAX_REPEAT_PERCENT * r[0] for r in rows]
+    return failed, [not f and r[5] <= max_covered and r[6] <= max_longest for f, r in zip(failed, rows, strict=True)]
+
+
+def keep_documents(
+    docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts the rules keep."""
+    kept = text_column("boolean", lambda texts: verdicts(measure(texts, min_repeat), max_covered, max_longest)[1])
+    return bounded_batches(docs).withColumn("__kept", kept(F.col(text_col).cast("string"))).filter("__kept").drop("__kept")
+
+
 def repetition_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -254,8 +269,7 @@ def repetition_rules(
 
     def flush(ids: list, texts: list) -> pa.RecordBatch:
         rows = measure(texts, min_repeat)
-        failed = [r[0] < MIN_WORDS or 100 * r[4] > MAX_REPEAT_PERCENT * r[0] for r in rows]
-        kept = [not f and r[5] <= max_covered and r[6] <= max_longest for f, r in zip(failed, rows, strict=True)]
+        failed, kept = verdicts(rows, max_covered, max_longest)
         long = pa.int64()
         cols = [pa.array(ids, long), *(pa.array([r[i] for r in rows], long) for i in range(5)), pa.array(failed, pa.bool_())]
         cols += [pa.array([r[5] for r in rows], pa.float64()), *(pa.array([r[k] for r in rows], long) for k in (6, 7)), pa.array(kept, pa.bool_())]

@@ -27,7 +27,7 @@ def test_every_stage_against_brute_force(spark):
     known = [i for i in before if i in labels]
     assert sum((i in scored) == (labels[i] == 1) for i in known) >= 0.95 * len(known)
     source = spark.read.parquet(f"{SF}/documents.parquet")
-    model = quality.fit(quality.text_features(source), spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.fit(source, spark.read.parquet(f"{SF}/labels.parquet"))
     scores = model.score(np.array([quality.features_of(before[i].text or "") for i in before]))
     assert set(scored) == {i for i, s in zip(before, scores, strict=True) if s >= quality.THRESHOLD}
 
@@ -88,6 +88,19 @@ def test_near_dedup_keeps_one_row_of_a_component(spark):
     assert out == sorted([(3, near), (7, b), (0, c), (0, ""), (0, ""), (9, "")])
 
 
+def test_row_numbers_are_found_again(spark, tmp_path):
+    spark.range(1000).selectExpr("id as doc_id", "repeat('x', 1000) as text").repartition(7).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    rows = corpus_pipeline._numbered(docs)
+    assert rows.columns == ["doc_id", "text", corpus_pipeline.ROW]
+    first = {r.doc_id: r[corpus_pipeline.ROW] for r in rows.drop("text").collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    again = {r.doc_id: r[corpus_pipeline.ROW] for r in rows.repartition(3).select("doc_id", corpus_pipeline.ROW).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert first == again and len(set(first.values())) == 1000
+
+
 def _through(spark, docs):
     """The documents after each stage."""
     out = []
@@ -100,7 +113,7 @@ def _through(spark, docs):
 def test_odd_rows_go_through_every_stage(spark):
     """Nulls in every column, empty and very long texts, exact repeats, repeated ids, clashing columns."""
     source = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and 60 < len(r.text.split()) < 300]
-    quality_model = quality.fit(quality.text_features(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet"))
+    quality_model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     good = [t for t in sorted(set(source)) if quality_model.score(np.array([quality.features_of(t)]))[0] > 0.9 and repeats.measure([t])[0][5] == 0 and repeats.measure([t])[0][4] == 0]
     assert len(good) > 30
     long = "\n".join(good[20:])  # all lines of many documents
