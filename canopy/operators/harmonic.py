@@ -122,12 +122,21 @@ def robust_fit(df: DataFrame, window: list[str], pixel: list[str], date: str, y:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(**{date: pd.to_datetime(rows[date])})
-        cube = rows.pivot_table(index=date, columns=keys, values=[y, w], aggfunc="mean", dropna=False, observed=True)
-        values, weights = cube[y], cube[w].fillna(0.0)
-        t = ((values.index - values.index[0]).days / YEAR).to_numpy(float)
-        out = fit_series(values.to_numpy(float), weights.to_numpy(float), t, harmonics, max_iter, tolerance)
-        index = values.columns.to_frame(index=False)
-        return pd.concat([index, pd.DataFrame(out, columns=names)], axis=1)
+        days, at = np.unique(rows[date].to_numpy(), return_inverse=True)
+        own = rows.groupby(keys, sort=True, dropna=False, observed=True).ngroup().to_numpy()  # only pixels that are there
+
+        def cube(column: str) -> np.ndarray:
+            found = rows[column].to_numpy(float)
+            there = ~np.isnan(found)
+            total, n = np.zeros((2, len(days), own.max() + 1))
+            np.add.at(total, (at[there], own[there]), found[there])
+            np.add.at(n, (at[there], own[there]), 1)
+            return np.divide(total, n, out=np.full(n.shape, np.nan), where=n > 0)
+
+        t = (days - days[0]) / np.timedelta64(1, "D") / YEAR
+        out = fit_series(cube(y), np.nan_to_num(cube(w)), t, harmonics, max_iter, tolerance)
+        _, first = np.unique(own, return_index=True)
+        return pd.concat([rows[keys].iloc[first].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{n} double" for n in names])
     return df.select(*keys, date, y, w).groupBy(*window).applyInPandas(run, schema)

@@ -28,13 +28,17 @@ def with_folds(df: DataFrame, folds: DataFrame, tile: str) -> DataFrame:
     return df.join(folds.select(tile, "fold"), tile)
 
 
-def fold_distribution(df: DataFrame, k: int = 5, label: str = "y_true") -> DataFrame:
-    """Training and validation rows of each class in each fold, their shares and ratio."""
+def fold_distribution(df: DataFrame, k: int = 5, region: str = "eco_region") -> DataFrame:
+    """Training, validation and all rows of each region in each fold, their shares and ratio.
+
+    Regions without training rows in a fold are left out there; the ratio to no validation rows, which is infinite, is null.
+    """
     folds = df.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("f"))
-    counts = df.groupBy(label, "fold").agg(F.count("*").alias("n"))
-    per = counts.crossJoin(F.broadcast(folds)).groupBy("f", label).agg(F.sum(F.when(F.col("fold") == F.col("f"), F.col("n")).otherwise(0)).alias("val"), F.sum(F.when(F.col("fold") != F.col("f"), F.col("n")).otherwise(0)).alias("train"))
+    counts = df.groupBy(region, "fold").agg(F.count("*").alias("n"))
+    per = counts.crossJoin(F.broadcast(folds)).groupBy("f", region).agg(F.sum(F.when(F.col("fold") == F.col("f"), F.col("n")).otherwise(0)).alias("val"), F.sum(F.when(F.col("fold") != F.col("f"), F.col("n")).otherwise(0)).alias("train"))
     over = Window.partitionBy("f")
-    return per.select(F.col("f").alias("fold"), F.col(label).alias("label"), "train", "val", (100 * ratio(F.col("train"), F.sum("train").over(over))).alias("train_pct"), (100 * ratio(F.col("val"), F.sum("val").over(over))).alias("val_pct"), ratio(F.col("train"), F.col("val"), "null").alias("train_val_ratio"))
+    shares = [(100 * ratio(F.col(c), F.sum(c).over(over))).alias(f"{c}_pct") for c in ("train", "val")]
+    return per.select(F.col("f").alias("fold"), region, "train", "val", (F.col("train") + F.col("val")).alias("total"), *shares, ratio(F.col("train"), F.col("val"), "null").alias("train_val_ratio")).filter("train > 0")
 
 
 def area_weights(df: DataFrame, areas: DataFrame, region: str, missing: str = "zero") -> DataFrame:

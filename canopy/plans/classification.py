@@ -121,11 +121,11 @@ def fold_assignment_sizes(spark, sf_dir):
     return s.balanced_folds(tiles(spark, sf_dir), "eco_region", "tile_id", 5).groupBy("eco_region", "fold").agg(F.count("*").alias("tiles"))
 
 
-@query(f"""WITH {PIXELS_SQL}, {_FOLDS_SQL}, c AS (SELECT y_true AS label, fold, count(*) AS n FROM pixels JOIN folds USING (tile_id) GROUP BY 1, 2),
-p AS (SELECT CAST(f AS INT) AS fold, label, CAST(sum(CASE WHEN c.fold = f THEN n ELSE 0 END) AS BIGINT) AS val, CAST(sum(CASE WHEN c.fold <> f THEN n ELSE 0 END) AS BIGINT) AS train FROM c CROSS JOIN range(1, 6) r(f) GROUP BY 1, 2)
-SELECT fold, label, train, val, round(100 * train / sum(train) OVER (PARTITION BY fold), 6) AS train_pct, round(100 * val / sum(val) OVER (PARTITION BY fold), 6) AS val_pct, round(train / nullif(val, 0), 6) AS train_val_ratio FROM p""")
+@query(f"""WITH {PIXELS_SQL}, {_FOLDS_SQL}, c AS (SELECT pixels.eco_region, fold, count(*) AS n FROM pixels JOIN folds USING (tile_id) GROUP BY 1, 2),
+p AS (SELECT CAST(f AS INT) AS fold, eco_region, CAST(sum(CASE WHEN c.fold = f THEN n ELSE 0 END) AS BIGINT) AS val, CAST(sum(CASE WHEN c.fold <> f THEN n ELSE 0 END) AS BIGINT) AS train FROM c CROSS JOIN range(1, 6) r(f) GROUP BY 1, 2)
+SELECT * FROM (SELECT fold, eco_region, train, val, train + val AS total, round(coalesce(100 * train / nullif(sum(train) OVER (PARTITION BY fold), 0), 0), 6) AS train_pct, round(coalesce(100 * val / nullif(sum(val) OVER (PARTITION BY fold), 0), 0), 6) AS val_pct, round(train / nullif(val, 0), 6) AS train_val_ratio FROM p) WHERE train > 0""")
 def fold_distribution(spark, sf_dir):
-    """Training and validation rows of each class and fold."""
+    """Training and validation rows of each region and fold."""
     return rounded(s.fold_distribution(s.with_folds(pixels(spark, sf_dir), _folds(spark, sf_dir), "tile_id")))
 
 

@@ -177,11 +177,11 @@ def point_in_box_join(spark, sf_dir):
     return hits.groupBy("tile_id").agg(F.count("*").alias("points"), F.sum("c_custkey").alias("keys"))
 
 
-@query(f"""WITH {_POINTS_SQL}, c AS (SELECT s_suppkey AS region, s_suppkey % 5 * 8.0 + 0.003 AS x0, s_suppkey // 5 * 10.0 + 0.003 AS y0 FROM supplier WHERE s_suppkey < 20), t AS (SELECT c_custkey AS tile_id, x, y FROM p)
-SELECT tile_id, coalesce(min(region) FILTER (x - x0 > 0 AND y - y0 > 0 AND (x - x0) / 7 + (y - y0) / 9 < 1), -1) AS region FROM t CROSS JOIN c GROUP BY 1""")
+@query(f"""WITH {_POINTS_SQL}, c AS (SELECT s_suppkey AS region, s_suppkey % 5 * 8.0 + 0.003 AS x0, s_suppkey // 5 % 4 * 10.0 + s_suppkey // 20 * 0.01 + 0.003 AS y0 FROM supplier), t AS (SELECT c_custkey AS tile_id, x, y FROM p)
+SELECT tile_id, coalesce(CAST(min(CAST(region AS VARCHAR)) FILTER (x - x0 > 0 AND y - y0 > 0 AND (x - x0) / 7 + (y - y0) / 9 < 1) AS BIGINT), -1) AS region FROM t CROSS JOIN c GROUP BY 1""")
 def centroid_within_region(spark, sf_dir):
-    """Tiles to the region (a triangle) that holds their centre."""
-    at = table(spark, sf_dir, "supplier").filter("s_suppkey < 20").select(F.col("s_suppkey").cast("string").alias("region"), (F.col("s_suppkey") % 5 * 8.0 + 0.003).alias("x0"), (F.floor(F.col("s_suppkey") / 5) * 10.0 + 0.003).alias("y0"))
+    """Tiles to the region (a triangle, of several the first name) that holds their centre."""
+    at = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("region"), (F.col("s_suppkey") % 5 * 8.0 + 0.003).alias("x0"), (F.floor(F.col("s_suppkey") / 5) % 4 * 10.0 + F.floor(F.col("s_suppkey") / 20) * 0.01 + 0.003).alias("y0"))
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     regions = at.select("region", F.array(corner(0, 0), corner(7, 0), corner(0, 9)).alias("ring"))
     points = _points(spark, sf_dir)
@@ -204,13 +204,15 @@ def greedy_tile_selection(spark, sf_dir):
     return geo.farthest_selection(placed, "eco_region", "needed", 4000.0)
 
 
-_RECT_SQL = "q AS (SELECT s_suppkey AS k, s_suppkey * 17 % 110 AS x0, s_suppkey * 29 % 100 AS y0 FROM supplier WHERE s_suppkey < 60)"
+_RECT_SQL = 'q AS (SELECT s_suppkey AS k, s_suppkey * 17 % 110 AS x0, s_suppkey * 29 % (SELECT max("row") + 1 FROM grid) AS y0 FROM supplier)'
 
 
 @query(f"""WITH {GRID_SQL}, {_RECT_SQL} SELECT "row", col, coalesce(arg_max(k % 7 + 1, k), 0) AS value FROM grid LEFT JOIN q ON col + 0.5 > x0 + 0.25 AND col + 0.5 < x0 + 12.25 AND "row" + 0.5 > y0 + 0.25 AND "row" + 0.5 < y0 + 9.25 GROUP BY 1, 2""")
 def rasterize_last_wins(spark, sf_dir):
     """Polygons burnt into cells by their centres; the later one wins."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 60").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 17 % 110).alias("x0"), (F.col("s_suppkey") * 29 % 100).alias("y0"))
+    extent = grid(spark, sf_dir).agg((F.max("row") + 1).alias("height"))
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(extent))  # one row
+    s = s.select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 17 % 110).alias("x0"), (F.col("s_suppkey") * 29 % F.col("height")).alias("y0"))
     x0, y0 = F.col("x0"), F.col("y0")
     polygons = s.select("k", (F.col("k") % 7 + 1).alias("v"), geo.box(x0 + 0.25, y0 + 0.25, x0 + 12.25, y0 + 9.25).alias("ring"))
     return ra.rasterised(grid(spark, sf_dir).select("row", "col"), polygons, F.col("col") + 0.5, F.col("row") + 0.5, "v", "k", 1.0)

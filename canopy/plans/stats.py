@@ -13,12 +13,12 @@ from canopy.plans.proxies import AREAS_SQL, PIXELS_SQL, areas, pixels, rounded,
 from canopy.plans.registry import query
 
 
-@query(f"""WITH {PIXELS_SQL}, c AS (SELECT tile_id, count(*) FILTER (genus = 1) AS count_1, count(*) FILTER (genus = 2) AS count_2, count(*) FILTER (genus IN (1, 2)) AS total, min(eco_region) AS eco_region FROM pixels WHERE l_quantity < 3 OR tile_id % 2 = 0 GROUP BY 1),
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT tile_id, count(*) FILTER (genus = 1) AS count_1, count(*) FILTER (genus = 2) AS count_2, count(*) FILTER (genus IN (1, 2)) AS total, min(eco_region) AS eco_region FROM pixels GROUP BY 1),
 r AS (SELECT *, coalesce(count_1 / nullif(total, 0), 0) AS ratio_1, coalesce(count_2 / nullif(total, 0), 0) AS ratio_2 FROM c)
 SELECT tile_id, count_1, count_2, total, eco_region, round(ratio_1, 6) AS ratio_1, round(ratio_2, 6) AS ratio_2, round(CASE WHEN ratio_1 > 0 THEN -ratio_1 * ln(ratio_1) ELSE 0 END + CASE WHEN ratio_2 > 0 THEN -ratio_2 * ln(ratio_2) ELSE 0 END, 6) AS shannon FROM r""")
 def tile_label_stats(spark, sf_dir):
     """Class counts, shares and Shannon index of each tile."""
-    return rounded(st.label_stats(pixels(spark, sf_dir).filter("l_quantity < 3 or tile_id % 2 = 0"), "tile_id", "genus", "eco_region", [1, 2]))
+    return rounded(st.label_stats(pixels(spark, sf_dir), "tile_id", "genus", "eco_region", [1, 2]))
 
 
 _DELTA_SQL = f"""{PIXELS_SQL}, a0 AS (SELECT tile_id, eco_region, {_COUNTS} FROM pixels WHERE l_discount <= 0.05 GROUP BY 1, 2), a AS (SELECT *, (f1_deciduous + f1_evergreen) / 2 AS f1_macro FROM ({_RATIOS} FROM a0)),

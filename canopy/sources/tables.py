@@ -39,13 +39,20 @@ def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
 
 
 def rewrite(spark: SparkSession, path: str, change: Any) -> None:
-    """Replace a table by ``change(table)``: written beside it, then put in its place."""
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    """Replace a table by ``change(table)``: written beside it, then put in its place.
+
+    The old table is deleted last; whenever this stops, it or the new one is there whole, under the path or beside it.
+    """
+    staged, aside = (f"{path.rstrip('/')}-{uuid.uuid4().hex}-{k}" for k in ("new", "old"))
     change(spark.read.parquet(path)).write.parquet(staged)
-    fs, old = _fs(spark, path)
-    fs.delete(old, True)
-    if not fs.rename(_fs(spark, staged)[1], old):
+    fs, at = _fs(spark, path)
+    new, old = (_fs(spark, p)[1] for p in (staged, aside))
+    if not fs.rename(at, old):
+        raise OSError(f"{path} couldn't be renamed to {aside}")
+    if not fs.rename(new, at):
+        fs.rename(old, at)
         raise OSError(f"{staged} couldn't be renamed to {path}")
+    fs.delete(old, True)
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
@@ -53,6 +60,20 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def merge_partitions(df: DataFrame, path: str, by: str, key: list[str]) -> None:
+    """Put the rows of ``df`` into a table partitioned by ``by``: old rows of the same key go, all others stay.
+
+    Only the partitions that ``df`` has are read and written; doing it twice is as doing it once.
+    """
+    spark = df.sparkSession
+    fs, where = _fs(spark, path)
+    if fs.exists(where):
+        old = spark.read.parquet(path).withColumn(by, F.col(by).cast(df.schema[by].dataType))
+        old = old.join(df.select(by).distinct(), by, "left_semi").join(df.select(*key), key, "left_anti")
+        df = df.unionByName(old, allowMissingColumns=True)
+    replace_partitions(df, path, by)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -95,14 +116,16 @@ def write_document(spark: SparkSession, content: Any, path: str) -> None:
 
 
 def read_document(spark: SparkSession, path: str) -> Any:
-    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    found = spark.read.text(path, wholetext=True).first()
+    return json.loads(found["value"] if found else "")
 
 
 def upsert_document(spark: SparkSession, path: str, key: str, value: Any) -> dict:
-    """Put one key into a JSON document; a missing or broken one counts as empty."""
+    """Put one key into a JSON document; a missing or broken one counts as empty, other errors of reading are raised."""
+    fs, where = _fs(spark, path)
     try:
-        content = read_document(spark, path)
-    except Exception:  # noqa: BLE001  not there, or not JSON
+        content = read_document(spark, path) if fs.exists(where) else {}
+    except json.JSONDecodeError:
         content = {}
     content = (content if isinstance(content, dict) else {}) | {key: value}
     write_document(spark, content, path)

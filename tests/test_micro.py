@@ -269,3 +269,12 @@ def test_monge_map_moves_moments(spark):
     s, t = (spark.createDataFrame(x.tolist(), "a double, b double") for x in (source, target))
     moved = np.array(ml.aligned(s, t, ["a", "b"]).select("a", "b").collect())
     assert moved.mean(axis=0) == pytest.approx(target.mean(axis=0), abs=1e-6) and np.cov(moved.T) == pytest.approx(np.cov(target.T), abs=1e-3)
+
+
+def test_robust_fit_makes_no_pixels(spark):
+    days = [f"2023-{m:02d}-15" for m in range(1, 13)]
+    rows = [(1, r, c, d, float(10 + (k % 4) + r), 1.0) for r, c in ((0, 0), (5, 9)) for k, d in enumerate(days)]
+    rows += [(1, 5, 9, days[0], None, 1.0)]
+    df = spark.createDataFrame(rows, "tile int, row int, col int, date string, y double, w double").withColumn("date", F.to_date("date"))
+    out = {(r.row, r.col): r for r in harmonic.robust_fit(df, ["tile"], ["row", "col"], "date", "y", "w").collect()}
+    assert set(out) == {(0, 0), (5, 9)} and abs(out[5, 9].offset - out[0, 0].offset - 5) < 1e-6

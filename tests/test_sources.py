@@ -25,6 +25,16 @@ def test_tables(spark, tmp_path):
     assert dict(tables.coerced(text).dtypes) == {"n": "double", "t": "string"}
 
 
+def test_rewrite_keeps_a_table_when_a_step_fails(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/t"
+    spark.range(5).write.parquet(at)
+    with pytest.raises(ZeroDivisionError):
+        tables.rewrite(spark, at, lambda t: 1 / 0)
+    assert spark.read.parquet(at).count() == 5
+    tables.rewrite(spark, at, lambda t: t.filter("id > 0"))
+    assert spark.read.parquet(at).count() == 4 and [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
 def test_documents(spark, tmp_path):
     at = f"file://{tmp_path}/d.json"
     assert tables.upsert_document(spark, at, "2023-01-15", 3.5) == {"2023-01-15": 3.5}
@@ -75,9 +85,9 @@ def test_geojson_and_reports(spark):
 def test_incremental_runs(spark, tmp_path):
     at = f"file://{tmp_path}"
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, r string").write.parquet(f"{at}/in")
-    args = (spark, f"{at}/in", "k int, r string", f"{at}/out", f"{at}/state", "r")
+    args = (spark, f"{at}/in", "k int, r string", f"{at}/out", f"{at}/state", "r", ["k"])
     run_available(*args)
-    spark.createDataFrame([(3, "b")], "k int, r string").write.mode("append").parquet(f"{at}/in")
+    spark.createDataFrame([(3, "b"), (2, "b")], "k int, r string").write.mode("append").parquet(f"{at}/in")
     run_available(*args)
     run_available(*args)
-    assert sorted((r.k, r.r) for r in spark.read.parquet(f"{at}/out").collect()) == [(1, "a"), (3, "b")]
+    assert sorted((r.k, r.r) for r in spark.read.parquet(f"{at}/out").collect()) == [(1, "a"), (2, "b"), (3, "b")]
