@@ -7,9 +7,10 @@ Extra trees, kernel machines and neural networks have no counterpart in Spark ML
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -196,15 +197,29 @@ def pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list
 
 
 def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Mean and covariance of the features of each domain; one row for each domain reaches the driver."""
+    """Mean and covariance of the features of each domain, over rows with all features.
+
+    Each batch of rows is one matrix of products for each domain; those are added in an aggregation, and (p + 1) squared
+    numbers for each domain reach the driver.  Means of all rows are taken off first, so that the products stay small.
+    """
     p = len(features)
-    sums = [F.avg(f) for f in features] + [F.covar_pop(a, b) for i, a in enumerate(features) for b in features[i:]]
+    df = df.select(*domain, *[F.col(f).cast("double").alias(f) for f in features]).na.drop(subset=features)
+    centre = np.array([x or 0.0 for x in df.agg(*[F.avg(f) for f in features]).first()], float)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for name, part in rows.groupby(domain, sort=False, dropna=False):
+                x = np.column_stack((np.ones(len(part)), part[features].to_numpy(float) - centre))
+                yield pd.DataFrame({**{d: [v] for d, v in zip(domain, name, strict=True)}, "sums": [(x.T @ x).ravel()]})
+
+    gram = df.mapInPandas(products, ", ".join(f"`{d}` {kinds[d]}" for d in domain) + ", sums array<double>")
+    added = gram.select(*domain, F.posexplode("sums").alias("at", "x")).groupBy(*domain, "at").agg(F.sum("x").alias("x"))
     out = {}
-    for row in df.groupBy(*domain).agg(*[s.alias(f"m{i}") for i, s in enumerate(sums)]).collect():
-        values = np.array([row[f"m{i}"] for i in range(len(sums))], float)
-        cov = np.zeros((p, p))
-        cov[np.triu_indices(p)] = values[p:]
-        out[tuple(row[d] for d in domain)] = values[:p], cov + np.triu(cov, 1).T
+    for row in added.groupBy(*domain).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("sums")).collect():
+        g = np.array([s["x"] for s in row["sums"]], float).reshape(p + 1, p + 1)
+        mean = g[0, 1:] / g[0, 0]
+        out[tuple(row[d] for d in domain)] = centre + mean, g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
     return out
 
 
@@ -223,27 +238,31 @@ def monge_map(source: tuple[np.ndarray, np.ndarray], target: tuple[np.ndarray, n
     return a, mt - a @ ms
 
 
-def mapped(df: DataFrame, features: list[str], a: np.ndarray, b: np.ndarray) -> DataFrame:
-    """Features through an affine map, as expressions."""
-    out = {f"_m{i}": sum((F.col(f) * float(a[i, j]) for j, f in enumerate(features)), F.lit(float(b[i]))) for i in range(len(features))}
-    return df.withColumns(out).drop(*features).withColumnsRenamed({f"_m{i}": f for i, f in enumerate(features)})
+def mapped(df: DataFrame, features: list[str], maps: dict, domain: str | None = None) -> DataFrame:
+    """Features through the affine map (A, b) of each row's domain (without a domain: the map of None), as products of matrices."""
+    kinds = {f.name: "double" if f.name in features else f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for name, part in rows.groupby(domain, sort=False) if domain else [(None, rows)]:
+                a, b = maps[name]
+                yield part.assign(**dict(zip(features, (part[features].to_numpy(float) @ a.T + b).T, strict=True)))[list(kinds)]
+
+    return df.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
 
 
 def aligned(source: DataFrame, target: DataFrame, features: list[str]) -> DataFrame:
     """``source`` moved onto ``target`` by the affine Monge map."""
     everything = F.lit(1).alias("_d")
     s, t = (next(iter(_moments(d.select("*", everything), features, ["_d"]).values())) for d in (source, target))
-    return mapped(source, features, *monge_map(s, t))
+    return mapped(source, features, {None: monge_map(s, t)})
 
 
 def aligned_domains(df: DataFrame, features: list[str], domain: str, target: DataFrame) -> DataFrame:
-    """Every domain of ``df`` moved onto ``target`` by a map of its own."""
+    """Every domain of ``df`` moved onto ``target`` by a map of its own; rows without a domain go."""
     goal = next(iter(_moments(target.select("*", F.lit(1).alias("_d")), features, ["_d"]).values()))
-    out = None
-    for (name,), found in sorted(_moments(df, features, [domain]).items()):
-        part = mapped(df.filter(F.col(domain) == name), features, *monge_map(found, goal))
-        out = part if out is None else out.unionByName(part)
-    return out
+    df = df.filter(F.col(domain).isNotNull())
+    return mapped(df, features, {name: monge_map(found, goal) for (name,), found in _moments(df, features, [domain]).items()}, domain)
 
 
 def transfer(df: DataFrame, estimator: object, features: list[str], source: Column, y: str = "y_true") -> DataFrame:
@@ -254,3 +273,20 @@ def transfer(df: DataFrame, estimator: object, features: list[str], source: Colu
 
 def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.count("*").alias("n"), ratio(F.count_if(F.col("y_true") == F.col("y_pred")), F.count("*")).alias("accuracy"))
+
+
+def frozen_folds(trained: DataFrame, other: DataFrame, estimator: object, features: list[str], folds: int = 5, y: str = "y_true") -> DataFrame:
+    """Predictions of the rows of another year by the model that didn't see their fold in the year it was trained in."""
+    trained = labelled(trained, y, features)
+    other = other.withColumns({f: finite(F.col(f).cast("double")) for f in features}).na.drop(subset=features)
+    out = None
+    for k in range(1, folds + 1):
+        part = predictions(model_of(estimator, features).fit(trained.filter(F.col("fold") != k)), other.filter(F.col("fold") == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def aligned_transfer(source: DataFrame, target: DataFrame, estimator: object, features: list[str], y: str = "y_true") -> DataFrame:
+    """Predictions of ``target`` by a model of ``source`` moved onto it by the Monge map; the target's labels aren't used."""
+    moved = labelled(aligned(source, target, features), y, features)
+    return predictions(model_of(estimator, features).fit(moved), target)

@@ -200,3 +200,94 @@ def zonal(pixels: DataFrame, zone: list[str], value: str) -> DataFrame:
 def km2(cells: Column, size: float = 10.0) -> Column:
     return cells * (size * size / 1e6)
 
+
+def labelled_pixels(cells: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """(row, col, label, columns) of the cells whose label isn't 0 or missing."""
+    return cells.filter(F.col(label).isNotNull() & (F.col(label) != 0)).select("row", "col", F.col(label).cast("int").alias(label), *columns)
+
+
+def same_grid(a: str, b: str, tolerance: float = 1e-6) -> Column:
+    """Whether two grids (structs: crs, x0, y0, size_x, size_y, height, width) have the same cells; false if a field is null."""
+    equal = [F.col(f"{a}.{f}") == F.col(f"{b}.{f}") for f in ("crs", "height", "width")]
+    near = [F.abs(F.col(f"{a}.{f}") - F.col(f"{b}.{f}")) < tolerance for f in ("x0", "y0", "size_x", "size_y")]
+    out = F.lit(True)
+    for c in (*equal, *near):
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def first_band(rasters: DataFrame, bands: str = "bands", wanted: int = 2) -> DataFrame:
+    """Rasters (path, bands: array) with exactly ``wanted`` bands, and the first of them; others are skipped."""
+    return rasters.filter(F.size(bands) == wanted).withColumn("band", F.col(bands)[0]).drop(bands)
+
+
+def resampled(cells: DataFrame, source: DataFrame, value: str, size: float, source_size: float, origin: tuple[float, float] = (0.0, 0.0), fill: int | None = None) -> DataFrame:
+    """Cells (row, col, ...) with the value of the source cell in which their centre lies; both grids share axes.
+
+    size, source_size: widths of their cells; origin: x and y of the source's first corner from that of the cells.
+    Nearest resampling is index arithmetic, so the grids meet in one equi-join.  Cells outside the source get ``fill``.
+    """
+    at = lambda c, o: F.floor(((F.col(c) + 0.5) * size - o) / source_size)
+    placed = cells.withColumns({"_r": at("row", origin[1]), "_c": at("col", origin[0])})
+    found = source.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col(value).alias(f"_{value}"))
+    return placed.join(found, ["_r", "_c"], "left").withColumn(value, F.coalesce(f"_{value}", F.lit(fill))).drop("_r", "_c", f"_{value}")
+
+
+def placed_in_block(block: DataFrame, mask: DataFrame, value: str, row_off: int, col_off: int, background: int = 0) -> DataFrame:
+    """A block's cells (row, col from its own corner) with a mask's value where the mask, on the whole raster's grid, covers them."""
+    found = mask.select((F.col("row") - row_off).alias("row"), (F.col("col") - col_off).alias("col"), F.col(value).alias("_value"))
+    return block.join(found, ["row", "col"], "left").withColumn(value, F.coalesce("_value", F.lit(background))).drop("_value")
+
+
+def cropped(cells: DataFrame, box: tuple[float, float, float, float], size: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """The cells that a box (xmin, ymin, xmax, ymax) touches, with rows and columns from its corner."""
+    low = [int(np.floor((box[k] - origin[k]) / size)) for k in (0, 1)]
+    high = [int(np.ceil((box[k + 2] - origin[k]) / size)) for k in (0, 1)]
+    inside = F.col("col").between(low[0], high[0] - 1) & F.col("row").between(low[1], high[1] - 1)
+    return cells.filter(inside).withColumns({"row": F.col("row") - low[1], "col": F.col("col") - low[0]})
+
+
+def training_tile(features: DataFrame, bands: dict[str, DataFrame], keys: list[str] = ("row", "col")) -> DataFrame:
+    """Feature cells with one column for each rasterised band (keys, value); cells that a band leaves out get 0."""
+    out = features
+    for name, band in bands.items():
+        out = out.join(band.select(*keys, F.col("value").alias(name)), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def valid_patches(cells: DataFrame, patches: DataFrame, label: str, features: list[str], patch: int = 64) -> DataFrame:
+    """Patches (row_off, col_off) with any positive label and only finite features; n: their cells."""
+    near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / patch) * patch - patch, F.floor(F.col(c) / patch) * patch, F.lit(patch)))
+    placed = cells.withColumn("_r", near("row")).withColumn("_c", near("col"))  # a patch that holds a cell begins in one of four blocks
+    blocks = patches.withColumns({"_r": F.floor(F.col("row_off") / patch) * patch, "_c": F.floor(F.col("col_off") / patch) * patch})
+    inside = [(F.col(c) >= F.col(o)) & (F.col(c) < F.col(o) + patch) for c, o in (("row", "row_off"), ("col", "col_off"))]
+    finite = F.lit(True)
+    for f in features:
+        finite = finite & F.coalesce(F.abs(F.col(f).cast("double")) < float("inf"), F.lit(False))
+    held = placed.join(blocks, ["_r", "_c"]).filter(inside[0] & inside[1]).groupBy("row_off", "col_off")
+    found = held.agg(F.count("*").alias("n"), F.max(F.col(label) > 0).alias("_any"), F.min(finite).alias("_finite"))
+    return found.filter(F.col("_any") & F.col("_finite")).select("row_off", "col_off", "n")
+
+
+def coherence(cells: DataFrame, by: list[str], value: str = "value", size: float = 10.0) -> DataFrame:
+    """(by, area_km2, edge_density, forest_fraction, patches and their density in all and of each class) of each tile.
+
+    Densities are by 100 km2; without valid cells all but the fraction are null.
+    """
+    edges = edge_density(cells, by, value, size)
+    fraction = cells.groupBy(*by).agg((F.count_if(F.col(value) > 0) / F.count("*")).alias("forest_fraction"))
+    found = patches(cells, by, (1, 2), value, size)
+    valid = F.col("valid") > 0
+    counts = found.groupBy(*by).agg(F.sum("patches").alias("total"), *[F.max(F.when(F.col("class") == k, F.col("patches"))).alias(n) for k, n in ((1, "deciduous"), (2, "evergreen"))])
+    out = edges.join(fraction, by).join(counts, by)
+    columns = []
+    for name in ("total", "deciduous", "evergreen"):
+        columns += [F.when(valid, F.col(name)).alias(f"patch_count_{name}"), F.when(valid, F.col(name) * 100 / F.col("area_km2")).alias(f"patch_density_{name}")]
+    return out.select(*by, F.when(valid, F.col("area_km2")).alias("area_km2"), "edge_density", "forest_fraction", *columns)
+
+
+def coherence_variants(first: DataFrame, second: DataFrame, by: list[str], names: tuple[str, str] = ("embedding", "harmonic"), size: float = 10.0) -> DataFrame:
+    """The coherence of two maps and of the second one smoothed by a 3 x 3 median, one row each with its ``variant``."""
+    smoothed = median_filter(second, by)
+    parts = [coherence(m, by, size=size).withColumn("variant", F.lit(n)) for m, n in ((first, names[0]), (second, names[1]), (smoothed, f"{names[1]}_median"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

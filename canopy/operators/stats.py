@@ -93,6 +93,21 @@ def subset_drivers(df: DataFrame, subset: Column, columns: list[str]) -> DataFra
     return out.withColumns({"difference": difference, "percent": percent}).orderBy(F.abs("difference").desc_nulls_last(), "feature")
 
 
+def driver_correlations(df: DataFrame, subset: Column, targets: list[str], columns: list[str]) -> DataFrame:
+    """The drivers of a subset with the Pearson and Spearman correlation of each with each target inside the subset."""
+    means = subset_drivers(df, subset, columns)
+    found = correlation_table(df.filter(subset), targets, columns)
+    pivoted = found.groupBy(F.col("covariate").alias("feature")).agg(*[F.max(F.when(F.col("target") == t, F.col(m))).alias(f"{m}_{t}") for t in targets for m in ("pearson", "spearman")])
+    return means.join(pivoted, "feature", "left").orderBy(F.abs("difference").desc_nulls_last(), "feature")
+
+
+def missing_weights(df: DataFrame, tile: str, weight: str, top: int = 10) -> DataFrame:
+    """Percent of missing weights of all rows (tile null) and of the tiles with most of them (a top-k report)."""
+    share = (100 * F.avg(F.col(weight).isNull().cast("double"))).alias("missing_pct")
+    tiles = df.groupBy(tile).agg(share).orderBy(F.col("missing_pct").desc(), tile).limit(top)
+    return df.agg(share).select(F.lit(None).cast(df.schema[tile].dataType).alias(tile), "missing_pct").unionByName(tiles)
+
+
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> DataFrame:
     """(by, bin, low, n): equal bins between the smallest and largest value of each group; the last one is closed."""
     by = list(by)

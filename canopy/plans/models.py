@@ -10,7 +10,7 @@ from canopy.operators import sampling as s
 from canopy.plans.proxies import rounded, table
 from canopy.plans.registry import query
 
-_FEATURES = [f"e{k}" for k in range(6)]
+_FEATURES = [f"e{k}" for k in range(6)]  # of 64; more make plans of nested columns that take minutes to compile
 
 
 def _samples(spark, sf_dir):
@@ -79,3 +79,29 @@ def halving_search(spark, sf_dir):
     found = ml.halving(_samples(spark, sf_dir), ml.forest(5, 3), _FEATURES, [{"numTrees": t, "maxDepth": d} for t in (3, 6) for d in (2, 4)], folds=2)
     rows = [(str(sorted(p.items())), score, r) for p, score, r in found]
     return rounded(spark.createDataFrame(rows, "settings string, f1_macro double, round int"))
+
+
+@query()
+def genus_cv_metrics(spark, sf_dir):
+    """Random forest of several classes by folds."""
+    df = _samples(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4 + 1).cast("int").alias("genus")), "vec_id")
+    held = ml.out_of_fold(df, ml.forest(10, 5), _FEATURES, 3, y="genus")
+    return rounded(c.multiclass_summary(c.per_class(held, "genus", "y_pred")))
+
+
+@query()
+def cross_year_metrics(spark, sf_dir):
+    """Metrics in years that differ more and more from the one that the folds' models were trained in."""
+    df = _samples(spark, sf_dir)
+    years = df.withColumns({f: F.col(f) for f in _FEATURES}).select("*", F.explode(F.array(F.lit(2018), F.lit(2020), F.lit(2022))).alias("year"))
+    drift = (2023 - F.col("year")) * 0.01
+    years = years.withColumns({f: F.col(f) + drift for f in _FEATURES})
+    return rounded(ml.fold_metrics(ml.frozen_folds(df, years, ml.forest(10, 5), _FEATURES, 3), ["year"]))
+
+
+@query()
+def aligned_transfer_metrics(spark, sf_dir):
+    """Trained in one region moved onto the others, tested there."""
+    df = _samples(spark, sf_dir)
+    held = ml.aligned_transfer(df.filter("eco_region = 'r0'"), df.filter("eco_region <> 'r0'"), ml.forest(10, 5), _FEATURES)
+    return rounded(held.agg(*c.confusion_counts(F.col("y_true"), F.col("y_pred"))).withColumns(c.binary_metrics()))

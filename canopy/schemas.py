@@ -67,3 +67,28 @@ def feature_columns(df: DataFrame, meta: set[str], wanted: list[str] | None = No
         return [c for c in df.columns if c not in meta]
     require_columns(df, wanted)
     return list(wanted)
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """Raise if a key is in both; this runs a job."""
+    if a.select(*keys).join(b.select(*keys), keys, "left_semi").limit(1).count():
+        raise ValueError(f"keys in both: {', '.join(keys)}")
+
+
+def positive_targets(df: DataFrame, target: str) -> DataFrame:
+    """Rows whose target is there and positive, the target as an integer."""
+    return df.filter(F.col(target) > 0).withColumn(target, F.col(target).cast("int"))
+
+
+def column_report(df: DataFrame, columns: list[str], limit: int = 10) -> dict[str, list | None]:
+    """At most ``limit`` values of each column, or None where the column is missing (a report)."""
+    return {c: sorted((r[0] for r in df.select(c).distinct().limit(limit).collect()), key=str) if c in df.columns else None for c in columns}
+
+
+def band_of(labels: list[str], names: list[str], missing: str = "raise") -> dict[str, int | None]:
+    """Number (from 1) of the band with each name; missing ones raise, or count as None."""
+    at = {label: k + 1 for k, label in reversed(list(enumerate(labels)))}
+    lost = [n for n in names if n not in at]
+    if lost and missing == "raise":
+        raise ValueError(f"no band for: {', '.join(lost)}")
+    return {n: at.get(n) for n in names}

@@ -278,3 +278,48 @@ def test_robust_fit_makes_no_pixels(spark):
     df = spark.createDataFrame(rows, "tile int, row int, col int, date string, y double, w double").withColumn("date", F.to_date("date"))
     out = {(r.row, r.col): r for r in harmonic.robust_fit(df, ["tile"], ["row", "col"], "date", "y", "w").collect()}
     assert set(out) == {(0, 0), (5, 9)} and abs(out[5, 9].offset - out[0, 0].offset - 5) < 1e-6
+
+
+def test_grids_meet_by_index(spark):
+    cells = spark.createDataFrame([(r, k) for r in range(4) for k in range(4)], "row int, col int")
+    mask = spark.createDataFrame([(10 + r, 20 + k, 7) for r in (1, 2) for k in (0, 3)], "row int, col int, v int")
+    placed = raster.placed_in_block(cells, mask, "v", 10, 20, -1)
+    assert {(r.row, r.col) for r in placed.filter("v = 7").collect()} == {(1, 0), (1, 3), (2, 0), (2, 3)} and placed.count() == 16
+    coarse = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3)], "row int, col int, v int")
+    got = {(r.row, r.col): r.v for r in raster.resampled(cells, coarse, "v", 10.0, 20.0).collect()}
+    assert got == {(r, k): {(0, 0): 1, (0, 1): 2, (1, 0): 3}.get((r // 2, k // 2)) for r in range(4) for k in range(4)}
+    part = raster.cropped(cells, (15.0, 0.0, 30.0, 11.0), 10.0)
+    assert {(r.row, r.col) for r in part.collect()} == {(r, k) for r in (0, 1) for k in (0, 1)}
+
+
+def test_coherence_of_a_tile(spark):
+    grid = [[1, 1, 0, 2], [0, 1, 2, 2], [1, 0, 0, 0]]
+    cells = spark.createDataFrame([(1, r, k, v) for r, line in enumerate(grid) for k, v in enumerate(line)] + [(2, 0, 0, 0)], "tile int, row int, col int, value int")
+    out = {r.tile: r for r in raster.coherence(cells, ["tile"]).collect()}
+    r = out[1]
+    assert (r.patch_count_deciduous, r.patch_count_evergreen, r.patch_count_total) == (1, 1, 2)
+    assert math.isclose(r.area_km2, 7e-4) and math.isclose(r.forest_fraction, 7 / 12) and math.isclose(r.edge_density, 10 / 7e-4) and math.isclose(r.patch_density_total, 200 / 7e-4)
+    assert out[2].forest_fraction == 0 and out[2].edge_density is None and out[2].patch_count_total is None and out[2].area_km2 is None
+
+
+def test_moments_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 5)) + 1e4
+    df = spark.createDataFrame([(k % 3, *map(float, v)) for k, v in enumerate(x)] + [(0, None, 1.0, 1.0, 1.0, 1.0)], "d int, a double, b double, c double, e double, f double")
+    for (d,), (mean, cov) in ml._moments(df, list("abcef"), ["d"]).items():
+        part = x[d::3]
+        assert np.allclose(mean, part.mean(axis=0)) and np.allclose(cov, np.cov(part.T, bias=True))
+
+
+def test_schema_guards(spark):
+    from canopy import schemas
+
+    a, b = (spark.createDataFrame([(k,) for k in v], "k int") for v in ((1, 2, -3, None), (3, 4)))
+    schemas.require_disjoint(a, b, ["k"])
+    with pytest.raises(ValueError):
+        schemas.require_disjoint(a, spark.createDataFrame([(2,)], "k int"), ["k"])
+    assert sorted(r.k for r in schemas.positive_targets(a, "k").collect()) == [1, 2]
+    assert schemas.column_report(b, ["k", "x"]) == {"k": [3, 4], "x": None}
+    assert schemas.band_of(["a", "b"], ["b", "z"], "none") == {"b": 2, "z": None}
+    with pytest.raises(ValueError):
+        schemas.band_of(["a"], ["z"])

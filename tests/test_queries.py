@@ -6,7 +6,6 @@ from canopy.queries import oracle_sql, queries
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rf_cv_metrics", "lr_cv_metrics", "rfe_curve", "calibration_cv", "halving_search"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def test_twin(spark, duck, name):
     assert compare.difference(ours, compare.duck_rows(duck, oracle_sql()[name])) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_rows(spark, name):
     assert queries()[name](spark, SF).count() > 0
 
