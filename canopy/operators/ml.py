@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.numeric import clip, finite, ratio
+from canopy.functions.numeric import INF, clip, finite, ratio
 from canopy.functions.scaling import to_byte
 from canopy.operators import classification as c
 
@@ -67,9 +67,26 @@ def class_balanced(df: DataFrame, y: str, weight: str | None = None) -> DataFram
     return df.join(F.broadcast(counts), y).withColumn("class_weight", F.col("_w") * (F.col(weight) if weight else 1.0)).drop("_w")
 
 
+def complete(df: DataFrame, features: list[str]) -> DataFrame:
+    """Rows whose features are all finite, as doubles; kept, as models read them many times.
+
+    Catalyst would derive facts for every mixture of the features' old and new names from the one condition on all of them,
+    which doubles with each feature.  So it is planned without such facts.
+    """
+    every = F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda x: F.coalesce(F.abs(x) < INF, F.lit(False)))
+    out = df.filter(every).withColumns({f: F.col(f).cast("double") for f in features})
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return out.persist()  # plans it
+    finally:
+        conf.set(name, before)
+
+
 def labelled(df: DataFrame, y: str, features: list[str]) -> DataFrame:
-    """Finite features only, and classes 1..k as labels 0..k-1; kept, as every fold reads it."""
-    return df.withColumns({f: finite(F.col(f).cast("double")) for f in features}).na.drop(subset=features).withColumn("label", (F.col(y) - 1).cast("double")).persist()
+    """Finite features only, and classes 1..k as labels 0..k-1."""
+    return complete(df.withColumn("label", (F.col(y) - 1).cast("double")), features)
 
 
 def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -189,7 +206,7 @@ def parameter_count(model: PipelineModel) -> int:
 
 def pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list[float]]:
     """``df`` with pc1..pck of standardised features (rows with missing ones go), and the explained shares."""
-    df = df.withColumns({f: finite(F.col(f).cast("double")) for f in features}).na.drop(subset=features)
+    df = complete(df, features)
     stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), PCA(k=k, inputCol="_std", outputCol="_pc")]
     model = Pipeline(stages=stages).fit(df)
     pc = vector_to_array("_pc")
@@ -203,7 +220,7 @@ def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tupl
     numbers for each domain reach the driver.  Means of all rows are taken off first, so that the products stay small.
     """
     p = len(features)
-    df = df.select(*domain, *[F.col(f).cast("double").alias(f) for f in features]).na.drop(subset=features)
+    df = complete(df, features).select(*domain, *features)
     centre = np.array([x or 0.0 for x in df.agg(*[F.avg(f) for f in features]).first()], float)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
@@ -278,7 +295,7 @@ def accuracy(predicted: DataFrame) -> DataFrame:
 def frozen_folds(trained: DataFrame, other: DataFrame, estimator: object, features: list[str], folds: int = 5, y: str = "y_true") -> DataFrame:
     """Predictions of the rows of another year by the model that didn't see their fold in the year it was trained in."""
     trained = labelled(trained, y, features)
-    other = other.withColumns({f: finite(F.col(f).cast("double")) for f in features}).na.drop(subset=features)
+    other = complete(other, features)
     out = None
     for k in range(1, folds + 1):
         part = predictions(model_of(estimator, features).fit(trained.filter(F.col("fold") != k)), other.filter(F.col("fold") == k))

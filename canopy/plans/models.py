@@ -10,13 +10,13 @@ from canopy.operators import sampling as s
 from canopy.plans.proxies import rounded, table
 from canopy.plans.registry import query
 
-_FEATURES = [f"e{k}" for k in range(6)]  # of 64; more make plans of nested columns that take minutes to compile
+_FEATURES = [f"e{k}" for k in range(64)]
 
 
 def _samples(spark, sf_dir):
     """Embeddings as labelled pixels with folds."""
     e = table(spark, sf_dir, "embeddings")
-    df = e.select("vec_id", F.concat(F.lit("r"), (F.col("vec_id") % 3).cast("string")).alias("eco_region"), (F.col("vec_id") % 30).alias("tile_id"), F.when(F.col("label") < 5, 1).otherwise(2).alias("y_true"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(6)])
+    df = e.select("vec_id", F.concat(F.lit("r"), (F.col("vec_id") % 3).cast("string")).alias("eco_region"), (F.col("vec_id") % 30).alias("tile_id"), F.when(F.col("label") < 5, 1).otherwise(2).alias("y_true"), *[F.col("embedding")[k].cast("double").alias(f) for k, f in enumerate(_FEATURES)])
     folds = s.balanced_folds(df.select("eco_region", "tile_id"), "eco_region", "tile_id", 3)
     return s.with_folds(df, folds, "tile_id")
 
@@ -38,7 +38,7 @@ def lr_cv_metrics(spark, sf_dir):
 @query()
 def rfe_curve(spark, sf_dir):
     """Scores of shrinking feature sets."""
-    curve = ml.elimination(_samples(spark, sf_dir), ml.forest(5, 4), _FEATURES, 3, step=2, least=2)
+    curve = ml.elimination(_samples(spark, sf_dir), ml.forest(5, 4), _FEATURES, 3, step=0.5, least=2)
     rows = [(x["n_features"], ",".join(sorted(x["features"])), x["mean"], x["std"]) for x in curve]
     return rounded(spark.createDataFrame(rows, "n_features int, features string, f1_mean double, f1_std double"))
 
