@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.operators.lineage import cut
+
+#: Picks of so many regions may be broadcast (five numbers each).
+BROADCAST_REGIONS = 100_000
 # Fixed value: one pixel of 10 m covers so many square metres.
 PIXEL_AREA = 100.0
 
@@ -102,62 +106,58 @@ def overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return sides[0].join(sides[1], on & meet).select("id_a", "id_b")
 
 
-def nearest_distance(points: DataFrame, selected: DataFrame, key: str, cell: float) -> DataFrame:
-    """(key, distance) to the nearest of the selected (x, y), which may be many.
+def nearest_distance(points: DataFrame, selected: DataFrame, key: str, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, distance) to the nearest of the selected (x, y) with equal ``by``, which may be many.
 
     Each round looks in the 3 x 3 cells around; what is found within one cell's width is the nearest, and the rest
-    goes on with cells of twice the width.  Null if nothing is selected.
+    goes on with cells of twice the width.  Null if nothing is selected.  Each round is cut off from those before it,
+    which would be computed anew by every later one.
     """
     extent = points.select("x", "y").union(selected.select("x", "y")).agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
     if extent[0] is None or not selected.limit(1).count():
         return points.select(key, F.lit(None).cast("double").alias("distance"))
     span = max(extent[0] - extent[1], extent[2] - extent[3], cell)
-    rest, done = points.select(key, "x", "y"), None
+    rest, done = points.select(key, *by, "x", "y"), None
     while True:
         near = [F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1)) for c in "xy"]
-        spread = selected.select(F.col("x").alias("sx"), F.col("y").alias("sy"), near[0].alias("_cx"), "y").withColumn("_cy", near[1]).drop("y")
+        spread = selected.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"), near[0].alias("_cx"), "y").withColumn("_cy", near[1]).drop("y")
         placed = rest.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-        found = placed.join(spread, ["_cx", "_cy"], "left").groupBy(key, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance"))
+        found = placed.join(spread, [*by, "_cx", "_cy"], "left").groupBy(key, *by, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance"))
         last = cell > span
+        found = found if last else cut(found)
         ok = found.filter(F.col("distance") <= cell) if not last else found
         done = ok.select(key, "distance") if done is None else done.union(ok.select(key, "distance"))
         if last:
             return done
-        rest, cell = found.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select(key, "x", "y"), cell * 2
+        rest, cell = found.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select(key, *by, "x", "y"), cell * 2
 
 
 def farthest_selection(tiles: DataFrame, region: str, needed: str, min_distance: float, chosen: str = "chosen") -> DataFrame:
     """(tile_id, region, step): tiles picked one by one in each region, the farthest from all picked first.
 
     tiles: (tile_id, region, x, y, effective_pixels, needed, chosen); ties by more effective pixels, then tile_id.  Picks
-    keep min_distance; when none does, half of it.  A region's tiles are one group: there are a few thousand at most.
+    keep min_distance; when none does, half of it.  Each step is one aggregation and one join with its picks (a row for
+    each region that isn't done), so there are as many steps as the largest ``needed``, and no region in one task.  The
+    distance to what was chosen before comes from ``nearest_distance``.  Tiles without a region are left out.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("tile_id").reset_index(drop=True)
-        xy = rows[["x", "y"]].to_numpy(float)
-        far = np.full(len(rows), np.inf)
-        for k in np.flatnonzero(rows[chosen].to_numpy(bool)):
-            far = np.minimum(far, np.hypot(*(xy - xy[k]).T))
-        free = ~rows[chosen].to_numpy(bool)
-        picks, limit = [], min_distance
-        while len(picks) < int(rows[needed].iloc[0]) and free.any():
-            order = np.lexsort((rows["tile_id"], -rows["effective_pixels"].fillna(0), -far))
-            best = next(k for k in order if free[k])
-            if far[best] < limit:
-                if limit < min_distance:
-                    break
-                limit = min_distance / 2
-                continue
-            free[best] = False
-            picks.append(best)
-            far = np.minimum(far, np.hypot(*(xy - xy[best]).T))
-        return pd.DataFrame({"tile_id": rows["tile_id"].iloc[picks], region: rows[region].iloc[picks], "step": range(1, len(picks) + 1)})
-
-    return tiles.groupBy(region).applyInPandas(run, f"tile_id {kinds['tile_id']}, {region} string, step int")
+    tiles = tiles.select("tile_id", region, "x", "y", F.coalesce("effective_pixels", F.lit(0)).alias("effective_pixels"), needed, chosen).filter(F.col(region).isNotNull())
+    free = tiles.filter(~F.col(chosen) & (F.col(needed) > 0))
+    before = nearest_distance(free, tiles.filter(chosen), "tile_id", min_distance, (region,))
+    free = cut(free.join(before, "tile_id").withColumn("_far", F.coalesce("distance", F.lit(math.inf))).drop("distance", chosen))
+    out, step = None, 0
+    while True:
+        step += 1
+        first = F.struct(-F.col("_far"), -F.col("effective_pixels"), "tile_id")
+        best = free.groupBy(region).agg(F.min_by(F.struct("tile_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "_far", F.col(needed).alias("_needed")), first).alias("b")).select(region, "b.*")
+        best = cut(best.filter((F.col("_far") >= min_distance / 2) & (F.col("_needed") >= step)).drop("_needed", "_far"))
+        picks = best.select("tile_id", F.col(region).cast("string").alias(region), F.lit(step).alias("step"))
+        out = picks if out is None else out.union(picks)
+        n = best.count()
+        if not n:
+            return out
+        best = best.withColumnRenamed("tile_id", "_picked")
+        free = free.join(F.broadcast(best) if n <= BROADCAST_REGIONS else best, region).filter(F.col("tile_id") != F.col("_picked"))
+        free = cut(free.withColumn("_far", F.least("_far", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))).drop("_picked", "_x", "_y"))
 
 
 def reference_set(in_situ: DataFrame, supplementary: DataFrame, distance: int = 5) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from canopy.functions.numeric import ratio
 
 
+#: Side of the blocks in which neighbouring cells meet.
+EDGE_BLOCK = 512
+
+
 def windows(spark: SparkSession, height: int, width: int, block: int) -> DataFrame:
     """(row_off, col_off, height, width) of blocks in row order; the last ones are cut."""
     rows = spark.range(0, height, block).select(F.col("id").alias("row_off"))
@@ -37,15 +41,22 @@ def snapped(low: Column, high: Column, origin: float, size: float) -> tuple[Colu
 def edge_density(cells: DataFrame, by: list[str], value: str = "value", size: float = 10.0) -> DataFrame:
     """(by, valid, edges, area_km2, edge_density): changes between valid neighbours in metres by km2; without any, null.
 
-    Each valid cell reports its four sides; a side that two cells of different classes report is an edge.  So the
-    neighbours meet in one aggregation instead of two joins.
+    Cells are dealt by blocks, once, and each meets the one before it in its row and in its column there; the first row
+    and column of the next blocks are dealt to a block too.
     """
     row, col = F.col("row"), F.col("col")
-    side = lambda down, r, c: F.struct(F.lit(down).alias("down"), r.alias("r"), c.alias("c"))
-    sides = F.array(side(False, row, col), side(False, row, col - 1), side(True, row, col), side(True, row - 1, col))
-    valid = cells.filter(F.col(value) > 0)
-    edges = valid.select(*by, F.col(value).alias("v"), F.explode(sides).alias("side")).groupBy(*by, "side").agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
-    edges = edges.groupBy(*by).agg(F.count_if((F.col("k") == 2) & (F.col("low") != F.col("high"))).alias("edges"))
+    at = [F.floor(row / EDGE_BLOCK), F.floor(col / EDGE_BLOCK)]
+    block = lambda r, c: F.struct(r.alias("_r"), c.alias("_c"))
+    more = [F.when(row % EDGE_BLOCK == 0, block(at[0] - 1, at[1])), F.when(col % EDGE_BLOCK == 0, block(at[0], at[1] - 1))]
+    blocks = F.filter(F.array(block(*at), *more), lambda b: b.isNotNull())
+    dealt = cells.filter(F.col(value) > 0).select(*by, "row", "col", F.col(value).alias("v"), F.inline(blocks)).repartition(*by, "_r", "_c")
+    own = (at[0] == F.col("_r")) & (at[1] == F.col("_c"))
+    changes = []
+    for line, along in (("row", "col"), ("col", "row")):
+        w = Window.partitionBy(*by, "_r", "_c", line).orderBy(along)
+        beside = (F.lag(along).over(w) == F.col(along) - 1) & F.lag(own).over(w)
+        changes.append((beside & (F.lag("v").over(w) != F.col("v"))).alias(f"_{line}"))
+    edges = dealt.select(*by, *changes).groupBy(*by).agg((F.count_if("_row") + F.count_if("_col")).alias("edges"))
     counts = cells.groupBy(*by).agg(F.count_if(F.col(value) > 0).alias("valid"))
     out = (counts.join(edges, by, "left") if by else counts.crossJoin(F.broadcast(edges))).fillna(0, ["edges"])
     area = F.col("valid") * (size * size / 1e6)

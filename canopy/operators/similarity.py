@@ -25,13 +25,13 @@ def weighted_r2(df: DataFrame, y: str, predicted: str, w: str, by: list[str] = (
     return sums.select(*by, F.when((F.col("_w") > 0) & (F.col("sst") > 0), 1 - F.col("sse") / F.col("sst")).alias("r2"))
 
 
-def products(df: DataFrame, keys: list[str], features: list[str], targets: list[str], w: Column) -> DataFrame:
+def product_sums(features: list[str], targets: list[str], w: Column) -> list[Column]:
     """Weighted sums of products of (features, 1) with themselves and the targets, and of squared targets."""
     x = [F.col(c).cast("double") for c in features] + [F.lit(1.0)]
     y = [F.col(c).cast("double") for c in targets]
     gram = F.array(*[F.sum(w * a * b) for i, a in enumerate(x) for b in x[i:]])
     cross = F.array(*[F.sum(w * a * b) for b in y for a in x])
-    return df.groupBy(*keys).agg(gram.alias("gram"), cross.alias("cross"), F.array(*[F.sum(w * b * b) for b in y]).alias("squares"), F.sum(w).alias("weight"), F.count("*").alias("n"))
+    return [gram.alias("gram"), cross.alias("cross"), F.array(*[F.sum(w * b * b) for b in y]).alias("squares"), F.sum(w).alias("weight"), F.count("*").alias("n")]
 
 
 def _square(flat: np.ndarray, size: int) -> np.ndarray:
@@ -67,8 +67,8 @@ def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str],
     size = len(features) + 1
     inner = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(5)).cast("int")
     keyed = df.withColumn("inner", inner)
-    plain = products(keyed, [region, tile, "inner"], features, targets, F.lit(1.0)).withColumn("kind", F.lit(0))
-    heavy = products(keyed, [region, tile, "inner"], features, targets, F.col(weight)).withColumn("kind", F.lit(1))
+    sums = lambda kind, w: F.struct(F.lit(kind).alias("kind"), *product_sums(features, targets, w))
+    both = keyed.groupBy(region, tile, "inner").agg(F.array(sums(0, F.lit(1.0)), sums(1, F.col(weight).cast("double"))).alias("sums"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -110,8 +110,7 @@ def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str],
                         out.append((rows.iloc[0, 0], t, target, 1 - _error(beta, g, c[:, j : j + 1], s[j : j + 1])[0] / sst, share.tolist()))
         return pd.DataFrame(out, columns=["region", "tile", "target", "r2", "coefficients"])
 
-    both = plain.union(heavy).select(region, tile, "kind", "inner", "gram", "cross", "squares")
-    return both.groupBy(region).applyInPandas(run, f"region {kinds[region]}, tile {kinds[tile]}, target string, r2 double, coefficients array<double>")
+    return both.select(region, tile, "inner", F.inline("sums")).select(region, tile, "kind", "inner", "gram", "cross", "squares").groupBy(region).applyInPandas(run, f"region {kinds[region]}, tile {kinds[tile]}, target string, r2 double, coefficients array<double>")
 
 
 def tile_means(r2: DataFrame) -> DataFrame:
