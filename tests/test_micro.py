@@ -229,6 +229,26 @@ def test_farthest_selection(spark):
     tiles = spark.createDataFrame([(k, "a", float(k), 0.0, 1.0, 3, k == 0) for k in range(11)], "tile_id int, eco string, x double, y double, effective_pixels double, needed int, chosen boolean")
     out = [r.tile_id for r in sorted(geo.farthest_selection(tiles, "eco", "needed", 2.0).collect(), key=lambda r: r.step)]
     assert out == [10, 5, 2]
+    rows = [(k, "ab"[k % 2], float(k), 0.0, 1.0, 2, False) for k in range(12)] + [(20, None, 0.0, 0.0, 1.0, 1, False)]
+    out = geo.farthest_selection(spark.createDataFrame(rows, tiles.schema), "eco", "needed", 2.0).collect()
+    assert {(r.eco, r.step, r.tile_id) for r in out} == {("a", 1, 0), ("a", 2, 10), ("b", 1, 1), ("b", 2, 11)}
+    assert not geo.farthest_selection(tiles.limit(0), "eco", "needed", 2.0).collect()
+
+
+def test_edges_between_blocks(spark, monkeypatch):
+    value = lambda r, c: (r * 7 + c * 5) % 3
+    edges = sum(value(r, c) != value(*n) and value(r, c) > 0 < value(*n) for r in range(9) for c in range(9) for n in ((r + 1, c), (r, c + 1)) if max(n) < 9)
+    table = spark.createDataFrame([(r, c, value(r, c)) for r in range(9) for c in range(9)], "row int, col int, value int")
+    for block in (1, 2, 4, 512):
+        monkeypatch.setattr(raster, "EDGE_BLOCK", block)
+        assert raster.edge_density(table, []).first().edges == edges > 0
+
+
+def test_incomplete_features_go(spark):
+    rows = [(1, 1.0, 2.0), (2, float("nan"), 1.0), (1, None, 1.0), (2, float("-inf"), 1.0), (2, 3.0, 4.0)]
+    out = ml.labelled(spark.createDataFrame(rows, "y_true int, a double, b double"), "y_true", ["a", "b"])
+    assert sorted((r.label, r.a, r.b) for r in out.collect()) == [(0.0, 1.0, 2.0), (1.0, 3.0, 4.0)]
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
 
 
 def test_relations(spark):
