@@ -1,17 +1,27 @@
-"""A Spark data source for rasters in NumPy files, read window by window, with only the wanted bands.
+"""A Spark data source for rasters in NumPy files, read and written window by window, with only the wanted bands.
 
 GeoTIFF needs a library that isn't everywhere; ``rasterio`` is used for .tif files where it can be imported, and .npy
-arrays (bands, height, width) are read without it.  Each window is a partition.
+arrays (bands, height, width) are read without it, by ranges, from any file system that pyarrow knows.  Each window is a
+partition.  What is written are files of one window each, ``<path>/<tile>/block_<row>_<col>.npy``; they are read back with
+the folder as their path and rows and columns of the whole tile.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+BLOCK_NAME = re.compile(r"^(.*)/block_(\d+)_(\d+)\.npy$")
 
 
 class RasterWindow(InputPartition):
@@ -19,9 +29,25 @@ class RasterWindow(InputPartition):
         self.path, self.row, self.col, self.height, self.width = path, row, col, height, width
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path)
+
+
+def _header(f: pa.NativeFile) -> tuple[tuple[int, int, int], np.dtype]:
+    """Shape and type of an array; the file is left where its values begin."""
+    version = np.lib.format.read_magic(f)
+    reading = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, kind = reading(f)
+    if fortran or len(shape) != 3:
+        raise ValueError("rasters are arrays (bands, height, width) in C order")
+    return shape, kind
+
+
 def _shape(path: str) -> tuple[int, int, int]:
     if path.endswith(".npy"):
-        return np.load(path, mmap_mode="r").shape
+        fs, at = _at(path)
+        with fs.open_input_file(at) as f:
+            return _header(f)[0]
     import rasterio
 
     with rasterio.open(path) as f:
@@ -30,8 +56,16 @@ def _shape(path: str) -> tuple[int, int, int]:
 
 def _read(part: RasterWindow, bands: list[int]) -> np.ndarray:
     if part.path.endswith(".npy"):
-        whole = np.load(part.path, mmap_mode="r")
-        return np.stack([whole[b - 1, part.row : part.row + part.height, part.col : part.col + part.width] for b in bands])
+        fs, at = _at(part.path)
+        with fs.open_input_file(at) as f:
+            (_, height, width), kind = _header(f)
+            begin = f.tell()
+            out = np.empty((len(bands), part.height, part.width), kind)
+            for k, b in enumerate(bands):
+                f.seek(begin + ((b - 1) * height + part.row) * width * kind.itemsize)
+                lines = np.frombuffer(f.read(part.height * width * kind.itemsize), kind).reshape(part.height, width)
+                out[k] = lines[:, part.col : part.col + part.width]
+            return out
     import rasterio
     from rasterio.windows import Window
 
@@ -39,16 +73,28 @@ def _read(part: RasterWindow, bands: list[int]) -> np.ndarray:
         return f.read(bands, window=Window(part.col, part.row, part.width, part.height))
 
 
+def _files(path: str) -> list[str]:
+    """A raster itself, or the rasters below a folder in the order of their names; what a write has staged doesn't count."""
+    if path.endswith((".npy", ".tif")):
+        return [path]
+    fs, at = _at(path)
+    found = [i.path for i in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if i.is_file and i.path.endswith((".npy", ".tif"))]
+    head = path.rstrip("/").removesuffix(at.rstrip("/"))  # the scheme, if there is one
+    return [head + f for f in sorted(found) if "/_staged-" not in f]
+
+
 class RasterReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = options["path"].split(",")
+        self.files = [f for p in options["path"].split(",") for f in _files(p)]
+        if not self.files:
+            raise ValueError(f"no rasters in {options['path']}")
         self.block = int(options.get("block", 512))
         wanted = options.get("bands")
-        self.bands = [int(b) for b in wanted.split(",")] if wanted else list(range(1, _shape(self.paths[0])[0] + 1))
+        self.bands = [int(b) for b in wanted.split(",")] if wanted else list(range(1, _shape(self.files[0])[0] + 1))
 
     def partitions(self) -> list[RasterWindow]:
         out = []
-        for path in self.paths:
+        for path in self.files:
             _, height, width = _shape(path)
             for r in range(0, height, self.block):
                 for c in range(0, width, self.block):
@@ -57,13 +103,79 @@ class RasterReader(DataSourceReader):
 
     def read(self, part: RasterWindow) -> Iterator[pa.RecordBatch]:
         data = _read(part, self.bands).astype(np.float64)
-        rows, cols = np.mgrid[part.row : part.row + part.height, part.col : part.col + part.width]
-        arrays = [pa.array([part.path] * rows.size), pa.array(rows.ravel(), pa.int32()), pa.array(cols.ravel(), pa.int32())]
+        block = BLOCK_NAME.match(part.path)
+        name, top, left = (block[1], int(block[2]), int(block[3])) if block else (part.path, 0, 0)
+        rows, cols = np.mgrid[top + part.row : top + part.row + part.height, left + part.col : left + part.col + part.width]
+        arrays = [pa.array([name] * rows.size), pa.array(rows.ravel(), pa.int32()), pa.array(cols.ravel(), pa.int32())]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(b.ravel()) for b in data], names=["path", "row", "col", *[f"band_{b}" for b in self.bands]])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """(staged file, its place) of each window that a task has written."""
+
+    files: list[tuple[str, str]]
+
+
+class RasterWriter(DataSourceArrowWriter):
+    """Each task writes whole windows beside the table, under names of its own; they get their places when all tasks are done."""
+
+    def __init__(self, options: dict, names: list[str]) -> None:
+        self.path = options["path"].rstrip("/")
+        self.block, self.kind, self.fill = int(options.get("block", 512)), np.dtype(options.get("dtype", "float64")), float(options.get("fill", "nan"))
+        if np.isnan(self.fill) and self.kind.kind != "f":
+            self.fill = 0.0
+        self.bands = [n for n in names if n not in ("tile", "row", "col")]
+        self.staging = f"{self.path}/_staged-{uuid.uuid4().hex}"
+
+    def _store(self, key: tuple[str, int, int], parts: list[pd.DataFrame]) -> tuple[str, str]:
+        cells = pd.concat(parts)
+        rows, cols = cells["row"].to_numpy() - key[1], cells["col"].to_numpy() - key[2]
+        out = np.full((len(self.bands), rows.max() + 1, cols.max() + 1), self.fill).astype(self.kind)
+        for k, b in enumerate(self.bands):
+            values = cells[b].to_numpy(dtype=np.float64, na_value=np.nan)
+            out[k, rows, cols] = np.where(np.isnan(values), self.fill, values).astype(self.kind)
+        staged = f"{self.staging}/{uuid.uuid4().hex}.npy"
+        fs, at = _at(staged)
+        fs.create_dir(at.rsplit("/", 1)[0])
+        with fs.open_output_stream(at) as f:
+            np.lib.format.write_array(f, out, allow_pickle=False)
+        return staged, f"{self.path}/{key[0]}/block_{key[1]}_{key[2]}.npy"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        done, key, parts, seen = [], None, [], set()
+        for batch in iterator:
+            cells = batch.to_pandas()
+            corner = [cells["tile"], cells["row"] // self.block * self.block, cells["col"] // self.block * self.block]
+            for k, some in cells.groupby(corner, sort=False):
+                if k != key:
+                    if parts:
+                        done.append(self._store(key, parts))
+                    if k in seen:
+                        raise ValueError("rows of a window must follow each other; use write_rasters")
+                    key, parts = k, []
+                    seen.add(k)
+                parts.append(some)
+        if parts:
+            done.append(self._store(key, parts))
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for message in messages:
+            for staged, place in message.files if message else []:
+                fs, to = _at(place)
+                fs.create_dir(to.rsplit("/", 1)[0])
+                fs.move(_at(staged)[1], to)
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, at = _at(self.staging)
+        if fs.get_file_info(at).type == pafs.FileType.Directory:
+            fs.delete_dir(at)
+
+
 class RasterSource(DataSource):
-    """spark.read.format("raster").option("bands", "1,3").option("block", 512).load(path)"""
+    """spark.read.format("raster").option("bands", "1,3").option("block", 512).load(path), a file, files or a folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -75,6 +187,26 @@ class RasterSource(DataSource):
     def reader(self, schema: object) -> RasterReader:
         return RasterReader(self.options)
 
+    def writer(self, schema: object, overwrite: bool) -> RasterWriter:
+        if overwrite:
+            raise ValueError("rasters are written with mode append, which replaces windows of the same place")
+        return RasterWriter(self.options, schema.fieldNames())
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RasterSource)
+
+
+def write_rasters(cells: DataFrame, tile: str, bands: list[str], path: str, block: int = 512, dtype: str = "float64", fill: float | None = None) -> None:
+    """Cells (tile, row, col, bands) as files of a window each, dealt by windows, so that no tile lies in one task.
+
+    Windows that are there already are replaced, others stay; a run done twice is as one.  A window's file reaches to its last
+    row and column with a cell; cells left out in it, and nulls, are ``fill`` (not a number, or 0 for integers).  Rows and
+    columns are counted from 0.
+    """
+    register(cells.sparkSession)
+    corner = [F.floor(F.col(c) / block) for c in ("row", "col")]
+    dealt = cells.select(F.col(tile).cast("string").alias("tile"), F.col("row").cast("int"), F.col("col").cast("int"), *[F.col(b).cast("double") for b in bands])
+    dealt = dealt.repartition("tile", *corner).sortWithinPartitions("tile", *corner)
+    writer = dealt.write.format("raster").mode("append").option("block", block).option("dtype", dtype)
+    (writer if fill is None else writer.option("fill", fill)).save(path)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.sources import rasters, tables
+from canopy.operators import geo
+from canopy.sources import rasters, tables, vectors
 from canopy.streaming.incremental import run_available
 
 
@@ -74,6 +75,63 @@ def test_rasters(spark, tmp_path):
     assert merged.count() == 35 and merged.filter("row < 3 and v < 0").count() == 0 and merged.filter("row >= 3 and v >= 0").count() == 0
 
 
+def test_rasters_are_written_by_windows(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 200, size=(2, 2, 7, 9))
+    at = f"file://{tmp_path}/out"
+    cells = spark.createDataFrame([(t, r, c, *map(int, data[t, :, r, c])) for t in range(2) for r in range(7) for c in range(9) if (t, r, c) != (0, 0, 4)], "tile int, row int, col int, a int, b int")
+    rasters.write_rasters(cells, "tile", ["a", "b"], at, block=4, dtype="uint8", fill=255)
+    rasters.write_rasters(cells.filter("tile = 1"), "tile", ["a", "b"], at, block=4, dtype="uint8", fill=255)  # a second run
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["0", "1"] and len(list((tmp_path / "out").rglob("*.npy"))) == 12
+    data[0, :, 0, 4] = 255
+    for source in (at, f"{tmp_path}/out"):
+        got = spark.read.format("raster").option("block", 3).load(source).collect()
+        assert len(got) == 126 and all((r.band_1, r.band_2) == tuple(data[int(r.path[-1]), :, r.row, r.col]) for r in got)
+    with pytest.raises(Exception, match="follow each other"):
+        mixed = cells.select(F.col("tile").cast("string"), "row", "col", "a").orderBy("b", "col", "row").coalesce(1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        mixed.write.format("raster").mode("append").option("block", 4).save(f"{tmp_path}/mixed")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not list((tmp_path / "mixed").rglob("*.npy"))
+
+
+def test_vectors(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(1, square), (2, [(x + 10, y) for x, y in square]), (3, None)], "k int, ring array<struct<x:double,y:double>>")
+    tables.geojson(df.filter("k < 3")).write.text(f"{at}/lines")
+    again = vectors.outer_rings(vectors.read_geojson(spark, f"{at}/lines", "k int", lines=True))
+    assert {(r.k, r.kind, tuple((p.x, p.y) for p in r.ring)) for r in again.collect()} == {(r.k, "Polygon", tuple((p.x, p.y) for p in r.ring)) for r in df.filter("k < 3").collect()}
+    hole = [[1, 1], [2, 1], [2, 2], [1, 1]]
+    shell = [*map(list, square), list(square[0])]
+    shapes = [("MultiPolygon", [[shell, hole], [shell]]), ("Point", [5, 6]), ("LineString", [[0, 0], [1, 1]]), None]
+    made = [{"type": "Feature", "properties": {"k": k}, "geometry": s and {"type": s[0], "coordinates": s[1]}} for k, s in enumerate(shapes)]
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}))
+    (tmp_path / "d.json").write_text(json.dumps(made[1]))
+    got = sorted((r.k, r.kind, r.polygons and [len(p) for p in r.polygons], r.x) for r in vectors.read_geojson(spark, f"{at}/[cd].json", "k int").collect())
+    assert got == [(0, "MultiPolygon", [2, 1], None), (1, "Point", None, 5.0), (1, "Point", None, 5.0), (2, "LineString", None, None), (3, None, None, None)]
+    vectors.write_geoparquet(df, f"{at}/p")
+    back = vectors.read_geoparquet(spark, f"{at}/p", where="xmin >= 10 OR k = 3")
+    assert back.columns == ["k", "xmin", "ymin", "xmax", "ymax", "kind", "polygons", "x", "y"]
+    rows = {r.k: r for r in back.collect()}
+    assert set(rows) == {2, 3} and rows[3].polygons is None and len(rows[2].polygons[0][0]) == 5
+    ring = vectors.outer_rings(back).withColumn("a", geo.area(F.col("ring"))).first()
+    assert (ring.k, ring.a, len(ring.ring)) == (2, 16.0, 4)
+
+
+def test_wkb_of_other_dimensions():
+    import struct
+
+    pack = lambda order, code, *v, form="": struct.pack(f"{order}BI{form}", int(order == "<"), code, *v)
+    assert vectors._geometry(pack("<", 1, 1.0, 2.0, form="2d")) == ("Point", None, 1.0, 2.0)
+    assert vectors._geometry(pack(">", 1001, 1.0, 2.0, 3.0, form="3d")) == ("Point", None, 1.0, 2.0)
+    assert vectors._geometry(pack("<", 0xA0000001, 2154, 1.0, 2.0, 3.0, form="I3d")) == ("Point", None, 1.0, 2.0)
+    one = pack(">", 3, 1, 3, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0, form="II6d")
+    kind, polygons, *_ = vectors._geometry(struct.pack("<BII", 1, 6, 2) + one + one)
+    assert kind == "MultiPolygon" and [len(p[0]) for p in polygons] == [3, 3]
+    assert vectors._geometry(None)[0] is None and vectors._geometry(b"")[0] is None and vectors._geometry(one[:30])[0] is None
+
+
 def test_geojson_and_reports(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])], "k int, ring array<struct<x:double,y:double>>")
     g = json.loads(tables.geojson(df).first().value)
