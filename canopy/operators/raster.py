@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import ratio
+from canopy.operators.quantiles import with_quantiles
 
 
 #: Side of the blocks in which neighbouring cells meet.
@@ -184,6 +185,30 @@ def rasterised(cells: DataFrame, polygons: DataFrame, x: Column, y: Column, valu
     return cells.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.coalesce("_value", F.lit(background)).alias("value"))
 
 
+def touched(cells: DataFrame, polygons: DataFrame, x: Column, y: Column, size: float, all_touched: bool = True) -> DataFrame:
+    """(row, col, value): 1 for cells that a polygon (ring) touches, or whose centre one holds, else 0.
+
+    A cell is touched if a side of a polygon meets its square, the border included, or if its centre lies inside.
+    """
+    from canopy.operators.geo import _edges, bounds, box_join, contains
+
+    half = size / 2
+    points = cells.select("row", "col", x.cast("double").alias("_x"), y.cast("double").alias("_y"))
+    boxes = polygons.select("ring").withColumns({k: v + (half if k.endswith("max") else -half) for k, v in bounds(F.col("ring")).items()})
+    near = box_join(points, boxes, "_x", "_y", size * 16, closed=True)
+    cx, cy = F.col("_x"), F.col("_y")
+
+    def meets(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        overlap = (F.least(e["x1"], e["x2"]) <= cx + half) & (F.greatest(e["x1"], e["x2"]) >= cx - half) & (F.least(e["y1"], e["y2"]) <= cy + half) & (F.greatest(e["y1"], e["y2"]) >= cy - half)
+        return overlap & (F.abs(dx * (cy - e["y1"]) - dy * (cx - e["x1"])) <= half * (F.abs(dx) + F.abs(dy)))
+
+    hit = contains(F.col("ring"), cx, cy)
+    hit = hit | F.exists(_edges(F.col("ring")), meets) if all_touched else hit
+    found = near.filter(hit).select("row", "col").distinct().withColumn("value", F.lit(1))
+    return cells.select("row", "col").join(found, ["row", "col"], "left").fillna(0, ["value"])
+
+
 def patch_grid(spark: SparkSession, height: int, width: int, patch: int = 64, stride: int = 56) -> DataFrame:
     """(row_off, col_off) of patches on a grid and at the midpoints between its corners, inside the raster."""
 
@@ -204,8 +229,8 @@ def sampled_statistics(pixels: DataFrame, tile: str, key: list[str], columns: li
 def zonal(pixels: DataFrame, zone: list[str], value: str) -> DataFrame:
     """Mean, least, largest, deviation, 90th percentile and mode (ties: smallest) of each zone."""
     mode = pixels.groupBy(*zone, value).agg(F.count("*").alias("n")).groupBy(*zone).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("mode"))
-    stats = pixels.groupBy(*zone).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.9)).alias("p90"))
-    return stats.join(mode, zone)
+    stats = pixels.groupBy(*zone).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    return with_quantiles(stats.join(mode, zone), pixels, zone, value, {"p90": 0.9})
 
 
 def km2(cells: Column, size: float = 10.0) -> Column:

@@ -71,6 +71,36 @@ def stratified_split(df: DataFrame, strata: list[str], key: list[str], share: fl
     return df.withColumn("part", F.when(F.row_number().over(order) <= train, "train").otherwise("test"))
 
 
+def split_with_fallbacks(df: DataFrame, strata: list[str], key: list[str], share: float, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """``stratified_split`` by as many of the strata, from the left, as can be had, and which these were.
+
+    Strata can be had if each has two rows and both parts have at least as many rows as there are strata; this runs jobs.
+    Without strata the hash of the key decides each row by itself.
+    """
+    for k in range(len(strata), 0, -1):
+        used = strata[:k]
+        r = df.groupBy(*used).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
+        if r.groups and r.least >= 2 and min(share, 1 - share) * r.rows >= r.groups:
+            return stratified_split(df, used, key, share, seed), used
+    place = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 32)) / float(1 << 32)
+    return df.withColumn("part", F.when(place < share, "train").otherwise("test")), []
+
+
+def fold_splits(assigned: DataFrame, tile: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, tile, part): each tile validates in its own fold and trains in the others.
+
+    A fold without tiles of its own borrows one, the first in seeded hash order; it doesn't train there.
+    """
+    folds = assigned.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("_f"))
+    lone = folds.join(F.broadcast(assigned.select(F.col("fold").alias("_f")).distinct()), "_f", "left_anti")
+    order = F.struct(F.xxhash64(F.lit(seed), "_f", tile), tile)
+    rows = assigned.select(tile, "fold").crossJoin(F.broadcast(folds))  # k folds
+    borrowed = rows.join(F.broadcast(lone), "_f").groupBy("_f").agg(F.min_by(tile, order).alias("_borrowed"))
+    out = rows.join(F.broadcast(borrowed), "_f", "left")
+    own = (F.col("fold") == F.col("_f")) | F.coalesce(F.col(tile) == F.col("_borrowed"), F.lit(False))
+    return out.select(F.col("_f").alias("fold"), tile, F.when(own, "val").otherwise("train").alias("part"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): all rows by rows of the class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import mean_of, ratio
+from canopy.operators.quantiles import quantiles, with_quantiles
 
 
 def _all() -> Window:
@@ -121,11 +122,9 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> Data
 
 def describe(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """(by, feature, count, mean, std, min, q25, median, q75, max) with exact quartiles."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return unpivoted(df, list(by), columns).groupBy(*by, "feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max("value").alias("max"),
-    )
+    long, group = unpivoted(df, list(by), columns), [*by, "feature"]
+    out = long.groupBy(*group).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return with_quantiles(out, long, group, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}).select(*group, "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def against_baseline(yearly: DataFrame, year: int, columns: list[str], keys: list[str], time: str = "year") -> DataFrame:
@@ -175,8 +174,8 @@ def species_by_habit(df: DataFrame, area: str, species: str, habit: str, n: int
 
 def stretched(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """``df`` with <column>_stretched: positive values between two percentiles, as 0..1."""
-    limits = df.agg(F.percentile(F.when(F.col(column) > 0, F.col(column)), F.array(F.lit(low), F.lit(high))).alias("_q"))
+    limits = quantiles(df.filter(F.col(column) > 0), [], column, [low, high]).select(F.col("q").alias("_q"))
     width = F.col("_q")[1] - F.col("_q")[0]
-    out = df.crossJoin(F.broadcast(limits))  # one row
+    out = df.join(F.broadcast(limits), how="left")  # one row, or none
     scaled = F.least(F.greatest(ratio(F.col(column) - F.col("_q")[0], width), F.lit(0.0)), F.lit(1.0))
     return out.withColumn(f"{column}_stretched", scaled).drop("_q")

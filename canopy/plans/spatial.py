@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopy.operators import compare as cp
+from canopy.operators import composites as co
 from canopy.operators import geo
 from canopy.operators import harmonic as hm
 from canopy.operators import raster as ra
@@ -228,7 +229,7 @@ def zonal_stats(spark, sf_dir):
 @query("""SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, round(avg(l_extendedprice) - 273.15, 4) AS temperature, round(sum(l_quantity) * 1000, 4) AS rain, round(avg(l_discount * 1000) / 100, 6) AS soil FROM lineitem GROUP BY 1, 2""")
 def yearly_climate(spark, sf_dir):
     """Yearly covariates with their units changed."""
-    out = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg((F.avg("l_extendedprice") - 273.15).alias("temperature"), (F.sum("l_quantity") * 1000).alias("rain"), (F.avg(F.col("l_discount") * 1000) / 100).alias("soil"))
+    out = co.yearly_covariates(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_shipdate", {"temperature": ("l_extendedprice", "kelvin_mean"), "rain": ("l_quantity", "metres_sum"), "soil": ("l_discount", "thousandths_mean")})
     return out.withColumns({"temperature": F.round("temperature", 4), "rain": F.round("rain", 4), "soil": F.round("soil", 6)})
 
 
@@ -238,8 +239,8 @@ def window_enumeration(spark, sf_dir):
     return ra.windows(spark, 125, 150, 32).select(*[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "height", "width")])
 
 
-@query("""SELECT o_orderkey % 50 AS pixel, round(quantile_cont(o_totalprice, 0.5), 6) AS b2 FROM orders WHERE month(o_orderdate) IN (9, 10, 11) AND o_custkey % 100 <= 40 GROUP BY 1""")
+@query("""SELECT o_custkey AS pixel, round(quantile_cont(o_totalprice, 0.5), 6) AS b2, count(*) AS n_dates FROM orders WHERE month(o_orderdate) IN (9, 10, 11) AND o_orderkey % 100 <= 40 GROUP BY 1""")
 def seasonal_composite(spark, sf_dir):
     """Median of the clear dates of a season for each pixel."""
-    o = table(spark, sf_dir, "orders").filter(F.month("o_orderdate").isin(9, 10, 11) & (F.col("o_custkey") % 100 <= 40))
-    return rounded(o.groupBy((F.col("o_orderkey") % 50).alias("pixel")).agg(F.percentile("o_totalprice", F.lit(0.5)).alias("b2")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pixel"), F.col("o_totalprice").alias("b2"), "o_orderdate", (F.col("o_orderkey") % 100).alias("cloud"))
+    return rounded(co.seasonal_composite(o, ["pixel"], ["b2"], "o_orderdate", [9, 10, 11], "cloud", 40))

@@ -8,6 +8,7 @@ from canopy.functions.names import leaf_habit
 from canopy.operators import classification as c
 from canopy.operators import relations as rel
 from canopy.operators import stats as st
+from canopy.operators.quantiles import with_quantiles
 from canopy.plans.classification import _COUNTS, _RATIOS
 from canopy.plans.proxies import AREAS_SQL, PIXELS_SQL, areas, pixels, rounded, table
 from canopy.plans.registry import query
@@ -162,10 +163,13 @@ def pivot_mean(spark, sf_dir):
 @query("""WITH o AS (SELECT o_orderpriority AS eco_region, CAST(o_orderkey % 100 AS DOUBLE) AS edge, o_totalprice AS patch, CAST(o_custkey % 10 AS DOUBLE) AS area FROM orders)
 SELECT CASE WHEN grouping(eco_region) = 1 THEN 'ALL' ELSE eco_region END AS eco_region, round(avg(edge), 6) AS edge_mean, round(quantile_cont(edge, 0.5), 6) AS edge_median, round(avg(patch), 6) AS patch_mean, round(quantile_cont(patch, 0.5), 6) AS patch_median, sum(area) AS area FROM o GROUP BY GROUPING SETS ((), (eco_region))""")
 def coherence_summary(spark, sf_dir):
-    """National and regional means and medians of coherence metrics in one pass."""
+    """National and regional means and medians of coherence metrics."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("eco_region"), (F.col("o_orderkey") % 100).cast("double").alias("edge"), F.col("o_totalprice").alias("patch"), (F.col("o_custkey") % 10).cast("double").alias("area"))
-    wanted = [f.alias(n) for m in ("edge", "patch") for n, f in ((f"{m}_mean", F.avg(m)), (f"{m}_median", F.percentile(m, F.lit(0.5))))]
-    return rounded(c.national_and_regional(o, "eco_region", [*wanted, F.sum("area").alias("area")]))
+    out = c.national_and_regional(o, "eco_region", [*[F.avg(m).alias(f"{m}_mean") for m in ("edge", "patch")], F.sum("area").alias("area")])
+    both = o.withColumn("eco_region", F.explode(F.array(F.lit("ALL"), "eco_region")))
+    for m in ("edge", "patch"):
+        out = with_quantiles(out, both, ["eco_region"], m, {f"{m}_median": 0.5})
+    return rounded(out)
 
 
 @query("""SELECT trim(split_part(r, ':', 1)) AS reason, count(*) AS n FROM (SELECT unnest([p_type || ' : ' || p_partkey, p_brand || ': x']) AS r FROM part WHERE p_size < 5) GROUP BY 1""")

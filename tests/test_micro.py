@@ -343,3 +343,64 @@ def test_schema_guards(spark):
     assert schemas.band_of(["a", "b"], ["b", "z"], "none") == {"b": 2, "z": None}
     with pytest.raises(ValueError):
         schemas.band_of(["a"], ["z"])
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    from canopy.operators import quantiles as qu
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=997), "b": np.full(300, 2.5), None: rng.integers(0, 5, 400).astype(float), "one": np.array([-7.0]), "two": np.array([1.0, 4.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    shares = [0.0, 0.02, 0.25, 0.5, 0.98, 1.0]
+    for pieces in (2, 5, 64):
+        monkeypatch.setattr(qu, "PIECES", pieces)
+        got = {r.g: (r.n, r.q) for r in qu.quantiles(df, ["g"], "v", shares).collect()}
+        assert set(got) == set(values)
+        for g, vs in values.items():
+            assert got[g][0] == len(vs) and got[g][1] == pytest.approx(np.quantile(vs, shares).tolist(), abs=1e-12)
+        every = qu.quantiles(df, [], "v", shares).collect()
+        assert len(every) == 1 and every[0].q == pytest.approx(np.quantile(np.concatenate(list(values.values())), shares).tolist(), abs=1e-12)
+    assert qu.quantiles(df.limit(0), [], "v", [0.5]).count() == 0
+    out = qu.with_quantiles(df.groupBy("g").count(), df, ["g"], "v", {"median": 0.5})
+    assert {r.g: r.median for r in out.collect()}["empty"] is None and out.count() == 6
+    assert stats.stretched(spark.createDataFrame([(1, -1.0)], "k int, v double"), "v").count() == 1
+
+
+def test_touched_cells(spark):
+    cells = spark.createDataFrame([(r, k) for r in range(8) for k in range(8)], "row int, col int")
+    ring = [(1.2, 1.2), (5.1, 1.6), (2.2, 4.3)]
+    thin = [(6.4, 5.0), (6.6, 5.0), (6.6, 7.9), (6.4, 7.9)]
+    polygons = spark.createDataFrame([(ring,), (thin,)], "ring array<struct<x:double,y:double>>")
+    x, y = F.col("col") + 0.5, F.col("row") + 0.5
+
+    def inside(points, px, py):
+        odd = False
+        for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+            if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    fine = (np.arange(200) + 0.5) / 200
+    want = {(r, k) for r in range(8) for k in range(8) for p in (ring, thin) if any(inside(p, k + a, r + b) for a in fine[::5] for b in fine[::5]) or inside(p, k + 0.5, r + 0.5)}
+    got = {(r.row, r.col) for r in raster.touched(cells, polygons, x, y, 1.0).collect() if r.value}
+    assert want <= got and all(any(abs(k + 0.5 - px) <= 0.5 and abs(r + 0.5 - py) <= 0.5 for p in (ring, thin) for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]) for t in np.linspace(0, 1, 2001) for px, py in [(ax + t * (bx - ax), ay + t * (by - ay))]) for r, k in got - want)
+    centres = {(r.row, r.col) for r in raster.touched(cells, polygons, x, y, 1.0, all_touched=False).collect() if r.value}
+    assert centres == {(r, k) for r in range(8) for k in range(8) for p in (ring, thin) if inside(p, k + 0.5, r + 0.5)} < got
+
+
+def test_splits_with_fallbacks(spark):
+    rows = [(k, "ab"[k % 2], k % 4 if k else 9) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, region string, label int")
+    split, used = sampling.split_with_fallbacks(df, ["region", "label"], ["k"], 0.7)
+    assert used == ["region"] and split.filter("part = 'train'").groupBy("region").count().collect()[0]["count"] == 14
+    assert sampling.split_with_fallbacks(df.filter("k > 0"), ["region", "label"], ["k"], 0.7)[1] == ["region", "label"]
+    split, used = sampling.split_with_fallbacks(df, ["k"], ["k"], 0.5)
+    assert used == [] and split.count() == 40 and split.select("part").distinct().count() == 2
+
+
+def test_folds_borrow_a_tile(spark):
+    tiles = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "tile int, fold int")
+    rows = {(r.fold, r.tile): r.part for r in sampling.fold_splits(tiles, "tile", 4).collect()}
+    assert len(rows) == 12 and rows[1, 1] == rows[1, 2] == rows[2, 3] == "val"
+    assert [sum(rows[f, t] == "val" for t in (1, 2, 3)) for f in (1, 2, 3, 4)] == [2, 1, 1, 1]
