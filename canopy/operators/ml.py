@@ -101,7 +101,11 @@ def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def out_of_fold(df: DataFrame, estimator: object, features: list[str], folds: int = 5, y: str = "y_true", scaled: bool = False, fold: str = "fold") -> DataFrame:
     """Predictions of each row by the model that didn't see its fold."""
-    df = labelled(df, y, features)
+    return held_out(labelled(df, y, features), estimator, features, folds, scaled, fold)
+
+
+def held_out(df: DataFrame, estimator: object, features: list[str], folds: int, scaled: bool = False, fold: str = "fold") -> DataFrame:
+    """``out_of_fold`` of rows that ``labelled`` has made ready."""
     out = None
     for k in range(1, folds + 1):
         part = predictions(model_of(estimator, features, scaled).fit(df.filter(F.col(fold) != k)), df.filter(F.col(fold) == k))
@@ -127,20 +131,26 @@ def top_features(scores: dict[str, float], k: int) -> list[str]:
 def elimination(df: DataFrame, estimator: object, features: list[str], folds: int = 5, step: int | float | list[int] = 1, least: int = 1, y: str = "y_true", metric: str = "f1_macro", scorer: Callable[[DataFrame], float] | None = None) -> list[dict]:
     """Recursive elimination: scores of shrinking feature sets, ranked by mean importance over folds.
 
-    step: how many go each time, a share of what is left, or a list of set sizes.  Every set is scored, the least too.
+    step: how many go each time, a share of what is left, or a list of set sizes.  Every set is scored, the least too,
+    with its confusion cells summed over folds (with a scorer of one's own, the score alone).
     """
     df = labelled(df, y, features)
     sizes = iter(step) if isinstance(step, list) else None
     out = []
     while True:
-        ranks, score = dict.fromkeys(features, 0.0), []
+        ranks, score, cells = dict.fromkeys(features, 0.0), [], dict.fromkeys(("tn", "fp", "fn", "tp"), 0)
         for k in range(1, folds + 1):
             model = model_of(estimator, features).fit(df.filter(F.col("fold") != k))
             for f, v in importances(model, features).items():
                 ranks[f] += v / folds
             held = predictions(model, df.filter(F.col("fold") == k))
-            score.append(scorer(held) if scorer else fold_metrics(held, []).first()[metric])
-        out.append({"n_features": len(features), "features": features, "mean": float(np.mean(score)), "std": float(np.std(score, ddof=1)) if folds > 1 else 0.0, "importances": ranks})
+            if scorer:
+                score.append(scorer(held))
+                continue
+            found = fold_metrics(held, []).first()
+            score.append(found[metric])
+            cells = {c: n + found[c] for c, n in cells.items()}
+        out.append({"n_features": len(features), "features": features, "mean": float(np.mean(score)), "std": float(np.std(score, ddof=1)) if folds > 1 else 0.0, "importances": ranks, **({} if scorer else cells)})
         if sizes is not None:
             size = next((s for s in sizes if s < len(features)), 0)
         else:
@@ -164,11 +174,13 @@ def halving(df: DataFrame, estimator: object, features: list[str], grid: list[di
     for r in range(rounds + 1):
         share = factor ** (r - rounds)
         some = df.filter(F.pmod(F.xxhash64(F.lit(SEED + r), *features), F.lit(10_000)) < int(10_000 * share)) if share < 1 else df
+        ready = labelled(some, y, features)
         scored = []
         for settings in alive:
-            tuned = estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
-            held = out_of_fold(some, tuned, features, folds, y, scaled)
+            held = held_out(ready, with_settings(estimator, settings), features, folds, scaled)
             scored.append((settings, float(fold_metrics(held, []).first()["f1_macro"]), r))
+        if share < 1:
+            ready.unpersist()  # a sample of this round's own
         scored.sort(key=lambda x: -x[1])
         out = scored + out
         if len(alive) == 1:
@@ -177,6 +189,25 @@ def halving(df: DataFrame, estimator: object, features: list[str], grid: list[di
     return out
 
 
+def with_settings(estimator: object, settings: dict) -> object:
+    return estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
+
+
+def tune(df: DataFrame, candidates: dict[str, tuple[object, list[dict]]], features: list[str], folds: int = 5, y: str = "y_true", metric: str = "f1_macro") -> list[dict]:
+    """(name, settings, mean, std, tn, fp, fn, tp) of each setting of each estimator, the best mean over folds first.
+
+    All are scored on the same folds, on features scaled by each fold's training rows; confusion cells are summed over folds.
+    """
+    ready, out = labelled(df, y, features), []
+    for name, (estimator, grid) in candidates.items():
+        for settings in grid:
+            rows = fold_metrics(held_out(ready, with_settings(estimator, settings), features, folds, scaled=True)).collect()  # a row a fold
+            scores = [r[metric] for r in rows]
+            cells = {k: sum(r[k] for r in rows) for k in ("tn", "fp", "fn", "tp")}
+            out.append({"name": name, "settings": settings, "mean": float(np.mean(scores)), "std": float(np.std(scores, ddof=1)) if len(scores) > 1 else 0.0} | cells)
+    return sorted(out, key=lambda x: -x["mean"])
+
+
 def save_model(model: PipelineModel, features: list[str], path: str) -> None:
     """The model, and its ordered features beside it as a one-line text file."""
     model.write().overwrite().save(path)

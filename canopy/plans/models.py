@@ -39,8 +39,8 @@ def lr_cv_metrics(spark, sf_dir):
 def rfe_curve(spark, sf_dir):
     """Scores of shrinking feature sets."""
     curve = ml.elimination(_samples(spark, sf_dir), ml.forest(5, 4), _FEATURES, 3, step=0.5, least=2)
-    rows = [(x["n_features"], ",".join(sorted(x["features"])), x["mean"], x["std"]) for x in curve]
-    return rounded(spark.createDataFrame(rows, "n_features int, features string, f1_mean double, f1_std double"))
+    rows = [(x["n_features"], ",".join(sorted(x["features"])), x["mean"], x["std"], *[x[k] for k in ("tn", "fp", "fn", "tp")]) for x in curve]
+    return rounded(spark.createDataFrame(rows, "n_features int, features string, f1_mean double, f1_std double, tn long, fp long, fn long, tp long"))
 
 
 @query()
@@ -81,6 +81,14 @@ def halving_search(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "settings string, f1_macro double, round int"))
 
 
+@query()
+def tabular_tuner(spark, sf_dir):
+    """One setting of each estimator on the same folds, the best first."""
+    candidates = {name: (estimator, grid[:1]) for name, (estimator, grid) in ml.estimators().items()}
+    rows = [(x["name"], str(sorted(x["settings"].items())), x["mean"], x["std"], x["tn"], x["fp"], x["fn"], x["tp"]) for x in ml.tune(_samples(spark, sf_dir), candidates, _FEATURES, 3)]
+    return rounded(spark.createDataFrame(rows, "name string, settings string, f1_mean double, f1_std double, tn long, fp long, fn long, tp long"))
+
+
 @query()
 def genus_cv_metrics(spark, sf_dir):
     """Random forest of several classes by folds."""

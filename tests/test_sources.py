@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import geo
-from canopy.sources import rasters, tables, vectors
+from canopy.sources import feature_files, rasters, tables, vectors
 from canopy.streaming.incremental import run_available
 
 
@@ -95,6 +95,26 @@ def test_rasters_are_written_by_windows(spark, tmp_path):
     assert not list((tmp_path / "mixed").rglob("*.npy"))
 
 
+def test_feature_files(spark, tmp_path):
+    from canopy.operators.harmonic import feature_stack
+    from canopy.schemas import BANDS, HARMONIC_FEATURES
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for t in ("north", "south"):
+        (tmp_path / "in" / t).mkdir(parents=True)
+        for m in range(1, 13):
+            data = rng.integers(200, 6000, size=(6, 3, 5)).astype(np.uint16)
+            data[5] = rng.integers(0, 40, size=(3, 5)) * 100
+            np.save(tmp_path / "in" / t / f"S2_2023{m:02d}15.npy", data)
+            rows += [(t, r, c, f"2023-{m:02d}-15", *map(int, data[:, r, c])) for r in range(3) for c in range(5)]
+    series = spark.createDataFrame(rows, "tile string, row int, col int, date string, " + ", ".join(f"{b} int" for b in [*BANDS, "msk_cldprb"])).withColumn("date", F.to_date("date"))
+    feature_files.write_features(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", block=2)
+    got = {(r.path[-5:], r.row, r.col): [r[f"band_{k}"] for k in range(1, 25)] for r in spark.read.format("raster").load(f"file://{tmp_path}/out").collect()}
+    want = {(r.tile, r.row, r.col): [r[f] or 0 for f in HARMONIC_FEATURES] for r in feature_stack(series, ["tile"], ["row", "col"]).collect()}
+    assert got == want and len(got) == 30
+
+
 def test_vectors(spark, tmp_path):
     at = f"file://{tmp_path}"
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
