@@ -208,17 +208,28 @@ def greedy_tile_selection(spark, sf_dir):
 _RECT_SQL = 'q AS (SELECT s_suppkey AS k, s_suppkey * 17 % 110 AS x0, s_suppkey * 29 % (SELECT max("row") + 1 FROM grid) AS y0 FROM supplier)'
 
 
-@query(f"""WITH {GRID_SQL}, {_RECT_SQL} SELECT "row", col, coalesce(arg_max(k % 7 + 1, k), 0) AS value FROM grid LEFT JOIN q ON col + 0.5 > x0 + 0.25 AND col + 0.5 < x0 + 12.25 AND "row" + 0.5 > y0 + 0.25 AND "row" + 0.5 < y0 + 9.25 GROUP BY 1, 2""")
-def rasterize_last_wins(spark, sf_dir):
-    """Polygons burnt into cells by their centres; the later one wins."""
+def _rectangles(spark, sf_dir, left, top, right, bottom):
+    """A rectangle of each supplier, somewhere on the whole grid."""
     extent = grid(spark, sf_dir).agg((F.max("row") + 1).alias("height"))
     s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(extent))  # one row
     s = s.select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 17 % 110).alias("x0"), (F.col("s_suppkey") * 29 % F.col("height")).alias("y0"))
     x0, y0 = F.col("x0"), F.col("y0")
-    polygons = s.select("k", (F.col("k") % 7 + 1).alias("v"), geo.box(x0 + 0.25, y0 + 0.25, x0 + 12.25, y0 + 9.25).alias("ring"))
+    return s.select("k", (F.col("k") % 7 + 1).alias("v"), geo.box(x0 + left, y0 + top, x0 + right, y0 + bottom).alias("ring"))
+
+
+@query(f"""WITH {GRID_SQL}, {_RECT_SQL} SELECT "row", col, coalesce(arg_max(k % 7 + 1, k), 0) AS value FROM grid LEFT JOIN q ON col + 0.5 > x0 + 0.25 AND col + 0.5 < x0 + 12.25 AND "row" + 0.5 > y0 + 0.25 AND "row" + 0.5 < y0 + 9.25 GROUP BY 1, 2""")
+def rasterize_last_wins(spark, sf_dir):
+    """Polygons burnt into cells by their centres; the later one wins."""
+    polygons = _rectangles(spark, sf_dir, 0.25, 0.25, 12.25, 9.25)
     return ra.rasterised(grid(spark, sf_dir).select("row", "col"), polygons, F.col("col") + 0.5, F.col("row") + 0.5, "v", "k", 1.0)
 
 
+@query(f"""WITH {GRID_SQL}, {_RECT_SQL}, h AS (SELECT DISTINCT y0 + r AS "row", x0 + c AS col, 1 AS value FROM q CROSS JOIN range(2) a(r) CROSS JOIN range(3) b(c)) SELECT "row", col, coalesce(value, 0) AS value FROM grid LEFT JOIN h USING ("row", col)""")
+def touched_mask(spark, sf_dir):
+    """Cells that a polygon touches, though it holds no centre."""
+    return ra.touched(grid(spark, sf_dir), _rectangles(spark, sf_dir, 0.75, 0.75, 2.25, 1.25), F.col("col") + 0.5, F.col("row") + 0.5, 1.0)
+
+
 @query("""WITH m AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS i FROM lineitem GROUP BY 1, 2)
 SELECT l.l_suppkey, round(avg(l.l_quantity), 6) AS mean, min(l.l_quantity) AS min, max(l.l_quantity) AS max, round(stddev_pop(l.l_quantity), 6) AS std, round(quantile_cont(l.l_quantity, 0.9), 6) AS p90, min(m.l_quantity) AS mode FROM lineitem l JOIN m ON m.l_suppkey = l.l_suppkey AND i = 1 GROUP BY 1""")
 def zonal_stats(spark, sf_dir):
