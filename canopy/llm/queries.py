@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, lines, neardup, neighbours, packing, pages, pieces, quality, repeats, tokenfiles
+from canopy.llm import licenses, lines, merkle, neardup, neighbours, packing, pages, pieces, quality, repeats, spelling, tokenfiles, twins
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 FLAT_TOKENIZER, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -58,13 +58,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing, op2_line_dedup, op3_nearest_neighbours, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
-        op8_html_extraction, op9_quality_classifier, op10_license_scan,
+        op8_html_extraction, op9_quality_classifier, op10_license_scan, op12_merkle_manifest, op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": twins.merkle(), "op13_spelling_variants": twins.spelling()}
