@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import licenses, lines, merkle, neardup, neighbours, packing, pages, pieces, quality, repeats, spelling, tokenfiles, twins
+from canopy.llm import licenses, lines, merkle, neardup, neighbours, packing, pages, pieces, quality, repeats, spelling, tokenfiles, toxicity, twins
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 FLAT_TOKENIZER, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -58,6 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing, op2_line_dedup, op3_nearest_neighbours, op4_quality_rules, op5_token_counts, op6_minhash_near_dedup, op7_sentencepiece,
-        op8_html_extraction, op9_quality_classifier, op10_license_scan, op12_merkle_manifest, op13_spelling_variants,
+        op8_html_extraction, op9_quality_classifier, op10_license_scan, op11_toxicity, op12_merkle_manifest, op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
