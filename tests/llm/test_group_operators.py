@@ -243,6 +243,29 @@ def test_line_dedup_finds_every_repeated_window(spark, docs):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_texts_of_very_many_equal_lines(spark, docs):
+    """The work is in proportion to the lines, and each line's first place stays."""
+    long, short = " ".join(f"w{k}" for k in range(60)), " ".join(f"s{k}" for k in range(7))
+    rows = [(1, "\n".join([long] * 100_000)), (2, "\n".join(["head", *[short] * 50_000, "tail"])), (3, "\n".join([long, short] * 20_000)), (4, "\n".join(["a", "b", "c"] * 30_000))]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got[1] == (long, 99_999)
+    assert got[2] == ("head\n" + short + "\ntail", 49_999)  # a run may be matched with the line before it
+    assert got[3] == (short, 39_999)  # the long line stands in the first text
+    assert got[4] == ("a\nb\nc", 89_997)
+
+
+def test_a_text_that_quotes_many_others(spark, docs):
+    rng = random.Random(31)
+    line = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    own = [[line(30), line(30), line(4)] for _ in range(300)]
+    rows = [(k, "\n".join([line(20), *x, line(20)])) for k, x in enumerate(own)]
+    mixed = [y for x in own for y in [*x, line(9)]]
+    rows.append((1000, "\n".join(mixed)))
+    got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got[1000] == ("\n".join(mixed[3::4]), 900)
+    assert all(got[k] == (t, 0) for k, t in rows[:-1])
+
+
 def _neighbours_brute(rows, k):
     use = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
     out = {}
