@@ -124,34 +124,37 @@ class Bags:
     text: np.ndarray
     word: np.ndarray
     count: np.ndarray
-    words: list[str]
+    words: pa.Array
+
+    def subwords(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, word, 1 / subwords of the word) of the words' subwords, some words at a time."""
+        for a in range(0, len(self.words), WORDS_AT_ONCE):
+            rows, sizes = subwords(self.words[a : a + WORDS_AT_ONCE].to_pylist(), bits)
+            yield rows, np.repeat(np.arange(a, a + len(sizes)), sizes), np.repeat(1 / sizes, sizes)
 
     @classmethod
     def of(cls, lists: pa.ListArray, counts: pa.ListArray) -> Bags:
         """From a list of different words a text, and their counts."""
         flat = lists.flatten().dictionary_encode()
         text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        return cls(text, flat.indices.to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(float), flat.dictionary.to_pylist())
+        return cls(text, flat.indices.to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(float), flat.dictionary)
 
 
 def train(bags: Bags, labels: np.ndarray, chosen: int = CHOSEN, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, bits: int = BITS, dim: int = DIM) -> Subwords:
     """Fit on texts and their labels 0 and 1."""
     share = float(labels.mean()) if len(labels) else 0.5
     values = np.zeros(1 << bits)
-    if not 0 < share < 1 or not bags.words:
+    if not 0 < share < 1 or not len(bags.words):
         return Subwords(values, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     portion = bags.count / np.bincount(bags.text, bags.count, len(labels))[bags.text]
-    rows, parts = subwords(bags.words, bits)
-    word = np.repeat(np.arange(len(parts)), parts)
-
-    def sums(of_words: np.ndarray, power: int) -> np.ndarray:
-        """Each subword's sum over its words."""
-        return np.bincount(rows, of_words[word] / parts[word] ** power, 1 << bits)
-
-    differ = sums(np.bincount(bags.word, portion * (labels - share)[bags.text], len(parts)), 1)
-    spread = np.sqrt(sums(np.bincount(bags.word, portion**2, len(parts)), 2))
-    best = np.argsort(-np.abs(differ) / np.maximum(spread, 1e-30), kind="stable")[:chosen]
-    x = _shares(bags, portion, len(labels), rows, parts, best)
+    by_word = [np.bincount(bags.word, x, len(bags.words)) for x in (portion * (labels - share)[bags.text], portion**2)]
+    differ, spread = np.zeros(1 << bits), np.zeros(1 << bits)
+    for rows, word, part in bags.subwords(bits):
+        differ += np.bincount(rows, by_word[0][word] * part, 1 << bits)
+        spread += np.bincount(rows, by_word[1][word] * part**2, 1 << bits)
+    best = np.argsort(-np.abs(differ) / np.sqrt(np.maximum(spread, 1e-60)), kind="stable")[:chosen]
+    best = best[spread[best] > 0]
+    x = _shares(bags, portion, len(labels), best, bits)
     weight = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-12)
     x *= weight
     middle = x.mean(0)
@@ -177,21 +180,23 @@ def train(bags: Bags, labels: np.ndarray, chosen: int = CHOSEN, rounds: int = RO
     return Subwords(values, float(theta[2][1] - theta[2][0] - middle @ added))
 
 
-def _shares(bags: Bags, portion: np.ndarray, texts: int, rows: np.ndarray, parts: np.ndarray, best: np.ndarray) -> np.ndarray:
+def _shares(bags: Bags, portion: np.ndarray, texts: int, best: np.ndarray, bits: int) -> np.ndarray:
     """(text, chosen subword): the subword's share of the text."""
-    at = np.full(int(rows.max()) + 1, -1)
-    best = best[best < len(at)]
+    at = np.full(1 << bits, -1, np.int64)
     at[best] = np.arange(len(best))
-    col = at[rows]
-    inside = col >= 0
-    col, word = col[inside], np.repeat(np.arange(len(parts)), parts)[inside]
-    starts = np.searchsorted(word, np.arange(len(parts) + 1))
+    found = []
+    for rows, word, part in bags.subwords(bits):
+        inside = at[rows] >= 0
+        found.append((at[rows[inside]], word[inside], part[inside]))
+    col, word, part = map(np.concatenate, zip(*found, strict=True))
+    starts = np.searchsorted(word, np.arange(len(bags.words) + 1))
     out = np.zeros(texts * len(best), np.float32)
     for a in range(0, len(portion), ENTRIES):
         of = bags.word[a : a + ENTRIES]
         many = starts[of + 1] - starts[of]
         pick = np.repeat(starts[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        np.add.at(out, np.repeat(bags.text[a : a + ENTRIES], many) * len(best) + col[pick], np.repeat(portion[a : a + ENTRIES] / parts[of], many).astype(np.float32))
+        value = np.repeat(portion[a : a + ENTRIES], many) * part[pick]
+        np.add.at(out, np.repeat(bags.text[a : a + ENTRIES], many) * len(best) + col[pick], value.astype(np.float32))
     return out.reshape(texts, len(best))
 
 
