@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,18 +62,39 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def merge_partitions(df: DataFrame, path: str, by: str, key: list[str]) -> None:
-    """Put the rows of ``df`` into a table partitioned by ``by``: old rows of the same key go, all others stay.
+def one_a_key(df: DataFrame, key: list[str], order: list[str] = ()) -> DataFrame:
+    """The last row of each key by ``order``, and of equal ones that with the largest hash of all columns."""
+    latest = [F.col(c).desc_nulls_last() for c in order] + [F.xxhash64(*df.columns).desc()]
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy(*latest))).filter("__nth = 1").drop("__nth")
 
-    Only the partitions that ``df`` has are read and written; doing it twice is as doing it once.
+
+def merge_partitions(df: DataFrame, path: str, by: str, key: list[str], order: list[str] = ()) -> None:
+    """Put the rows of ``df`` into a table partitioned by ``by``: old rows of the same key go, wherever they are; all others stay.
+
+    Of rows of ``df`` with one key the last by ``order`` counts.  Written anew are the partitions that ``df`` has and
+    those that hold its keys; a partition that is left empty is deleted.  Doing it twice is as doing it once.
     """
     spark = df.sparkSession
     fs, where = _fs(spark, path)
-    if fs.exists(where):
-        old = spark.read.parquet(path).withColumn(by, F.col(by).cast(df.schema[by].dataType))
-        old = old.join(df.select(by).distinct(), by, "left_semi").join(df.select(*key), key, "left_anti")
-        df = df.unionByName(old, allowMissingColumns=True)
-    replace_partitions(df, path, by)
+    new = one_a_key(df, key, order)
+    if not fs.exists(where):
+        return replace_partitions(new, path, by)
+    old = spark.read.parquet(path).withColumn(by, F.col(by).cast(df.schema[by].dataType))
+    same = reduce(and_, (F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in key))
+    keys = new.select(*key).alias("new")
+    touched = old.alias("old").join(keys, same, "left_semi").select(by).distinct()
+    name = F.col(by).cast("string").alias("name")
+    stale = [r["name"] for r in touched.select(name).collect()]  # names of partitions, not rows
+    here = F.col(f"old.{by}").eqNullSafe(F.col(f"at.{by}"))
+    kept = old.alias("old").join(touched.union(new.select(by)).distinct().alias("at"), here, "left_semi").alias("old").join(keys, same, "left_anti")
+    merged = new.unionByName(kept, allowMissingColumns=True)
+    full = {r["name"] for r in merged.select(name).distinct().collect()} if stale else set()
+    replace_partitions(merged, path, by)
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for value in stale:
+        if value not in full:
+            fs.delete(_fs(spark, f"{path.rstrip('/')}/{named(by, value)}")[1], True)
+    return None
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.sources.tables import merge_partitions
 
 
-def run_available(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, by: str, key: list[str], change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def run_available(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, by: str, key: list[str], change: Callable[[DataFrame], DataFrame] = lambda df: df, order: list[str] = ()) -> None:
     """Read the Parquet files that are new since the checkpoint, change them, and merge them into the target by key.
 
-    Rows of earlier files stay unless a new one has their key; a batch that is run again after a failure changes nothing.
+    Rows of earlier files stay unless a new one has their key, whatever its region; of a batch's rows of one key the last by ``order`` counts; a batch that is run again after a failure changes nothing.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        merge_partitions(change(batch), target, by, key)
+        merge_partitions(change(batch), target, by, key, order)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

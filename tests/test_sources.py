@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators import geo
 from canopy.sources import feature_files, rasters, tables, vectors
+from canopy.sources.tables import merge_partitions
 from canopy.streaming.incremental import run_available
 
 
@@ -169,3 +171,19 @@ def test_incremental_runs(spark, tmp_path):
     run_available(*args)
     run_available(*args)
     assert sorted((r.k, r.r) for r in spark.read.parquet(f"{at}/out").collect()) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def test_a_key_that_moves_or_repeats_stands_once(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    new = lambda *x: spark.createDataFrame(x, "k int, n int, r string")
+    merge_partitions(new((1, 1, "a"), (2, 1, "a"), (3, 1, "b"), (None, 1, "b"), (3, 2, "c")), at, "r", ["k"], ["n"])
+    assert {(r.k, r.n, r.r) for r in spark.read.parquet(at).collect()} == {(1, 1, "a"), (2, 1, "a"), (3, 2, "c"), (None, 1, "b")}
+    for _ in range(2):  # twice is as once
+        merge_partitions(new((1, 2, "b"), (3, 3, "a"), (4, 1, None), (5, 1, "x/y z")), at, "r", ["k"], ["n"])
+        found = {(r.k, r.n, r.r) for r in spark.read.parquet(at).collect()}
+        assert found == {(1, 2, "b"), (2, 1, "a"), (3, 3, "a"), (None, 1, "b"), (4, 1, None), (5, 1, "x/y z")}
+    assert "r=c" not in os.listdir(f"{tmp_path}/t")  # its only key went elsewhere
+    merge_partitions(new((4, 2, "a"), (5, 2, "a"), (None, 2, "a")), at, "r", ["k"])
+    assert {(r.k, r.n, r.r) for r in spark.read.parquet(at).collect()} == {(1, 2, "b"), (2, 1, "a"), (3, 3, "a"), (None, 2, "a"), (4, 2, "a"), (5, 2, "a")}
+    merge_partitions(new((7, 1, "q"), (7, 5, "p"), (7, 3, "q")), at, "r", ["k"], ["n"])
+    assert [(r.n, r.r) for r in spark.read.parquet(at).filter("k = 7").collect()] == [(5, "p")]
