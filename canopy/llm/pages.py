@@ -8,17 +8,18 @@ and containers inside an article or main element on ``prose_share``.  What stand
 itself, on pages whose articles differ in more than a passage (near copies of one article count once as a rule).
 Paragraphs and headings inside an article stay, as articles share passages.
 
-Elements that are boilerplate by their own tag or role (menus, forms, asides and so on) go too, and outside
-articles those whose class or id has a word of such.  Inside an article only whole names count, those of adverts,
-notices on cookies, subscriptions and reader comments, as other names there may be those of content.  What is left
-of the article (or the main element, or else the body) is the text: character references are decoded, white space
+Elements that are boilerplate by their own tag or role (menus, forms, asides and so on) go too, and those of which a
+whole class or id is the name of such: inside an article only the names of adverts, notices on cookies, subscriptions
+and reader comments, as other names there may be those of content.  Longer names that hold such a word say nothing;
+what they name goes if it recurs.  What is left
+of the article (or the main element, or else the body) is the text: character references are decoded in each piece of text, white space
 in a block becomes one space, blocks are joined in page order by one space.
 
 The template table has one row for each recurring subtree of a host, not for each page.  It is broadcast only
 below a checked number of rows; beyond, pages are joined with their deleted hashes.  Both delete the same nodes.
 
 Rows: null and empty html give an empty text; unclosed and broken markup is read as far as it goes, to any
-depth and length; a null url counts as a host without a name; pages that repeat an id are extracted one by one;
+depth and length, in time that grows in proportion; a null url counts as a host without a name; pages that repeat an id are extracted one by one;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -48,17 +49,15 @@ INLINE = set(
 )
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption caption".split())
 BOILERPLATE = RAW | set("head nav header footer aside form button select option input dialog menu object embed applet canvas audio video datalist".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|"
-    r"subscri\w*|signup|login|comment\w*|disqus|respond|replies|sidebar\w*|side-bar|nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|"
-    r"footer\w*|foot|masthead|topbar|toolbar|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|skip-link|copyright|disclaimer)(?=$|[\s_-])",
-    re.I,
-)
 MARKED_INSIDE = set(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle ad-slot ad-container sponsored promo cookie cookies cookie-notice cookie-banner consent newsletter "
     "newsletter-signup subscribe comment comments comment-list commentlist comments-area comment-section comment-form comment-respond disqus_thread respond replies sidebar "
     "notice-cookie site-notice social-share share-buttons sharing-buttons related-posts related-articles".split()
 )
+MARKED_OUTSIDE = MARKED_INSIDE | set(
+    "nav navbar navigation menu main-menu site-menu side-bar breadcrumb breadcrumbs pagination pager footer site-footer page-footer header site-header page-header masthead "
+    "topbar toolbar sharing social banner popup modal overlay signup login skip-link".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEEP = set("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -66,8 +65,9 @@ BLOCKS_END_P = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure details".split()
 )
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|[!?/][^>]*(?:>|$))", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote counts only where a value begins, and what isn't closed ends with the page, so each tag is read once.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _NODE = "struct<kind:int,hash:long>"
 _HOST = re.compile(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
@@ -86,57 +86,80 @@ class Node:
             return True
         if self.tag in KEEP and not (self.tag == "article" and self.parent is not None):
             return False
-        names = [self.attributes.get(k, "") for k in ("class", "id")]
-        if inside:
-            return any(x in MARKED_INSIDE for name in names for x in name.lower().split())
-        return any(map(MARKED.search, names))
+        marked = MARKED_INSIDE if inside else MARKED_OUTSIDE
+        return any(x in marked for k in ("class", "id") for x in self.attributes.get(k, "").lower().split())
 
     def holds_main(self) -> bool:
         return self.tag in ("article", "main") or self.attributes.get("role") == "main"
 
 
+class Open:
+    """The elements that are open, and where those of each tag stand among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if not (node.tag in INLINE or node.tag in ("p", "li", "td", "th", "dt", "dd")):
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost one with such a tag; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, k: int) -> None:
+        """The element at a place and all inside it."""
+        for node in reversed(self.nodes[k:]):
+            self.at[node.tag].pop()
+        del self.nodes[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        if k and (tag in ("body", "html", "main") or k >= self.last("article", "main", "body")):  # others belong to nothing in here
+            self.close(k)
+
+    def start(self, tag: str) -> None:
+        """Close what a start tag ends: the innermost such element, unless a block stands between."""
+        if tag in BLOCKS_END_P or tag in CLOSES:
+            k = self.last(*CLOSES.get(tag, {"p"}))
+            if k and k >= (self.blocks[-1] if self.blocks else 0):
+                self.close(k)
+
+
 def parse(html: str) -> list[Node]:
     """All elements in page order, the root first."""
     root = Node("", {}, None)
-    nodes, stack, at = [root], [root], 0
+    nodes, inner, at = [root], Open(root), 0
     while at < len(html):
         m = _TAG.search(html, at)
         if m is None:
-            stack[-1].parts.append(html[at:])
+            inner.nodes[-1].parts.append(html[at:])
             break
         if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
+            inner.nodes[-1].parts.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "main"):
-                    break  # an end tag that belongs to nothing in here
+            inner.end(tag)
             continue
-        if tag in BLOCKS_END_P or tag in CLOSES:
-            closes = CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE and stack[k].tag not in ("p", "li", "td", "th", "dt", "dd"):
-                    break
+        inner.start(tag)
         attributes = {a.lower(): markup.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         if m[3] and re.search(r"(?:^|\s)hidden(?:\s|/|$)", m[3]):
             attributes["hidden"] = ""
-        node = Node(tag, attributes, stack[-1])
-        stack[-1].parts.append(node)
+        node = Node(tag, attributes, inner.nodes[-1])
+        node.parent.parts.append(node)
         nodes.append(node)
         if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            inner.push(node)
     for node in reversed(nodes):  # children come after their parents
         inside = "\0".join(x if isinstance(x, str) else f"\1{x.hash}" for x in node.parts)
         node.hash = xxhash.xxh3_64_intdigest(f"{node.tag}\0{node.attributes.get('class', '')}\0{inside}") - (1 << 63)
@@ -154,14 +177,13 @@ def main_nodes(nodes: list[Node]) -> tuple[list[Node], set[int]]:
         if id(node.parent) in gone or node.boilerplate(within):
             gone.add(id(node))
     for find in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attributes.get("role") == "main", lambda n: n.tag == "body"):
-        found = {id(n): n for n in nodes if find(n) and id(n) not in gone}
-        outer = []
-        for n in found.values():
-            up = n.parent
-            while up is not None and id(up) not in found:
-                up = up.parent
-            if up is None:
+        outer, below = [], set()  # those that don't stand in another
+        for n in nodes:
+            found = find(n) and id(n) not in gone
+            if found and id(n.parent) not in below:
                 outer.append(n)
+            if found or id(n.parent) in below:
+                below.add(id(n))
         if outer:
             return outer, gone
     return nodes[:1], gone
@@ -174,7 +196,7 @@ def text_of(mains: list[Node], gone: set[int]) -> str:
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            raw.append(x)
+            raw.append(markup.unescape(x))
         elif x is None:
             raw.append("\n")
         elif id(x) not in gone:
@@ -182,7 +204,7 @@ def text_of(mains: list[Node], gone: set[int]) -> str:
                 raw.append("\n")
                 stack.append(None)
             stack.extend(reversed(x.parts))
-    return " ".join(markup.unescape("".join(raw)).split())
+    return " ".join("".join(raw).split())
 
 
 #: Kinds of nodes that may be template.
@@ -195,7 +217,7 @@ def deletable(nodes: list[Node], mains: list[Node]) -> list[tuple[int, Node]]:
     holds: set[int] = set()  # what the main text stands in
     for main in mains:
         up = main
-        while up is not None:
+        while up is not None and id(up) not in holds:
             holds.add(id(up))
             up = up.parent
     inside: set[int] = {id(m) for m in mains if m.holds_main()}

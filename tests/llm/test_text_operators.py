@@ -1,8 +1,11 @@
 import hashlib
+import html
+import html.parser
 import itertools
 import random
 import re
 import struct
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -351,48 +354,164 @@ def test_what_most_articles_of_a_host_share_goes_but_for_passages(spark):
     assert all(out[100 + k].endswith(f"x y Edit {k}") for k in range(6))  # near copies of one article
 
 
-def test_names_inside_an_article(spark):
+def test_names_of_elements(spark):
     content = "".join(f"<div {x}>{n}</div>" for n, x in enumerate(('class="notice-period"', 'class="related-work"', 'id="foot"', 'class="share"', 'class="comment-on-law"')))
     boxes = '<div class="ad">buy</div><section id="comments"><p>nice</p></section><div class="x newsletter">join</div><aside>a</aside><form>f</form>'
-    out = _texts(spark, [(1, "http://h/1", f"<body><div class='notice-period'>out</div><article><p>Text</p>{content}{boxes}</article></body>"), (2, "http://h/2", f"<body><p>Text</p>{content}</body>")])
-    assert out == {1: "Text 0 1 2 3 4", 2: "Text"}
-
-
-def _brute_templates(rows):
-    """(host, kind, hash) by counting in Python."""
-    on, of = defaultdict(set), defaultdict(set)
-    for _, url, html in rows:
-        nodes = pages.parse(html)
-        mains, gone = pages.main_nodes(nodes)
-        ids = (pages.text_of(mains, gone), pages.text_of(mains, gone), pages._passage(mains))
-        host = pages.host_of(url)
-        for kind in range(3):
-            of[host, kind].add(ids[kind])
-        for kind, node in pages.deletable(nodes, mains):
-            on[host, kind, node.hash].add(ids[kind])
-    shares = (pages.SHARE, pages.PROSE_SHARE, pages.PROSE_SHARE)
-    return {key for key, ids in on.items() if len(ids) >= max(pages.MIN_PAGES, shares[key[1]] * len(of[key[:2]]))}
+    plain = '<div class="menu-guide"><p>how to cook</p></div><div class="alert-system">rings</div><div id="share-prices">fell</div><div class="menu">Home</div><div id="Sidebar">News</div>'
+    rows = [
+        (1, "http://h/1", f"<body><div class='notice-period'>out</div><article><p>Text</p>{content}{boxes}</article></body>"),
+        (2, "http://h/2", f"<body><p>Text</p>{content}{boxes}</body>"),
+        (3, "http://h/3", f"<body>{plain}</body>"),
+        (4, "http://h/4", "<b>&</b>amp; x &amp;amp; &lt;p&gt; a&nbsp;&#8194;b"),
+    ]
+    assert _texts(spark, rows) == {1: "Text 0 1 2 3 4", 2: "Text 0 1 2 3 4", 3: "how to cook rings fell", 4: "&amp; x &amp; <p> a b"}
+
+
+BROKEN = [
+    ("<div>" * 300_000 + "x</span>" * 200_000, "x" * 200_000),
+    ("<article>" * 200_000, ""),
+    ("<b>" * 100_000 + "<p>x</p>" * 200_000, " ".join("x" * 200_000)),
+    ("<a " * 1_000_000 + '"', ""),
+    ("ok<a b=" * 300_000 + '"', "ok"),
+    ("<p " + "a" * 3_000_000 + ">x", "x"),
+    ("<div><article>" + "<i>" * 100_000 + "</div>" * 300_000 + "end", "end"),
+    ("<" * 2_000_000, "<" * 2_000_000),
+    ("<p>one<p>two" + " &amp; three" * 300_000, "one two" + " & three" * 300_000),
+]
+
+
+@pytest.mark.parametrize("k", range(len(BROKEN)))
+def test_broken_pages_of_megabytes_are_read_in_linear_time(spark, k):
+    html, text = BROKEN[k]
+    began = time.process_time()
+    nodes = pages.parse(html)
+    mains, gone = pages.main_nodes(nodes)
+    pages.hashes_by_kind(nodes, mains)
+    assert pages.text_of(mains, gone) == text
+    assert time.process_time() - began < 20
+
+
+def test_long_pages_in_spark(spark):
+    rows = [(k, f"http://h/{k}", html) for k, (html, _) in enumerate(BROKEN[:3])]
+    assert {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {k: t for k, (_, t) in enumerate(BROKEN[:3])}
+
+
+class _Tree(html.parser.HTMLParser):
+    """A tree of well-formed markup by the standard library: [tag, classes and id, children]."""
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.open = [["", "", []]]
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, tuple(sorted(dict(attrs).items())), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def _brute_extraction(rows, marked):
+    """Texts by the stated rules, over trees of another parser, with subtrees compared as they are."""
+    containers, prose = {"div", "ul", "section"}, {"p", "h1"}
+
+    def main_of(node):
+        for tag in ("article", "main", "body"):
+            queue = [node]
+            while queue:
+                x = queue.pop(0)
+                if isinstance(x, list):
+                    if x[0] == tag:
+                        return x
+                    queue += x[2]
+        return None
+
+    def walk(node, inside, main, drop, visit):
+        inside = inside or node[0] in ("article", "main")
+        for x in node[2]:
+            if isinstance(x, list) and not drop(x, inside):
+                visit(x, inside)
+                walk(x, inside, main, drop, visit)
+
+    def own(x, inside):
+        return x[0] in ("nav", "footer") or any(n in marked[inside] for _, v in x[1] for n in v.split())
+
+    def text(main, drop):
+        out = []
+
+        def go(x, inside):
+            inside = inside or x[0] in ("article", "main")
+            for c in x[2]:
+                if isinstance(c, str):
+                    out.append(c)
+                elif not drop(c, inside):
+                    block = c[0] not in ("b", "i")
+                    out.append(" " * block)
+                    go(c, inside)
+                    out.append(" " * block)
+
+        go(main, False)
+        return " ".join("".join(out).split())
+
+    trees = {k: (url.split("/")[2], _Tree(page).open[0]) for k, url, page in rows}
+    found, sizes = defaultdict(set), defaultdict(set)
+    for host, tree in trees.values():
+        main = main_of(tree)
+        page = text(main, own)
+        passages = []
+        walk(main, False, main, lambda x, inside: False, lambda x, inside: passages.append(pages.parse(_markup(x))[1].hash) if x[0] in prose | {"li"} else None)
+        passage = min(passages, default=None)
+        sizes[host, "page"].add(page)
+        sizes[host, "passage"].add(passage)
+
+        def holds(x, main=main):
+            return x is main or any(isinstance(c, list) and holds(c) for c in x[2])
+
+        def count(x, inside, host=host, page=page, passage=passage):
+            if not holds(x):
+                if x[0] in containers:
+                    found[host, "inside" if inside else "container", repr(x)].add(passage if inside else page)
+                elif x[0] in prose and not inside:
+                    found[host, "prose", repr(x)].add(page)
+
+        walk(tree, False, main, lambda x, inside: False, count)
+    shares = {"container": (pages.SHARE, "page"), "prose": (pages.PROSE_SHARE, "page"), "inside": (pages.PROSE_SHARE, "passage")}
+    template = {k for k, on in found.items() if len(on) >= max(pages.MIN_PAGES, shares[k[1]][0] * len(sizes[k[0], shares[k[1]][1]]))}
+    out = {}
+    for k, (host, tree) in trees.items():
+
+        def gone(x, inside, host=host):
+            kind = ("inside" if inside else "container") if x[0] in containers else "prose" if x[0] in prose and not inside else ""
+            return own(x, inside) or (host, kind, repr(x)) in template
+
+        out[k] = text(main_of(tree), gone)
+    return out
+
+
+def _markup(x):
+    return x if isinstance(x, str) else f"<{x[0]}{''.join(f' {k}={v!r}' for k, v in x[1])}>" + "".join(map(_markup, x[2])) + f"</{x[0]}>"
 
 
 def test_random_pages_equal_brute_force(spark):
     rng = random.Random(12)
-    parts = [f"<p>Passage {k}</p>" for k in range(6)] + [f"<div><p>Box {k}</p></div>" for k in range(6)] + [f"<ul><li>Item {k}<li>x</ul>" for k in range(4)] + [f"<p>Word {k}</p>" for k in range(200)]
-    pick = lambda n: "".join(rng.choice(parts[: rng.choice([4, 16, len(parts)])]) for _ in range(n))
+    parts = [f"<p>Passage {k}</p>" for k in range(6)] + [f"<div class='box'><p>Box <b>{k}</b></p></div>" for k in range(6)] + [f"<ul><li>Item {k}</li><li>x</li></ul>" for k in range(4)]
+    parts += ["<div class='ad'>buy</div>", "<div id='menu'><p>M</p></div>", "<div class='menu-card'>Soup</div>", "<nav><a>n</a></nav>"] + [f"<p>Word {k}</p>" for k in range(200)]
+    pick = lambda n: "".join(rng.choice(parts[: rng.choice([4, 16, 20, len(parts)])]) for _ in range(n))
     rows = []
     for k in range(400):
         main = pick(rng.randint(1, 5))
         wrapped = rng.choice([f"<article>{main}</article>", f"<main>{main}</main>", main, f"<div>{main}</div>"])
-        rows.append((k, f"http://host{rng.choice([0, 0, 0, 1, 2, 3])}/{k}", f"<body>{pick(2)}{wrapped}{pick(1)}</body>"))
-    templates = _brute_templates(rows)
-    out = _texts(spark, rows)
-    some = 0
-    for k, url, html in rows:
-        nodes = pages.parse(html)
-        mains, gone = pages.main_nodes(nodes)
-        gone |= {id(n) for kind, n in pages.deletable(nodes, mains) if (pages.host_of(url), kind, n.hash) in templates}
-        assert out[k] == pages.text_of(mains, gone)
-        some += out[k] != pages.text_of(mains, pages.main_nodes(nodes)[1])
-    assert some > 50
+        rows.append((k, f"http://host{rng.choice([0, 0, 0, 1, 2, 3])}/{k}", f"<html><body>{pick(2)}{wrapped}{pick(1)}<footer>f</footer></body></html>"))
+    expected = _brute_extraction(rows, {False: {"ad", "menu"}, True: {"ad"}})
+    assert _texts(spark, rows) == expected
+    whole = {k: " ".join(re.sub("<[^b/][^>]*>|</[^b][^>]*>", " ", re.sub("</?b>", "", page)).split()) for k, _, page in rows}
+    assert sum(len(expected[k]) < len(whole[k]) for k in whole) > 200
 
 
 @pytest.mark.parametrize("limit", [0, pages.BROADCAST_ROWS])
