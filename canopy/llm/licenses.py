@@ -1,11 +1,13 @@
 """License scan: template markup compiled to token automata.
 
-A template is plain wording with two kinds of markup: ``[[ ... ]]`` is an optional region and ``{{n}}`` a
-replaceable region of at most n words.  Each template becomes an automaton over words; a text is given the
+A template is plain wording with markup: ``[[ ... ]]`` is an optional region, ``((a | b))`` one of several wordings, ``{{n}}`` a
+replaceable region of at most n words, ``2!`` a word after which no number of one or two digits stands (version 2, not 2.1), and
+``clause!!`` one after which no identifier goes on (BSD-3-Clause, not BSD-3-Clause-Clear).  Each template becomes an automaton over words; a text is given the
 template's label where the automaton accepts a stretch of its words, that is where all mandatory wording
 matches exactly.  Versions and restrictions (share alike, non commercial) are mandatory wording.  Where accepted
 stretches overlap, the longest one stands, so a license isn't also labelled by a shorter one that its text
-begins with; of equally long ones all stand.  Beside it stands a base count of short phrases, whose labels stay.
+begins with; of equally long ones all stand.  The identifiers of an SPDX expression (MIT OR Apache-2.0) are matched one by
+one.  Beside it stands a base count of short phrases, whose labels stay.
 
 Rows: null text counts as empty; empty texts have no words, no places and no labels; texts are scanned
 whole, whatever their length; repeated rows each get their own result; an empty table gives an empty
@@ -34,9 +36,8 @@ SPDX = {
     "mit": ["mit"], "mit-0": ["mit 0"], "apache-1.1": ["apache 1 1"], "apache-2": ["apache 2 0"], "bsd-2": ["bsd 2 clause"], "bsd-3": ["bsd 3 clause"],
     "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "bsl-1": ["bsl 1 0"], "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"],
     "gpl-2": ["gpl 2 0"], "gpl-3": ["gpl 3 0"], "lgpl-2.1": ["lgpl 2 1"], "lgpl-3": ["lgpl 3 0"], "agpl-3": ["agpl 3 0"],
-    "cc0": ["cc0 1 0"], "cc-by": ["cc by"], "cc-by-sa": ["cc by sa"], "cc-by-nd": ["cc by nd"], "cc-by-nc": ["cc by nc"], "cc-by-nc-sa": ["cc by nc sa"],
-    "cc-by-nc-nd": ["cc by nc nd"],
-}
+    "cc0": ["cc0 1 0"],
+} | {f"cc-by{x}": [f"cc by{x.replace('-', ' ')} {n}" for n in ("1 0", "2 0", "2 5", "3 0", "4 0")] for x in ("", "-sa", "-nd", "-nc", "-nc-sa", "-nc-nd")}
 
 # Names of the Creative Commons licenses behind "creative commons attribution"; words may be written as one.
 CREATIVE_COMMONS = {
@@ -55,7 +56,10 @@ GNU = {
     "gnu affero general public license": {"3": "agpl-3"},
 }
 
-_UNDER = "[[licensed]] [[released]] under the [[terms of the]]"
+# Words with which an SPDX identifier goes on to that of another license, and those between identifiers.
+GOES_ON = set("clear clause attribution modification lbnl nuclear open views shortened patent uc advertising cmu enna feh modern testregex festival khronos wu sa nd nc igo".split())
+BETWEEN = {b"or", b"and"}
+
 _BSD = (
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
     "[[1]] [[{{1}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
@@ -66,12 +70,13 @@ _BSD = (
 # Wording of public licenses and of the usual notices, with optional and replaceable regions.
 NOTICES = [
     ("mit", "[[this {{4}} is]] [[dual]] [[licensed]] [[released]] [[distributed]] under the [[terms of the]] mit license"),
+    ("mit", "((or|and)) the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement]]"),
     ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind"),
-    ("apache", _UNDER + " apache [[software]] license"),
-    ("apache-1.0", _UNDER + " apache [[software]] license version 1 0"),
-    ("apache-1.1", _UNDER + " apache [[software]] license version 1 1"),
-    ("apache-2", _UNDER + " apache [[software]] license version 2 [[0]]"),
+    ("apache", "[[licensed]] [[released]] under the [[terms of the]] apache [[software]] license"),
+    ("apache-1.0", "[[licensed]] [[released]] ((under|or|and)) the [[terms of the]] apache [[software]] license ((version 1 0|v1 0))"),
+    ("apache-1.1", "[[licensed]] [[released]] ((under|or|and)) the [[terms of the]] apache [[software]] license ((version 1 1|v1 1))"),
+    ("apache-2", "[[licensed]] [[released]] ((under|or|and)) the [[terms of the]] apache [[software]] license ((version 2 0|version 2!|v2 0|v2!|2 0))"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd-2", _BSD),
     ("bsd-3", _BSD + " [[and]] [[3]] [[{{1}}]] neither the name of {{12}} nor the names of [[its]] [[contributors]] {{4}} may be used to endorse or promote products derived from this software without specific prior written permission"),
@@ -80,10 +85,11 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("bsl-1", "boost software license version 1 0"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("mpl-2", "mozilla public license [[v]] [[version]] 2 0"),
-    ("epl-2", "eclipse public license [[v]] [[version]] 2 0"),
-    ("cc0", "creative commons [[cc0]] [[zero]] [[v]] [[1 0]] [[universal]] public domain dedication"),
-    ("cc0", "under [[the]] cc0 [[1 0]]"),
+    ("mpl-2", "((mozilla public license|mpl)) ((v2 0|v2!|[[v]] [[version]] 2 0|version 2!))"),
+    ("epl-2", "((eclipse public license|epl)) ((v2 0|v2!|[[v]] [[version]] 2 0|version 2!))"),
+    ("cc0", "creative commons [[cc0]] [[zero]] [[v1 0]] [[v]] [[1 0]] [[universal]] public domain dedication"),
+    ("cc0", "creative commons ((cc0|zero|cc0 zero)) ((v1 0|[[v]] 1 0)) [[universal]]"),
+    ("cc0", "under [[the]] cc0 [[v1 0]] [[1 0]]"),
 ]
 
 
@@ -95,21 +101,35 @@ def _spellings(name: str) -> list[str]:
     return out
 
 
+def _version(number: str) -> str:
+    """Wordings of a version; a number alone isn't followed by another."""
+    last = number if " " in number else f"{number} 0|{number}!"
+    return "((" + "|".join(f"v{x}|[[v]] [[version]] {x}" for x in last.split("|")) + "))"
+
+
 def _templates() -> list[tuple[str, str]]:
     out = list(NOTICES)
-    out += [(label, f"spdx license identifier {words} [[1 0]] [[2 0]] [[2 5]] [[3 0]] [[4 0]] [[only]] [[or later]]") for label, ids in SPDX.items() for words in ids]
-    number = "[[version]] [[v]] [[1 0]] [[2 0]] [[2 5]] [[3 0]] [[4 0]]"
+    out += [(label, f"spdx license identifier {words}!! [[only]] [[or later]]") for label, ids in SPDX.items() for words in ids]
+    numbers = ("1 0", "2 0", "2 5", "3 0", "4 0")
+    number = "((" + "|".join(f"v{x}|[[version]] [[v]] {x}" for x in numbers) + "))"
+    kind = "[[international]] [[unported]] [[generic]]"
     for label, name in CREATIVE_COMMONS.items():
-        out += [(label, f"creative commons attribution {spelled} {number} [[international]] [[unported]] [[generic]] [[public]] license") for spelled in _spellings(name)]
-        out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[released]] under [[a]] [[the]] {label.replace('-', ' ')} {number} [[international]] [[license]]"))
+        short = label.replace("-", " ")
+        for spelled in _spellings(name):
+            out.append((label, f"creative commons attribution {spelled} [[{number}]] {kind} [[public]] license"))
+            out.append((label, f"creative commons attribution {spelled} {number} {kind} [[public]] [[license]]"))
+        out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[released]] under [[a]] [[the]] {short} [[{number}]] {kind} [[license]]"))
+        out.append((label, f"[[creative commons]] {short} {number} {kind} [[license]]"))
     for name, versions in GNU.items():
         for version, label in versions.items():
-            out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[under]] [[the]] [[terms of the]] {name} [[as published by the free software foundation]] [[either]] [[v]] [[version]] {version} [[0]] [[only]] [[of the license]] [[or at your option any later version]] [[or later]]"))
+            out.append((label, f"[[this {{{{4}}}} is]] [[licensed]] [[under]] [[the]] [[terms of the]] {name} [[as published by the free software foundation]] [[either]] {_version(version)} [[only]] [[of the license]] [[or at your option any later version]] [[or later]]"))
     return out
 
 
 TEMPLATES = _templates()
 
+SPDX_TAG, LONGEST_IDENTIFIER = [b"spdx", b"license", b"identifier"], 12
+
 #: Bytes that are no part of a word become spaces; A-Z become a-z; bytes of other characters stay.
 _TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -131,8 +151,10 @@ class Automaton:
         self.any: list[list[int]] = [[]]  # state -> next states by any word
         self.free: list[list[int]] = [[]]  # state -> next states by no word
         self.mandatory: set[bytes] = set()
-        marks = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template)
-        state, opened = 0, []
+        self.ends_number: set[int] = set()  # states in which no number may follow
+        self.ends_name: set[int] = set()  # and those in which no identifier may go on
+        marks = re.findall(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\d+\}\}|[^\s\[\]{}()|]+", template)
+        state, opened, choices = 0, [], []
         for mark in marks:
             if mark == "[[":
                 opened.append(state)
@@ -141,6 +163,19 @@ class Automaton:
                 self.free[state].append(after)
                 self.free[opened.pop()].append(after)
                 state = after
+            elif mark == "((":
+                opened.append(state)
+                choices.append([])
+            elif mark == "|":
+                choices[-1].append(state)
+                state = self._state()
+                self.free[opened[-1]].append(state)
+            elif mark == "))":
+                after = self._state()
+                for end in (*choices.pop(), state):
+                    self.free[end].append(after)
+                opened.pop()
+                state = after
             elif mark.startswith("{{"):
                 after = self._state()
                 for _ in range(int(mark[2:-2])):
@@ -152,12 +187,15 @@ class Automaton:
                 state = after
             else:
                 after = self._state()
-                self.words[state].setdefault(mark.encode(), []).append(after)
+                word = mark.rstrip("!").encode()
+                self.words[state].setdefault(word, []).append(after)
+                if mark.endswith("!"):
+                    (self.ends_name if mark.endswith("!!") else self.ends_number).add(after)
                 if not opened:
-                    self.mandatory.add(mark.encode())
+                    self.mandatory.add(word)
                 state = after
         if opened:
-            raise ValueError(f"an optional region of {label} does not end")
+            raise ValueError(f"a region of {label} does not end")
         self.end = state
         start = self._closure({0})
         self.first = {w for s in start for w in self.words[s]} if not any(self.any[s] for s in start) else None
@@ -189,7 +227,11 @@ class Automaton:
             for s in states:
                 after.update(self.words[s].get(words[i], ()))
                 after.update(self.any[s])
-            states, i = self._closure(after), i + 1
+            i += 1
+            if i < len(words) and after & (self.ends_number | self.ends_name):
+                number = len(words[i]) <= 2 and words[i].isdigit()
+                after = {s for s in after if not (number and (s in self.ends_number or s in self.ends_name) or s in self.ends_name and words[i].decode() in GOES_ON)}
+            states = self._closure(after)
         return end
 
     def find(self, words: list[bytes], present: set[bytes]) -> list[tuple[int, int]]:
@@ -235,6 +277,25 @@ def longest(matches: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return stay
 
 
+def identifiers(words: list[bytes]) -> list[tuple[int, int]]:
+    """The stretches of the second and later identifiers of SPDX expressions."""
+    out = []
+    for at in places(words, SPDX_TAG):
+        begin, k = None, at + len(SPDX_TAG)
+        while k < len(words):
+            if words[k] in BETWEEN:
+                if words[k : k + 2] != [b"or", b"later"]:
+                    if begin is not None:
+                        out.append((begin, k))
+                    begin = k + 1
+            elif k - (begin or at + len(SPDX_TAG)) > LONGEST_IDENTIFIER:
+                break
+            k += 1
+        if begin is not None and begin < len(words):
+            out.append((begin, min(len(words), begin + LONGEST_IDENTIFIER)))
+    return out
+
+
 def scan_text(text: str | None, base: list, automata: list[Automaton]) -> tuple:
     words = words_of(text)
     present = set(words)
@@ -243,7 +304,11 @@ def scan_text(text: str | None, base: list, automata: list[Automaton]) -> tuple:
         if present.issuperset(phrase) and (at := places(words, phrase)):
             starts += at
             base_labels.add(label)
-    for start, end, label in longest([(s, e, a.label) for a in automata for s, e in a.find(words, present)]):
+    accepted = [(s, e, a.label) for a in automata for s, e in a.find(words, present)]
+    for begin, stop in identifiers(words) if present.issuperset(SPDX_TAG) else ():
+        one = [*SPDX_TAG, *words[begin : stop + 1]]
+        accepted += [(begin, begin + end - len(SPDX_TAG), a.label) for a in automata if (end := a.match(one, 0)) > len(SPDX_TAG)]
+    for start, end, label in longest(accepted):
         labels.add(label)
         matches.append((start, end, label))
     most = max((end - start for start, end, _ in matches), default=0)

@@ -189,6 +189,24 @@ def test_license_scan(spark, docs):
         ("the GNU Affero General Public License, version 3", "agpl-3"),
         ("Released under the MIT License.", "mit"),
         ("Mozilla Public License, v. 2.0", "mpl-2"),
+        ("SPDX-License-Identifier: BSD-3-Clause-Clear", ""),
+        ("SPDX-License-Identifier: BSD-3-Clause-No-Nuclear-License", "bsd-3"),  # "no" may begin a sentence
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2,mit"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later OR BSD-2-Clause AND (ISC OR MIT-0)", "bsd-2,gpl-2,isc,mit-0"),
+        ("SPDX-License-Identifier: MIT OR BSD-3-Clause-Clear", "mit"),
+        ("GNU General Public License version 2.1", ""),
+        ("GNU General Public License v3", "gpl-3"),
+        ("GNU General Public License, v2.0 or later", "gpl-2"),
+        ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
+        ("licensed under the Apache License, Version 2.1", "apache,apache-2"),  # the base phrase stands there
+        ("MPL v2.0", "mpl-2"),
+        ("MPL 2.1", ""),
+        ("Creative Commons Zero v1.0 Universal", "cc0"),
+        ("CC BY-SA 4.0", "cc-by-sa"),
+        ("CC BY 4.0", "cc-by"),
+        ("cc by sa", ""),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+        ("dual licensed under the MIT license or the Apache License, Version 2.0", "apache-2,mit"),
         ("the license of the apache is under the tree, version 2 of mit", ""),
         ("gnu general public license", ""),
     ],
@@ -211,6 +229,10 @@ def _accepted(marks):
                 e += 1
                 depth += (marks[e] == "[[") - (marks[e] == "]]")
             part, k = _accepted(marks[k + 1 : e]) | {()}, e
+        elif marks[k] == "((":
+            e = marks.index("))", k)
+            bars = [k, *(i for i in range(k, e) if marks[i] == "|"), e]
+            part, k = set().union(*(_accepted(marks[a + 1 : b]) for a, b in itertools.pairwise(bars))), e
         elif marks[k].startswith("{{"):
             part = {t for n in range(int(marks[k][2:-2]) + 1) for t in itertools.product("abc", repeat=n)}
         else:
@@ -226,7 +248,7 @@ def test_automata_equal_brute_force():
         marks = [rng.choice("abc")]
         for _ in range(rng.randint(0, 3)):
             kind = rng.random()
-            marks += ["[[", *(rng.choice("abc") for _ in range(rng.randint(1, 2))), *(["[[", "b", "]]"] if kind < 0.1 else []), "]]"] if kind < 0.4 else ["{{%d}}" % rng.randint(1, 2)] if kind < 0.6 else [rng.choice("abc")]
+            marks += ["[[", *(rng.choice("abc") for _ in range(rng.randint(1, 2))), *(["[[", "b", "]]"] if kind < 0.1 else []), "]]"] if kind < 0.4 else ["{{%d}}" % rng.randint(1, 2)] if kind < 0.6 else ["((", "a", "b", "|", rng.choice("abc"), "|", "[[", "c", "]]", "a", "))"] if kind < 0.75 else [rng.choice("abc")]
         accepted = _accepted(marks) - {()}
         automaton = licenses.Automaton("x", " ".join(marks))
         for _ in range(5):
@@ -248,6 +270,15 @@ def test_automaton_optional_and_replaceable_regions():
     assert not ok("one a b c d three") and not ok("one two") and not ok("two three")
 
 
+def test_automaton_guards():
+    a = licenses.Automaton("x", "version ((2 0|2!)) [[only]]")
+    b = licenses.Automaton("x", "id one clause!!")
+    ok = lambda x, s: bool(x.find(s.encode().split(), set(s.encode().split())))
+    assert ok(a, "version 2") and ok(a, "version 2 0 7") and ok(a, "version 2 2005") and ok(a, "version 2 only 1")
+    assert not ok(a, "version 2 1") and not ok(a, "version 2 13")
+    assert ok(b, "id one clause") and ok(b, "id one clause this file") and not ok(b, "id one clause clear") and not ok(b, "id one clause 2")
+
+
 def test_token_files_round_trip(spark, docs):
     import tiktoken
 
