@@ -1,16 +1,19 @@
-"""A Spark data source for rasters in NumPy files, read and written window by window, with only the wanted bands.
+"""A Spark data source for rasters in GeoTIFF and NumPy files, read and written window by window, with only the wanted bands.
 
-GeoTIFF needs a library that isn't everywhere; ``rasterio`` is used for .tif files where it can be imported, and .npy
-arrays (bands, height, width) are read without it, by ranges, from any file system that pyarrow knows.  Each window is a
-partition.  What is written are files of one window each, ``<path>/<tile>/block_<row>_<col>.npy``; they are read back with
-the folder as their path and rows and columns of the whole tile.
+.tif files (``canopy.sources.tiff``) and .npy arrays (bands, height, width) are read by ranges from any file system that
+pyarrow knows.  Each window is a partition, and reads its own bytes.  The source writes files of one window
+each, ``<path>/<tile>/block_<row>_<col>.npy``; they are read back with the folder as their path and rows and columns of the
+whole tile.  ``write_geotiffs`` writes one GeoTIFF a raster: tasks encode blocks, running sums give each block its place in the
+file, and the blocks of a file stream into it in order.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +22,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from canopy.sources import tiff
+
 BLOCK_NAME = re.compile(r"^(.*)/block_(\d+)_(\d+)\.npy$")
 
 
@@ -30,7 +36,16 @@ class RasterWindow(InputPartition):
 
 
 def _at(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+#: Headers are read and windows are put in place so many at a time.
+THREADS = 32
+
+
+def _each(do: Callable, items: list) -> list:
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(do, items))
 
 
 def _header(f: pa.NativeFile) -> tuple[tuple[int, int, int], np.dtype]:
@@ -44,33 +59,29 @@ def _header(f: pa.NativeFile) -> tuple[tuple[int, int, int], np.dtype]:
 
 
 def _shape(path: str) -> tuple[int, int, int]:
-    if path.endswith(".npy"):
-        fs, at = _at(path)
-        with fs.open_input_file(at) as f:
+    fs, at = _at(path)
+    with fs.open_input_file(at) as f:
+        if path.endswith(".npy"):
             return _header(f)[0]
-    import rasterio
-
-    with rasterio.open(path) as f:
-        return f.count, f.height, f.width
+        layout = tiff.read_layout(f)
+        return layout.bands, layout.height, layout.width
 
 
 def _read(part: RasterWindow, bands: list[int]) -> np.ndarray:
-    if part.path.endswith(".npy"):
-        fs, at = _at(part.path)
-        with fs.open_input_file(at) as f:
-            (_, height, width), kind = _header(f)
-            begin = f.tell()
-            out = np.empty((len(bands), part.height, part.width), kind)
-            for k, b in enumerate(bands):
-                f.seek(begin + ((b - 1) * height + part.row) * width * kind.itemsize)
-                lines = np.frombuffer(f.read(part.height * width * kind.itemsize), kind).reshape(part.height, width)
-                out[k] = lines[:, part.col : part.col + part.width]
-            return out
-    import rasterio
-    from rasterio.windows import Window
-
-    with rasterio.open(part.path) as f:
-        return f.read(bands, window=Window(part.col, part.row, part.width, part.height))
+    fs, at = _at(part.path)
+    with fs.open_input_file(at) as f:
+        if not part.path.endswith(".npy"):
+            return tiff.read_window(f, tiff.read_layout(f), part.row, part.col, part.height, part.width, bands)
+        (_, height, width), kind = _header(f)
+        begin = f.tell()
+        out = np.empty((len(bands), part.height, part.width), kind)
+        whole = part.width == width  # its lines follow each other
+        for k, b in enumerate(bands):
+            for r in range(1 if whole else part.height):
+                f.seek(begin + (((b - 1) * height + part.row + r) * width + part.col) * kind.itemsize)
+                lines = part.height if whole else 1
+                out[k, r : r + lines] = np.frombuffer(f.read(lines * part.width * kind.itemsize), kind).reshape(lines, part.width)
+        return out
 
 
 def _files(path: str) -> list[str]:
@@ -94,8 +105,7 @@ class RasterReader(DataSourceReader):
 
     def partitions(self) -> list[RasterWindow]:
         out = []
-        for path in self.files:
-            _, height, width = _shape(path)
+        for path, (_, height, width) in zip(self.files, _each(_shape, self.files), strict=True):
             for r in range(0, height, self.block):
                 for c in range(0, width, self.block):
                     out.append(RasterWindow(path, r, c, min(self.block, height - r), min(self.block, width - c)))
@@ -161,11 +171,12 @@ class RasterWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for staged, place in message.files if message else []:
-                fs, to = _at(place)
-                fs.create_dir(to.rsplit("/", 1)[0])
-                fs.move(_at(staged)[1], to)
+        def put(one: tuple[str, str]) -> None:
+            fs, to = _at(one[1])
+            fs.create_dir(to.rsplit("/", 1)[0])
+            fs.move(_at(one[0])[1], to)
+
+        _each(put, [one for message in messages if message for one in message.files])
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -210,3 +221,84 @@ def write_rasters(cells: DataFrame, tile: str, bands: list[str], path: str, bloc
     dealt = dealt.repartition("tile", *corner).sortWithinPartitions("tile", *corner)
     writer = dealt.write.format("raster").mode("append").option("block", block).option("dtype", dtype)
     (writer if fill is None else writer.option("fill", fill)).save(path)
+
+
+COMPRESSIONS = {None: tiff.NONE, "lzw": tiff.LZW, "deflate": tiff.DEFLATE}
+
+
+def write_geotiffs(
+    cells: DataFrame, tile: str, bands: list[str], path: str, block: int = 256, dtype: str = "float32", fill: float = 0.0, compression: str | None = "deflate",
+    corner: tuple[float, float] = (0.0, 0.0), size: float = 10.0, epsg: int | None = None,
+) -> None:
+    """Cells (tile, row, col, bands) as ``<path>/<tile>.tif``, tiled by ``block`` (a multiple of 16).
+
+    corner, size: x and y of the first cell's outer corner, and the cells' width.  A raster reaches to its last row and column
+    with a cell; cells left out, and nulls, are ``fill``, and blocks without cells aren't stored.  One
+    task writes a file, block by block; blocks are made by all.  Files that are there are replaced whole; what a run has staged goes.
+    """
+    spark = cells.sparkSession
+    kind = np.dtype(dtype).newbyteorder("<")
+    tags: dict[int, tuple] = {tiff.PIXEL_SCALE: (size, size, 0.0), tiff.TIE_POINT: (0.0, 0.0, 0.0, *map(float, corner), 0.0), tiff.NO_DATA: (f"{fill:g}\0".encode(),)}
+    if epsg:
+        tags[tiff.GEO_KEYS] = (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg)
+
+    def layout(height: int, width: int, counts: list[int]) -> tiff.Layout:
+        predictor = 1 if compression is None else 3 if kind.kind == "f" else 2
+        return tiff.Layout(int(height), int(width), len(bands), kind, (block, block), COMPRESSIONS[compression], predictor, counts=counts, tags=tags)
+
+    def encode(rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.full((len(bands), block, block), fill).astype(kind)
+        for k, b in enumerate(bands):
+            values = rows[b].to_numpy(dtype=np.float64, na_value=np.nan)
+            gone = np.isnan(values) if kind.kind != "f" else rows[b].isna().to_numpy()
+            data[k, rows["row"] % block, rows["col"] % block] = np.where(gone, fill, values).astype(kind)
+        return pd.DataFrame({"tile": rows["tile"].iloc[:1], "r": rows["_r"].iloc[:1], "c": rows["_c"].iloc[:1], "rows": rows["row"].max() + 1, "cols": rows["col"].max() + 1, "data": [tiff.encoded(data, layout(0, 0, []))]})
+
+    dealt = cells.select(F.col(tile).cast("string").alias("tile"), F.col("row").cast("int"), F.col("col").cast("int"), *[F.col(b).cast("double") for b in bands])
+    dealt = dealt.withColumns({"_r": F.floor(F.col("row") / block).cast("int"), "_c": F.floor(F.col("col") / block).cast("int")})
+    staging = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    schema = "tile string, r int, c int, rows int, cols int, data binary"
+    dealt.groupBy("tile", "_r", "_c").applyInPandas(encode, schema).write.parquet(staging)
+    blocks = spark.read.schema(schema).parquet(staging)
+
+    @F.pandas_udf(T.BinaryType())
+    def head(height: pd.Series, width: pd.Series, stored: pd.Series) -> pd.Series:
+        out = []
+        for h, w, some in zip(height, width, stored, strict=True):
+            across = -(-w // block)
+            counts = [0] * (across * -(-h // block))
+            for x in some:
+                counts[x["r"] * across + x["c"]] = x["n"]
+            out.append(tiff.header(layout(h, w, counts)))
+        return pd.Series(out)
+
+    one = F.collect_list(F.struct("r", "c", F.length("data").alias("n")))
+    shapes = blocks.groupBy("tile").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"), one.alias("stored"))
+    heads = shapes.select("tile", F.lit(-1).alias("r"), F.lit(0).alias("c"), head("rows", "cols", "stored").alias("data"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, done = None, None, []
+
+        def end() -> None:
+            if f is not None:
+                f.close()
+                fs, to = _at(f"{path.rstrip('/')}/{name}.tif")
+                fs.move(_at(f"{staging}/{name}-{mark}")[1], to)
+                done.append(name)
+
+        for batch in batches:
+            for tile_name, data in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if tile_name != name:
+                    end()
+                    name, mark = tile_name, uuid.uuid4().hex
+                    fs, at = _at(f"{staging}/{name}-{mark}")
+                    f = fs.open_output_stream(at)
+                f.write(data.as_buffer())
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["tile"])
+
+    try:
+        heads.unionByName(blocks.select("tile", "r", "c", "data")).repartition("tile").sortWithinPartitions("tile", "r", "c").mapInArrow(put, "tile string").write.format("noop").mode("overwrite").save()
+    finally:
+        fs, at = _at(staging)
+        fs.delete_dir(at)

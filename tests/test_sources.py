@@ -1,12 +1,15 @@
+import io
 import json
 import os
+import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import geo
-from canopy.sources import feature_files, rasters, tables, vectors
+from canopy.sources import feature_files, rasters, tables, tiff, vectors
 from canopy.sources.tables import merge_partitions
 from canopy.streaming.incremental import run_available
 
@@ -97,6 +100,117 @@ def test_rasters_are_written_by_windows(spark, tmp_path):
     assert not list((tmp_path / "mixed").rglob("*.npy"))
 
 
+def _tiff(order, strips, big, apart=False):
+    """A small file of strips written by hand: two bands of 5 x 3 cells, 16 bit, plain."""
+    cells = np.arange(30, dtype=f"{order}i2").reshape(2, 5, 3)
+    planes = [cells[k : k + 1] for k in range(2)] if apart else [cells]
+    parts = [np.ascontiguousarray(p[:, r : r + strips].transpose(1, 2, 0)).tobytes() for p in planes for r in range(0, 5, strips)]
+    long, many, begin = (("Q", 20, 16) if big else ("I", 12, 8))
+    at = np.cumsum([begin, *map(len, parts)]).tolist()
+    tags = [(256, 3, [3]), (257, 3, [5]), (258, 3, [16, 16]), (259, 3, [1]), (273, 4, at[:-1]), (277, 3, [2]), (278, 3, [strips]), (279, 4, [len(p) for p in parts]), (284, 3, [2 if apart else 1]), (339, 3, [2, 2])]
+    extra_at = at[-1] + (8 if big else 2) + many * len(tags) + (8 if big else 4)
+    extra, entries = b"", b""
+    for tag, kind, values in tags:
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        room = many // 2 - 2
+        if len(raw) > room:
+            value, extra = struct.pack(f"{order}{long}", extra_at + len(extra)), extra + raw
+        else:
+            value = raw.ljust(room, b"\0")
+        entries += struct.pack(f"{order}HH{long}", tag, kind, len(values)) + value
+    head = struct.pack(f"{order}HHHQ", 43, 8, 0, at[-1]) if big else struct.pack(f"{order}HI", 42, at[-1])
+    return cells, (b"II" if order == "<" else b"MM") + head + b"".join(parts) + struct.pack(f"{order}{'Q' if big else 'H'}", len(tags)) + entries + struct.pack(f"{order}{long}", 0) + extra
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("apart", [False, True])
+def test_tiff_files_of_strips(order, big, apart):
+    for strips in (1, 2, 5):
+        cells, raw = _tiff(order, strips, big, apart)
+        f = io.BytesIO(raw)
+        layout = tiff.read_layout(f)
+        assert (layout.bands, layout.height, layout.width) == cells.shape
+        assert (tiff.read_window(f, layout, 0, 0, 5, 3, [1, 2]) == cells).all()
+        assert (tiff.read_window(f, layout, 1, 1, 3, 2, [2]) == cells[1:, 1:4, 1:]).all()
+
+
+def test_lzw_codes():
+    example = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])  # that of the format's description
+    assert tiff.lzw_encoded(example).hex() == "8001e0408044080c068080"
+    rng = random.Random(2)
+    for n in (0, 1, 2, 600, 70_000):
+        for letters in (1, 2, 256):
+            raw = bytes(rng.randrange(letters) for _ in range(n))
+            assert tiff.lzw_decoded(tiff.lzw_encoded(raw)) == raw
+
+
+class _Counting(io.BytesIO):
+    bytes_read = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.bytes_read += len(out)
+        return out
+
+
+@pytest.mark.parametrize("compression", [None, "lzw", "deflate"])
+@pytest.mark.parametrize("dtype", ["uint8", "int16", "uint16", "float32", "float64"])
+def test_tiff_blocks(compression, dtype):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 200, (3, 70, 90)).astype(dtype)
+    kind = np.dtype(dtype)
+    layout = tiff.Layout(70, 90, 3, kind.newbyteorder("<"), (16, 32), rasters.COMPRESSIONS[compression], 1 if compression is None else 3 if kind.kind == "f" else 2, tags={tiff.NO_DATA: (b"7\0",)})
+    blocks = []
+    for r in range(0, 70, 16):
+        for c in range(0, 90, 32):
+            part = np.zeros((3, 16, 32), dtype)
+            inner = data[:, r : r + 16, c : c + 32]
+            part[:, : inner.shape[1], : inner.shape[2]] = inner
+            blocks.append(tiff.encoded(part, layout))
+    blocks[4] = b""  # isn't stored
+    data[:, 16:32, 32:64] = 7
+    layout.counts = [len(b) for b in blocks]
+    f = _Counting(tiff.header(layout) + b"".join(blocks))
+    found = tiff.read_layout(f)
+    assert (tiff.read_window(f, found, 0, 0, 70, 90, [1, 2, 3]) == data).all()
+    for _ in range(20):
+        r, c = int(rng.integers(0, 70)), int(rng.integers(0, 90))
+        h, w = int(rng.integers(1, 71 - r)), int(rng.integers(1, 91 - c))
+        assert (tiff.read_window(f, found, r, c, h, w, [3, 1]) == data[[2, 0], r : r + h, c : c + w]).all()
+    f.bytes_read = 0
+    tiff.read_window(f, found, 33, 65, 10, 20, [2])
+    assert f.bytes_read == found.counts[2 * 3 + 2]  # its own block only
+
+
+@pytest.mark.parametrize(("dtype", "compression"), [("float32", "deflate"), ("uint16", "lzw"), ("int16", None)])
+def test_geotiffs(spark, tmp_path, dtype, compression):
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 1000, (2, 2, 50, 70)).astype(dtype)
+    rows = [(t, r, c, *map(float, data[t, :, r, c])) for t in range(2) for r in range(50) for c in range(70) if (t, r, c) != (0, 3, 4) and not (t == 1 and r < 16 and 16 <= c < 32)]
+    data[0, :, 3, 4] = data[1, :, :16, 16:32] = 9
+    cells = spark.createDataFrame(rows, "t int, row int, col int, a double, b double")
+    for _ in range(2):  # a second run replaces the files
+        rasters.write_geotiffs(cells, "t", ["a", "b"], f"file://{tmp_path}/out", block=16, dtype=dtype, fill=9, compression=compression, corner=(600_000.0, 6_200_000.0), epsg=2154)
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["0.tif", "1.tif"]
+    with open(tmp_path / "out" / "1.tif", "rb") as f:
+        layout = tiff.read_layout(f)
+    assert layout.tags[tiff.TIE_POINT][3:5] == (600_000.0, 6_200_000.0) and layout.tags[tiff.PIXEL_SCALE][:2] == (10.0, 10.0) and layout.tags[tiff.GEO_KEYS][-1] == 2154
+    assert layout.counts[1] == 0 and (layout.height, layout.width, layout.dtype) == (50, 70, np.dtype(dtype))
+    rasters.register(spark)
+    got = spark.read.format("raster").option("block", 24).load(f"{tmp_path}/out").collect()
+    assert len(got) == 7000 and all((r.band_1, r.band_2) == tuple(data[int(r.path[-5]), :, r.row, r.col]) for r in got)
+    one = spark.read.format("raster").option("bands", "2").load(f"{tmp_path}/out/0.tif")
+    assert one.agg(F.sum("band_2")).first()[0] == data[0, 1].astype(float).sum()
+
+
+def test_rasters_by_relative_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    np.save("a.npy", np.arange(60.0).reshape(1, 6, 10))
+    part = rasters.RasterWindow("a.npy", 2, 3, 2, 4)
+    assert (rasters._read(part, [1]) == np.arange(60.0).reshape(1, 6, 10)[:, 2:4, 3:7]).all() and rasters._shape("a.npy") == (1, 6, 10)
+
+
 def test_feature_files(spark, tmp_path):
     from canopy.operators.harmonic import feature_stack
     from canopy.schemas import BANDS, HARMONIC_FEATURES
