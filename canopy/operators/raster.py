@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import ratio
+from canopy.operators import blocks
 from canopy.operators.quantiles import with_quantiles
 
 
@@ -64,103 +62,47 @@ def edge_density(cells: DataFrame, by: list[str], value: str = "value", size: fl
     return out.select(*by, "valid", "edges", area.alias("area_km2"), ratio(F.col("edges") * size, area, "null").alias("edge_density"))
 
 
-def to_array(rows: pd.DataFrame, value: str, empty: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense array of a tile's cells, and the place of each row in it."""
-    r, c = rows["row"].to_numpy() - rows["row"].min(), rows["col"].to_numpy() - rows["col"].min()
-    out = np.full((r.max() + 1, c.max() + 1), empty, dtype=np.asarray(rows[value]).dtype)
-    out[r, c] = rows[value]
-    return out, r, c
-
-
-def components(mask: np.ndarray) -> int:
-    """8-connected components of true cells, by union of runs of neighbouring rows."""
-    parent: list[int] = []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    before: list[tuple[int, int, int]] = []
-    for row in mask:
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
-        now, k = [], 0
-        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            me = len(parent)
-            parent.append(me)
-            while k < len(before) and before[k][1] < start:
-                k += 1
-            i = k
-            while i < len(before) and before[i][0] <= end:
-                parent[find(before[i][2])] = find(me)
-                i += 1
-            now.append((start, end, me))
-        before = now
-    return sum(parent[i] == i for i in range(len(parent)))
-
-
-def patches(cells: DataFrame, by: list[str], classes: tuple[int, ...] = (1, 2), value: str = "value", size: float = 10.0) -> DataFrame:
-    """(by, class, patches, per_100km2): patches of each class in each tile of bounded size, by km2 of valid cells."""
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = to_array(rows, value)[0]
-        area = (grid > 0).sum() * size * size / 1e6
-        found = [components(grid == k) for k in classes]
-        out = pd.DataFrame({"class": classes, "patches": found, "per_100km2": [n * 100 / area if area else None for n in found]})
-        return pd.concat([pd.DataFrame({k: [rows[k].iloc[0]] * len(classes) for k in by}), out], axis=1)
-
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["`class` int, patches long, per_100km2 double"])
-    return cells.select(*by, "row", "col", value).groupBy(*by).applyInPandas(run, schema)
-
-
-def median_3x3(grid: np.ndarray, size: int = 3) -> np.ndarray:
-    """Median of each cell's neighbourhood (edges repeat); no-forest cells stay, and so do cells whose median is 0."""
-    near = np.lib.stride_tricks.sliding_window_view(np.pad(grid, size // 2, mode="edge"), (size, size))
-    middle = np.sort(near.reshape(*grid.shape, -1), axis=-1)[..., size * size // 2]
-    return np.where((grid > 0) & (middle > 0), middle, grid)
-
+def patches(cells: DataFrame, by: list[str], classes: tuple[int, ...] = (1, 2), value: str = "value", size: float = 10.0, side: int = blocks.SIDE) -> DataFrame:
+    """(by, class, patches, per_100km2): 8-connected patches of each class in each raster of any size, by km2 of valid cells."""
+    found = blocks.component_counts(cells, by, classes, value, side)
+    density = ratio(F.col("components") * 100.0, F.col("valid") * (size * size / 1e6), "null")
+    return found.select(*by, "class", F.col("components").alias("patches"), density.alias("per_100km2"))
 
-def gaussian(grid: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
-    """Gaussian smoothing, one way after the other; the image is mirrored at its edges."""
-    radius = int(truncate * sigma + 0.5)
-    x = np.arange(-radius, radius + 1)
-    kernel = np.exp(-0.5 * (x / sigma) ** 2)
-    kernel /= kernel.sum()
-    for axis in (0, 1):
-        wide = np.pad(grid, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
-        grid = np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1, axis=axis) @ kernel
-    return grid
 
+def median_filter(cells: DataFrame, by: list[str], value: str = "value", size: int = 3, side: int = blocks.SIDE) -> DataFrame:
+    """Median of each cell's neighbourhood (edges repeat); no-forest cells stay, and so do cells whose median is 0."""
+    border = size // 2
 
-def by_tile(cells: DataFrame, by: list[str], inputs: list[str], outputs: str, kernel: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
-    """Each tile's cells with what ``kernel`` makes of the arrays of the inputs; outputs: a schema string."""
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    keys = [*by, "row", "col"]
-    names = [c.split()[0] for c in outputs.split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        arrays = [to_array(rows, c) for c in inputs]
-        _, r, c = arrays[0]
-        return rows[keys].assign(**{n: a[r, c] for n, a in zip(names, kernel(*[a[0] for a in arrays]), strict=True)})
+    def kernel(wide: np.ndarray) -> tuple[np.ndarray]:
+        near = np.lib.stride_tricks.sliding_window_view(wide, (size, size))
+        grid = near[..., border, border]
+        middle = np.sort(near.reshape(*grid.shape, -1), axis=-1)[..., size * size // 2]
+        return (np.where((grid > 0) & (middle > 0), middle, grid),)
 
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys]) + ", " + outputs
-    return cells.select(*keys, *inputs).groupBy(*by).applyInPandas(run, schema)
+    return blocks.by_block(cells, by, [value], "value int", kernel, border, "edge", side)
 
 
-def median_filter(cells: DataFrame, by: list[str], value: str = "value", size: int = 3) -> DataFrame:
-    return by_tile(cells, by, [value], "value int", lambda g: (median_3x3(g, size),))
+def gaussian(wide: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Smoothing by a kernel, one way after the other; the result is narrower by the kernel's reach on each side."""
+    for axis in (0, 1):
+        wide = np.lib.stride_tricks.sliding_window_view(wide, len(kernel), axis=axis) @ kernel
+    return wide
 
 
-def gaussian_soft_labels(cells: DataFrame, by: list[str], height: str, deciduous: str, evergreen: str, least: float = 5.0, sigma: float = 1.5, scale: float = 255.0) -> DataFrame:
-    """Probabilities of no forest, deciduous and evergreen from canopy height smoothed to a forest probability."""
+def gaussian_soft_labels(
+    cells: DataFrame, by: list[str], height: str, deciduous: str, evergreen: str, least: float = 5.0, sigma: float = 1.5, scale: float = 255.0, truncate: float = 4.0, side: int = blocks.SIDE
+) -> DataFrame:
+    """Probabilities of no forest, deciduous and evergreen from canopy height smoothed to a forest probability; rasters are mirrored at their edges."""
+    border = int(truncate * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-border, border + 1) / sigma) ** 2)
+    weights /= weights.sum()
 
     def kernel(h: np.ndarray, d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
-        forest = np.clip(gaussian((np.nan_to_num(h.astype(float)) >= least).astype(float), sigma), 0, 1)
-        return 1 - forest, np.clip(d / scale * forest, 0, 1), np.clip(e / scale * forest, 0, 1)
+        forest = np.clip(gaussian((np.nan_to_num(h.astype(float)) >= least).astype(float), weights), 0, 1)
+        inner = (slice(border, -border or None),) * 2
+        return 1 - forest, np.clip(d[inner] / scale * forest, 0, 1), np.clip(e[inner] / scale * forest, 0, 1)
 
-    return by_tile(cells, by, [height, deciduous, evergreen], "p_nonforest double, p_deciduous double, p_evergreen double", kernel)
+    return blocks.by_block(cells, by, [height, deciduous, evergreen], "p_nonforest double, p_deciduous double, p_evergreen double", kernel, border, "symmetric", side)
 
 
 def centre_mode(cells: DataFrame, centres: DataFrame, value: str) -> DataFrame:

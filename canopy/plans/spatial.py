@@ -91,7 +91,12 @@ def edge_density(spark, sf_dir):
     return rounded(ra.edge_density(_tiled(spark, sf_dir), ["tile_row", "tile_col"]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CELLS_SQL}, k AS (SELECT tile_row, tile_col, r, c, value, (r - tile_row) * 25 + c - tile_col AS i FROM v WHERE value IN (1, 2)),
+n AS (SELECT a.tile_row, a.tile_col, a.value, a.i, b.i AS j FROM k a JOIN k b ON a.tile_row = b.tile_row AND a.tile_col = b.tile_col AND a.value = b.value AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+w AS (SELECT * FROM n UNION SELECT w.tile_row, w.tile_col, w.value, w.i, n.j FROM w JOIN n ON n.tile_row = w.tile_row AND n.tile_col = w.tile_col AND n.i = w.j),
+o AS (SELECT tile_row, tile_col, value, count(*) AS patches FROM (SELECT tile_row, tile_col, value, i, min(j) AS first FROM w GROUP BY ALL) WHERE i = first GROUP BY ALL),
+t AS (SELECT tile_row, tile_col, count(*) FILTER (value > 0) AS valid FROM v GROUP BY ALL)
+SELECT t.tile_row, t.tile_col, CAST(k AS INT) AS class, coalesce(patches, 0) AS patches, round(coalesce(patches, 0) * 100 / nullif(valid * 0.0001, 0), 6) AS per_100km2 FROM t CROSS JOIN (VALUES (1), (2)) x(k) LEFT JOIN o ON o.tile_row = t.tile_row AND o.tile_col = t.tile_col AND o.value = k""")
 def patch_counts(spark, sf_dir):
     """8-connected patches of each class in each tile."""
     return rounded(ra.patches(_tiled(spark, sf_dir), ["tile_row", "tile_col"]))
@@ -108,7 +113,17 @@ def median_filter(spark, sf_dir):
     return ra.median_filter(_tiled(spark, sf_dir), ["tile_row", "tile_col"]).select("row", "col", "value")
 
 
-@query()
+_SMOOTH_SQL = ", ".join(
+    f"""{new} AS (SELECT o.tile_row, o.tile_col, o.r, o.c, sum(w * s.p) AS p FROM {old} o JOIN e USING (tile_row, tile_col) CROSS JOIN taps JOIN {old} s ON s.tile_row = o.tile_row AND s.tile_col = o.tile_col AND s.{fixed} = o.{fixed}
+    AND s.{moved} = CASE WHEN o.{moved} + k < {low} THEN 2 * {low} - 1 - (o.{moved} + k) WHEN o.{moved} + k > {high} THEN 2 * {high} + 1 - (o.{moved} + k) ELSE o.{moved} + k END GROUP BY ALL)"""
+    for new, old, moved, fixed, low, high in (("s1", "s0", "r", "c", "r0", "r1"), ("s2", "s1", "c", "r", "c0", "c1"))
+)
+
+
+@query(f"""WITH {GRID_SQL}, s0 AS (SELECT "row" // 25 * 25 AS tile_row, col // 25 * 25 AS tile_col, "row" AS r, col AS c, prob, CASE WHEN prob % 12 >= 5 THEN 1.0::DOUBLE ELSE 0 END AS p FROM grid),
+e AS (SELECT tile_row, tile_col, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM s0 GROUP BY ALL), raw AS (SELECT k, exp(-0.5 * (k / 1.5) ** 2) AS w FROM range(-6, 7) x(k)), taps AS (SELECT k, w / sum(w) OVER () AS w FROM raw), {_SMOOTH_SQL},
+f AS (SELECT s0.*, least(greatest(s2.p, 0), 1) AS forest FROM s0 JOIN s2 USING (tile_row, tile_col, r, c))
+SELECT tile_row, tile_col, r AS "row", c AS col, round(1 - forest, 6) + 0.0 AS p_nonforest, round(least(greatest(prob / 255 * forest, 0), 1), 6) + 0.0 AS p_deciduous, round(least(greatest((255 - prob) / 255 * forest, 0), 1), 6) + 0.0 AS p_evergreen FROM f""")
 def gaussian_soft_labels(spark, sf_dir):
     """Soft labels from smoothed canopy height."""
     cells = _tiled(spark, sf_dir).withColumns({"height": F.col("prob") % 12, "d": F.col("prob"), "e": 255 - F.col("prob")})

@@ -125,33 +125,6 @@ def test_edges_and_patches(spark):
     assert empty["edge_density"] is None and empty["valid"] == 0
 
 
-def test_components_equal_flood_fill():
-    rng = np.random.default_rng(0)
-    for share in (0.2, 0.4, 0.6):
-        mask = rng.random((30, 40)) < share
-        seen, n = np.zeros_like(mask), 0
-        for start in zip(*np.nonzero(mask), strict=True):
-            if not seen[start]:
-                n, todo = n + 1, [start]
-                seen[start] = True
-                while todo:
-                    r, k = todo.pop()
-                    for i in range(max(r - 1, 0), min(r + 2, 30)):
-                        for j in range(max(k - 1, 0), min(k + 2, 40)):
-                            if mask[i, j] and not seen[i, j]:
-                                seen[i, j] = True
-                                todo.append((i, j))
-        assert raster.components(mask) == n
-
-
-def test_gaussian_and_median():
-    grid = np.zeros((9, 9))
-    grid[4, 4] = 1
-    out = raster.gaussian(grid, 1.5)
-    assert out.sum() == pytest.approx(1) and out[4, 4] == out.max() and np.allclose(out, out.T)
-    assert raster.median_3x3(np.array([[1, 1, 1], [1, 2, 1], [0, 1, 1]]))[1, 1] == 1
-
-
 def test_windows_and_mode(spark):
     w = raster.windows(spark, 5, 3, 2).collect()
     assert len(w) == 6 and w[-1].asDict() == {"row_off": 4, "col_off": 2, "height": 1, "width": 1}
