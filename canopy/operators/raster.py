@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from canopy.functions.numeric import ratio
 from canopy.operators import blocks
 from canopy.operators.quantiles import with_quantiles
+from canopy.operators.scanline import burnt
 
 
 #: Side of the blocks in which neighbouring cells meet.
@@ -114,17 +115,9 @@ def centre_mode(cells: DataFrame, centres: DataFrame, value: str) -> DataFrame:
     return centres.join(mode, ["row", "col"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
-def rasterised(cells: DataFrame, polygons: DataFrame, x: Column, y: Column, value: str, order: str, cell_size: float, background: int = 0) -> DataFrame:
-    """(row, col, value): the polygon whose inside holds the cell's centre; later polygons win; none: background.
-
-    polygons: (ring: array<struct<x, y>>, value, order).
-    """
-    from canopy.operators.geo import within_join
-
-    points = cells.withColumns({"_x": x, "_y": y})
-    hits = within_join(points, polygons.select("ring", F.col(value).alias("_value"), F.col(order).alias("_order")), "_x", "_y", cell_size * 16)
-    best = hits.groupBy("row", "col").agg(F.max_by("_value", "_order").alias("_value"))
-    return cells.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.coalesce("_value", F.lit(background)).alias("value"))
+def rasterised(cells: DataFrame, polygons: DataFrame, value: str, order: str, size: float = 1.0, origin: tuple[float, float] = (0.0, 0.0), background: int = 0) -> DataFrame:
+    """(row, col, value): the polygon (ring, value, order) whose inside holds the cell's centre; later polygons win; none: background."""
+    return burnt(cells.select("row", "col"), polygons, {"value": value}, [order], size, origin, background)
 
 
 def touched(cells: DataFrame, polygons: DataFrame, x: Column, y: Column, size: float, all_touched: bool = True) -> DataFrame:
@@ -151,16 +144,6 @@ def touched(cells: DataFrame, polygons: DataFrame, x: Column, y: Column, size: f
     return cells.select("row", "col").join(found, ["row", "col"], "left").fillna(0, ["value"])
 
 
-def patch_grid(spark: SparkSession, height: int, width: int, patch: int = 64, stride: int = 56) -> DataFrame:
-    """(row_off, col_off) of patches on a grid and at the midpoints between its corners, inside the raster."""
-
-    def starts(size: int, offset: int) -> list[int]:
-        return list(range(offset, size - patch + 1, stride))
-
-    points = [(r, c) for o in (0, stride // 2) for r in starts(height, o) for c in starts(width, o)]
-    return spark.createDataFrame(points, "row_off int, col_off int")
-
-
 def sampled_statistics(pixels: DataFrame, tile: str, key: list[str], columns: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and population deviation of each column over at most n pixels of each tile (a sampling operator)."""
     order = Window.partitionBy(tile).orderBy(F.xxhash64(F.lit(seed), *key), *key)
@@ -225,12 +208,9 @@ def cropped(cells: DataFrame, box: tuple[float, float, float, float], size: floa
     return cells.filter(inside).withColumns({"row": F.col("row") - low[1], "col": F.col("col") - low[0]})
 
 
-def training_tile(features: DataFrame, bands: dict[str, DataFrame], keys: list[str] = ("row", "col")) -> DataFrame:
-    """Feature cells with one column for each rasterised band (keys, value); cells that a band leaves out get 0."""
-    out = features
-    for name, band in bands.items():
-        out = out.join(band.select(*keys, F.col("value").alias(name)), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+def training_tile(features: DataFrame, polygons: DataFrame, attributes: list[str], order: str, size: float = 10.0, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Feature cells (row, col, ...) with one band for each attribute of the polygons (ring, attributes, order), all burnt in one pass; 0 where there is none."""
+    return burnt(features, polygons, {a: a for a in attributes}, [order], size, origin)
 
 
 def valid_patches(cells: DataFrame, patches: DataFrame, label: str, features: list[str], patch: int = 64) -> DataFrame:

@@ -8,6 +8,7 @@ from canopy.operators import compare as cp
 from canopy.operators import composites as co
 from canopy.operators import geo
 from canopy.operators import harmonic as hm
+from canopy.operators import polygons as pg
 from canopy.operators import raster as ra
 from canopy.plans.proxies import GRID_SQL, grid, rounded, table, tiles
 from canopy.plans.registry import query
@@ -236,7 +237,7 @@ def _rectangles(spark, sf_dir, left, top, right, bottom):
 def rasterize_last_wins(spark, sf_dir):
     """Polygons burnt into cells by their centres; the later one wins."""
     polygons = _rectangles(spark, sf_dir, 0.25, 0.25, 12.25, 9.25)
-    return ra.rasterised(grid(spark, sf_dir).select("row", "col"), polygons, F.col("col") + 0.5, F.col("row") + 0.5, "v", "k", 1.0)
+    return ra.rasterised(grid(spark, sf_dir), polygons, "v", "k")
 
 
 @query(f"""WITH {GRID_SQL}, {_RECT_SQL}, h AS (SELECT DISTINCT y0 + r AS "row", x0 + c AS col, 1 AS value FROM q CROSS JOIN range(2) a(r) CROSS JOIN range(3) b(c)) SELECT "row", col, coalesce(value, 0) AS value FROM grid LEFT JOIN h USING ("row", col)""")
@@ -259,10 +260,43 @@ def yearly_climate(spark, sf_dir):
     return out.withColumns({"temperature": F.round("temperature", 4), "rain": F.round("rain", 4), "soil": F.round("soil", 6)})
 
 
-@query("""SELECT r AS row_off, c AS col_off, CAST(least(32, 125 - r) AS BIGINT) AS height, CAST(least(32, 150 - c) AS BIGINT) AS width FROM range(0, 125, 32) a(r) CROSS JOIN range(0, 150, 32) b(c)""")
+@query(f"""WITH {GRID_SQL}, s AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM grid), a AS (SELECT *, unnest(range(0, h, 32)) AS row_off FROM s), b AS (SELECT *, unnest(range(0, w, 32)) AS col_off FROM a)
+SELECT row_off, col_off, least(32, h - row_off) AS height, least(32, w - col_off) AS width, count(custom) AS cells FROM b LEFT JOIN grid ON "row" // 32 * 32 = row_off AND col // 32 * 32 = col_off GROUP BY ALL""")
 def window_enumeration(spark, sf_dir):
-    """Blocks of a raster, the last ones cut."""
-    return ra.windows(spark, 125, 150, 32).select(*[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "height", "width")])
+    """Blocks of the grid's extent, the last ones cut, with the cells that each has."""
+    g = grid(spark, sf_dir)
+    height, width = g.agg(F.max("row") + 1, F.max("col") + 1).first()
+    cells = g.groupBy(ra.block_of(F.col("row"), 32).alias("row_off"), ra.block_of(F.col("col"), 32).alias("col_off")).agg(F.count("*").alias("cells"))
+    every = ra.windows(spark, height, width, 32).select(*[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "height", "width")])
+    return every.join(cells, ["row_off", "col_off"], "left").fillna(0, ["cells"])
+
+
+_DIAMOND_SQL = "d AS (SELECT {0} AS id, {0} * 7 % 4000 / 16.0 AS x, {0} * 13 % 4000 / 16.0 AS y, {0} % 5 / 4.0 + 0.25 AS r FROM {1})"
+
+
+def _diamonds(spark, sf_dir, name, key, id_):
+    """Squares on their corners: centre and half diagonal from the key."""
+    k = F.col(key)
+    at = table(spark, sf_dir, name).select(k.alias(id_), (k * 7 % 4000 / 16).alias("x"), (k * 13 % 4000 / 16).alias("y"), (k % 5 / 4 + 0.25).alias("r"))
+    corner = lambda i, j: F.struct((F.col("x") + i * F.col("r")).alias("x"), (F.col("y") + j * F.col("r")).alias("y"))
+    return at.select(id_, F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)).alias("ring"))
+
+
+@query(f"""WITH {_DIAMOND_SQL.format("c_custkey", "customer").replace("d AS", "a AS")}, {_DIAMOND_SQL.format("s_suppkey", "supplier").replace("d AS", "b AS")}
+SELECT a.id AS id_a, b.id AS id_b FROM a JOIN b ON abs(a.x - b.x) + abs(a.y - b.y) <= a.r + b.r""")
+def polygon_intersections(spark, sf_dir):
+    """Pairs of polygons that touch or overlap, by their sides and not their boxes."""
+    return pg.intersecting(_diamonds(spark, sf_dir, "customer", "c_custkey", "id_a"), _diamonds(spark, sf_dir, "supplier", "s_suppkey", "id_b"), 2.0)
+
+
+@query(f"""WITH {GRID_SQL}, {_RECT_SQL}, b AS (SELECT DISTINCT "row" // 25 * 25 AS tile_row, col // 25 * 25 AS tile_col FROM grid), o AS (SELECT k, tile_row, tile_col, least(x0 + 12.25, tile_col + 25) - greatest(x0 + 0.25, tile_col) AS w, least(y0 + 9.25, tile_row + 25) - greatest(y0 + 0.25, tile_row) AS h FROM q CROSS JOIN b)
+SELECT k, tile_row, tile_col, round(CAST(w * h AS DOUBLE), 6) AS area FROM o WHERE w > 0 AND h > 0""")
+def clipped_polygons(spark, sf_dir):
+    """Area of each polygon in each tile that it reaches into."""
+    blocks = grid(spark, sf_dir).select(ra.block_of(F.col("row"), 25).alias("tile_row"), ra.block_of(F.col("col"), 25).alias("tile_col")).distinct()
+    boxes = blocks.select("*", F.col("tile_col").cast("double").alias("xmin"), F.col("tile_row").cast("double").alias("ymin"), (F.col("tile_col") + 25.0).alias("xmax"), (F.col("tile_row") + 25.0).alias("ymax"))
+    parts = pg.clipped(_rectangles(spark, sf_dir, 0.25, 0.25, 12.25, 9.25).select("k", "ring"), boxes, 25.0)
+    return rounded(parts.select("k", "tile_row", "tile_col", geo.area(F.col("ring")).alias("area")).filter("area > 0"))
 
 
 @query("""SELECT o_custkey AS pixel, round(quantile_cont(o_totalprice, 0.5), 6) AS b2, count(*) AS n_dates FROM orders WHERE month(o_orderdate) IN (9, 10, 11) AND o_orderkey % 100 <= 40 GROUP BY 1""")

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from canopy.operators import classification as c
 from canopy.operators import compare as cp
+from canopy.operators import patching as pa
 from canopy.operators import raster as ra
 from canopy.operators import stats as st
 from canopy.plans.classification import _BUNDLE, _COUNTS, _RATIOS
 from canopy.plans.proxies import GRID_SQL, PIXELS_SQL, grid, pixels, rounded, table
 from canopy.plans.registry import query
-from canopy.plans.spatial import _BLOCK_SQL, _PE, _tiled
+from canopy.plans.spatial import _BLOCK_SQL, _PE, _RECT_SQL, _rectangles, _tiled
 from canopy.plans.stats import _CONTEXT_SQL, _context
 
 
@@ -52,15 +53,35 @@ def patch_validity(spark, sf_dir):
     """Training patches with a label and without missing features."""
     g = grid(spark, sf_dir).withColumn("f", F.when((F.col("row") * 125 + F.col("col")) % 9973 == 0, float("nan")).otherwise(F.col("prob").cast("double")))
     height = g.agg(F.max("row")).first()[0] + 1
-    return ra.valid_patches(g, ra.patch_grid(spark, height, 125), "custom", ["f"])
+    return ra.valid_patches(g, pa.patch_grid(spark, height, 125), "custom", ["f"])
 
 
-@query(f"""WITH {GRID_SQL} SELECT "row", col, prob, custom AS label, CASE WHEN ref IN (1, 2) THEN ref ELSE 0 END AS reference, CASE WHEN eco > 6 THEN eco ELSE 0 END AS region FROM grid""")
+_ATTRIBUTES = {"phenology": "k % 2 + 1", "genus": "k % 7 + 1", "species": "k % 23 + 1", "source": "k % 3 + 1", "year": "2000 + k % 20"}
+
+
+@query(f"""WITH {GRID_SQL}, {_RECT_SQL} SELECT "row", col, prob, {', '.join(f'coalesce(arg_max({e}, k), 0) AS {a}' for a, e in _ATTRIBUTES.items())}
+FROM grid LEFT JOIN q ON col + 0.5 >= x0 + 0.5 AND col + 0.5 < x0 + 8.5 AND "row" + 0.5 > y0 + 0.75 AND "row" + 0.5 < y0 + 11.25 GROUP BY 1, 2, 3""")
 def training_tile(spark, sf_dir):
-    """Features with rasterised bands beside them; what a band leaves out is 0."""
-    g = grid(spark, sf_dir)
-    bands = {"label": g.filter("custom > 0").withColumn("value", F.col("custom")), "reference": g.filter("ref in (1, 2)").withColumn("value", F.col("ref")), "region": g.filter("eco > 6").withColumn("value", F.col("eco"))}
-    return ra.training_tile(g.select("row", "col", "prob"), bands)
+    """Features with five attributes of polygons burnt beside them; 0 where there is no polygon."""
+    polygons = _rectangles(spark, sf_dir, 0.5, 0.75, 8.5, 11.25).select("k", "ring", *[F.expr(e).alias(a) for a, e in _ATTRIBUTES.items()])
+    return ra.training_tile(grid(spark, sf_dir).select("row", "col", "prob"), polygons, list(_ATTRIBUTES), "k", 1.0)
+
+
+@query(f"""WITH {GRID_SQL}, v AS (SELECT *, CASE WHEN ("row" * 125 + col) % 9973 = 0 THEN 'nan'::DOUBLE ELSE prob END AS f FROM grid), s AS (SELECT max("row") + 1 AS h FROM grid),
+a AS (SELECT o, unnest(range(o, h - 63, 56)) AS row_off FROM s CROSS JOIN (VALUES (0), (28)) t(o)), p AS (SELECT row_off, unnest(range(o, 125 - 63, 56)) AS col_off FROM a),
+c AS (SELECT row_off, col_off, f, eco, custom, ("row" - row_off) * 64 + col - col_off AS i FROM p JOIN v ON "row" >= row_off AND "row" < row_off + 64 AND col >= col_off AND col < col_off + 64)
+SELECT row_off, col_off, CAST(count(*) AS INT) * 2 AS n, CAST(sum(i % 1000 * f) AS BIGINT) AS first_band, CAST(sum(i % 1000 * eco) AS BIGINT) AS second_band, CAST(sum(i % 1000 * custom) AS BIGINT) AS labels FROM c GROUP BY 1, 2 HAVING bool_or(custom > 0) AND bool_and(isfinite(f)) AND count(*) = 4096""")
+def patch_tensors(spark, sf_dir):
+    """Training patches as arrays of two bands and labels, as sums over their places."""
+    f = F.when((F.col("row") * 125 + F.col("col")) % 9973 == 0, float("nan")).otherwise(F.col("prob").cast("double"))
+    cells = grid(spark, sf_dir).select("row", "col", f.alias("f"), "eco", "custom")
+    found = pa.patch_tensors(cells, [], pa.features_of(cells.columns, selected=["f", "eco"]), "custom")
+
+    def weighed(array, begin):
+        part = F.transform(F.slice(array, begin + 1, 4096), lambda v, i: v.cast("double") * (i % 1000))
+        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v).cast("long")
+
+    return found.select("row_off", "col_off", F.size("pixels").alias("n"), weighed("pixels", 0).alias("first_band"), weighed("pixels", 4096).alias("second_band"), weighed("label", 0).alias("labels"))
 
 
 @query()
