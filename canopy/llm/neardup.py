@@ -8,7 +8,8 @@ Texts of equal sets form a class, of which one representative goes on.  Within a
 each member is compared with the bucket's pivot, the member that shares buckets with most others, on the
 full sets.  What a pivot leaves in different components is compared in blocks of bounded size: the members outside
 the bucket's most populous component with each other and with those inside it, one pair of blocks a row, so a
-bucket of many unlike texts is spread over all tasks, and only links leave them.  So every two representatives of
+bucket of many unlike texts is spread over all tasks, and only links leave them.  Blocks hold sets of about one size, and
+pairs of blocks whose sizes are too far apart for the threshold aren't made.  So every two representatives of
 a bucket are linked, known to be unlike, or already in one component; the components are those of all links of
 bucket mates.  With ``bands(threshold)`` bands of four coordinates, two texts at the threshold miss each other
 with a probability under one in a million.
@@ -211,47 +212,46 @@ def _compare(percent: int):
     return run
 
 
-def _blocks_of(members: str, shingles: str):
-    """How many blocks so many members with so many shingles make."""
-    return F.ceil(F.greatest(F.col(members) / BLOCK_MEMBERS, F.col(shingles) / BLOCK_SHINGLES))
+def _size_class(percent: int):
+    """A number of a set's size n; sets whose numbers differ by two or more can't be linked."""
+    return F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n")
 
 
 def _left_over(member: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Saved links (a, b) within buckets whose members are in several components, once for each set of members."""
-    state = save(member.select("key", "id", "n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "state")
-    each = state.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("who"))
-    most = F.max(F.struct("members", "shingles", "component")).alias("most")
+    placed = member.select("key", "id", "n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = save(placed.withColumn("class", _size_class(percent)), "state")
+    each = state.groupBy("key", "component").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("who"))
     apart = save(
         each.groupBy("key")
-        .agg(most, F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.bit_xor("who").alias("who"), F.count("*").alias("components"))
+        .agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("members"), F.bit_xor("who").alias("who"), F.count("*").alias("components"))
         .filter("components > 1 and members > 2")
-        .groupBy("who", "members", "shingles")
-        .agg(F.min_by(F.struct("key", "most"), "key").alias("x"))
-        .select(
-            "x.key", F.col("x.most.component").alias("main"), F.col("x.most.members").alias("main_members"), F.col("x.most.shingles").alias("main_shingles"),
-            (F.col("members") - F.col("x.most.members")).alias("members"), (F.col("shingles") - F.col("x.most.shingles")).alias("shingles"),
-        )
-        .select("key", "main", _blocks_of("main_members", "main_shingles").alias("mains"), _blocks_of("members", "shingles").alias("others")),
+        .groupBy("who", "members")
+        .agg(F.min_by(F.struct("key", F.col("most.component").alias("main")), "key").alias("x"))
+        .select("x.*"),
         "apart",
-    )
+    )
+    # blocks of the members of one size class, in the main component or outside it
     other = F.col("component") != F.col("main")
-    rows = state.join(apart, "key").select("key", "id", "component", other.alias("other"), F.pmod(F.xxhash64("id"), F.when(other, F.col("others")).otherwise(F.col("mains"))).alias("block"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    dealt = save(state.join(apart, "key").groupBy("key", "main", other.alias("other"), "class").agg(blocks), "dealt")
+    rows = state.join(dealt, ["key", "class"]).filter(F.col("other") == other)
+    rows = rows.select("key", "id", "component", "other", "class", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     block = save(
-        rows.join(sets, "id").groupBy("key", "other", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("members")),
+        rows.join(sets, "id").groupBy("key", "other", "class", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("members")),
         "blocks",
     )
-    # pairs of blocks: each block of other members with itself, those behind it, and those of the main component
-    numbers = lambda low, n: F.when(n > low, F.sequence(low.cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    pairs = apart.select("key", "mains", "others", F.explode(numbers(F.lit(0), F.col("others"))).alias("i")).select(
-        "key", "i", F.explode(F.concat(
-            F.transform(numbers(F.col("i"), F.col("others")), lambda j: F.struct(F.lit(True).alias("other"), j.alias("j"))),
-            F.transform(numbers(F.lit(0), F.col("mains")), lambda j: F.struct(F.lit(False).alias("other"), j.alias("j"))),
-        )).alias("to"),
-    )
-    left = block.filter("other").select("key", F.col("block").alias("i"), F.col("members").alias("left"))
-    right = block.select("key", F.struct("other", F.col("block").alias("j")).alias("to"), F.col("members").alias("right"))
-    more = save(pairs.join(left, ["key", "i"]).join(right, ["key", "to"]).select("left", "right").mapInArrow(tidy(_compare(percent)), "a long, b long"), "links")
-    for x in (state, apart, block):
+    # pairs of blocks of near size: other members with each other, each pair once, and with the main component
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    to = dealt.select("key", F.col("other").alias("to_other"), F.col("class").alias("to_class"), numbers.alias("j"))
+    pairs = dealt.filter("other").select("key", "class", numbers.alias("i")).withColumn("to_class", near).join(to, ["key", "to_class"])
+    pairs = pairs.filter("not to_other or to_class > class or (to_class = class and j >= i)")
+    left = block.filter("other").select("key", "class", F.col("block").alias("i"), F.col("members").alias("left"))
+    right = block.select("key", F.col("other").alias("to_other"), F.col("class").alias("to_class"), F.col("block").alias("j"), F.col("members").alias("right"))
+    met = pairs.join(left, ["key", "class", "i"]).join(right, ["key", "to_other", "to_class", "j"]).select("left", "right")
+    more = save(met.mapInArrow(tidy(_compare(percent)), "a long, b long"), "links")
+    for x in (state, apart, dealt, block):
         drop(x)
     return more
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from canopy.llm import lines, neardup, neighbours, packing
@@ -176,6 +177,27 @@ def test_a_bucket_of_many_unlike_texts(spark, docs, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == _near_brute(rows, 3, 85)
 
 
+def test_size_classes_keep_every_possible_link(spark):
+    """Sets whose classes differ by two or more are too unlike in size for the threshold."""
+    for percent in (50, 80, 85, 100):
+        ns = spark.range(1, 3000).select(F.col("id").alias("n"))
+        kinds = [r.c for r in ns.select(neardup._size_class(percent).alias("c")).collect()]
+        for a in range(1, 1500, 7):
+            b = a * 100 // percent  # the largest size that may be linked
+            assert kinds[b - 1] - kinds[a - 1] <= 1
+
+
+def test_a_bucket_of_texts_of_many_sizes(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 8)
+    rng = random.Random(23)
+    frame = [f"f{k}" for k in range(40)]
+    texts = [" ".join(frame + [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([5, 20, 40, 41, 80, 160]))]) for _ in range(120)]
+    texts += [t + " more" for t in texts[::3]] + [" ".join(t.split()[:-3]) for t in texts[::5]]
+    rows = [*enumerate(texts)]
+    out = neardup.near_duplicates(docs(rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == _near_brute(rows, 3, 85)
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
