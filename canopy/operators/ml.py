@@ -1,13 +1,15 @@
 """Training, tuning, inference and transfer with Spark ML.
 
 Models take the columns of a table by name; folds are columns made by ``canopy.operators.sampling``.
-Extra trees, kernel machines and neural networks have no counterpart in Spark ML and are left out.
+Extra trees are grown by ``canopy.operators.extra_trees``; kernel machines and neural networks are left out.  Tables that models read many
+times are kept in memory until the result is written, which is read from the shared folder.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from canopy.functions.numeric import INF, clip, finite, ratio
 from canopy.functions.scaling import to_byte
 from canopy.operators import classification as c
+from canopy.operators.extra_trees import ExtraTrees
+from canopy.operators.lineage import cut
 
 SEED = 42
 
@@ -43,6 +47,7 @@ def estimators(weight: str | None = None) -> dict[str, tuple[object, list[dict]]
         "svm": (svm, [{"regParam": r} for r in (0.01, 0.1, 1.0)]),
         "boosting": (gbt, [{"maxDepth": d} for d in (3, 5)]),
         "forest": (forest(weight=weight), [{"numTrees": t, "maxDepth": d} for t in (20, 50) for d in (5, 10)]),
+        "extra": (ExtraTrees(weightCol=weight), [{"numTrees": t, "maxDepth": d} for t in (20, 50) for d in (5, 10)]),
     }
 
 
@@ -100,8 +105,17 @@ def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, estimator: object, features: list[str], folds: int = 5, y: str = "y_true", scaled: bool = False, fold: str = "fold") -> DataFrame:
-    """Predictions of each row by the model that didn't see its fold."""
-    return held_out(labelled(df, y, features), estimator, features, folds, scaled, fold)
+    """Predictions of each row by the model that didn't see its fold; a written table."""
+    ready = labelled(df, y, features)
+    return _written(held_out(ready, estimator, features, folds, scaled, fold), ready)
+
+
+def _written(out: DataFrame, *ready: DataFrame) -> DataFrame:
+    """``out`` written down, after which the tables that it was read from are let go."""
+    out = cut(out)
+    for t in ready:
+        t.unpersist()
+    return out
 
 
 def held_out(df: DataFrame, estimator: object, features: list[str], folds: int, scaled: bool = False, fold: str = "fold") -> DataFrame:
@@ -128,17 +142,22 @@ def top_features(scores: dict[str, float], k: int) -> list[str]:
     return sorted(scores, key=lambda f: (-scores[f], f))[:k]
 
 
-def elimination(df: DataFrame, estimator: object, features: list[str], folds: int = 5, step: int | float | list[int] = 1, least: int = 1, y: str = "y_true", metric: str = "f1_macro", scorer: Callable[[DataFrame], float] | None = None) -> list[dict]:
+def elimination(
+    df: DataFrame, estimator: object, features: list[str], folds: int = 5, step: int | float | list[int] = 1, least: int = 1, y: str = "y_true", metric: str = "f1_macro",
+    scorer: Callable[[DataFrame], float] | None = None, region: str | None = None,
+) -> list[dict]:
     """Recursive elimination: scores of shrinking feature sets, ranked by mean importance over folds.
 
     step: how many go each time, a share of what is left, or a list of set sizes.  Every set is scored, the least too,
-    with its confusion cells summed over folds (with a scorer of one's own, the score alone).
+    with its confusion cells summed over folds (with a scorer of one's own, the score alone).  region: a column by which
+    each set is scored too, as ``regions``: the metric of each region's held-out rows of all folds.
     """
     df = labelled(df, y, features)
     sizes = iter(step) if isinstance(step, list) else None
     out = []
     while True:
         ranks, score, cells = dict.fromkeys(features, 0.0), [], dict.fromkeys(("tn", "fp", "fn", "tp"), 0)
+        by_region: dict[str, dict[str, int]] = {}
         for k in range(1, folds + 1):
             model = model_of(estimator, features).fit(df.filter(F.col("fold") != k))
             for f, v in importances(model, features).items():
@@ -147,19 +166,39 @@ def elimination(df: DataFrame, estimator: object, features: list[str], folds: in
             if scorer:
                 score.append(scorer(held))
                 continue
-            found = fold_metrics(held, []).first()
-            score.append(found[metric])
-            cells = {c: n + found[c] for c, n in cells.items()}
-        out.append({"n_features": len(features), "features": features, "mean": float(np.mean(score)), "std": float(np.std(score, ddof=1)) if folds > 1 else 0.0, "importances": ranks, **({} if scorer else cells)})
+            found = fold_metrics(held, [region] if region else []).collect()  # a row, or one a region
+            one = {k: sum(r[k] for r in found) for k in cells}
+            score.append(found[0][metric] if not region else _scores(df.sparkSession, {"all": one}, metric)["all"])
+            cells = {k: n + one[k] for k, n in cells.items()}
+            for r in found if region else ():
+                own = by_region.setdefault(r[region], dict.fromkeys(cells, 0))
+                by_region[r[region]] = {k: n + r[k] for k, n in own.items()}
+        regional = {"regions": _scores(df.sparkSession, by_region, metric)} if region and not scorer else {}
+        out.append({"n_features": len(features), "features": features, "mean": float(np.mean(score)), "std": float(np.std(score, ddof=1)) if folds > 1 else 0.0, "importances": ranks, **({} if scorer else cells), **regional})
         if sizes is not None:
             size = next((s for s in sizes if s < len(features)), 0)
         else:
             size = len(features) - max(1, int(step * len(features)) if isinstance(step, float) else step)
         if len(features) <= least:
+            df.unpersist()
             return out
         features = top_features(ranks, max(size, least))
 
 
+def _scores(spark: SparkSession, cells: dict[str, dict[str, int]], metric: str) -> dict[str, float]:
+    """The metric of each name's confusion cells."""
+    rows = [(name, *(n[k] for k in ("tn", "fp", "fn", "tp"))) for name, n in cells.items()]
+    table = spark.createDataFrame(rows, "name string, tn long, fp long, fn long, tp long").withColumns(c.binary_metrics())
+    return {r.name: r[metric] for r in table.collect()}
+
+
+def save_top_features(spark: SparkSession, curve: list[dict], k: int, path: str) -> list[str]:
+    """The k most important features of the whole set of an elimination, written one a line, the best first."""
+    best = top_features(curve[0]["importances"], k)
+    spark.createDataFrame([(f,) for f in best], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return best
+
+
 def best_set(curve: list[dict]) -> list[str]:
     return max(curve, key=lambda x: x["mean"])["features"]
 
@@ -179,8 +218,7 @@ def halving(df: DataFrame, estimator: object, features: list[str], grid: list[di
         for settings in alive:
             held = held_out(ready, with_settings(estimator, settings), features, folds, scaled)
             scored.append((settings, float(fold_metrics(held, []).first()["f1_macro"]), r))
-        if share < 1:
-            ready.unpersist()  # a sample of this round's own
+        ready.unpersist()
         scored.sort(key=lambda x: -x[1])
         out = scored + out
         if len(alive) == 1:
@@ -193,18 +231,25 @@ def with_settings(estimator: object, settings: dict) -> object:
     return estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
 
 
-def tune(df: DataFrame, candidates: dict[str, tuple[object, list[dict]]], features: list[str], folds: int = 5, y: str = "y_true", metric: str = "f1_macro") -> list[dict]:
+def tune(df: DataFrame, candidates: dict[str, tuple[object, list[dict]]], features: list[str], folds: int = 5, y: str = "y_true", metric: str = "f1_macro", parallel: int = 4) -> list[dict]:
     """(name, settings, mean, std, tn, fp, fn, tp) of each setting of each estimator, the best mean over folds first.
 
     All are scored on the same folds, on features scaled by each fold's training rows; confusion cells are summed over folds.
+    ``parallel`` settings are tried at a time.
     """
-    ready, out = labelled(df, y, features), []
-    for name, (estimator, grid) in candidates.items():
-        for settings in grid:
-            rows = fold_metrics(held_out(ready, with_settings(estimator, settings), features, folds, scaled=True)).collect()  # a row a fold
-            scores = [r[metric] for r in rows]
-            cells = {k: sum(r[k] for r in rows) for k in ("tn", "fp", "fn", "tp")}
-            out.append({"name": name, "settings": settings, "mean": float(np.mean(scores)), "std": float(np.std(scores, ddof=1)) if len(scores) > 1 else 0.0} | cells)
+    ready = labelled(df, y, features)
+
+    def tried(one: tuple[str, object, dict]) -> dict:
+        name, estimator, settings = one
+        rows = fold_metrics(held_out(ready, with_settings(estimator, settings), features, folds, scaled=True)).collect()  # a row a fold
+        scores = [r[metric] for r in rows]
+        cells = {k: sum(r[k] for r in rows) for k in ("tn", "fp", "fn", "tp")}
+        return {"name": name, "settings": settings, "mean": float(np.mean(scores)), "std": float(np.std(scores, ddof=1)) if len(scores) > 1 else 0.0} | cells
+
+    ready.count()  # read once, before several settings ask for it
+    with ThreadPool(parallel) as pool:
+        out = pool.map(tried, [(name, estimator, settings) for name, (estimator, grid) in candidates.items() for settings in grid], 1)
+    ready.unpersist()
     return sorted(out, key=lambda x: -x["mean"])
 
 
@@ -241,7 +286,7 @@ def pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list
     stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), PCA(k=k, inputCol="_std", outputCol="_pc")]
     model = Pipeline(stages=stages).fit(df)
     pc = vector_to_array("_pc")
-    return model.transform(df).withColumns({f"pc{i + 1}": pc[i] for i in range(k)}).drop("_raw", "_std", "_pc"), model.stages[-1].explainedVariance.toArray().tolist()
+    return _written(model.transform(df).withColumns({f"pc{i + 1}": pc[i] for i in range(k)}).drop("_raw", "_std", "_pc"), df), model.stages[-1].explainedVariance.toArray().tolist()
 
 
 def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
@@ -251,7 +296,7 @@ def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tupl
     numbers for each domain reach the driver.  Means of all rows are taken off first, so that the products stay small.
     """
     p = len(features)
-    df = complete(df, features).select(*domain, *features)
+    df = complete(df.select(*domain, *features), features)
     centre = np.array([x or 0.0 for x in df.agg(*[F.avg(f) for f in features]).first()], float)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
@@ -268,6 +313,7 @@ def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tupl
         g = np.array([s["x"] for s in row["sums"]], float).reshape(p + 1, p + 1)
         mean = g[0, 1:] / g[0, 0]
         out[tuple(row[d] for d in domain)] = centre + mean, g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+    df.unpersist()
     return out
 
 
@@ -316,7 +362,7 @@ def aligned_domains(df: DataFrame, features: list[str], domain: str, target: Dat
 def transfer(df: DataFrame, estimator: object, features: list[str], source: Column, y: str = "y_true") -> DataFrame:
     """Predictions of the rows outside of ``source`` by a model of those inside."""
     df = labelled(df, y, features)
-    return predictions(model_of(estimator, features).fit(df.filter(source)), df.filter(~source))
+    return _written(predictions(model_of(estimator, features).fit(df.filter(source)), df.filter(~source)), df)
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
@@ -331,10 +377,33 @@ def frozen_folds(trained: DataFrame, other: DataFrame, estimator: object, featur
     for k in range(1, folds + 1):
         part = predictions(model_of(estimator, features).fit(trained.filter(F.col("fold") != k)), other.filter(F.col("fold") == k))
         out = part if out is None else out.unionByName(part)
-    return out
+    return _written(out, trained, other)
+
+
+def adapted_folds(df: DataFrame, estimator: object, features: list[str], domain: str, folds: int = 5, y: str = "y_true", fold: str = "fold") -> DataFrame:
+    """Predictions of each row by a model of the other folds, all domains moved onto those folds' rows as one domain.
+
+    The maps are made of the training rows alone, and a held-out row goes through its domain's map; rows of domains that the training
+    rows lack, or without one, are left out.
+    """
+    df, out, ready = df.filter(F.col(domain).isNotNull()), None, []
+    for k in range(1, folds + 1):
+        train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        goal = next(iter(_moments(train.select("*", F.lit(1).alias("_d")), features, ["_d"]).values()))
+        maps = {name: monge_map(found, goal) for (name,), found in _moments(train, features, [domain]).items()}
+        known = F.col(domain).isin(list(maps))
+        whole = [complete(d, features) for d in (train, held.filter(known))]
+        moved = labelled(mapped(whole[0], features, maps, domain), y, features)
+        held = mapped(whole[1], features, maps, domain)
+        ready += [*whole, moved]
+        part = predictions(model_of(estimator, features).fit(moved), held)
+        out = part if out is None else out.unionByName(part)
+    return _written(out, *ready)
 
 
 def aligned_transfer(source: DataFrame, target: DataFrame, estimator: object, features: list[str], y: str = "y_true") -> DataFrame:
     """Predictions of ``target`` by a model of ``source`` moved onto it by the Monge map; the target's labels aren't used."""
     moved = labelled(aligned(source, target, features), y, features)
-    return predictions(model_of(estimator, features).fit(moved), target)
+    model = model_of(estimator, features).fit(moved)
+    moved.unpersist()
+    return predictions(model, target)

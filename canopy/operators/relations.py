@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import finite
+from canopy.operators.ranks import numbered
 from canopy.schemas import require_unique
 
 
@@ -50,7 +51,7 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def codes(df: DataFrame, column: str) -> DataFrame:
     """(column, code): the distinct values from 1 in their order, without null."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return values.withColumn("code", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(column)).cast("int"))
+    return numbered(values, [column], "code").withColumn("code", (F.col("code") + 1).cast("int"))
 
 
 def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

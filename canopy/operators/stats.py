@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import mean_of, ratio
-from canopy.operators.quantiles import quantiles, with_quantiles
+from canopy.operators.quantiles import _same, quantiles, with_quantiles
+from canopy.operators.ranks import average_ranks
 
 
 def _all() -> Window:
@@ -47,18 +48,26 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str] = (), least: int =
 
 
 def average_rank(x: str, by: list[str] = ()) -> Column:
-    """Rank with the mean of ties; null for null.  Groups are ranked in one task each, so they must be summaries."""
+    """Rank with the mean of ties; null for null.  Groups are ranked in one task each, so they must be summaries (else ``ranks.average_ranks``)."""
     order = Window.partitionBy(*(by or [F.lit(1)]), F.col(x).isNull()).orderBy(x)
     ties = Window.partitionBy(*(by or [F.lit(1)]), x)
     return F.when(F.col(x).isNotNull(), F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
 
 
-def correlation_table(df: DataFrame, targets: list[str], covariates: list[str], by: list[str] = ()) -> DataFrame:
-    """(by, target, covariate, n, pearson, spearman) of each pair, over rows that have both."""
+def correlation_table(df: DataFrame, targets: list[str], covariates: list[str], by: list[str] = (), any_length: bool = False) -> DataFrame:
+    """(by, target, covariate, n, pearson, spearman) of each pair, over rows that have both.
+
+    any_length: ranks by ranges, for tables of any length; else each pair is ranked in one task, which is faster for summaries.
+    """
     pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(c).alias("covariate"), F.col(t).cast("double").alias("x"), F.col(c).cast("double").alias("y")) for t, c in itertools.product(targets, covariates)])
     long = df.select(*by, F.inline(pairs)).filter("x is not null and y is not null")
     group = [*by, "target", "covariate"]
-    ranked = long.withColumns({f"rank_{c}": average_rank(c, group) for c in ("x", "y")})
+    if any_length:
+        ranked = long
+        for c in ("x", "y"):
+            ranked = _same(ranked, average_ranks(long, group, c).withColumnRenamed("rank", f"rank_{c}"), [*group, c])
+    else:
+        ranked = long.withColumns({f"rank_{c}": average_rank(c, group) for c in ("x", "y")})
     pearson = correlation(ranked, "x", "y", group).withColumnRenamed("r", "pearson")
     spearman = correlation(ranked, "rank_x", "rank_y", group).select(*group, F.col("r").alias("spearman"))
     return pearson.join(spearman, group)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from canopy.operators import classification as c
+from canopy.operators import harmonic as hm
 from canopy.operators import ml
 from canopy.operators import sampling as s
+from canopy.operators.lineage import cut
+from canopy.operators.patching import features_of
 from canopy.plans.proxies import rounded, table
 from canopy.plans.registry import query
+from canopy.plans.spatial import _bands
+from canopy.schemas import INDICES
 
 _FEATURES = [f"e{k}" for k in range(64)]
 
@@ -37,10 +44,10 @@ def lr_cv_metrics(spark, sf_dir):
 
 @query()
 def rfe_curve(spark, sf_dir):
-    """Scores of shrinking feature sets."""
-    curve = ml.elimination(_samples(spark, sf_dir), ml.forest(5, 4), _FEATURES, 3, step=0.5, least=2)
-    rows = [(x["n_features"], ",".join(sorted(x["features"])), x["mean"], x["std"], *[x[k] for k in ("tn", "fp", "fn", "tp")]) for x in curve]
-    return rounded(spark.createDataFrame(rows, "n_features int, features string, f1_mean double, f1_std double, tn long, fp long, fn long, tp long"))
+    """Scores of shrinking feature sets, over all and by region."""
+    curve = ml.elimination(_samples(spark, sf_dir), ml.forest(5, 4), _FEATURES, 3, step=0.5, least=2, region="eco_region")
+    rows = [(x["n_features"], ",".join(sorted(x["features"])), x["mean"], x["std"], *[x[k] for k in ("tn", "fp", "fn", "tp")], x["regions"]) for x in curve]
+    return rounded(spark.createDataFrame(rows, "n_features int, features string, f1_mean double, f1_std double, tn long, fp long, fn long, tp long, f1_regions map<string,double>"))
 
 
 @query()
@@ -83,9 +90,8 @@ def halving_search(spark, sf_dir):
 
 @query()
 def tabular_tuner(spark, sf_dir):
-    """One setting of each estimator on the same folds, the best first."""
-    candidates = {name: (estimator, grid[:1]) for name, (estimator, grid) in ml.estimators().items()}
-    rows = [(x["name"], str(sorted(x["settings"].items())), x["mean"], x["std"], x["tn"], x["fp"], x["fn"], x["tp"]) for x in ml.tune(_samples(spark, sf_dir), candidates, _FEATURES, 3)]
+    """All settings of all estimators on the same folds, the best first."""
+    rows = [(x["name"], str(sorted(x["settings"].items())), x["mean"], x["std"], x["tn"], x["fp"], x["fn"], x["tp"]) for x in ml.tune(_samples(spark, sf_dir), ml.estimators(), _FEATURES, 3)]
     return rounded(spark.createDataFrame(rows, "name string, settings string, f1_mean double, f1_std double, tn long, fp long, fn long, tp long"))
 
 
@@ -113,3 +119,43 @@ def aligned_transfer_metrics(spark, sf_dir):
     df = _samples(spark, sf_dir)
     held = ml.aligned_transfer(df.filter("eco_region = 'r0'"), df.filter("eco_region <> 'r0'"), ml.forest(10, 5), _FEATURES)
     return rounded(held.agg(*c.confusion_counts(F.col("y_true"), F.col("y_pred"))).withColumns(c.binary_metrics()))
+
+
+@query()
+def extra_trees_cv_metrics(spark, sf_dir):
+    """Extremely randomised trees by folds."""
+    return rounded(ml.fold_metrics(ml.out_of_fold(_samples(spark, sf_dir), ml.ExtraTrees(numTrees=20, maxDepth=8), _FEATURES, 3)))
+
+
+@query()
+def adapted_cv_metrics(spark, sf_dir):
+    """Models of regions moved onto each other, by folds, scored by region."""
+    held = ml.adapted_folds(_samples(spark, sf_dir), ml.forest(10, 5), _FEATURES, "eco_region", 3)
+    return rounded(ml.fold_metrics(held, ["eco_region"]))
+
+
+def _harmonics(spark, sf_dir):
+    """The stored features of pixels with folds by tile; classes from the lines' tax, a genus from the tile."""
+    stack = hm.feature_stack(_bands(spark, sf_dir), ["tile_id"], ["pixel"]).withColumn("eco_region", F.lit("all"))
+    tax = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("tile_id"), (F.col("l_orderkey") % 16).alias("pixel")).agg(F.avg("l_tax").alias("tax"))
+    labels = tax.select("tile_id", "pixel", F.when(F.col("tax") > 0.04, 2).otherwise(1).alias("y_true"), (F.col("tile_id") % 3 + 1).cast("int").alias("genus"))
+    df = cut(stack.join(labels, ["tile_id", "pixel"]))
+    return s.with_folds(df, s.balanced_folds(df.select("eco_region", "tile_id").distinct(), "eco_region", "tile_id", 3), "tile_id")
+
+
+@query()
+def index_cv_metrics(spark, sf_dir):
+    """A forest on the harmonics of each index by itself, by folds."""
+    df, parts = _harmonics(spark, sf_dir), []
+    for index in INDICES:
+        held = ml.out_of_fold(df, ml.forest(10, 5), features_of(df.columns, index), 3)
+        parts.append(ml.fold_metrics(held).withColumn("index", F.lit(index)))
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+@query()
+def genus_harmonic_metrics(spark, sf_dir):
+    """A forest of several classes on the harmonics of all indices by folds."""
+    df = _harmonics(spark, sf_dir)
+    held = ml.out_of_fold(df, ml.forest(10, 5), [f for i in INDICES for f in features_of(df.columns, i)], 3, y="genus")
+    return rounded(c.multiclass_summary(c.per_class(held, "genus", "y_pred")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy.functions.names import file_date, tile_id
+from canopy.operators.ranks import numbered
 from canopy.schemas import QA_DOCUMENT
 
 
@@ -184,8 +185,7 @@ def tile_configs(files: DataFrame, location: F.Column, least_dates: int = 3) ->
     """(tile_idx, spatial_id, dates, tif_paths): places with enough dates, in date order, numbered by place."""
     dated = files.select(location.alias("spatial_id"), file_date(F.element_at(F.split("path", "/"), -1)).alias("date"), "path").filter("spatial_id is not null and date is not null")
     grouped = dated.groupBy("spatial_id").agg(F.sort_array(F.collect_list(F.struct("date", "path"))).alias("x")).filter(F.size("x") >= least_dates)
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("spatial_id")) - 1
-    return grouped.select(number.cast("int").alias("tile_idx"), "spatial_id", F.transform("x.date", lambda d: d.cast("string")).alias("dates"), F.col("x.path").alias("tif_paths"))
+    return numbered(grouped, ["spatial_id"], "tile_idx").select(F.col("tile_idx").cast("int").alias("tile_idx"), "spatial_id", F.transform("x.date", lambda d: d.cast("string")).alias("dates"), F.col("x.path").alias("tif_paths"))
 
 
 def named_bands(df: DataFrame, names: list[str]) -> DataFrame:
