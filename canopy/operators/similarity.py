@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import ratio
+from canopy.operators.lineage import cut
+from canopy.operators.quantiles import _same
 from canopy.operators.stats import correlation
 
 ALPHAS = tuple(10.0**k for k in range(-3, 4))
@@ -58,59 +62,108 @@ def _error(beta: np.ndarray, gram: np.ndarray, cross: np.ndarray, squares: np.nd
     return squares - 2 * (beta * cross).sum(axis=0) + np.einsum("it,ij,jt->t", beta, gram, beta)
 
 
+_SUMS = ("gram", "cross", "squares")
+_SUM_COLUMNS = "gram array<double>, cross array<double>, squares array<double>"
+
+
+def _added(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.sum(np.stack(rows[c].to_list()), axis=0) for c in _SUMS]
+
+
+def _fold_sums(sums: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Sums of the rows (keys, sums) by keys: each task adds up its own rows, and one row a task and key is left to add."""
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + _SUM_COLUMNS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def given() -> pd.DataFrame:
+            return pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, *_SUMS])
+
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                key, values = tuple(None if v is None or v != v else v for v in row[: len(keys)]), [np.asarray(v, float) for v in row[len(keys) :]]
+                held[key] = [x + y for x, y in zip(held[key], values, strict=True)] if key in held else values
+            if len(held) > KEPT_SUMS:
+                yield given()
+                held = {}
+        yield given()
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*rows[keys].iloc[0], *_added(rows))], columns=[*keys, *_SUMS])
+
+    return sums.select(*keys, *_SUMS).mapInPandas(run, schema).groupBy(*keys).applyInPandas(add, schema)
+
+
+#: Sums that a task keeps before it hands them on.
+KEPT_SUMS = 2_000
+
+
+def _fitted(total: Callable[[list, int, int, int], list[np.ndarray]], train: list, targets: int, alphas: tuple[float, ...]) -> np.ndarray:
+    """(features + 1, targets): coefficients by the weighted sums, with each target's alpha chosen over the inner folds."""
+    best, chosen = None, np.full(targets, alphas[0])
+    for alpha in alphas:
+        error = 0.0
+        for i in range(5):
+            fit, held = total(train, 0, i, -1), total(train, 0, -1, i)
+            if fit and held and fit[0][-1, -1] > 0:
+                error = error + _error(_ridge(fit[0], fit[1], alpha), *held)
+        if best is None or np.isscalar(best):
+            best = error
+        else:
+            chosen = np.where(error < best, alpha, chosen)
+            best = np.minimum(best, error)
+    fit = total(train, 1, -1, -1)
+    return np.hstack([_ridge(fit[0], fit[1][:, j : j + 1], chosen[j]) for j in range(targets)])
+
+
 def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str], targets: list[str], weight: str, folds: int = 5, alphas: tuple[float, ...] = ALPHAS, seed: int = 42) -> DataFrame:
     """(region, tile, target, r2, coefficients): out-of-fold R2 of each tile, folds keeping tiles whole.
 
-    One aggregation makes the sums of products of each tile (by inner fold, for the choice of alpha); what is fitted in
-    a region then needs the sums of its tiles alone, whatever the number of pixels.
+    One aggregation makes the sums of products of each tile (by inner fold, for the choice of alpha).  Tasks add them up by fold
+    of a region; a region's models need the sums of its few folds alone, and each tile is scored by itself, so no task
+    holds a region's tiles.
     """
-    size = len(features) + 1
+    size, p = len(features) + 1, len(features)
     inner = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(5)).cast("int")
-    keyed = df.withColumn("inner", inner)
     sums = lambda kind, w: F.struct(F.lit(kind).alias("kind"), *product_sums(features, targets, w))
-    both = keyed.groupBy(region, tile, "inner").agg(F.array(sums(0, F.lit(1.0)), sums(1, F.col(weight).cast("double"))).alias("sums"))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = {}
-        for r in rows.itertuples():
-            g, c = _square(np.array(r.gram), size), np.array(r.cross).reshape(len(targets), size).T
-            sums.setdefault(r[2], {})[r.kind, r.inner] = (g, c, np.array(r.squares))
-        tiles = sorted(sums)
-        k = min(folds, len(tiles))
-
-        def total(some: list, kind: int, skip: int = -1, only: int = -1) -> list[np.ndarray]:
-            parts = [v for t in some for (a, i), v in sums[t].items() if a == kind and i != skip and (only < 0 or i == only)]
-            return [np.sum([p[j] for p in parts], axis=0) for j in range(3)] if parts else []
-
-        out = []
-        for fold in range(max(k, 1)):
-            test = tiles[fold::k] if k > 1 else tiles
-            train = [t for t in tiles if t not in set(test)] or tiles
-            best, chosen = None, np.full(len(targets), alphas[0])
-            for alpha in alphas:
-                error = 0.0
-                for i in range(5):
-                    fit, held = total(train, 0, skip=i), total(train, 0, only=i)
-                    if fit and held and fit[0][-1, -1] > 0:
-                        error = error + _error(_ridge(fit[0], fit[1], alpha), *held)
-                if best is None or np.isscalar(best):
-                    best = error
-                else:
-                    chosen = np.where(error < best, alpha, chosen)
-                    best = np.minimum(best, error)
-            fit = total(train, 1)
-            for j, target in enumerate(targets):
-                beta = _ridge(fit[0], fit[1][:, j : j + 1], chosen[j])
-                share = np.abs(beta[:-1, 0]) / max(np.abs(beta[:-1, 0]).sum(), 1e-300)
-                for t in test:
-                    g, c, s = total([t], 1)
-                    sst = s[j] - c[-1, j] ** 2 / g[-1, -1] if g[-1, -1] > 0 else 0
-                    if sst > 0:
-                        out.append((rows.iloc[0, 0], t, target, 1 - _error(beta, g, c[:, j : j + 1], s[j : j + 1])[0] / sst, share.tolist()))
+    both = df.withColumn("inner", inner).groupBy(region, tile, "inner").agg(F.array(sums(0, F.lit(1.0)), sums(1, F.col(weight).cast("double"))).alias("sums"))
+    both = cut(both.select(region, tile, "inner", F.inline("sums")).select(region, tile, "kind", "inner", *_SUMS))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema} | {"fold": "int", "kind": "int", "inner": "int"}
+
+    # tiles in their order are dealt to the folds in turn
+    tiles = both.select(region, tile).distinct()
+    nth = F.row_number().over(Window.partitionBy(region).orderBy(tile)) - 1
+    n = F.count("*").over(Window.partitionBy(region))
+    placed = tiles.select(region, tile, F.pmod(nth, F.least(n, F.lit(folds))).cast("int").alias("fold"))
+    dealt = _same(both, placed, [region, tile])
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        held = {(r.fold, r.kind, r.inner): (_square(np.array(r.gram), size), np.array(r.cross).reshape(len(targets), size).T, np.array(r.squares)) for r in rows.itertuples()}
+        known = sorted({f for f, _, _ in held})
+
+        def total(some: list, kind: int, skip: int, only: int) -> list[np.ndarray]:
+            parts = [v for (f, k, i), v in held.items() if f in some and k == kind and i != skip and (only < 0 or i == only)]
+            return [np.sum([x[j] for x in parts], axis=0) for j in range(3)] if parts else []
+
+        betas = [_fitted(total, [x for x in known if x != f] or known, len(targets), alphas).ravel() for f in known]
+        return pd.DataFrame({"region": [rows[region].iloc[0]] * len(known), "fold": known, "beta": betas})
+
+    models = _fold_sums(dealt, [region, "fold", "kind", "inner"], kinds).groupBy(region).applyInPandas(fit, f"region {kinds[region]}, fold int, beta array<double>")
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        flat = _added(rows)
+        g, c, s = _square(flat[0], size), flat[1].reshape(len(targets), size).T, flat[2]
+        beta, out = np.array(rows["beta"].iloc[0]).reshape(size, len(targets)), []
+        for j, target in enumerate(targets):
+            sst = s[j] - c[-1, j] ** 2 / g[-1, -1] if g[-1, -1] > 0 else 0
+            if sst > 0:
+                share = np.abs(beta[:p, j]) / max(np.abs(beta[:p, j]).sum(), 1e-300)
+                out.append((rows[region].iloc[0], rows[tile].iloc[0], target, 1 - _error(beta[:, j : j + 1], g, c[:, j : j + 1], s[j : j + 1])[0] / sst, share.tolist()))
         return pd.DataFrame(out, columns=["region", "tile", "target", "r2", "coefficients"])
 
-    return both.select(region, tile, "inner", F.inline("sums")).select(region, tile, "kind", "inner", "gram", "cross", "squares").groupBy(region).applyInPandas(run, f"region {kinds[region]}, tile {kinds[tile]}, target string, r2 double, coefficients array<double>")
+    scored = _same(dealt.filter("kind = 1"), models.withColumnRenamed("region", region), [region, "fold"])
+    return scored.groupBy(region, tile).applyInPandas(score, f"region {kinds[region]}, tile {kinds[tile]}, target string, r2 double, coefficients array<double>")
 
 
 def tile_means(r2: DataFrame) -> DataFrame:
