@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.operators.lineage import cut
+from canopy.operators.lineage import cut, release
 
 #: Picks of so many regions may be broadcast (five numbers each).
 BROADCAST_REGIONS = 100_000
@@ -106,30 +107,79 @@ def overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return sides[0].join(sides[1], on & meet).select("id_a", "id_b")
 
 
+#: Rounds in which nearest_distance looks in growing cells around; what is left then is far from everything selected.
+RINGS = 4
+#: A cell with at most so many selected points is read point by point.
+FEW = 16
+
+
 def nearest_distance(points: DataFrame, selected: DataFrame, key: str, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(key, distance) to the nearest of the selected (x, y) with equal ``by``, which may be many.
+    """(key, distance) to the nearest of the selected (x, y) with equal ``by``, which may be many; null if there is none.  A written table.
 
-    Each round looks in the 3 x 3 cells around; what is found within one cell's width is the nearest, and the rest
-    goes on with cells of twice the width.  Null if nothing is selected.  Each round is cut off from those before it,
-    which would be computed anew by every later one.
+    The first rounds look in the 3 x 3 cells around; what is found within one cell's width is the nearest, and the rest goes on
+    with cells of twice the width.  Points far from everything selected then go down a tree of cells instead: from the cells that
+    hold all selected points to their quarters, and so on, of which only those stay that may hold the nearest.
     """
     extent = points.select("x", "y").union(selected.select("x", "y")).agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
     if extent[0] is None or not selected.limit(1).count():
         return points.select(key, F.lit(None).cast("double").alias("distance"))
     span = max(extent[0] - extent[1], extent[2] - extent[3], cell)
-    rest, done = points.select(key, *by, "x", "y"), None
-    while True:
+    rest, parts, before = points.select(key, *by, "x", "y"), [], []
+    for _ in range(RINGS):
         near = [F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1)) for c in "xy"]
         spread = selected.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"), near[0].alias("_cx"), "y").withColumn("_cy", near[1]).drop("y")
         placed = rest.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-        found = placed.join(spread, [*by, "_cx", "_cy"], "left").groupBy(key, *by, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance"))
-        last = cell > span
-        found = found if last else cut(found)
-        ok = found.filter(F.col("distance") <= cell) if not last else found
-        done = ok.select(key, "distance") if done is None else done.union(ok.select(key, "distance"))
-        if last:
-            return done
-        rest, cell = found.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select(key, *by, "x", "y"), cell * 2
+        found = cut(placed.join(spread, [*by, "_cx", "_cy"], "left").groupBy(key, *by, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).alias("distance")))
+        parts.append(found.filter(F.col("distance") <= cell).select(key, "distance"))
+        before.append(found)
+        rest = found.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select(key, *by, "x", "y")
+        if cell > span or rest.isEmpty():
+            break
+        cell *= 2
+    if not rest.isEmpty():
+        parts.append(_nearest_by_tree(rest, selected, key, span, (extent[1], extent[3]), by))
+    return cut(reduce(DataFrame.union, parts), *before, *parts)
+
+
+def _nearest_by_tree(points: DataFrame, selected: DataFrame, key: str, span: float, corner: tuple[float, float], by: tuple[str, ...]) -> DataFrame:
+    """(key, distance), a written table, by bounds of cells.
+
+    A cell with selected points bounds the distance from below by its nearest and from above by its farthest corner (of the
+    box of its points).  Each level goes on with the quarters of the cells whose lower bound isn't above the least upper one.
+    """
+    level, done, size = 0, [], span * (1 + 1e-9)
+    at = lambda c, k: F.floor((F.col(c) - corner[k]) / size)
+    pool = selected.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"))
+    open_ = points.select(key, *by, "x", "y", F.lit(0).cast("bigint").alias("_cx"), F.lit(0).cast("bigint").alias("_cy"))
+    gap = lambda c: F.greatest(F.col(f"_{c}0") - F.col(c), F.col(c) - F.col(f"_{c}1"), F.lit(0.0))
+    reach = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"_{c}0")), F.abs(F.col(c) - F.col(f"_{c}1")))
+    earlier = None
+    while True:
+        boxes = pool.groupBy(*by, at("sx", 0).alias("_cx"), at("sy", 1).alias("_cy")).agg(
+            F.min("sx").alias("_x0"), F.max("sx").alias("_x1"), F.min("sy").alias("_y0"), F.max("sy").alias("_y1"), F.count("*").alias("_many")
+        )
+        met = open_.join(boxes, [*by, "_cx", "_cy"]).withColumns({"_low": F.hypot(gap("x"), gap("y")), "_high": F.hypot(reach("x"), reach("y"))})
+        met = met.withColumn("_least", F.min("_high").over(Window.partitionBy(key))).filter(F.col("_low") <= F.col("_least") * (1 + 1e-12))
+        place = (F.col("_x0") == F.col("_x1")) & (F.col("_y0") == F.col("_y1"))  # all its points are one
+        found = cut(met.select(key, *by, "x", "y", "_cx", "_cy", "_many", F.when(place, F.col("_low")).alias("_exact")))
+        if earlier is not None:
+            release(earlier)
+        earlier = found
+        # small cells are read, and cells of one place known; the others go on
+        last = level >= 40
+        small, exact = F.col("_many") <= FEW, F.col("_exact").isNotNull()
+        read = (found if last else found.filter(small)).filter(~exact)
+        with_points = read.join(pool.withColumns({"_cx": at("sx", 0), "_cy": at("sy", 1)}), [*by, "_cx", "_cy"])
+        nearest = with_points.select(key, F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("distance"))
+        done.append(cut(nearest.union(found.filter(exact).select(key, "_exact")).groupBy(key).agg(F.min("distance").alias("distance"))))
+        further = found.filter(~small & ~exact)
+        if last or further.isEmpty():
+            release(earlier)
+            out = reduce(DataFrame.union, done).groupBy(key).agg(F.min("distance").alias("distance"))
+            return cut(points.select(key).join(out, key, "left"), *done)
+        quarters = F.array(*[F.struct((F.col("_cx") * 2 + i).alias("cx"), (F.col("_cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+        open_ = further.select(key, *by, "x", "y", F.inline(quarters)).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+        level, size = level + 1, size / 2
 
 
 def farthest_selection(tiles: DataFrame, region: str, needed: str, min_distance: float, chosen: str = "chosen") -> DataFrame:
@@ -144,20 +194,20 @@ def farthest_selection(tiles: DataFrame, region: str, needed: str, min_distance:
     free = tiles.filter(~F.col(chosen) & (F.col(needed) > 0))
     before = nearest_distance(free, tiles.filter(chosen), "tile_id", min_distance, (region,))
     free = cut(free.join(before, "tile_id").withColumn("_far", F.coalesce("distance", F.lit(math.inf))).drop("distance", chosen))
-    out, step = None, 0
+    out, step = [], 0
     while True:
         step += 1
         first = F.struct(-F.col("_far"), -F.col("effective_pixels"), "tile_id")
         best = free.groupBy(region).agg(F.min_by(F.struct("tile_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "_far", F.col(needed).alias("_needed")), first).alias("b")).select(region, "b.*")
         best = cut(best.filter((F.col("_far") >= min_distance / 2) & (F.col("_needed") >= step)).drop("_needed", "_far"))
-        picks = best.select("tile_id", F.col(region).cast("string").alias(region), F.lit(step).alias("step"))
-        out = picks if out is None else out.union(picks)
+        out.append(best)
         n = best.count()
         if not n:
-            return out
+            picks = [b.select("tile_id", F.col(region).cast("string").alias(region), F.lit(k + 1).alias("step")) for k, b in enumerate(out)]
+            return cut(reduce(DataFrame.union, picks), free, *out)
         best = best.withColumnRenamed("tile_id", "_picked")
-        free = free.join(F.broadcast(best) if n <= BROADCAST_REGIONS else best, region).filter(F.col("tile_id") != F.col("_picked"))
-        free = cut(free.withColumn("_far", F.least("_far", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))).drop("_picked", "_x", "_y"))
+        left = free.join(F.broadcast(best) if n <= BROADCAST_REGIONS else best, region).filter(F.col("tile_id") != F.col("_picked"))
+        free = cut(left.withColumn("_far", F.least("_far", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))).drop("_picked", "_x", "_y"), free)
 
 
 def reference_set(in_situ: DataFrame, supplementary: DataFrame, distance: int = 5) -> DataFrame:

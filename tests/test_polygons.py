@@ -112,3 +112,25 @@ def test_patch_arrays_equal_slices(spark):
         patching.features_of(cells.columns, "evi")
     with pytest.raises(ValueError, match="missing: x"):
         patching.features_of(cells.columns, selected=["ndvi_a", "x"])
+
+
+@pytest.mark.parametrize("case", ["far", "spread", "one place", "by"])
+def test_nearest_distance_of_near_and_far_points(spark, case):
+    rng = random.Random(case)
+    points = [(k, k % 2, rng.uniform(0, 1000), rng.uniform(0, 1000)) for k in range(300)]
+    if case == "far":  # all selected ones in a corner, far from most
+        chosen = [(k % 2, 1000 + rng.gauss(0, 3), 1000 + rng.gauss(0, 3)) for k in range(400)]
+    elif case == "spread":
+        chosen = [(k % 2, rng.uniform(-500, 1500), rng.uniform(-500, 1500)) for k in range(250)]
+    elif case == "one place":
+        chosen = [(k % 2, -4000.0, 77.0) for k in range(100)]
+    else:
+        chosen = [(0, rng.uniform(0, 1000), rng.uniform(0, 50)) for k in range(60)]
+    p = spark.createDataFrame(points, "id int, g int, x double, y double")
+    s = spark.createDataFrame(chosen, "g int, x double, y double")
+    by = ("g",) if case == "by" else ()
+    got = {r.id: r.distance for r in geo.nearest_distance(p, s, "id", 2.0, by).collect()}
+    assert len(got) == 300
+    for k, g, x, y in points:
+        want = min((math.hypot(x - a, y - b) for h, a, b in chosen if not by or h == g), default=None)
+        assert got[k] == (None if want is None else pytest.approx(want)), k
