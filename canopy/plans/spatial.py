@@ -9,6 +9,7 @@ from canopy.operators import composites as co
 from canopy.operators import geo
 from canopy.operators import harmonic as hm
 from canopy.operators import polygons as pg
+from canopy.operators import projections as pr
 from canopy.operators import raster as ra
 from canopy.plans.proxies import GRID_SQL, grid, rounded, table, tiles
 from canopy.plans.registry import query
@@ -271,6 +272,22 @@ def window_enumeration(spark, sf_dir):
     return every.join(cells, ["row_off", "col_off"], "left").fillna(0, ["cells"])
 
 
+_N, _SCALE, _ORIGIN = pr.LAMBERT_93._constants()
+_E = pr.GRS80.e
+
+
+@query(f"""WITH p AS (SELECT c_custkey, (c_custkey * 7 % 1400) / 100 - 5 AS lon, (c_custkey * 13 % 900) / 100 + 42 AS lat FROM customer),
+t AS (SELECT *, {_SCALE!r} * (tan(pi() / 4 - radians(lat) / 2) / pow((1 - {_E!r} * sin(radians(lat))) / (1 + {_E!r} * sin(radians(lat))), {_E / 2!r})) ** {_N!r} AS r, {_N!r} * radians(lon - 3) AS a FROM p)
+SELECT c_custkey, round(700000 + r * sin(a), 3) AS x, round(6600000 + {_ORIGIN!r} - r * cos(a), 3) AS y, round(lon, 6) + 0.0 AS lon, round(lat, 6) AS lat FROM t""")
+def projected_points(spark, sf_dir):
+    """Points in degrees on the national grid, and back."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select("c_custkey", (k * 7 % 1400 / 100 - 5).alias("x"), (k * 13 % 900 / 100 + 42).alias("y"))
+    there = pr.reprojected(p, 4326, 2154).withColumns({"lon": F.col("x"), "lat": F.col("y")})
+    back = pr.reprojected(there, 2154, 4326, "lon", "lat")
+    return back.select("c_custkey", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("x", 3), ("y", 3), ("lon", 6), ("lat", 6))])
+
+
 _DIAMOND_SQL = "d AS (SELECT {0} AS id, {0} * 7 % 4000 / 16.0 AS x, {0} * 13 % 4000 / 16.0 AS y, {0} % 5 / 4.0 + 0.25 AS r FROM {1})"
 
 
