@@ -20,13 +20,35 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return a.join(renamed, on, how).drop(*[f"_{k}_" for k in keys])
 
 
+#: Groups of at most so many values are put in order by one task each.
+SMALL = 200_000
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """(by, n, q): values at each share, in the order of ``shares``, linear between neighbours; groups without values are left out.
 
+    Groups are counted first: small ones go through one aggregation, larger ones in pieces, with equal results.
+    """
+    some = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    large = some.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > SMALL).select(*by, F.lit(1).alias("_large"))
+    if large.isEmpty():
+        return _at_once(some, by, shares)
+    if not by:
+        return _in_pieces(some, by, shares)
+    return _at_once(_same(some, large, by, "left_anti"), by, shares).unionByName(_in_pieces(_same(some, large, by).drop("_large"), by, shares))
+
+
+def _at_once(some: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    out = some.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
+    return out.filter("n > 0")
+
+
+def _in_pieces(some: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """(by, n, q) of the values (by, _v).
+
     Equal values are counted first.  Rough percentiles cut the values of a group into pieces; counts of pieces say which of them
     hold the wanted ranks, and only these are put in order.  Without ``by``, one row, or none.
     """
-    some = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     cuts = some.groupBy(*by).agg(F.percentile_approx("_v", [k / PIECES for k in range(1, PIECES)]).alias("_cuts"))
     counts = some.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
     placed = _same(counts, cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")

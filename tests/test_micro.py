@@ -326,8 +326,9 @@ def test_quantiles_equal_numpy(spark, monkeypatch):
     rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     shares = [0.0, 0.02, 0.25, 0.5, 0.98, 1.0]
-    for pieces in (2, 5, 64):
+    for pieces, small in ((2, 0), (5, 350), (64, 0), (64, 200_000)):
         monkeypatch.setattr(qu, "PIECES", pieces)
+        monkeypatch.setattr(qu, "SMALL", small)
         got = {r.g: (r.n, r.q) for r in qu.quantiles(df, ["g"], "v", shares).collect()}
         assert set(got) == set(values)
         for g, vs in values.items():
