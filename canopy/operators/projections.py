@@ -170,3 +170,17 @@ def corners_box(box: tuple[float, float, float, float], system: int) -> tuple[fl
 def cropped_to_degrees(cells: DataFrame, box: tuple[float, float, float, float], system: int, size: float, origin: tuple[float, float]) -> DataFrame:
     """The cells that the corners of a box in degrees span, with rows and columns from its corner."""
     return cropped(cells, corners_box(box, system), size, origin)
+
+
+def warped(cells: DataFrame, source: DataFrame, columns: list[str], systems: tuple[int, int], grids: tuple[tuple[float, float, float], tuple[float, float, float]]) -> DataFrame:
+    """Cells (row, col, ...) of a grid in one system with the columns of the source cell, in another system, that holds their centre.
+
+    systems: of the cells and of the source; grids: (x and y of the first corner, width of a cell) of either.  Nearest resampling is
+    arithmetic on the cell's own row, so both rasters meet in one equi-join; cells outside the source get nulls.
+    """
+    (x0, y0, size), (sx, sy, source_size) = grids
+    placed = cells.withColumns({"_x": x0 + (F.col("col") + 0.5) * size, "_y": y0 + (F.col("row") + 0.5) * size})
+    placed = reprojected(placed, *systems, "_x", "_y")
+    placed = placed.withColumns({"_r": F.floor((F.col("_y") - sy) / source_size), "_c": F.floor((F.col("_x") - sx) / source_size)})
+    found = source.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), *columns)
+    return placed.join(found, ["_r", "_c"], "left").drop("_r", "_c", "_x", "_y")

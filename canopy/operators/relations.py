@@ -29,6 +29,17 @@ def suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple
     return a.join(b, keys, how)
 
 
+def with_context(left: DataFrame, context: DataFrame, keys: list[str], suffix: str = "_ctx") -> DataFrame:
+    """``left`` with the columns of a context table, whose keys are checked to be unique; columns that both have keep the left one's name, the context's gets the suffix."""
+    same = {c: c + suffix for c in context.columns if c in left.columns and c not in keys}
+    return left.join(require_unique(context, keys).withColumnsRenamed(same), keys, "left")
+
+
+def first_of_group(df: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """(group, value): the first value of each group by ``order`` that isn't null; groups without one are left out."""
+    return df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(F.min_by(value, F.struct(*order, value)).alias(value))
+
+
 def left_joins(base: DataFrame, tables: list[DataFrame], key: str) -> DataFrame:
     """All tables joined to the base in turn."""
     return reduce(lambda df, t: df.join(t, key, "left"), tables, base)
@@ -86,12 +97,12 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def positional(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """The i-th key of one side with the i-th of the other, in their order; without one, with the first."""
 
-    def numbered(t: DataFrame, key: str) -> DataFrame:
-        return t.select(key).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key)))
+    def placed(t: DataFrame, key: str) -> DataFrame:
+        return numbered(t.select(key).distinct(), [key], "i").withColumn("i", (F.col("i") + 1).cast("int"))
 
-    b = numbered(right, right_key)
+    b = placed(right, right_key)
     first = b.filter("i = 1").select(F.col(right_key).alias("_first"))
-    out = numbered(left, left_key).join(b, "i", "left").crossJoin(F.broadcast(first))
+    out = placed(left, left_key).join(b, "i", "left").crossJoin(F.broadcast(first))
     return out.select("i", left_key, F.coalesce(right_key, "_first").alias(right_key))
 
 

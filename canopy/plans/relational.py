@@ -141,3 +141,17 @@ def complete_rows(spark, sf_dir):
     u = F.col("user_id") % 10
     df = table(spark, sf_dir, "events").withColumn("v", F.when(u == 0, float("nan")).when(u == 1, float("inf")).when(u != 2, F.col("value")))
     return rounded(rel.complete_rows(df, ["v", "value"]).agg(F.count("*").alias("n"), F.sum("v").alias("v")))
+
+
+@query("""SELECT s.s_suppkey, s.s_nationkey, s.s_acctbal, n.n_name, n.s_acctbal AS s_acctbal_ctx FROM supplier s LEFT JOIN (SELECT n_nationkey AS s_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS s_acctbal FROM nation WHERE n_nationkey <> 7) n USING (s_nationkey)""")
+def context_left_join(spark, sf_dir):
+    """Rows with a context whose keys are unique; a column that both have gets a suffix."""
+    nation = table(spark, sf_dir, "nation").filter("n_nationkey <> 7").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_regionkey").cast("double").alias("s_acctbal"))
+    return rel.with_context(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), nation, ["s_nationkey"])
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT eco_region, arg_min(l_tax, (l_orderkey, l_linenumber)) AS weight FROM pixels WHERE l_tax > 0.02 GROUP BY 1""")
+def first_region_weight(spark, sf_dir):
+    """The first weight of each region that isn't missing, by the order of its rows."""
+    df = pixels(spark, sf_dir).withColumn("weight", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
+    return rel.first_of_group(df, "eco_region", "weight", ["l_orderkey", "l_linenumber"])

@@ -30,6 +30,15 @@ QA_DOCUMENT = T.MapType(T.StringType(), T.MapType(T.StringType(), _struct(bands=
 TILE_CONFIG = _struct(tile_idx=T.IntegerType(), spatial_id=T.StringType(), dates=T.ArrayType(T.StringType()), tif_paths=T.ArrayType(T.StringType()))
 
 
+def feature_names(indices: tuple[str, ...] | list[str] = INDICES, circular: bool = True, selected: list[str] | None = None) -> list[str]:
+    """Names of the harmonic features of some indices, measure by measure; circular: cosine and sine in place of a phase.
+
+    selected: names as they are stored, each of which becomes what it is after that change.
+    """
+    stored = [f"{i}_{m}" for i in indices for m in MEASURES] if selected is None else selected
+    return [n for f in stored for n in ((f"{f}_cos", f"{f}_sin") if circular and "_phase_" in f and not f.endswith(("_cos", "_sin")) else (f,))]
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df``, if it has all of the columns."""
     missing = [c for c in columns if c not in df.columns]

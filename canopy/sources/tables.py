@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from functools import reduce
+from html import escape
 from operator import and_
 from typing import Any
 
@@ -226,3 +227,19 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join("" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows])
+
+
+def html_report(title: str, sections: dict[str, DataFrame], limit: int = 200) -> str:
+    """Tables of summaries under headings as one HTML page (a report of at most ``limit`` rows each)."""
+    show = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else escape(str(x))
+    parts = []
+    for name, df in sections.items():
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        rows = "".join("<tr>" + "".join(f"<td>{show(x)}</td>" for x in r) + "</tr>" for r in df.limit(limit).collect())
+        parts.append(f"<h2>{escape(name)}</h2><table><thead><tr>{head}</tr></thead><tbody>{rows}</tbody></table>")
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{"".join(parts)}</body></html>'
+
+
+def write_text(spark: SparkSession, content: str, path: str) -> None:
+    """One text, such as a report, in a folder of one file."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)

@@ -378,3 +378,21 @@ def test_folds_borrow_a_tile(spark):
     rows = {(r.fold, r.tile): r.part for r in sampling.fold_splits(tiles, "tile", 4).collect()}
     assert len(rows) == 12 and rows[1, 1] == rows[1, 2] == rows[2, 3] == "val"
     assert [sum(rows[f, t] == "val" for t in (1, 2, 3)) for f in (1, 2, 3, 4)] == [2, 1, 1, 1]
+
+
+def test_names_of_features():
+    from canopy import schemas
+
+    assert len(schemas.feature_names()) == 32 and schemas.feature_names(["evi"], circular=False) == [f for f in schemas.HARMONIC_FEATURES if f.startswith("evi_")]
+    assert schemas.feature_names(["ndvi"])[2:6] == ["ndvi_phase_h1_cos", "ndvi_phase_h1_sin", "ndvi_phase_h2_cos", "ndvi_phase_h2_sin"]
+    assert schemas.feature_names(selected=["nbr_offset", "nbr_phase_h1", "evi_phase_h2_cos"]) == ["nbr_offset", "nbr_phase_h1_cos", "nbr_phase_h1_sin", "evi_phase_h2_cos"]
+
+
+def test_context_and_first_values(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
+    context = spark.createDataFrame([(1, "cx", 5.0), (2, "cy", None)], "k int, v string, w double")
+    assert sorted(map(tuple, relations.with_context(left, context, ["k"]).collect())) == [(1, "x", "cx", 5.0), (2, "y", "cy", None), (3, "z", None, None)]
+    with pytest.raises(ValueError, match="duplicate"):
+        relations.with_context(left, context.union(context), ["k"])
+    df = spark.createDataFrame([("a", 2, 0.2), ("a", 1, None), ("a", 3, 0.1), ("b", 1, None), (None, 1, 0.3)], "g string, o int, w double")
+    assert [tuple(r) for r in relations.first_of_group(df, "g", "w", ["o"]).collect()] == [("a", 0.2)]

@@ -56,3 +56,18 @@ def test_crops_by_corners(spark):
     origin = (box[0] - 305.0, box[1] - 205.0)
     out = pr.cropped_to_degrees(cells, (2.0, 46.0, 2.01, 46.01), 2154, 10.0, origin).agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
     assert tuple(out) == (0, 0, math.ceil((box[3] - origin[1]) / 10) - 1 - 20, math.ceil((box[2] - origin[0]) / 10) - 1 - 30)
+
+
+def test_warped_cells_take_the_source_cell_that_holds_their_centre(spark):
+    from itertools import product
+
+    low = pr.LAMBERT_93.forward(2.0, 46.0, math)
+    cells = spark.createDataFrame(list(product(range(20), range(20))), "row int, col int")
+    source = spark.createDataFrame([(r, c, r * 100 + c) for r, c in product(range(40), range(40))], "row int, col int, v int")
+    grids = ((low[0], low[1], 500.0), (1.99, 45.99, 0.002))
+    out = pr.warped(cells, source, ["v"], (2154, 4326), grids).collect()
+    assert len(out) == 400 and any(r.v is None for r in out)
+    for r in out:
+        lon, lat = pr.LAMBERT_93.inverse(low[0] + (r.col + 0.5) * 500, low[1] + (r.row + 0.5) * 500, math)
+        a, b = math.floor((lat - 45.99) / 0.002), math.floor((lon - 1.99) / 0.002)
+        assert r.v == (a * 100 + b if 0 <= a < 40 and 0 <= b < 40 else None)

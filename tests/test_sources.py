@@ -301,3 +301,10 @@ def test_a_key_that_moves_or_repeats_stands_once(spark, tmp_path):
     assert {(r.k, r.n, r.r) for r in spark.read.parquet(at).collect()} == {(1, 2, "b"), (2, 1, "a"), (3, 3, "a"), (None, 2, "a"), (4, 2, "a"), (5, 2, "a")}
     merge_partitions(new((7, 1, "q"), (7, 5, "p"), (7, 3, "q")), at, "r", ["k"], ["n"])
     assert [(r.n, r.r) for r in spark.read.parquet(at).filter("k = 7").collect()] == [(5, "p")]
+
+
+def test_html_reports(spark, tmp_path):
+    page = tables.html_report("A & B", {"Counts <1>": spark.createDataFrame([("x<y", 0.123456, None)], "k string, v double, n int")})
+    assert "<title>A &amp; B</title>" in page and "<td>x&lt;y</td><td>0.1235</td><td></td>" in page and "<h2>Counts &lt;1&gt;</h2>" in page
+    tables.write_text(spark, page, f"file://{tmp_path}/r")
+    assert next((tmp_path / "r").glob("part-*")).read_text().strip() == page
