@@ -21,7 +21,7 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 
 
 #: Groups of at most so many values are put in order by one task each.
-SMALL = 200_000
+SMALL = 1_000_000
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -227,14 +227,14 @@ def valid_patches(cells: DataFrame, patches: DataFrame, label: str, features: li
     return found.filter(F.col("_any") & F.col("_finite")).select("row_off", "col_off", "n")
 
 
-def coherence(cells: DataFrame, by: list[str], value: str = "value", size: float = 10.0) -> DataFrame:
+def coherence(cells: DataFrame, by: list[str], value: str = "value", size: float = 10.0, side: int = blocks.SIDE) -> DataFrame:
     """(by, area_km2, edge_density, forest_fraction, patches and their density in all and of each class) of each tile.
 
     Densities are by 100 km2; without valid cells all but the fraction are null.
     """
     edges = edge_density(cells, by, value, size)
     fraction = cells.groupBy(*by).agg((F.count_if(F.col(value) > 0) / F.count("*")).alias("forest_fraction"))
-    found = patches(cells, by, (1, 2), value, size)
+    found = patches(cells, by, (1, 2), value, size, side)
     valid = F.col("valid") > 0
     counts = found.groupBy(*by).agg(F.sum("patches").alias("total"), *[F.max(F.when(F.col("class") == k, F.col("patches"))).alias(n) for k, n in ((1, "deciduous"), (2, "evergreen"))])
     out = edges.join(fraction, by).join(counts, by)
@@ -244,8 +244,8 @@ def coherence(cells: DataFrame, by: list[str], value: str = "value", size: float
     return out.select(*by, F.when(valid, F.col("area_km2")).alias("area_km2"), "edge_density", "forest_fraction", *columns)
 
 
-def coherence_variants(first: DataFrame, second: DataFrame, by: list[str], names: tuple[str, str] = ("embedding", "harmonic"), size: float = 10.0) -> DataFrame:
+def coherence_variants(first: DataFrame, second: DataFrame, by: list[str], names: tuple[str, str] = ("embedding", "harmonic"), size: float = 10.0, side: int = blocks.SIDE) -> DataFrame:
     """The coherence of two maps and of the second one smoothed by a 3 x 3 median, one row each with its ``variant``."""
-    smoothed = median_filter(second, by)
-    parts = [coherence(m, by, size=size).withColumn("variant", F.lit(n)) for m, n in ((first, names[0]), (second, names[1]), (smoothed, f"{names[1]}_median"))]
+    smoothed = median_filter(second, by, side=side)
+    parts = [coherence(m, by, size=size, side=side).withColumn("variant", F.lit(n)) for m, n in ((first, names[0]), (second, names[1]), (smoothed, f"{names[1]}_median"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

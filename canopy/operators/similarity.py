@@ -118,7 +118,7 @@ def _fitted(total: Callable[[list, int, int, int], list[np.ndarray]], train: lis
 
 
 def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str], targets: list[str], weight: str, folds: int = 5, alphas: tuple[float, ...] = ALPHAS, seed: int = 42) -> DataFrame:
-    """(region, tile, target, r2, coefficients): out-of-fold R2 of each tile, folds keeping tiles whole.
+    """(region, tile, target, r2, coefficients): out-of-fold R2 of each tile, folds keeping tiles whole; a written table.
 
     One aggregation makes the sums of products of each tile (by inner fold, for the choice of alpha).  Tasks add them up by fold
     of a region; a region's models need the sums of its few folds alone, and each tile is scored by itself, so no task
@@ -128,7 +128,7 @@ def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str],
     inner = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(5)).cast("int")
     sums = lambda kind, w: F.struct(F.lit(kind).alias("kind"), *product_sums(features, targets, w))
     both = df.withColumn("inner", inner).groupBy(region, tile, "inner").agg(F.array(sums(0, F.lit(1.0)), sums(1, F.col(weight).cast("double"))).alias("sums"))
-    both = cut(both.select(region, tile, "inner", F.inline("sums")).select(region, tile, "kind", "inner", *_SUMS))
+    both = both.select(region, tile, "inner", F.inline("sums")).select(region, tile, "kind", "inner", *_SUMS).persist()  # until the result is written
     kinds = {f.name: f.dataType.simpleString() for f in df.schema} | {"fold": "int", "kind": "int", "inner": "int"}
 
     # tiles in their order are dealt to the folds in turn
@@ -149,21 +149,29 @@ def ridge_similarity(df: DataFrame, region: str, tile: str, features: list[str],
         betas = [_fitted(total, [x for x in known if x != f] or known, len(targets), alphas).ravel() for f in known]
         return pd.DataFrame({"region": [rows[region].iloc[0]] * len(known), "fold": known, "beta": betas})
 
-    models = _fold_sums(dealt, [region, "fold", "kind", "inner"], kinds).groupBy(region).applyInPandas(fit, f"region {kinds[region]}, fold int, beta array<double>")
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        flat = _added(rows)
-        g, c, s = _square(flat[0], size), flat[1].reshape(len(targets), size).T, flat[2]
-        beta, out = np.array(rows["beta"].iloc[0]).reshape(size, len(targets)), []
-        for j, target in enumerate(targets):
-            sst = s[j] - c[-1, j] ** 2 / g[-1, -1] if g[-1, -1] > 0 else 0
-            if sst > 0:
-                share = np.abs(beta[:p, j]) / max(np.abs(beta[:p, j]).sum(), 1e-300)
-                out.append((rows[region].iloc[0], rows[tile].iloc[0], target, 1 - _error(beta[:, j : j + 1], g, c[:, j : j + 1], s[j : j + 1])[0] / sst, share.tolist()))
-        return pd.DataFrame(out, columns=["region", "tile", "target", "r2", "coefficients"])
-
-    scored = _same(dealt.filter("kind = 1"), models.withColumnRenamed("region", region), [region, "fold"])
-    return scored.groupBy(region, tile).applyInPandas(score, f"region {kinds[region]}, tile {kinds[tile]}, target string, r2 double, coefficients array<double>")
+    models = cut(_fold_sums(dealt, [region, "fold", "kind", "inner"], kinds).groupBy(region).applyInPandas(fit, f"region {kinds[region]}, fold int, beta array<double>"))
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What each row of sums adds to the squared errors and to the spread of each target, as both are sums over rows."""
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                g, c, s, beta = _square(np.array(r.gram), size), np.array(r.cross).reshape(len(targets), size).T, np.array(r.squares), np.array(r.beta).reshape(size, len(targets))
+                out += zip([r[0]] * len(targets), [r[1]] * len(targets), [r.fold] * len(targets), range(len(targets)), _error(beta, g, c, s).tolist(), s.tolist(), c[-1].tolist(), [g[-1, -1]] * len(targets), strict=True)
+            yield pd.DataFrame(out, columns=[region, tile, "fold", "at", "error", "square", "sum", "weight"])
+
+    met = _same(dealt.filter("kind = 1").select(region, tile, "fold", *_SUMS), models.withColumnRenamed("region", region), [region, "fold"])
+    rows = met.mapInPandas(errors, f"`{region}` {kinds[region]}, `{tile}` {kinds[tile]}, fold int, at int, error double, square double, sum double, weight double")
+    total = rows.groupBy(region, tile, "fold", "at").agg(*[F.sum(x).alias(x) for x in ("error", "square", "sum", "weight")])
+    spread = F.when(F.col("weight") > 0, F.col("square") - F.col("sum") ** 2 / F.col("weight"))
+    scored = total.withColumn("spread", spread).filter("spread > 0")
+    target = F.array(*[F.lit(t) for t in targets])[F.col("at")].alias("target")
+    # a coefficient's share of a target's absolute ones, the intercept left out
+    known = models.select(F.col("region").alias(region), "fold", F.posexplode(F.array(*[F.array(*[F.abs(F.col("beta")[i * len(targets) + j]) for i in range(p)]) for j in range(len(targets))])).alias("at", "size"))
+    known = known.withColumn("all", F.aggregate("size", F.lit(0.0), lambda a, x: a + x)).select(region, "fold", "at", F.transform("size", lambda x: x / F.greatest("all", F.lit(1e-300))).alias("coefficients"))
+    out = cut(_same(scored, known, [region, "fold", "at"]).select(F.col(region).alias("region"), F.col(tile).alias("tile"), target, (1 - F.col("error") / F.col("spread")).alias("r2"), "coefficients"), models)
+    both.unpersist()
+    return out
 
 
 def tile_means(r2: DataFrame) -> DataFrame:

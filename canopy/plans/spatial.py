@@ -77,6 +77,10 @@ def irls_iterations(spark, sf_dir):
     return rounded(hm.compare_iterations(_bands(spark, sf_dir), ["tile_id"], ["pixel"]), 3)
 
 
+#: Side of the blocks in which queries on tiles of 25 x 25 run: a multiple, so that no tile is cut.
+_SIDE = 250
+
+
 def _tiled(spark, sf_dir):
     """Cells in tiles of 25 x 25."""
     g = grid(spark, sf_dir)
@@ -101,7 +105,7 @@ t AS (SELECT tile_row, tile_col, count(*) FILTER (value > 0) AS valid FROM v GRO
 SELECT t.tile_row, t.tile_col, CAST(k AS INT) AS class, coalesce(patches, 0) AS patches, round(coalesce(patches, 0) * 100 / nullif(valid * 0.0001, 0), 6) AS per_100km2 FROM t CROSS JOIN (VALUES (1), (2)) x(k) LEFT JOIN o ON o.tile_row = t.tile_row AND o.tile_col = t.tile_col AND o.value = k""")
 def patch_counts(spark, sf_dir):
     """8-connected patches of each class in each tile."""
-    return rounded(ra.patches(_tiled(spark, sf_dir), ["tile_row", "tile_col"]))
+    return rounded(ra.patches(_tiled(spark, sf_dir), ["tile_row", "tile_col"], side=_SIDE))
 
 
 _NEAR = "SELECT a.tile_row, a.tile_col, a.r, a.c, a.value, unnest(range(-1, 2)) AS i FROM v a"
@@ -112,7 +116,7 @@ m AS (SELECT n.r, n.c, n.value, quantile_disc(b.value, 0.5) AS med FROM n JOIN l
 SELECT r AS "row", c AS col, CASE WHEN value > 0 AND med > 0 THEN med ELSE value END AS value FROM m""")
 def median_filter(spark, sf_dir):
     """3 x 3 median inside tiles."""
-    return ra.median_filter(_tiled(spark, sf_dir), ["tile_row", "tile_col"]).select("row", "col", "value")
+    return ra.median_filter(_tiled(spark, sf_dir), ["tile_row", "tile_col"], side=_SIDE).select("row", "col", "value")
 
 
 _SMOOTH_SQL = ", ".join(
@@ -129,7 +133,7 @@ SELECT tile_row, tile_col, r AS "row", c AS col, round(1 - forest, 6) + 0.0 AS p
 def gaussian_soft_labels(spark, sf_dir):
     """Soft labels from smoothed canopy height."""
     cells = _tiled(spark, sf_dir).withColumns({"height": F.col("prob") % 12, "d": F.col("prob"), "e": 255 - F.col("prob")})
-    return rounded(ra.gaussian_soft_labels(cells, ["tile_row", "tile_col"], "height", "d", "e"))
+    return rounded(ra.gaussian_soft_labels(cells, ["tile_row", "tile_col"], "height", "d", "e", side=_SIDE))
 
 
 _BLOCK_SQL = f"""{GRID_SQL}, x AS (SELECT *, eco >= 1 AND custom <> 255 AND ref <> 255 AS valid FROM grid), y AS (SELECT *, valid AND custom IN (1, 2) AS a, valid AND ref IN (1, 2) AS b FROM x),

@@ -12,7 +12,7 @@ from canopy.operators import stats as st
 from canopy.plans.classification import _BUNDLE, _COUNTS, _RATIOS
 from canopy.plans.proxies import GRID_SQL, PIXELS_SQL, grid, pixels, rounded, table
 from canopy.plans.registry import query
-from canopy.plans.spatial import _BLOCK_SQL, _PE, _RECT_SQL, _rectangles, _tiled
+from canopy.plans.spatial import _BLOCK_SQL, _PE, _RECT_SQL, _SIDE, _rectangles, _tiled
 from canopy.plans.stats import _CONTEXT_SQL, _context
 
 
@@ -89,7 +89,7 @@ def coherence_variants(spark, sf_dir):
     """Area, edges, forest and patches of two maps and of a smoothed one in each tile."""
     cells = _tiled(spark, sf_dir)
     second = cells.withColumn("value", F.when(F.col("ref") == 255, 0).otherwise(F.col("ref")))
-    return rounded(ra.coherence_variants(cells, second, ["tile_row", "tile_col"]))
+    return rounded(ra.coherence_variants(cells, second, ["tile_row", "tile_col"], side=_SIDE))
 
 
 _RANKED = "rank() OVER (PARTITION BY target, feature ORDER BY {0}) + (count(*) OVER (PARTITION BY target, feature, {0}) - 1) / 2.0"
