@@ -355,3 +355,11 @@ def test_doubles_beyond_floats_keep_their_precision(spark):
     rows = [(0, [1e300, 1e300]), (1, [1.0, 1.0 + 1e-6]), (2, [1.0, 1.0 + 3e-6]), (3, [1e-300, -1e-300]), (4, [1.0, 2.0])]
     out = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0").collect()
     assert [r.vec_id for r in sorted(out, key=lambda r: r.rank)] == [1, 2, 4, 3] and all(abs(r.score) <= 1 + 1e-12 for r in out)
+
+
+def test_near_duplicates_of_very_long_texts(spark, docs):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400_000))
+    rows = [(1, long), (2, long + " more words here"), (3, "a " * 500_000), (4, "a a a a"), (5, "x" * 2_000_000)]
+    out = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(docs(rows), 3, 85).collect()}
+    assert [out[k][0] for k in range(1, 6)] == [1, 1, 3, 3, 5] and out[3][1] == out[4][1] == out[5][1] == 1 and out[2][1] - out[1][1] == 3

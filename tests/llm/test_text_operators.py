@@ -577,3 +577,42 @@ def test_additive_model_finds_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.train(x, y)
     assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == (y == 1)).mean() > 0.97
+
+
+def _plain_features(text):
+    """The classifier's features by plain counting."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    share = lambda keep: sum(map(keep, text)) / len(text)
+    low = [w.lower() for w in words]
+    pairs = list(zip(low, low[1:], strict=False))
+    lines = [x for x in text.split("\n") if x.strip()]
+    found = {
+        "log_words": np.log(1 + len(words)), "mean_word_chars": sum(len(w) for w in words) / len(words), "symbol_share": share(lambda c: c in "#*$%&|<>@^~\\"),
+        "upper_share": share(lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×"), "shout_share": share(lambda c: c == "!"), "bar_share": share(lambda c: c == "|"),
+        "punctuation_share": share(lambda c: c in ".,;:?'\"()[]-"), "digit_share": share(lambda c: c in "0123456789"), "distinct_share": len(set(low)) / len(low),
+        "repeated_line_share": 1 - len(set(lines)) / len(lines), "words_a_line": len(words) / len(lines), "top_word_share": max(Counter(low).values()) / len(low),
+        "repeated_pair_share": 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, "space_share": share(str.isspace), "wide_share": share(lambda c: ord(c) > 127), "longest_word": max(map(len, words)),
+    }
+    return [found[f] for f in quality.FEATURES]
+
+
+def test_quality_scores_equal_plain_counting(spark, docs):
+    rng = random.Random(8)
+    letters = "abcXYZ é×À!|#.,;-'0123\n  日"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(200)] + ["", " ", "one", "a\n\na\n", "word " * 300_000, "x" * 1_000_000]
+    rows = [*enumerate(texts), (None, texts[0]), (3, None)]
+    labels = spark.createDataFrame([(k, int("!" in t[:40])) for k, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.fit(docs(rows), labels)
+    table = lambda cuts, v: sum(v >= c for c in cuts)  # noqa: E731  the bin of a value
+
+    def score(text):
+        x = _plain_features(text or "")
+        at = [table(model.cuts[k], v) for k, v in enumerate(x)]
+        total = model.bias + sum(model.tables[k][at[k]] for k in range(len(x))) + sum(t[at[i], at[j]] for (i, j), t in model.pairs.items())
+        return 1 / (1 + np.exp(-total))
+
+    out = quality.classify(docs(rows), labels).collect()
+    assert len(model.pairs) > 0 and len(out) == len(rows)
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in out) == sorted((str(i), round(score(t), 9)) for i, t in rows)
