@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.plans import classification, features, models, quality, relational, spatial, stats, tiles  # noqa: F401
+from canopy.plans import classification, features, files, models, quality, relational, spatial, stats, tiles  # noqa: F401
 from canopy.plans.registry import QUERIES, SQL, Query
 
 
