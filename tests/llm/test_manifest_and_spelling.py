@@ -98,7 +98,10 @@ def _spelling_brute(rows, delete_one_in=199):
         a, b = sorted((a, b), key=len)
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-        return len(b) - len(a) == 1 and any(b[:p] + b[p + 1 :] == a for p in range(len(b)))
+        if len(b) - len(a) != 1:
+            return False
+        p = next((k for k in range(len(a)) if a[k] != b[k]), len(a))  # the letter more stands where they first differ
+        return b[:p] + b[p + 1 :] == a
 
     near = {w: [o for o in words if o != w and one_edit(w, o)] for w in words}
     form = {}
