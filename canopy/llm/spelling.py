@@ -29,6 +29,8 @@ from canopy.llm.store import drop, save
 
 MIN_CHARS, MIN_COUNT, FACTOR, DELETE_ONE_IN = 6, 5, 5, 199
 
+#: Words of more letters are compared by their first difference, as ``levenshtein`` takes the square of their length.
+LONG = 500
 #: Powers are summed modulo this number, so that the sum of a word of any length fits.
 _MODULUS = 1 << 61
 _HIGH = "[À-ÖØ-Þ]"
@@ -76,6 +78,15 @@ def _keys(words: DataFrame) -> DataFrame:
     return rows.select("word", "n", F.inline(every))
 
 
+def _one_letter_apart(a: Column, b: Column) -> Column:
+    """Whether two different words are equal behind the first letter in which they differ, by one replaced, missing or added there."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(same, F.lit(False)).cast("int")
+    rest = lambda word, k: F.substring(word, at + k, F.length(word))
+    more = F.length(b) - F.length(a)
+    return F.when(more == 0, rest(a, 1) == rest(b, 1)).when(more == 1, rest(a, 0) == rest(b, 1)).when(more == -1, rest(a, 1) == rest(b, 0)).otherwise(F.lit(False))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, other_n): all pairs, either way, of the words (word, n; distinct) that differ by exactly one letter."""
     keys = _keys(words)
@@ -84,7 +95,9 @@ def near_words(words: DataFrame) -> DataFrame:
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.head") == F.col("b.head"))
     # of the two halves the one that finds the pair is the first, if it is equal, so a pair is found once
     once = (F.col("a.word") < F.col("b.word")) & ~(F.col("a.whole") & F.col("b.whole")) & (F.col("a.first") == F.col("b.first")) & (same_head == F.col("a.first"))
-    pairs = a.join(b, met & once & (F.levenshtein("a.word", "b.word", 1) == 1))
+    long = F.length("a.word") > LONG
+    pairs = a.join(b, met & once & (long | (F.levenshtein("a.word", "b.word", 1) == 1)))
+    pairs = pairs.filter(~long | _one_letter_apart(F.col("a.word"), F.col("b.word")))
     way = lambda x, y: F.struct(F.col(f"{x}.word").alias("word"), F.col(f"{y}.word").alias("other"), F.col(f"{y}.n").alias("other_n"))
     return pairs.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
 

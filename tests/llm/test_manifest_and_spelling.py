@@ -142,6 +142,17 @@ def test_spelling_equals_brute_force(spark, docs):
     assert spelling.spelling_variants(docs([])).count() == 0
 
 
+def test_long_words_are_compared_as_short_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(5, 8))) for _ in range(250)}
+    table = spark.createDataFrame([(w, 5) for w in sorted(words)], "word string, n long")
+    found = []
+    for limit in (500, 0):
+        monkeypatch.setattr(spelling, "LONG", limit)
+        found.append(sorted((r.word, r.other) for r in spelling.near_words(table).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0])) > 200
+
+
 def test_forms_are_followed_to_the_last(spark):
     steps = [("w0", "w1"), ("w1", "w2"), ("w2", "w3"), ("w3", "w4"), ("w4", "w5"), ("v", "w4"), ("a", "b")]
     out = dict(map(tuple, spelling._roots(spark.createDataFrame(steps, "word string, form string")).collect()))
