@@ -77,20 +77,38 @@ def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float, h
     return placed.join(tiled, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & inside, how).drop("_px", "_py", "_cx", "_cy")
 
 
+def box_sums(points: DataFrame, boxes: DataFrame, key: str, x: str, y: str, cell: float, value: str) -> DataFrame:
+    """(key, points, sum) of the boxes (key, xmin, ymin, xmax, ymax; half open) that hold points: how many, and the sum of their values.
+
+    Points at one place and boxes of one extent meet once, so the work grows with the different ones and not with all pairs.
+    """
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    places = points.groupBy(x, y).agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
+    found = box_join(places, boxes.select(*sides).distinct(), x, y, cell).groupBy(*sides).agg(F.sum("_n").alias("points"), F.sum("_sum").alias("sum"))
+    return boxes.select(key, *sides).join(found, sides).groupBy(key).agg(F.sum("points").alias("points"), F.sum("sum").alias("sum"))
+
+
 def within_join(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: float, how: str = "inner") -> DataFrame:
     """Points with the polygons (ring) that hold them."""
     tiled = polygons.withColumns(bounds(F.col("ring")))
     tiled = tiled.withColumn("_cx", F.explode(_cells(F.col("xmin"), F.col("xmax"), cell))).withColumn("_cy", F.explode(_cells(F.col("ymin"), F.col("ymax"), cell)))
     placed = points.withColumns({"_px": F.floor(F.col(x) / cell), "_py": F.floor(F.col(y) / cell)})
-    on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & contains(F.col("ring"), F.col(x), F.col(y))
+    px, py = F.col(x), F.col(y)
+    boxed = (px >= F.col("xmin")) & (px <= F.col("xmax")) & (py >= F.col("ymin")) & (py <= F.col("ymax"))
+    on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & boxed & contains(F.col("ring"), px, py)
     return placed.join(tiled, on, how).drop("_px", "_py", "_cx", "_cy", "xmin", "ymin", "xmax", "ymax")
 
 
 def assigned(tiles: DataFrame, regions: DataFrame, region: str, cell: float, missing: str = "Unknown") -> DataFrame:
-    """Tiles (xmin, ymin, xmax, ymax) with the region whose polygon holds their centre; of several, the first name."""
+    """Tiles (xmin, ymin, xmax, ymax) with the region whose polygon holds their centre; of several, the first name.
+
+    Each centre is looked up once, however many tiles share it.
+    """
     centred = tiles.withColumns({"_x": (F.col("xmin") + F.col("xmax")) / 2, "_y": (F.col("ymin") + F.col("ymax")) / 2})
-    hits = within_join(centred.select("tile_id", "_x", "_y"), regions, "_x", "_y", cell).groupBy("tile_id").agg(F.min(region).alias(region))
-    return tiles.join(hits, "tile_id", "left").withColumn(region, F.coalesce(region, F.lit(missing)))
+    parts = 4 * tiles.sparkSession.sparkContext.defaultParallelism  # few small rows with much work, which adaptive plans would put into one task
+    centres = centred.select("_x", "_y").distinct().repartition(parts, "_x", "_y")
+    hits = within_join(centres, regions.repartition(parts, region), "_x", "_y", cell).groupBy("_x", "_y").agg(F.min(region).alias(region))
+    return centred.join(hits, ["_x", "_y"], "left").select(*tiles.columns, F.coalesce(region, F.lit(missing)).alias(region))
 
 
 def overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
