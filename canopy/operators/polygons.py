@@ -56,9 +56,14 @@ def bounded(polygons: DataFrame) -> DataFrame:
 
 
 def intersecting(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """(id_a, id_b) of the polygons (id_a, ring) and (id_b, ring) that touch or overlap, each pair once."""
-    pairs = _box_pairs(bounded(a.select("id_a", "ring")), bounded(b.select("id_b", "ring")), cell)
-    return pairs.filter(rings_meet("a", "b")).select("a.id_a", "b.id_b")
+    """(id_a, id_b) of the polygons (id_a, ring) and (id_b, ring) that touch or overlap, each pair once.
+
+    Equal rings are tested once; then each pair of rings becomes the pairs of those that have them.
+    """
+    pairs = _box_pairs(bounded(a.select("ring").distinct()), bounded(b.select("ring").distinct()), cell).filter(rings_meet("a", "b"))
+    rings = pairs.select(F.col("a.ring").alias("ring"), F.col("b.ring").alias("_other"))
+    one = a.select("id_a", "ring").join(rings, "ring").select("id_a", F.col("_other").alias("ring"))
+    return one.repartition("id_a").join(b.select("id_b", "ring"), "ring").select("id_a", "id_b")  # dealt anew, as a row becomes many
 
 
 def _half(ring: Column, axis: str, bound: Column, least: bool) -> Column:

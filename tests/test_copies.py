@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import geo
+from canopy.operators import geo, polygons
 
 
 @pytest.fixture
@@ -26,3 +26,11 @@ def test_centres_at_one_place_are_looked_up_once(spark, monkeypatch, counted):
     regions = spark.range(4).select(F.concat(F.lit("r"), "id").alias("region"), geo.box(F.lit(0), F.lit(0), F.lit(3), F.lit(3)).alias("ring"))
     out = geo.assigned(tiles, regions, "region", 8.0).collect()
     assert len(out) == 500 and {r.region for r in out} == {"r0"} and asked.value <= 4
+
+
+def test_equal_rings_are_tested_once(spark, monkeypatch, counted):
+    holds, asked = counted
+    monkeypatch.setattr(polygons, "rings_meet", lambda a, b: holds(F.col(f"{a}.xmin") + F.col(f"{b}.xmin")))
+    copies = lambda n, name: spark.range(n).select(F.col("id").alias(name), geo.box(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("ring"))
+    out = polygons.intersecting(copies(60, "id_a"), copies(50, "id_b"), 4.0).collect()
+    assert len(out) == len(set(out)) == 3000 and asked.value == 1
