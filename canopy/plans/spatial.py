@@ -191,12 +191,11 @@ def _points(spark, sf_dir):
 
 @query(f"""WITH {_POINTS_SQL}, b AS (SELECT s_suppkey AS tile_id, s_suppkey % 10 * 4.0 AS xmin, s_suppkey // 10 % 10 * 4.0 AS ymin FROM supplier) SELECT tile_id, count(*) AS points, CAST(sum(c_custkey) AS BIGINT) AS keys FROM p JOIN b ON x >= xmin AND x < xmin + 4 AND y >= ymin AND y < ymin + 4 GROUP BY 1""")
 def point_in_box_join(spark, sf_dir):
-    """Points in boxes, by an equi-join on grid cells."""
+    """Points in boxes, by an equi-join on grid cells of the different places and boxes."""
     s = table(spark, sf_dir, "supplier")
     low = s.select(F.col("s_suppkey").alias("tile_id"), (F.col("s_suppkey") % 10 * 4.0).alias("xmin"), (F.floor(F.col("s_suppkey") / 10) % 10 * 4.0).alias("ymin"))
     boxes = low.withColumns({"xmax": F.col("xmin") + 4, "ymax": F.col("ymin") + 4})
-    hits = geo.box_join(_points(spark, sf_dir), boxes, "x", "y", 4.0)
-    return hits.groupBy("tile_id").agg(F.count("*").alias("points"), F.sum("c_custkey").alias("keys"))
+    return geo.box_sums(_points(spark, sf_dir), boxes, "tile_id", "x", "y", 4.0, "c_custkey").withColumnRenamed("sum", "keys")
 
 
 @query(f"""WITH {_POINTS_SQL}, c AS (SELECT s_suppkey AS region, s_suppkey % 5 * 8.0 + 0.003 AS x0, s_suppkey // 5 % 4 * 10.0 + s_suppkey // 20 * 0.01 + 0.003 AS y0 FROM supplier), t AS (SELECT c_custkey AS tile_id, x, y FROM p)

@@ -1,5 +1,7 @@
 """Equal places, boxes and rings meet once, and the results are those of every row by itself."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +36,16 @@ def test_equal_rings_are_tested_once(spark, monkeypatch, counted):
     copies = lambda n, name: spark.range(n).select(F.col("id").alias(name), geo.box(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("ring"))
     out = polygons.intersecting(copies(60, "id_a"), copies(50, "id_b"), 4.0).collect()
     assert len(out) == len(set(out)) == 3000 and asked.value == 1
+
+
+def test_sums_in_boxes_equal_those_of_pairs(spark):
+    rng = random.Random(2)
+    points = [(rng.randrange(8) / 2, rng.randrange(8) / 2, k) for k in range(300)]
+    boxes = [(k, x, y, x + 1.5, y + 1.0) for k in range(80) for x, y in [(float(rng.randrange(5)), float(rng.randrange(5)))]]
+    got = geo.box_sums(spark.createDataFrame(points, "x double, y double, v long"), spark.createDataFrame(boxes, "id long, xmin double, ymin double, xmax double, ymax double"), "id", "x", "y", 2.0, "v").collect()
+    want = {}
+    for k, x0, y0, x1, y1 in boxes:
+        held = [v for x, y, v in points if x0 <= x < x1 and y0 <= y < y1]
+        if held:
+            want[k] = (len(held), sum(held))
+    assert {r.id: (r.points, r.sum) for r in got} == want and len(got) == len(want)
