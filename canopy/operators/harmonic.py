@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,36 +79,70 @@ def fit_series(y: np.ndarray, w: np.ndarray, t: np.ndarray, harmonics: int = 2,
     Weights are the given ones times Huber's; missing values are filled with the pixel's mean at weight 0.  Steps end
     when the percentile of relative parameter changes over the window is below the tolerance (None: never early).
     """
+    return fit_together(y.T[None], w.T, t, harmonics, (max_iter,), tolerance, percentile, on_step and (lambda i, c: on_step(i, float(c[0]))))[0][0]
+
+
+def fit_together(
+    y: np.ndarray, w: np.ndarray, t: np.ndarray, harmonics: int = 2, limits: tuple[int, ...] = (10,), tolerance: float | None = 0.05, percentile: float = 75.0, on_step: Callable[[int, np.ndarray], None] | None = None
+) -> list[np.ndarray]:
+    """``fit_series`` of several measures of a window, each of which ends by itself; y: (measures, pixels, dates), w: (pixels, dates).
+
+    Gives (measures, pixels, features) at each of the limits of steps, which rise; all from one run.
+    """
     x = np.stack([f(2 * np.pi * k * t) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)] + [np.ones_like(t)], axis=1)
+    size, pixels = x.shape[1], y.shape[1]
+    products = (x[:, :, None] * x[:, None, :]).reshape(len(t), -1)
     missing = np.isnan(y)
-    count = (~missing).sum(axis=0)
-    mean = np.divide(np.where(missing, 0, y).sum(axis=0), count, out=np.full(y.shape[1], np.nan), where=count > 0)
-    y, w = np.where(missing, mean, y), np.where(missing, 0.0, w)
-    seen = np.where(np.isnan(y), 0.0, y)
-    p = (np.linalg.pinv(x) @ seen).T
-    for step in range(max_iter):
-        rest = seen - x @ p.T
-        sigma = rest.std(axis=0, ddof=1) if len(t) > 1 else np.zeros(y.shape[1])
-        limit = HUBER * np.where(sigma == 0, 1e-9, sigma)
-        size = np.abs(rest)
-        weight = w * np.where(size <= limit, 1.0, limit / (size + 1e-9))
-        left = np.einsum("tn,ti,tj->nij", weight, x, x)
-        right = np.einsum("tn,ti->ni", weight * seen, x)
-        good = (weight.sum(axis=0) >= 1e-9) & (np.linalg.matrix_rank(left) == x.shape[1])
-        new = np.zeros_like(p)
+    count = (~missing).sum(axis=2)
+    mean = np.divide(np.where(missing, 0, y).sum(axis=2), count, out=np.full(count.shape, np.nan), where=count > 0)
+    there = np.nonzero(~missing)  # most pixels lack most dates of a window; weights elsewhere are 0
+    own_w = np.broadcast_to(w, y.shape)[there]
+    seen = np.where(missing, np.nan_to_num(mean)[..., None], y)
+    p = seen @ np.linalg.pinv(x).T
+
+    def deviation(rest: np.ndarray, ddof: int) -> np.ndarray:
+        off = rest - rest.mean(axis=-1, keepdims=True)
+        return np.einsum("...t,...t->...", off, off) / (len(t) - ddof)
+
+    def features() -> np.ndarray:
+        a, b = p[..., 0:-1:2], p[..., 1::2]
+        out = np.concatenate([np.hypot(a, b), np.arctan2(b, a), p[..., -1:], deviation(seen - p @ x.T, 0)[..., None]], axis=-1)
+        out[count == 0] = np.nan
+        return out
+
+    found = [features()] if 0 in limits else []
+    going = np.arange(len(y))  # measures that have not ended
+    sums, all_x = seen.sum(axis=2), x.sum(axis=0)
+    for step in range(max(limits)):
+        values, old = seen[going], p[going]
+        rest = values - old @ x.T
+        off = np.abs(rest[there])
+        rest -= ((sums[going] - old @ all_x) / len(t))[..., None]
+        sigma = np.sqrt(np.einsum("mnt,mnt->mn", rest, rest) / (len(t) - 1)) if len(t) > 1 else np.zeros(old.shape[:2])
+        limit = (HUBER * np.where(sigma == 0, 1e-9, sigma))[there[:2]]
+        weight, weighted = np.zeros((2, *values.shape))
+        weight[there] = own = own_w * np.where(off <= limit, 1.0, limit / (off + 1e-9))
+        weighted[there] = own * values[there]
+        left, right = (weight @ products).reshape(-1, size, size), (weighted @ x).reshape(-1, size)
+        good = (weight.sum(axis=2).ravel() >= 1e-9) & (np.linalg.matrix_rank(left, hermitian=True) == size)
+        new = np.zeros_like(right)
         if good.any():
             new[good] = np.linalg.solve(left[good], right[good][..., None])[..., 0]
-        change = np.percentile(np.abs(new - p) / np.maximum(np.abs(p), 1e-5), percentile)
-        p = new
+        p[going] = new = new.reshape(len(going), pixels, size)
+        change = np.percentile((np.abs(new - old) / np.maximum(np.abs(old), 1e-5)).reshape(len(going), -1), percentile, axis=1)
         if on_step:
-            on_step(step, float(change))
-        if tolerance is not None and change < tolerance:
-            break
-    variance = (seen - x @ p.T).var(axis=0)
-    a, b = p[:, 0:-1:2], p[:, 1::2]
-    out = np.concatenate([np.hypot(a, b), np.arctan2(b, a), p[:, -1:], variance[:, None]], axis=1)
-    out[count == 0] = np.nan
-    return out
+            on_step(step, change)
+        if step + 1 in limits:
+            found.append(features())
+        if tolerance is not None:
+            more = ~(change < tolerance)
+            going = going[more]
+            if not len(going):
+                break
+            if not more.all():
+                kept = more[there[0]]
+                there, own_w = ((np.cumsum(more) - 1)[there[0][kept]], there[1][kept], there[2][kept]), own_w[kept]
+    return found + [features() for _ in limits[len(found) :]]
 
 
 def robust_fit(df: DataFrame, window: list[str], pixel: list[str], date: str, y: str, w: str, harmonics: int = 2, max_iter: int = 10, tolerance: float | None = 0.05) -> DataFrame:
@@ -116,54 +151,72 @@ def robust_fit(df: DataFrame, window: list[str], pixel: list[str], date: str, y:
     Dates of a window are those of any of its pixels; a pixel without a value at a date has a missing value there,
     and values of one pixel and date are averaged.
     """
+    fits = robust_fits(df, window, pixel, date, [y], w, harmonics, (max_iter,), tolerance)
+    return fits.select(*[F.col(c).alias(c.removeprefix(f"{y}_")) if c.startswith(f"{y}_") and c not in (*window, *pixel) else c for c in fits.columns if c != "max_iter"])
+
+
+def robust_fits(df: DataFrame, window: list[str], pixel: list[str], date: str, ys: list[str], w: str, harmonics: int = 2, limits: tuple[int, ...] = (10,), tolerance: float | None = 0.05) -> DataFrame:
+    """``robust_fit`` of several measures with one weight, at several limits of iterations: (keys, max_iter, <y>_<feature>).
+
+    A window's rows reach Python once, for all of its measures and limits.
+    """
     names = [f"amplitude_h{k + 1}" for k in range(harmonics)] + [f"phase_h{k + 1}" for k in range(harmonics)] + ["offset", "var_residual"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     keys = [*window, *[c for c in pixel if c not in window]]
+    limits = tuple(sorted(set(limits)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        own = np.zeros(rows.num_rows, np.int64)  # only pixels that are there
+        for c in keys[len(window) :]:
+            code = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            own = np.unique(own * (code.max() + 1) + code, return_inverse=True)[1]
+        _, first = np.unique(own, return_index=True)
+        days, at = np.unique(pd.to_datetime(rows.column(date).to_pandas()).to_numpy() if pa.types.is_string(rows.schema.field(date).type) else rows.column(date).to_numpy(), return_inverse=True)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(**{date: pd.to_datetime(rows[date])})
-        days, at = np.unique(rows[date].to_numpy(), return_inverse=True)
-        own = rows.groupby(keys, sort=True, dropna=False, observed=True).ngroup().to_numpy()  # only pixels that are there
-
-        def cube(column: str) -> np.ndarray:
-            found = rows[column].to_numpy(float)
+        def cube(column: pa.ChunkedArray) -> np.ndarray:
+            found = column.to_numpy()
             there = ~np.isnan(found)
-            total, n = np.zeros((2, len(days), own.max() + 1))
-            np.add.at(total, (at[there], own[there]), found[there])
-            np.add.at(n, (at[there], own[there]), 1)
-            return np.divide(total, n, out=np.full(n.shape, np.nan), where=n > 0)
+            cell, shape = own[there] * len(days) + at[there], (len(first), len(days))
+            n = np.bincount(cell, minlength=shape[0] * shape[1])
+            total = np.bincount(cell, found[there], len(n))
+            return np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0).reshape(shape)
 
         t = (days - days[0]) / np.timedelta64(1, "D") / YEAR
-        out = fit_series(cube(y), np.nan_to_num(cube(w)), t, harmonics, max_iter, tolerance)
-        _, first = np.unique(own, return_index=True)
-        return pd.concat([rows[keys].iloc[first].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+        fits = fit_together(np.stack([cube(rows.column(f"_y{k}")) for k in range(len(ys))]), np.nan_to_num(cube(rows.column("_w"))), t, harmonics, limits, tolerance)
+        pixels = rows.select(keys).take(first)
+        parts = []
+        for limit, fit in zip(limits, fits, strict=True):
+            values = [pa.array(fit[k, :, i]) for k in range(len(ys)) for i in range(len(names))]
+            parts.append(pa.table([*pixels.columns, pa.array(np.full(len(first), limit, np.int32)), *values], names=[*keys, "max_iter", *[f"{y}_{n}" for y in ys for n in names]]))
+        return pa.concat_tables(parts)
 
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{n} double" for n in names])
-    return df.select(*keys, date, y, w).groupBy(*window).applyInPandas(run, schema)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["max_iter int"] + [f"`{y}_{n}` double" for y in ys for n in names])
+    values = [F.col(c).cast("double").alias(a) for c, a in ((w, "_w"), *((y, f"_y{k}") for k, y in enumerate(ys)))]
+    return df.select(*keys, date, *values).groupBy(*window).applyInArrow(run, schema)
 
 
 def feature_stack(series: DataFrame, window: list[str], pixel: list[str], date: str = "date", max_iter: int = 10, tolerance: float | None = 0.05) -> DataFrame:
     """The 24 stored features of each pixel from its band series: (keys, date, b2, b4, b8, b11, b12, msk_cldprb).
 
-    Bands become reflectances, cloud probability a weight, bands four indices; each index of a window is fitted as a
-    group of its own, and the six measures are scaled to 16-bit integers.
+    Bands become reflectances, cloud probability a weight, bands four indices; each index of a window ends its iterations by itself,
+    and the six measures are scaled to 16-bit integers.
     """
+    return feature_stacks(series, window, pixel, date, (max_iter,), tolerance).drop("max_iter")
+
+
+def feature_stacks(series: DataFrame, window: list[str], pixel: list[str], date: str = "date", limits: tuple[int, ...] = (10,), tolerance: float | None = 0.05) -> DataFrame:
+    """``feature_stack`` at several limits of iterations, named by ``max_iter``, from one run."""
     from canopy.functions import indices as ix
     from canopy.functions import scaling as sc
     from canopy.schemas import BANDS, INDICES
 
-    bands = [ix.reflectance(F.col(b)) for b in BANDS]
-    found = ix.all_indices(*bands)
-    rows = F.array(*[F.struct(F.lit(i).alias("index"), found[i].alias("y")) for i in INDICES])
+    found = ix.all_indices(*[ix.reflectance(F.col(b)) for b in BANDS])
     keys = [*window, *[c for c in pixel if c not in window]]
-    long = series.select(*keys, date, ix.cloud_weight(ix.reflectance(F.col("msk_cldprb"))).alias("w"), F.inline(rows))
-    fit = robust_fit(long, [*window, "index"], pixel, date, "y", "w", 2, max_iter, tolerance)
-    wanted = []
-    for i in INDICES:
-        for measure, kind in sc.KINDS.items():
-            stored = sc.scale_feature(F.col(measure), i, kind)
-            wanted.append(F.max(F.when(F.col("index") == i, stored)).alias(f"{i}_{measure}"))
-    return fit.groupBy(*keys).agg(*wanted)
+    wide = series.select(*keys, date, ix.cloud_weight(ix.reflectance(F.col("msk_cldprb"))).alias("w"), *[found[i].alias(i) for i in INDICES])
+    fit = robust_fits(wide, window, pixel, date, list(INDICES), "w", 2, limits, tolerance)
+    stored = [sc.scale_feature(F.col(f"{i}_{measure}"), i, kind).alias(f"{i}_{measure}") for i in INDICES for measure, kind in sc.KINDS.items()]
+    return fit.select(*keys, "max_iter", *stored)
 
 
 def compare_iterations(series: DataFrame, window: list[str], pixel: list[str], steps: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -171,8 +224,5 @@ def compare_iterations(series: DataFrame, window: list[str], pixel: list[str], s
     from canopy.operators.qa import band_stats
     from canopy.schemas import HARMONIC_FEATURES
 
-    out = None
-    for n in steps:
-        part = band_stats(feature_stack(series, window, pixel, max_iter=n, tolerance=None), [], HARMONIC_FEATURES).withColumn("max_iter", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out.select("max_iter", "feature", "total", "no_data_pct", "min", "max", "mean", "std")
+    stats = band_stats(feature_stacks(series, window, pixel, limits=steps, tolerance=None), ["max_iter"], HARMONIC_FEATURES)
+    return stats.select("max_iter", "feature", "total", "no_data_pct", "min", "max", "mean", "std")
