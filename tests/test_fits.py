@@ -47,3 +47,7 @@ def test_a_window_reaches_python_once(spark):
     both = harmonic.compare_iterations(series, ["tile"], ["px"])
     assert plan(both).count("FlatMapGroupsIn") == 1
     assert {(r.max_iter, r.total) for r in both.collect()} == {(k, 6) for k in (1, 5, 10)} and both.count() == 72
+    stacks = {r.max_iter: r for r in harmonic.feature_stacks(series, ["tile"], ["px"], limits=(1, 10), tolerance=None).filter("tile = 0 AND px = 1").collect()}
+    for n, r in stacks.items():
+        alone = harmonic.feature_stack(series, ["tile"], ["px"], max_iter=n, tolerance=None).filter("tile = 0 AND px = 1").first()
+        assert {k: v for k, v in r.asDict().items() if k != "max_iter"} == alone.asDict()
