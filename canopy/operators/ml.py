@@ -75,11 +75,14 @@ def class_balanced(df: DataFrame, y: str, weight: str | None = None) -> DataFram
 def complete(df: DataFrame, features: list[str]) -> DataFrame:
     """Rows whose features are all finite, as doubles; kept, as models read them many times.
 
+    They are kept in at most two parts a core: each of a model's many jobs sends the driver a result a part, and a join read where it was
+    shuffled leaves as many parts as there are shuffle partitions, however small they are.
+
     Catalyst would derive facts for every mixture of the features' old and new names from the one condition on all of them,
     which doubles with each feature.  So it is planned without such facts.
     """
     every = F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda x: F.coalesce(F.abs(x) < INF, F.lit(False)))
-    out = df.filter(every).withColumns({f: F.col(f).cast("double") for f in features})
+    out = df.filter(every).withColumns({f: F.col(f).cast("double") for f in features}).coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(name)
     conf.set(name, "false")

@@ -111,3 +111,11 @@ def test_tables_are_let_go(spark):
     ml.adapted_folds(df, ml.forest(2, 2), FEATURES, "region", 3).count()
     ml.pca(df, FEATURES)[0].count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_rows_are_kept_in_few_parts(spark):
+    parts = 2 * spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("f")).repartition(50 * parts, "id")
+    kept = ml.complete(rows, ["f"])
+    assert kept.rdd.getNumPartitions() <= parts and kept.count() == 1000
+    kept.unpersist()
