@@ -292,32 +292,42 @@ def pca(df: DataFrame, features: list[str], k: int = 2) -> tuple[DataFrame, list
     return _written(model.transform(df).withColumns({f"pc{i + 1}": pc[i] for i in range(k)}).drop("_raw", "_std", "_pc"), df), model.stages[-1].explainedVariance.toArray().tolist()
 
 
-def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Mean and covariance of the features of each domain, over rows with all features.
+def _products(df: DataFrame, features: list[str], domain: list[str]) -> tuple[np.ndarray, dict[tuple, np.ndarray]]:
+    """Means of the features of all (complete) rows, and the sums of products of 1 and the features less these means, in each domain.
 
-    Each batch of rows is one matrix of products for each domain; those are added in an aggregation, and (p + 1) squared
-    numbers for each domain reach the driver.  Means of all rows are taken off first, so that the products stay small.
+    Each task adds a matrix of products for each domain; those are added in an aggregation, and (p + 1) squared
+    numbers for each domain reach the driver.  As means of all rows are taken off first, the products stay small.
     """
     p = len(features)
-    df = complete(df.select(*domain, *features), features)
     centre = np.array([x or 0.0 for x in df.agg(*[F.avg(f) for f in features]).first()], float)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[tuple, np.ndarray] = {}
         for rows in batches:
             for name, part in rows.groupby(domain, sort=False, dropna=False):
                 x = np.column_stack((np.ones(len(part)), part[features].to_numpy(float) - centre))
-                yield pd.DataFrame({**{d: [v] for d, v in zip(domain, name, strict=True)}, "sums": [(x.T @ x).ravel()]})
+                own[name] = own.get(name, 0) + x.T @ x
+        for name, sums in own.items():
+            yield pd.DataFrame({**{d: [v] for d, v in zip(domain, name, strict=True)}, "sums": [sums.ravel()]})
 
-    gram = df.mapInPandas(products, ", ".join(f"`{d}` {kinds[d]}" for d in domain) + ", sums array<double>")
+    gram = df.select(*domain, *features).mapInPandas(products, ", ".join(f"`{d}` {kinds[d]}" for d in domain) + ", sums array<double>")
     added = gram.select(*domain, F.posexplode("sums").alias("at", "x")).groupBy(*domain, "at").agg(F.sum("x").alias("x"))
-    out = {}
-    for row in added.groupBy(*domain).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("sums")).collect():
-        g = np.array([s["x"] for s in row["sums"]], float).reshape(p + 1, p + 1)
-        mean = g[0, 1:] / g[0, 0]
-        out[tuple(row[d] for d in domain)] = centre + mean, g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+    rows = added.groupBy(*domain).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("sums")).collect()
+    return centre, {tuple(r[d] for d in domain): np.array([s["x"] for s in r["sums"]], float).reshape(p + 1, p + 1) for r in rows}
+
+
+def _moments_of(centre: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = g[0, 1:] / g[0, 0]
+    return centre + mean, g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+
+
+def _moments(df: DataFrame, features: list[str], domain: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the features of each domain, over rows with all features."""
+    df = complete(df.select(*domain, *features), features)
+    centre, sums = _products(df, features, domain)
     df.unpersist()
-    return out
+    return {name: _moments_of(centre, g) for name, g in sums.items()}
 
 
 def _root(m: np.ndarray) -> np.ndarray:
@@ -389,16 +399,19 @@ def adapted_folds(df: DataFrame, estimator: object, features: list[str], domain:
     The maps are made of the training rows alone, and a held-out row goes through its domain's map; rows of domains that the training
     rows lack, or without one, are left out.
     """
-    df, out, ready = df.filter(F.col(domain).isNotNull()), None, []
+    df, out = complete(df.filter(F.col(domain).isNotNull()), features), None
+    centre, sums = _products(df, features, [fold, domain])  # each row once; a fold's training rows are the sums of the others
+    ready = [df]
     for k in range(1, folds + 1):
-        train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
-        goal = next(iter(_moments(train.select("*", F.lit(1).alias("_d")), features, ["_d"]).values()))
-        maps = {name: monge_map(found, goal) for (name,), found in _moments(train, features, [domain]).items()}
-        known = F.col(domain).isin(list(maps))
-        whole = [complete(d, features) for d in (train, held.filter(known))]
-        moved = labelled(mapped(whole[0], features, maps, domain), y, features)
-        held = mapped(whole[1], features, maps, domain)
-        ready += [*whole, moved]
+        trained: dict[object, np.ndarray] = {}
+        for (f, name), g in sums.items():
+            if f is not None and f != k:
+                trained[name] = trained.get(name, 0) + g
+        goal = _moments_of(centre, sum(trained.values()))
+        maps = {name: monge_map(_moments_of(centre, g), goal) for name, g in trained.items()}
+        moved = labelled(mapped(df.filter(F.col(fold) != k), features, maps, domain), y, features)
+        held = mapped(df.filter((F.col(fold) == k) & F.col(domain).isin(list(maps))), features, maps, domain)
+        ready.append(moved)
         part = predictions(model_of(estimator, features).fit(moved), held)
         out = part if out is None else out.unionByName(part)
     return _written(out, *ready)

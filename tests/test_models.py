@@ -119,3 +119,13 @@ def test_rows_are_kept_in_few_parts(spark):
     kept = ml.complete(rows, ["f"])
     assert kept.rdd.getNumPartitions() <= parts and kept.count() == 1000
     kept.unpersist()
+
+
+def test_adaptation_reads_rows_once_for_its_maps(spark, monkeypatch):
+    df, asked, plain = _blobs(spark), [], ml._products
+    monkeypatch.setattr(ml, "_products", lambda *a: asked.append(plain(*a)) or asked[-1])
+    ml.adapted_folds(df, ml.forest(3, 3), FEATURES, "region", 3).count()
+    (centre, sums), = asked
+    rows = df.filter("fold <> 2 AND region = 'r1'").toPandas()[FEATURES].to_numpy()
+    mean, cov = ml._moments_of(centre, sums[1, "r1"] + sums[3, "r1"])
+    assert mean == pytest.approx(rows.mean(0)) and cov == pytest.approx(np.cov(rows.T, ddof=0))
