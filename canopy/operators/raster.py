@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.numeric import ratio
 from canopy.operators import blocks
+from canopy.operators.lineage import cut
 from canopy.operators.quantiles import with_quantiles
 from canopy.operators.scanline import burnt
 
@@ -246,6 +247,6 @@ def coherence(cells: DataFrame, by: list[str], value: str = "value", size: float
 
 def coherence_variants(first: DataFrame, second: DataFrame, by: list[str], names: tuple[str, str] = ("embedding", "harmonic"), size: float = 10.0, side: int = blocks.SIDE) -> DataFrame:
     """The coherence of two maps and of the second one smoothed by a 3 x 3 median, one row each with its ``variant``."""
-    smoothed = median_filter(second, by, side=side)
+    smoothed = cut(median_filter(second, by, side=side))  # edges, fraction and patches all read it
     parts = [coherence(m, by, size=size, side=side).withColumn("variant", F.lit(n)) for m, n in ((first, names[0]), (second, names[1]), (smoothed, f"{names[1]}_median"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

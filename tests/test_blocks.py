@@ -114,3 +114,10 @@ def test_borders_no_wider_than_blocks(spark):
 def test_empty_rasters(spark):
     cells = _cells(spark, {"a": (np.ones((1, 1), int), 0, 0)}).limit(0)
     assert raster.patches(cells, ["t"]).count() == 0 and raster.median_filter(cells, ["t"]).count() == 0
+
+
+def test_the_smoothed_map_is_made_once(spark):
+    cells = spark.createDataFrame([(0, r, c, (r * c) % 3) for r in range(12) for c in range(9)], "tile int, row long, col long, value int")
+    out = raster.coherence_variants(cells, cells, ["tile"], side=4)
+    assert "median" in " ".join(r.variant for r in out.collect()) and out.count() == 3
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
