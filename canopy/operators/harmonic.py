@@ -90,61 +90,103 @@ def fit_together(
     Gives (measures, pixels, features) at each of the limits of steps, which rise; all from one run.
     """
     x = np.stack([f(2 * np.pi * k * t) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)] + [np.ones_like(t)], axis=1)
-    size, pixels = x.shape[1], y.shape[1]
-    products = (x[:, :, None] * x[:, None, :]).reshape(len(t), -1)
-    missing = np.isnan(y)
-    count = (~missing).sum(axis=2)
-    mean = np.divide(np.where(missing, 0, y).sum(axis=2), count, out=np.full(count.shape, np.nan), where=count > 0)
-    there = np.nonzero(~missing)  # most pixels lack most dates of a window; weights elsewhere are 0
-    own_w = np.broadcast_to(w, y.shape)[there]
-    seen = np.where(missing, np.nan_to_num(mean)[..., None], y)
-    p = seen @ np.linalg.pinv(x).T
-
-    def deviation(rest: np.ndarray, ddof: int) -> np.ndarray:
-        off = rest - rest.mean(axis=-1, keepdims=True)
-        return np.einsum("...t,...t->...", off, off) / (len(t) - ddof)
+    size, pixels, dates = x.shape[1], y.shape[1], len(t)
+    upper = np.triu_indices(size)
+
+    def square(sums: np.ndarray) -> np.ndarray:
+        out = np.empty((sums.shape[1], size, size))
+        out[:, upper[0], upper[1]] = out[:, upper[1], upper[0]] = sums.T
+        return out
+
+    there = np.nonzero(~np.isnan(y))  # most pixels lack most dates of a window; weights elsewhere are 0
+    every = _Cells(there[0] * pixels + there[1], len(y) * pixels, y[there], w[there[1:]], x.T[:, there[2]], upper)
+    count = np.bincount(every.series, minlength=every.n)
+    mean = every.sums(every.y) / np.maximum(count, 1)
+    off_mean = every.y - mean[every.series]
+    p = every.sums(np.linalg.pinv(x)[:, there[2]] * off_mean).T + mean[:, None] * np.linalg.pinv(x).sum(axis=1)
+    # of the dates that a series lacks, where its value is its mean: sums of products, with which squares of what is left are added
+    lacking = square((x[:, upper[0]] * x[:, upper[1]]).sum(axis=0)[:, None] - every.sums(every.xx))
+    lacking[count == dates] = 0
+    sums, all_x = every.sums(off_mean), x.sum(axis=0)
+
+    def residuals(cells: _Cells, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the parameters leave of the values that are there, and the squares of all dates' rest less its mean."""
+        q = p[ids]
+        q[:, -1] -= mean[ids]
+        rest = cells.y - mean[ids][cells.series] - np.einsum("pc,cp->c", cells.x, q[cells.series])
+        level = (sums[ids] - q @ all_x) / dates
+        q[:, -1] += level
+        beside = np.einsum("ni,nij,nj->n", q, lacking[ids], q)
+        return rest, cells.sums((rest - level[cells.series]) ** 2) + np.maximum(beside, 0)
 
     def features() -> np.ndarray:
-        a, b = p[..., 0:-1:2], p[..., 1::2]
-        out = np.concatenate([np.hypot(a, b), np.arctan2(b, a), p[..., -1:], deviation(seen - p @ x.T, 0)[..., None]], axis=-1)
+        a, b = p[:, 0:-1:2], p[:, 1::2]
+        out = np.concatenate([np.hypot(a, b), np.arctan2(b, a), p[:, -1:], residuals(every, np.arange(every.n))[1][:, None] / dates], axis=1)
         out[count == 0] = np.nan
-        return out
+        return out.reshape(len(y), pixels, -1)
 
     found = [features()] if 0 in limits else []
-    going = np.arange(len(y))  # measures that have not ended
-    sums, all_x = seen.sum(axis=2), x.sum(axis=0)
+    cells, ids = every, np.arange(every.n)  # of the measures that have not ended
+    rank = percentile / 100 * (pixels * size - 1)
+    low, high = int(rank), min(int(rank) + 1, pixels * size - 1)
     for step in range(max(limits)):
-        values, old = seen[going], p[going]
-        rest = values - old @ x.T
-        off = np.abs(rest[there])
-        rest -= ((sums[going] - old @ all_x) / len(t))[..., None]
-        sigma = np.sqrt(np.einsum("mnt,mnt->mn", rest, rest) / (len(t) - 1)) if len(t) > 1 else np.zeros(old.shape[:2])
-        limit = (HUBER * np.where(sigma == 0, 1e-9, sigma))[there[:2]]
-        weight, weighted = np.zeros((2, *values.shape))
-        weight[there] = own = own_w * np.where(off <= limit, 1.0, limit / (off + 1e-9))
-        weighted[there] = own * values[there]
-        left, right = (weight @ products).reshape(-1, size, size), (weighted @ x).reshape(-1, size)
-        good = (weight.sum(axis=2).ravel() >= 1e-9) & (np.linalg.matrix_rank(left, hermitian=True) == size)
+        old = p[ids]
+        rest, squares = residuals(cells, ids)
+        off = np.abs(rest)
+        sigma = np.sqrt(squares / (dates - 1)) if dates > 1 else np.zeros(len(ids))
+        limit = (HUBER * np.where(sigma == 0, 1e-9, sigma))[cells.series]
+        own = cells.w * np.where(off <= limit, 1.0, limit / (off + 1e-9))
+        left, right = square(cells.sums(cells.xx * own)), cells.sums(cells.x * (own * cells.y)).T
+        good = (left[:, -1, -1] >= 1e-9) & _regular(left)
         new = np.zeros_like(right)
         if good.any():
             new[good] = np.linalg.solve(left[good], right[good][..., None])[..., 0]
-        p[going] = new = new.reshape(len(going), pixels, size)
-        change = np.percentile((np.abs(new - old) / np.maximum(np.abs(old), 1e-5)).reshape(len(going), -1), percentile, axis=1)
+        p[ids] = new
+        change = np.sort((np.abs(new - old) / np.maximum(np.abs(old), 1e-5)).reshape(-1, pixels * size), axis=1)
+        change = np.where(np.isnan(change[:, -1]), np.nan, change[:, low] + (change[:, high] - change[:, low]) * (rank - low))
         if on_step:
             on_step(step, change)
         if step + 1 in limits:
             found.append(features())
         if tolerance is not None:
             more = ~(change < tolerance)
-            going = going[more]
-            if not len(going):
+            if not more.any():
                 break
             if not more.all():
-                kept = more[there[0]]
-                there, own_w = ((np.cumsum(more) - 1)[there[0][kept]], there[1][kept], there[2][kept]), own_w[kept]
+                kept = np.repeat(more, pixels)
+                cells, ids = cells.only(kept), ids[kept]
     return found + [features() for _ in limits[len(found) :]]
 
 
+class _Cells:
+    """Values that are there, in order of their series; ``sums`` adds a row of numbers, or several, by series."""
+
+    def __init__(self, series: np.ndarray, n: int, y: np.ndarray, w: np.ndarray, x: np.ndarray, upper: tuple, xx: np.ndarray | None = None) -> None:
+        self.series, self.n, self.y, self.w, self.x, self.upper = series, n, y, w, x, upper
+        self.xx = x[upper[0]] * x[upper[1]] if xx is None else xx
+        self.start = np.flatnonzero(np.diff(series, prepend=-1))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((*values.shape[:-1], self.n))
+        if len(self.start):
+            out[..., self.series[self.start]] = np.add.reduceat(values, self.start, axis=-1)
+        return out
+
+    def only(self, kept: np.ndarray) -> _Cells:
+        own = kept[self.series]
+        return _Cells((np.cumsum(kept) - 1)[self.series[own]], int(kept.sum()), self.y[own], self.w[own], self.x[:, own], self.upper, self.xx[:, own])
+
+
+def _regular(m: np.ndarray) -> np.ndarray:
+    """Which of the symmetric matrices, without negative eigenvalues, have full rank; the determinant tells most, as no eigenvalue exceeds the trace."""
+    size = m.shape[-1]
+    trace = np.trace(m, axis1=1, axis2=2)
+    out = np.linalg.det(m) > 1e-9 * trace**size
+    if not out.all():
+        out[~out] = np.linalg.matrix_rank(m[~out], hermitian=True) == size
+    return out
+
+
 def robust_fit(df: DataFrame, window: list[str], pixel: list[str], date: str, y: str, w: str, harmonics: int = 2, max_iter: int = 10, tolerance: float | None = 0.05) -> DataFrame:
     """Features of each pixel; the pixels of a window are fitted together, so windows must be of bounded size.
 

@@ -1,5 +1,7 @@
 """Robust fits of several measures and limits in one run, against the plain algorithm one by one."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,34 @@ def test_measures_together_equal_each_alone(tolerance):
             assert found[k] == pytest.approx(_plain(y[k].T, w.T, t, limit, tolerance), abs=1e-8)
 
 
+def test_fits_cost_what_is_there():
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.choice(9000, 3000, replace=False)) / 365.25
+    y = rng.normal(size=(3, 40, 3000)) + np.sin(2 * np.pi * t)
+    y[:, rng.random((40, 3000)) > 0.02] = np.nan
+    w = rng.random((40, 3000))
+    tracemalloc.start()
+    found = harmonic.fit_together(y, w, t, limits=(3, 8), tolerance=None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < y.nbytes  # no tables of all dates of all pixels
+    for limit, fit in zip((3, 8), found, strict=True):
+        for k in range(3):
+            assert fit[k] == pytest.approx(_plain(y[k].T, w.T, t, limit, None), abs=1e-8)
+
+
+def test_pixels_without_values_of_one_value_or_on_all_dates():
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.choice(700, 40, replace=False)) / 365.25
+    y = rng.normal(size=(1, 4, 40))
+    y[0, 1] = np.nan
+    y[0, 2, 1:] = np.nan
+    y[0, 3, :30] = np.nan
+    none, one, *rest = (harmonic.fit_together(y, np.ones((4, 40)), t, limits=(5,), tolerance=None)[0][0][k] for k in (1, 2, 0, 3))
+    assert np.isnan(none).all() and (one[:5] == 0).all() and one[5] == pytest.approx(0)  # one value has no robust fit
+    assert np.array(rest) == pytest.approx(_plain(y[0, [0, 3]].T, np.ones((40, 2)), t, 5, None), abs=1e-8)
+
+
 def test_a_window_reaches_python_once(spark):
     dates = [(tile, px, f"2020-{m:02d}-{d:02d}", 300 + 40 * m, 500, 2000 + 100 * m, 1500 + d, 900, 100 * px) for tile in range(2) for px in range(3) for m in range(1, 13) for d in (3, 17)]
     series = spark.createDataFrame(dates, "tile int, px int, date string, b2 int, b4 int, b8 int, b11 int, b12 int, msk_cldprb int").withColumn("date", F.to_date("date"))
