@@ -1,8 +1,8 @@
 """Extremely randomised trees: every node tries random cuts of random features, and the best one stays.
 
 All trees grow a level at a time.  Tasks count the classes on either side of all candidate cuts of all open nodes in one
-pass over their rows, Spark adds these counts, and the driver, which holds the trees alone, picks each node's best.  A node's cuts are
-drawn between the ends that its ancestors' cuts have left of a feature's range, by a hash of seed, tree, node and try, so trees
+pass over their rows, and the counts of a node meet in one task, which picks its best cut; the driver, which holds the trees alone, gets
+that cut and the node's classes.  A node's cuts are drawn between the ends that its ancestors' cuts have left of a feature's range, by a hash of seed, tree, node and try, so trees
 don't depend on how rows are dealt.
 """
 
@@ -78,17 +78,10 @@ def grown(rows: DataFrame, width: int, classes: int, trees: int, depth: int, lea
         cut = bounds[..., 0] + _draw(seed, name[open_nodes], tries, 2) * (bounds[..., 1] - bounds[..., 0])
         slot = np.full(len(model.feature), -1)
         slot[open_nodes] = np.arange(len(open_nodes))
-        counts = _counts(rows, model, slot, feature, cut, width, classes).reshape(len(open_nodes), tries, 2, classes)
-        model.weight[open_nodes] = counts[:, 0].sum(1)
+        model.weight[open_nodes], best = _chosen(rows, model, slot, feature, cut, width, classes, leaf)
         if level == depth:
             break
-        total = counts.sum(3)
-        impurity = (total - (counts**2).sum(3) / np.maximum(total, 1e-300)).sum(2)
-        impurity[(total < leaf).any(2)] = np.inf
-        best = impurity.argmin(1)
-        own = model.weight[open_nodes]
-        before = own.sum(1) - (own**2).sum(1) / np.maximum(own.sum(1), 1e-300)
-        split = np.flatnonzero(np.isfinite(impurity.min(1)) & (before > 1e-9))
+        split = np.flatnonzero(best >= 0)
         if not len(split):
             break
         children = len(model.feature) + 2 * np.arange(len(split))
@@ -108,12 +101,26 @@ def grown(rows: DataFrame, width: int, classes: int, trees: int, depth: int, lea
     return model
 
 
-def _counts(rows: DataFrame, model: Trees, slot: np.ndarray, feature: np.ndarray, cut: np.ndarray, width: int, classes: int) -> np.ndarray:
-    """Weights of the classes left and right of each candidate cut of each open node, flat."""
+def _best(counts: np.ndarray, leaf: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes, and the best cut (-1: none), of nodes with (nodes, tries, sides, classes) weights."""
+    total, own = counts.sum(3), counts[:, 0].sum(1)
+    impurity = (total - (counts**2).sum(3) / np.maximum(total, 1e-300)).sum(2)
+    impurity[(total < leaf).any(2)] = np.inf
+    before = own.sum(1) - (own**2).sum(1) / np.maximum(own.sum(1), 1e-300)
+    return own, np.where(np.isfinite(impurity.min(1)) & (before > 1e-9), impurity.argmin(1), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
+def _chosen(rows: DataFrame, model: Trees, slot: np.ndarray, feature: np.ndarray, cut: np.ndarray, width: int, classes: int, leaf: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes of each open node and its best candidate cut (-1: none)."""
     nodes, tries = feature.shape
-    size = nodes * tries * 2 * classes
+    own = tries * 2 * classes
+    size = nodes * own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for batch in batches:
             if not batch.num_rows:
@@ -125,13 +132,27 @@ def _counts(rows: DataFrame, model: Trees, slot: np.ndarray, feature: np.ndarray
             for k in range(tries):
                 right = x[row, feature[node, k]] > cut[node, k]
                 out += np.bincount(((node * tries + k) * 2 + right) * classes + y[row], w[row], size)
-        some = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(out[some])], names=["at", "n"])
+        out = out.reshape(nodes, own)
+        some = np.flatnonzero(out.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), _lists(out[some])], names=["node", "n"])
 
-    found = rows.select("x", "y", "w").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # as large as the open nodes
-    out = np.zeros(size)
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = batch.column(1)  # of each node, the counts of each task that has rows of it
+            first = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())[:-1]])
+            counts = np.add.reduceat(_matrix(parts.flatten(), own), first, axis=0)
+            weight, best = _best(counts.reshape(-1, tries, 2, classes), leaf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int64()), _lists(weight)], names=["node", "best", "weight"])
+
+    counted = rows.select("x", "y", "w").mapInArrow(count, "node long, n array<double>").groupBy("node").agg(F.collect_list("n").alias("n"))  # a list a task
+    found = counted.mapInArrow(pick, "node long, best long, weight array<double>").toArrow()  # a row an open node
+    weight, best = np.zeros((nodes, classes)), np.full(nodes, -1)
+    at = found.column("node").to_numpy()
+    best[at] = found.column("best").to_numpy()
+    weight[at] = np.array(found.column("weight").to_pylist(), float).reshape(-1, classes)
+    return weight, best
 
 
 class _TreeParams(HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):

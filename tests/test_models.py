@@ -39,6 +39,15 @@ def test_extra_trees_do_not_depend_on_how_rows_are_dealt(spark):
     assert np.allclose(a.weight[inner], a.weight[a.left[inner]] + a.weight[a.left[inner] + 1])
 
 
+def test_the_driver_gets_a_row_an_open_node(spark, monkeypatch):
+    df, sent = ml.labelled(_blobs(spark, 600), "y_true", FEATURES).repartition(5), []
+    kind = type(df)
+    plain = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: sent.append(plain(self)) or sent[-1])
+    model = ml.model_of(extra_trees.ExtraTrees(numTrees=4, maxDepth=5), FEATURES).fit(df).stages[-1].model
+    assert (model.feature >= 0).sum() > 20 and sum(t.num_rows for t in sent) == len(model.feature)
+
+
 def test_extra_trees_by_hand():
     t = extra_trees.Trees(np.array([0, -1, -1]), np.array([1.5, 0, 0]), np.array([1, -1, -1]), np.array([[3.0, 1], [3, 0], [0, 1]]), np.array([0]))
     assert t.leaves(np.array([[1.5], [2.0]])).tolist() == [[1], [2]] and t.probabilities(np.array([[1.0], [9.0]])).tolist() == [[1, 0], [0, 1]]
