@@ -130,6 +130,23 @@ def test_rows_are_kept_in_few_parts(spark):
     kept.unpersist()
 
 
+def test_halving_runs_few_tasks_a_stage(spark):
+    sc, grid = spark.sparkContext, [{"numTrees": t, "maxDepth": d} for t in (2, 4) for d in (2, 4)]
+    few = 2 * sc.defaultParallelism
+    rows = _blobs(spark, 900).repartition(20 * few, "k")
+    sc.setJobGroup("halving", "stages of a halving search")
+    try:
+        out = ml.halving(rows, ml.forest(2, 2), FEATURES, grid, folds=3)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("halving") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s]
+    assert len(tasks) > 50 and max(tasks) <= 3 * few  # the held-out rows of three folds are read in one stage
+    assert [r for _, _, r in out] == [1, 0, 0, 0, 0] and out[0][0] == out[1][0] and [x for _, x, _ in out[1:]] == sorted((x for _, x, _ in out[1:]), reverse=True)
+
+
 def test_adaptation_reads_rows_once_for_its_maps(spark, monkeypatch):
     df, asked, plain = _blobs(spark), [], ml._products
     monkeypatch.setattr(ml, "_products", lambda *a: asked.append(plain(*a)) or asked[-1])
