@@ -51,7 +51,7 @@ def features_of(text: str) -> list[float]:
     pairs = np.unique(code[:-1] * len(ids) + code[1:]).size
     lines = [x for x in text.split("\n") if x.strip()]
     return [
-        np.log1p(n), sum(map(len, words)) / n, symbol, upper, shout, bar, punct, digit, len(ids) / n, 1 - len(set(lines)) / len(lines),
+        np.log(1 + n), sum(map(len, words)) / n, symbol, upper, shout, bar, punct, digit, len(ids) / n, 1 - len(set(lines)) / len(lines),
         n / len(lines), np.bincount(code).max() / n, 1 - pairs / (n - 1) if n > 1 else 0.0, space, wide, float(max(map(len, words))),
     ]
 
