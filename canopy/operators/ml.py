@@ -209,9 +209,14 @@ def best_set(curve: list[dict]) -> list[str]:
 def halving(df: DataFrame, estimator: object, features: list[str], grid: list[dict], folds: int = 3, factor: int = 3, y: str = "y_true", scaled: bool = False) -> list[tuple[dict, float, int]]:
     """Successive halving: all settings on a hash sample of rows, the best 1 / factor on factor times as many, and so on.
 
+    The last setting is scored on all rows; ``folds`` are all that the table has, as rows of others would train and never be scored.
     Returns (settings, score, round), the best of the last round first.
     """
-    rounds = max(1, int(np.ceil(np.log(max(len(grid), 1)) / np.log(factor))))
+    if factor < 2:
+        raise ValueError("factor must be at least 2")
+    rounds, left = 0, len(grid)
+    while left > 1:
+        rounds, left = rounds + 1, left // factor
     alive, out = list(grid), []
     for r in range(rounds + 1):
         share = factor ** (r - rounds)
@@ -224,8 +229,6 @@ def halving(df: DataFrame, estimator: object, features: list[str], grid: list[di
         ready.unpersist()
         scored.sort(key=lambda x: -x[1])
         out = scored + out
-        if len(alive) == 1:
-            break
         alive = [s for s, _, _ in scored[: max(1, len(alive) // factor)]]
     return out
 

@@ -83,7 +83,7 @@ def calibration_cv(spark, sf_dir):
 @query()
 def halving_search(spark, sf_dir):
     """Successive halving over a small grid."""
-    found = ml.halving(_samples(spark, sf_dir), ml.forest(5, 3), _FEATURES, [{"numTrees": t, "maxDepth": d} for t in (3, 6) for d in (2, 4)], folds=2)
+    found = ml.halving(_samples(spark, sf_dir), ml.forest(5, 3), _FEATURES, [{"numTrees": t, "maxDepth": d} for t in (3, 6) for d in (2, 4)], folds=3)
     rows = [(str(sorted(p.items())), score, r) for p, score, r in found]
     return rounded(spark.createDataFrame(rows, "settings string, f1_macro double, round int"))
 

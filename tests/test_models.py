@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import extra_trees, ml, ranks, relations, stats
+from canopy.plans import models
 
 
 def _blobs(spark, n=900, seed=1, shift=0.0):
@@ -147,6 +148,27 @@ def test_halving_runs_few_tasks_a_stage(spark):
     assert [r for _, _, r in out] == [1, 0, 0, 0, 0] and out[0][0] == out[1][0] and [x for _, x, _ in out[1:]] == sorted((x for _, x, _ in out[1:]), reverse=True)
 
 
+@pytest.fixture
+def scored(monkeypatch):
+    """How many rows each call of ``ml.fold_metrics`` scores."""
+    seen, plain = [], ml.fold_metrics
+    monkeypatch.setattr(ml, "fold_metrics", lambda held, by=("fold",): seen.append(held.count()) or plain(held, by))
+    return seen
+
+
+@pytest.mark.parametrize(("settings", "factor", "rounds"), [(1, 3, [0]), (4, 3, [1, 0, 0, 0, 0]), (5, 2, [2, 1, 1, 0, 0, 0, 0, 0])])
+def test_halving_ends_on_all_rows(spark, scored, settings, factor, rounds):
+    out = ml.halving(_blobs(spark, 600), ml.forest(1, 1), FEATURES, [{"maxDepth": d} for d in range(1, settings + 1)], folds=3, factor=factor)
+    assert [r for _, _, r in out] == rounds and scored[-1] == 600
+    for n, r in zip(scored, reversed(rounds), strict=True):
+        assert n == pytest.approx(600 * factor ** (r - max(rounds)), rel=0.25)
+
+
+def test_halving_search_scores_every_row(spark, scored):
+    assert models.halving_search(spark, "/root/testdata/sf0.001").count() == 5
+    assert scored[-1] == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
 def test_adaptation_reads_rows_once_for_its_maps(spark, monkeypatch):
     df, asked, plain = _blobs(spark), [], ml._products
     monkeypatch.setattr(ml, "_products", lambda *a: asked.append(plain(*a)) or asked[-1])
